@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import chat, quality, warc
 
-QUERIES = {"op7_quality": quality.op7_quality}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op4_chat": chat.op4_chat, "op7_quality": quality.op7_quality, "op8_warc": warc.op8_warc}
+ORACLES = {"op4_chat": chat.OP4_SQL, "op8_warc": warc.OP8_SQL}
