@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality, warc
+from . import bpe, chat, mixing, quality, warc
 
-QUERIES = {"op2_bpe": bpe.op2_bpe, "op4_chat": chat.op4_chat, "op7_quality": quality.op7_quality, "op8_warc": warc.op8_warc}
+QUERIES = {"op2_bpe": bpe.op2_bpe, "op4_chat": chat.op4_chat, "op7_quality": quality.op7_quality, "op8_warc": warc.op8_warc, "op9_mixing": mixing.op9_mixing}
 ORACLES = {"op4_chat": chat.OP4_SQL, "op8_warc": warc.OP8_SQL}
