@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.llm.bpe import bpe_stage
+from vellum.llm.lines import line_dedup_stage
+from vellum.llm.minhash import near_dedup_stage
+from vellum.llm.mixing import mixing_stage
 from vellum.llm.quality import quality_stage
 
-STAGES = [("quality_rules", quality_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("bpe", bpe_stage),
+]
 
 #: The stages learn models and merge by rank; SQL cannot express them. Tests hold each against brute force.
 ORACLE_SQL = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embeddings, lm, minhash, mixing, quality, warc
+from . import bpe, chat, embeddings, lines, lm, minhash, mixing, quality, warc
 
-QUERIES = {"op1_minhash": minhash.op1_minhash, "op2_bpe": bpe.op2_bpe, "op4_chat": chat.op4_chat, "op6_embeddings": embeddings.op6_embeddings, "op7_quality": quality.op7_quality, "op8_warc": warc.op8_warc, "op9_mixing": mixing.op9_mixing, "op10_lm": lm.op10_lm}
-ORACLES = {"op1_minhash": minhash.OP1_SQL, "op4_chat": chat.OP4_SQL, "op6_embeddings": embeddings.OP6_SQL, "op8_warc": warc.OP8_SQL}
+QUERIES = {"op1_minhash": minhash.op1_minhash, "op2_bpe": bpe.op2_bpe, "op4_chat": chat.op4_chat, "op5_lines": lines.op5_lines, "op6_embeddings": embeddings.op6_embeddings, "op7_quality": quality.op7_quality, "op8_warc": warc.op8_warc, "op9_mixing": mixing.op9_mixing, "op10_lm": lm.op10_lm}
+ORACLES = {"op1_minhash": minhash.OP1_SQL, "op4_chat": chat.OP4_SQL, "op5_lines": lines.OP5_SQL, "op6_embeddings": embeddings.OP6_SQL, "op8_warc": warc.OP8_SQL}
