@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 MOST_DEPTH = 32
 
 
@@ -111,6 +113,7 @@ def apply_edits(comments: DataFrame, edits: DataFrame) -> DataFrame:
     links = comments.where("parent is not null").select("doc_id", "name", "parent")
     for _ in range(MOST_DEPTH):
         below = links.join(found.withColumnRenamed("name", "parent"), ["doc_id", "parent"], "left_semi").select("doc_id", "name")
+        below = cut(below)
         if below.isEmpty():
             break
         gone, found = gone.unionByName(below), below

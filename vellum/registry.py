@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import page_queries, review_queries, text_queries  # noqa: F401
+from .plans import navigation_queries, page_queries, review_queries, text_queries  # noqa: F401
 from .plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
