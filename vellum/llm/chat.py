@@ -35,7 +35,8 @@ def unescape(c: Column) -> Column:
 
 def conversation_log(turns: DataFrame) -> DataFrame:
     """Whole turns (conv_id, turn, role, text) as a log: a start and one delta each."""
-    ordered = F.xxhash64("role", "text")  # the events of repeated or competing rows of a turn stay together
+    # the events of repeated or competing rows of a turn stay together; the id only tells equal rows apart
+    ordered = F.struct(F.xxhash64("role", "text").alias("content"), F.monotonically_increasing_id().alias("row"))
     events = F.array(
         F.struct(F.lit(0).alias("part"), F.lit("start").alias("kind"), F.col("role").alias("role"), F.lit("").alias("text")),
         F.struct(F.lit(1).alias("part"), F.lit("delta").alias("kind"), F.lit("").alias("role"), F.col("text").alias("text")),
