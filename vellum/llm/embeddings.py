@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices, table
+from .common import cut, slices, table, unit_hash
 from .components import connected_components
 
 COSINE = 0.95
@@ -165,7 +165,7 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     total = classes.count()
     links = edges = None
     if total:
-        sample = unit_rows([r[0] for r in classes.orderBy(F.xxhash64("vec"), "vec").limit(FIT_ROWS).select("vec").collect()], kind)
+        sample = unit_rows([r[0] for r in classes.where(unit_hash("vec") <= min(1.0, 2 * FIT_ROWS / total)).orderBy(F.xxhash64("vec"), "vec").limit(FIT_ROWS).select("vec").collect()], kind)
         index = Index(sample, max(1, min(MOST_LISTS, math.ceil(total / LIST_SIZE))))
         radius = math.sqrt(2 - 2 * cosine)
 
