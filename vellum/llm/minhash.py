@@ -7,8 +7,12 @@ of the full bucket that a fixed random order puts first. 42 bands of 6 registers
 similarity 0.8 miss each other in all bands with probability 3e-6.
 
 1. Documents with equal sets form a class; only its smallest doc_id goes on.
-2. Each band value pairs its members with their smallest one. Pairs whose collision-corrected estimate lies within
-   ``SIGMAS`` standard errors of the threshold are confirmed on the full sets; confirmed links give components.
+2. A band value's members are dealt out in blocks; each document is paired with the smallest one of a block of its
+   values, after the first step with up to ``TRIES`` of these and only where a value has many members, each time in
+   other blocks, and only with documents of other components. Pairs whose collision-corrected
+   estimate lies within ``SIGMAS`` standard errors of the threshold, and that two bounds on sizes and registers
+   leave possible, are confirmed on the full sets; confirmed links give components. There are up to ``STAR_STEPS``
+   such steps.
 3. Band values whose members still lie in several components are compared member by member, in blocks, on
    registers; pairs of different components that may reach the threshold are confirmed and join components.
    So a component loses no link, while pairs within a component are not listed.
@@ -38,6 +42,9 @@ SHINGLE, PERCENT = 2, 80
 BUCKETS, MANTISSA, WIDE, BANDS = 256, 10, 6, 42
 SIGMAS = 4.5
 BLOCK = 256
+STAR_STEPS, TRIES, SMALL_VALUE = 4, 6, 16
+#: Up to so many doc_ids (8 bytes each) are broadcast to pick the texts of candidates; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 KNOWN_WORDS = 300_000
 #: Two registers of different hashes agree with this probability: leading zeros (1/3) and mantissa.
 COLLISION = 1 / 3 / (1 << MANTISSA)
@@ -104,10 +111,17 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (same / n - COLLISION) / (1 - COLLISION), n
 
 
-def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray | int, size_b: np.ndarray) -> np.ndarray:
+    """Rows of registers and set sizes whose link is possible.
+
+    Two bounds hold for certain: the sizes' ratio, and the buckets whose registers differ, each of which holds a
+    shingle of one set only (a link leaves (1 - t) / (1 + t) of both sizes for these).
+    """
     found, n = estimate(a, b)
     t = PERCENT / 100
-    return found >= t - SIGMAS * np.sqrt(t * (1 - t) / n) - 1e-9
+    apart = (a != b).sum(-1)
+    sizes = np.minimum(size_a, size_b) >= t * np.maximum(size_a, size_b) - 1e-9
+    return sizes & (apart <= (1 - t) / (1 + t) * (size_a + size_b) + 1e-9) & (found >= t - SIGMAS * np.sqrt(t * (1 - t) / n) - 1e-9)
 
 
 def links(a: np.ndarray, b: np.ndarray) -> bool:
@@ -142,15 +156,15 @@ def rows_of(regs: list[bytes]) -> np.ndarray:
 
 def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose registers leave the link possible."""
-    known = sigs.select("doc_id", "regs")
-    both = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("regs").alias("ra")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb")), "b")
+    known = lambda side: sigs.select(F.col("doc_id").alias(side), F.col("regs").alias(f"r{side}"), F.col("n_shingles").alias(f"n{side}"))
+    both = pairs.join(known("a"), "a").join(known("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 4096):
-            ok = may_link(rows_of(part.column("ra").to_pylist()), rows_of(part.column("rb").to_pylist()))
+            ok = may_link(*(rows_of(part.column(c).to_pylist()) for c in ("ra", "rb")), *(part.column(c).to_numpy() for c in ("na", "nb")))
             yield part.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -161,6 +175,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
         for part in slices(batches, 256):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, width).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "items"])
 
+    ids = cut(ids)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     made = cut(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, items binary"))
     both = pairs.join(made.select(F.col("doc_id").alias("b"), F.col("items").alias("sb")), "b").join(made.select(F.col("doc_id").alias("a"), F.col("items").alias("sa")), "a")
 
@@ -175,21 +191,28 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 def open_pairs(members: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs of different components within a band value that their registers leave possible.
 
-    members: band, doc_id, component, size of each band value that holds several components. A value of more than
-    BLOCK members is dealt out to pairs of blocks; a pair of members meets in one of them.
+    members: band, doc_id, component. Of each band value that holds several components the largest one is not
+    compared with itself: its other members are dealt out in blocks, all members in blocks, and a pair of both kinds
+    meets in one pair of blocks.
     """
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = members.withColumns({"n": n, "i": F.pmod(F.xxhash64("doc_id"), n).cast("int")})
-    dealt = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("band", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "doc_id", "component")
-    rows = dealt.join(sigs.select("doc_id", "regs"), "doc_id").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    per = members.groupBy("band", "component").agg(F.count("*").alias("n"))
+    values = per.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    rows = members.join(values, "band")
+    left, right = F.ceil(F.col("others") / BLOCK).cast("int"), F.ceil(F.col("m") / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    others = rows.where("component <> main").select("band", own(left).alias("p"), every(right).alias("q"), F.lit(0).alias("side"), "doc_id", "component")
+    dealt = others.unionByName(rows.select("band", every(left).alias("p"), own(right).alias("q"), F.lit(1).alias("side"), "doc_id", "component"))
+    rows = dealt.join(sigs.select("doc_id", "regs", "n_shingles"), "doc_id").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "side")
 
     def compare(group: list[tuple]) -> list[tuple[int, int]]:
-        ids, comps, regs = np.array([g[3] for g in group]), np.array([g[4] for g in group]), rows_of([g[5] for g in group])
+        ids, comps, regs, n = np.array([g[4] for g in group]), np.array([g[5] for g in group]), rows_of([g[6] for g in group]), np.array([g[7] for g in group])
+        middle = sum(not g[3] for g in group)
         found = []
-        for k in range(len(ids) - 1):
-            rest = np.flatnonzero(comps[k + 1 :] != comps[k]) + k + 1
+        for k in range(middle):
+            rest = np.flatnonzero(comps[middle:] != comps[k]) + middle
             if len(rest):
-                found += [(min(ids[k], ids[x]), max(ids[k], ids[x])) for x in rest[may_link(regs[k], regs[rest])]]
+                found += [(min(ids[k], ids[x]), max(ids[k], ids[x])) for x in rest[may_link(regs[k], regs[rest], n[k], n[rest])]]
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +231,7 @@ def open_pairs(members: DataFrame, sigs: DataFrame) -> DataFrame:
         if group:
             yield out(compare(group))
 
-    return rows.select("band", "p", "q", "doc_id", "component", "regs").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return rows.select("band", "p", "q", "side", "doc_id", "component", "regs", "n_shingles").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -217,18 +240,30 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     sigs = cut(signatures(docs, width))
     known = sigs.where("doc_id is not null and key is not null")
     classes = cut(known.groupBy("key").agg(F.min("doc_id").alias("rep")))
-    reps = cut(known.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "regs", "bands"))
+    reps = cut(known.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "regs", "bands"))
     banded = reps.select(F.explode("bands").alias("band"), "doc_id")
     values = cut(banded.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1"))
     shared = cut(banded.join(values, "band"))
-    star = shared.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    edges = confirmed(cut(likely(star, reps)), docs, width)
-    found = cut(connected_components(edges))
-    # what a band value still holds in several components; pairs with its smallest member have been compared
-    labelled = shared.where("size > 2").join(found, shared["doc_id"] == found["id"], "left").select("band", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
-    labelled = cut(labelled)
-    several = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    more = confirmed(cut(open_pairs(labelled.join(several, "band", "left_semi"), reps)), docs, width)
+    # every document against the smallest one of a block that shares a band value with it and is not yet in its component;
+    # after the first step only for values of many members, whose pairs are too many to list
+    edges = found = None
+    now = shared.withColumn("component", F.col("doc_id"))
+    for step in range(STAR_STEPS):
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        dealt = now.where(f"size > {SMALL_VALUE}" if step else "true").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(step)), blocks).cast("int"))
+        firsts = dealt.groupBy("band", "block").agg(F.min(F.struct("doc_id", "component")).alias("f"))
+        apart = dealt.join(firsts, ["band", "block"]).where(F.col("f.component") != F.col("component"))
+        ranked = F.array_sort(F.collect_set(F.struct(F.xxhash64("f.doc_id", "doc_id").alias("h"), F.col("f.doc_id").alias("id"))))
+        some = F.slice(ranked, 1, TRIES if step else 1)["id"] if step else F.array(F.min("f.doc_id"))
+        star = apart.groupBy(F.col("doc_id").alias("x")).agg(some.alias("ids")).select("x", F.explode("ids").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        more = confirmed(cut(likely(star.select("a", "b"), reps)), docs, width)
+        if step and not more.head(1):
+            break
+        edges = more if edges is None else edges.unionByName(more)
+        found = cut(connected_components(edges))
+        now = cut(shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    # what a band value still holds in several components
+    more = confirmed(cut(open_pairs(now.select("band", "doc_id", "component"), reps)), docs, width)
     if more.head(1):
         found = cut(connected_components(edges.unionByName(more)))
     whole = classes.join(found, classes["rep"] == found["id"], "left").select("key", F.coalesce("component", "rep").alias("component"))
