@@ -467,3 +467,20 @@ def test_pipeline(spark):
         before = after
     last = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir)
     assert last.count() == before.count() and last.where("n_tokens <> size(token_ids)").count() == 0
+
+
+def test_near_dedup_stage_takes_five_words(spark):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = {0: " ".join(base), 1: " ".join(base), 2: " ".join(["z", *base]), 3: " ".join(w if k % 20 else f"y{k}" for k, w in enumerate(base))}
+    texts |= {10 + k: " ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 9))) for k in range(40)}
+    runs = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, w in ((i, t.split()) for i, t in texts.items())}
+    top = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if i < j and 100 * len(runs[i] & runs[j]) >= 80 * len(runs[i] | runs[j]):
+                a, b = sorted((top[i], top[j]))
+                top = {k: a if t == b else t for k, t in top.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert top[3] == 3 and components_by_hand(texts)[3][1] == 0  # a copy at two words only
+    assert {r["doc_id"] for r in minhash.near_dedup_stage(spark, docs, "").collect()} == {i for i, t in top.items() if i == t}

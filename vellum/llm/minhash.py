@@ -1,6 +1,7 @@
 """Near-duplicates by HyperMinHash.
 
-Words are lower-cased (A-Z) runs of non-space; a document's set holds its distinct word pairs (``SHINGLE`` words).
+Words are lower-cased (A-Z) runs of non-space; a document's set holds its distinct word pairs (``SHINGLE`` words;
+in the pipeline's stage runs of ``STAGE_SHINGLE`` words).
 The hashes of a set fall into 256 buckets by their first 8 bits; a bucket's register is made from its least hash:
 the count of leading zeros and the next ``MANTISSA`` bits. An empty bucket borrows, for banding only, the register
 of the full bucket that a fixed random order puts first. 42 bands of 6 registers are hashed; two sets of
@@ -39,6 +40,7 @@ from .common import cut, slices, table
 from .components import connected_components
 
 SHINGLE, PERCENT = 2, 80
+STAGE_SHINGLE = 5
 BUCKETS, MANTISSA, WIDE, BANDS = 256, 10, 6, 42
 SIGMAS = 4.5
 BLOCK = 256
@@ -278,8 +280,8 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    dropped = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    """One document of each group of near-duplicates stays; its shingles have STAGE_SHINGLE words."""
+    dropped = near_duplicates(docs, STAGE_SHINGLE).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(dropped, docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
 
 
