@@ -13,6 +13,7 @@ from vellum.operators import pages as pg
 from vellum.operators import review as rv
 from vellum.operators import search as sc
 from vellum.plans import actions as ac
+from vellum.registry import QUERIES
 from vellum.sources import derived as dv
 from vellum.sources import files as fl
 from vellum.streaming import intake as st
@@ -181,3 +182,16 @@ def test_route(spark):
     rows = spark.createDataFrame([(1, "a@b.example", "t")], "event_id long, email string, title string")
     st.route(rows, ["email"], lambda d: private.append(d.columns), lambda d: public.append(d.columns))(rows, 0)
     assert (private, public) == ([["event_id", "email"]], [["event_id", "title"]])
+
+
+def test_glyph_queries_take_whole_lines(spark, tmp_path):
+    texts = {1: "ab cd" * 120 + "\n" + "x" * 450 + "\nshort", 2: "é 1 " * 90, 3: "", 4: None}
+    spark.createDataFrame(list(texts.items()), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(i, k, t) for i, text in texts.items() if text is not None for k, t in enumerate(text.split("\n")) if t]
+    rows = lambda name, *columns: sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*columns).collect())
+    assert rows("layout_lines", "doc_id", "text") == sorted((i, t) for i, _, t in lines)
+    assert rows("layout_words", "doc_id", "line_no", "words") == sorted((i, k, " ".join(t.split())) for i, k, t in lines)
+    assert rows("layout_redact", "doc_id", "n_left") == sorted((i, sum(len(t) - (len(t[10:30]) if k in (2, 3, 4) else 0) for j, k, t in lines if j == i)) for i in (1, 2))
+    assert sum(n for _, n in rows("layout_linked", "doc_id", "n")) == sum(len(t) for *_, t in lines)
+    assert rows("inventory_outside", "doc_id", "n_outside") == sorted((i, n) for i in (1, 2) if (n := sum(g * 6 + 3 > 612.5 or k * 12 + 5 > 200.5 for j, k, t in lines if j == i for g in range(len(t)))))
+    assert rows("layout_columns", "doc_id", "column", "n") == sorted((i, c, n) for i in (1, 2) for c in range(15) if (n := sum(len(t) > 40 * c for j, _, t in lines if j == i)))

@@ -123,7 +123,9 @@ m AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page ORDER BY x0, x1, line_no
 c AS (SELECT *, sum(CASE WHEN x0 > reach + 24 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY x0, x1, line_no ROWS UNBOUNDED PRECEDING) AS col FROM m)
 SELECT doc_id, page, col::BIGINT AS "column", count(*) AS n FROM c GROUP BY ALL""")
 def layout_columns(spark: SparkSession, d: str) -> DataFrame:
-    g = dv.glyphs(table(spark, d, "documents")).withColumn("seg", F.floor(F.col("glyph_no") / 40)).where("seg % 2 = 0")
+    """Every stretch of 40 glyphs is a box; a gap of 48 parts it from the one before."""
+    g = dv.glyphs(table(spark, d, "documents")).withColumn("seg", F.floor(F.col("glyph_no") / 40))
+    g = g.withColumns({x: F.col(x) + F.col("seg") * 48.0 for x in ("x0", "x1")})
     boxes = g.groupBy("doc_id", "page", "line_no", "seg").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
     return ly.x_clusters(boxes, 24.0).groupBy("doc_id", "page", "column").agg(F.count("*").alias("n"))
 

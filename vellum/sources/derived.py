@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LINES_A_PAGE = 20
-GLYPHS_A_LINE = 200
 
 
 def doc_lines(docs: DataFrame) -> DataFrame:
@@ -44,9 +43,8 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def glyphs(docs: DataFrame) -> DataFrame:
-    """doc_id, page, line_no, glyph_no, ch, x0, y0, x1, y1, size of the first GLYPHS_A_LINE letters of each line."""
-    chars = F.slice(F.split("text", ""), 1, GLYPHS_A_LINE)
-    rows = doc_lines(docs).where("text <> ''").select("doc_id", "line_no", F.posexplode(chars).alias("glyph_no", "ch"))
+    """doc_id, page, line_no, glyph_no, ch, x0, y0, x1, y1, size of every letter of each line."""
+    rows = doc_lines(docs).where("text <> ''").select("doc_id", "line_no", F.posexplode(F.split("text", "")).alias("glyph_no", "ch"))
     x0, y0 = F.col("glyph_no") * 6.0, (F.col("line_no") % LINES_A_PAGE) * 12.0
     return rows.where("ch <> ''").select("doc_id", F.floor(F.col("line_no") / LINES_A_PAGE).cast("int").alias("page"), "line_no", "glyph_no", "ch", x0.alias("x0"), y0.alias("y0"), (x0 + 6).alias("x1"), (y0 + 10).alias("y1"), F.lit(10.0).alias("size"))
 
