@@ -1,5 +1,6 @@
 """Literal cases, invariants, and operators that SQL cannot express, against plain Python."""
 
+import random
 import re
 
 import pytest
@@ -195,3 +196,27 @@ def test_glyph_queries_take_whole_lines(spark, tmp_path):
     assert sum(n for _, n in rows("layout_linked", "doc_id", "n")) == sum(len(t) for *_, t in lines)
     assert rows("inventory_outside", "doc_id", "n_outside") == sorted((i, n) for i in (1, 2) if (n := sum(g * 6 + 3 > 612.5 or k * 12 + 5 > 200.5 for j, k, t in lines if j == i for g in range(len(t)))))
     assert rows("layout_columns", "doc_id", "column", "n") == sorted((i, c, n) for i in (1, 2) for c in range(15) if (n := sum(len(t) > 40 * c for j, _, t in lines if j == i)))
+
+
+def test_word_diff_of_long_pairs(spark):
+    old = [f"w{k % 701}" for k in range(12_000)]
+    new = ["first", *old[1:6000], "x", "y", *old[6000:9000], *old[9001:11_990], "z", *old[11_991:]]
+    frame = lambda w: spark.createDataFrame([(1, w)], "doc_id long, words array<string>")
+    found = [tuple(r) for r in cp.word_diff(frame(old), frame(new)).orderBy("change_no").collect()]
+    assert found == [(1, 0, "replaced", old[0], "first"), (1, 1, "inserted", "", "x y"), (1, 2, "deleted", old[9000], ""), (1, 3, "replaced", old[11_990], "z")]
+
+
+def test_edit_runs_are_shortest():
+    rng = random.Random(2)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(14))] for _ in range(2))
+        runs, back, at = cp.edit_runs(a, b), [], 0
+        for i0, i1, j0, j1 in runs:
+            back += a[at:i0] + b[j0:j1]
+            at = i1
+        assert back + a[at:] == b
+        common = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                common[i + 1][j + 1] = common[i][j] + 1 if x == y else max(common[i][j + 1], common[i + 1][j])
+        assert sum(r[1] - r[0] + r[3] - r[2] for r in runs) == len(a) + len(b) - 2 * common[-1][-1]
