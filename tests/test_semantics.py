@@ -220,3 +220,9 @@ def test_edit_runs_are_shortest():
             for j, y in enumerate(b):
                 common[i + 1][j + 1] = common[i][j] + 1 if x == y else max(common[i][j + 1], common[i + 1][j])
         assert sum(r[1] - r[0] + r[3] - r[2] for r in runs) == len(a) + len(b) - 2 * common[-1][-1]
+
+
+def test_table_names_of_all_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "a | b | c | d | e\na | f | c | g | h\nno bars")], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["table_names"](spark, str(tmp_path)).select("table", "col", "name").orderBy("col").collect()
+    assert [tuple(r) for r in found] == [(1, 0, "a"), (1, 1, "b / f"), (1, 2, "c"), (1, 3, "d / g"), (1, 4, "e / h")]

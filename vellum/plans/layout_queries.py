@@ -182,7 +182,7 @@ def table_headers(spark: SparkSession, d: str) -> DataFrame:
 @query("table_names", CELLS + """, s AS (SELECT *, lag(text) OVER (PARTITION BY "table", col ORDER BY "row") AS before FROM cells WHERE col < 3)
 SELECT "table", col, coalesce(string_agg(text, ' / ' ORDER BY "row") FILTER (text <> '' AND text IS DISTINCT FROM before), '') AS name FROM s GROUP BY ALL""")
 def table_names(spark: SparkSession, d: str) -> DataFrame:
-    return ly.flatten_header(cells(spark, d).where("col < 3"))
+    return ly.flatten_header(cells(spark, d))
 
 
 @query("table_widths", CELLS + r""" SELECT "table", col, greatest(4, least(60, max(CASE WHEN regexp_matches(text, '^[-+]?[\d.,]+%?$') THEN length(text) ELSE least(list_max(list_transform(string_split(text, ' '), lambda w: length(w))), 40) END)))::INT AS width FROM cells GROUP BY ALL""")
