@@ -226,3 +226,14 @@ def test_table_names_of_all_columns(spark, tmp_path):
     spark.createDataFrame([(1, "a | b | c | d | e\na | f | c | g | h\nno bars")], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     found = QUERIES["table_names"](spark, str(tmp_path)).select("table", "col", "name").orderBy("col").collect()
     assert [tuple(r) for r in found] == [(1, 0, "a"), (1, 1, "b / f"), (1, 2, "c"), (1, 3, "d / g"), (1, 4, "e / h")]
+
+
+def test_blank_fields_of_long_documents(spark, tmp_path):
+    texts = {1: "\n".join("a b c" for _ in range(300)), 2: "\n".join("a " * (50 - k // 20) for k in range(900)), 3: "a b\nx"}
+    spark.createDataFrame(list(texts.items()), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r["doc_id"], r["box"]) for r in QUERIES["form_blank_fields"](spark, str(tmp_path)).collect()}
+    expected = set()
+    for i, text in texts.items():
+        words = {k: len(t.split()) for k, t in enumerate(text.split("\n")) if k % 2 == 0}
+        expected |= {(i, k) for k in sorted((k for k, n in words.items() if 1 <= n <= 51), key=lambda k: (words[k], k))[:200]}
+    assert found == expected and sum(i == 1 for i, _ in found) == 150

@@ -126,7 +126,7 @@ def table_merged_cells(spark: SparkSession, d: str) -> DataFrame:
 
 @query("form_blank_fields", B + """ SELECT doc_id, block_no AS box, CASE WHEN words BETWEEN 1 AND 2 THEN 'checkbox' ELSE 'text' END AS kind FROM blocks WHERE words BETWEEN 1 AND 51 AND block_no % 2 = 0 AND block_no < 200""")
 def form_blank_fields(spark: SparkSession, d: str) -> DataFrame:
-    b = blocks(spark, d).where("block_no < 200")
+    b = blocks(spark, d)
     y = F.col("block_no") * 20.0
     return iv.blank_fields(b.select("doc_id", F.col("block_no").alias("box"), F.lit(0.0).alias("x0"), y.alias("y0"), (F.col("words") * 7.0).alias("x1"), (y + 10).alias("y1"), (F.col("block_no") % 2 == 1).alias("occupied")))
 
