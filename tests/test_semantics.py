@@ -237,3 +237,11 @@ def test_blank_fields_of_long_documents(spark, tmp_path):
         words = {k: len(t.split()) for k, t in enumerate(text.split("\n")) if k % 2 == 0}
         expected |= {(i, k) for k in sorted((k for k, n in words.items() if 1 <= n <= 51), key=lambda k: (words[k], k))[:200]}
     assert found == expected and sum(i == 1 for i, _ in found) == 150
+
+
+def test_page_labels_of_all_documents(spark, tmp_path):
+    spark.createDataFrame([(k, "x") for k in range(80)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in QUERIES["fn_page_labels"](spark, str(tmp_path)).collect()}
+    assert sorted(found) == list(range(80))
+    assert [found[k]["roman_label"] for k in (8, 38, 39, 79)] == ["ix", "xxxix", "xl", "xl"]
+    assert (found[39]["n"], found[39]["decimal_label"], found[39]["letter_label"]) == (40, "A-40", "nn")

@@ -115,7 +115,7 @@ SELECT doc_id, doc_id % 40 + 1 AS n, 'A-' || (doc_id % 40 + 1) AS decimal_label,
 FROM documents WHERE doc_id % 40 < 39""")
 def fn_page_labels(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id") % 40 + 1
-    return table(spark, d, "documents").where("doc_id % 40 < 39").select("doc_id", n.alias("n"), fn.page_label(F.lit("D"), F.lit("A-"), n).alias("decimal_label"), fn.page_label(F.lit("a"), F.lit(""), n).alias("letter_label"), fn.page_label(F.lit("r"), F.lit(None), n).alias("roman_label"))
+    return table(spark, d, "documents").select("doc_id", n.alias("n"), fn.page_label(F.lit("D"), F.lit("A-"), n).alias("decimal_label"), fn.page_label(F.lit("a"), F.lit(""), n).alias("letter_label"), fn.page_label(F.lit("r"), F.lit(None), n).alias("roman_label"))
 
 
 @query("fn_json_values", """
