@@ -10,6 +10,7 @@ from vellum.functions import text as fn
 from vellum.operators import compare as cp
 from vellum.operators import forms as fm
 from vellum.operators import layout as ly
+from vellum.operators import navigation as nv
 from vellum.operators import pages as pg
 from vellum.operators import review as rv
 from vellum.operators import search as sc
@@ -245,3 +246,15 @@ def test_page_labels_of_all_documents(spark, tmp_path):
     assert sorted(found) == list(range(80))
     assert [found[k]["roman_label"] for k in (8, 38, 39, 79)] == ["ix", "xxxix", "xl", "xl"]
     assert (found[39]["n"], found[39]["decimal_label"], found[39]["letter_label"]) == (40, "A-40", "nn")
+
+
+def test_order_list_in_many_tasks(spark):
+    rows = spark.range(2000).select("id", (-F.col("id")).alias("o"))
+    listed = spark.createDataFrame([(7, 1), (1500, 0)], "id long, pos int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = nv.order_list(rows, "id", listed, "o").withColumn("task", F.spark_partition_id()).orderBy("place").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["id"] for r in found] == [1500, 7, *(k for k in range(1999, -1, -1) if k not in (7, 1500))]
+    assert [r["place"] for r in found] == list(range(2000)) and len({r["task"] for r in found}) > 1

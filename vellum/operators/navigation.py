@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .pages import global_numbers
 
 HREF = r'<a\s[^>]*href="([^"]*)"'
 MOST_DEPTH = 32
@@ -137,9 +138,8 @@ def recent(events: DataFrame, k: int, by: str = "user_id") -> DataFrame:
 
 def order_list(rows: DataFrame, key: str, listed: DataFrame, original: str) -> DataFrame:
     """rows with place: listed (key, pos) first in their order, the others after in the original order."""
-    both = rows.join(listed, key, "left")
-    w = Window.orderBy(F.coalesce("pos", F.lit((1 << 31) - 1)), original)
-    return both.withColumn("place", F.row_number().over(w) - 1).drop("pos")
+    both = rows.join(listed, key, "left").withColumn("pos", F.coalesce("pos", F.lit((1 << 31) - 1)))
+    return global_numbers(both, ["pos", original], 0).withColumn("place", F.col("number").cast("int")).drop("pos", "number")
 
 
 def title_of(html: Column, url: Column) -> Column:

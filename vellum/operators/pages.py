@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def parse_range(text: Column, n: Column | int) -> Column:
     """Pages (from 1) of a range such as "1-3,7"; null if an element is empty, no number, descending, out of range or out of order."""
@@ -73,8 +75,11 @@ def combine(rows: DataFrame, order: Column, into: Column) -> DataFrame:
 
 
 def global_numbers(rows: DataFrame, order: list[str], start: int = 1) -> DataFrame:
-    """Running numbers over all rows in order without a single task for all: range partitions, their counts, then numbers within."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """Running numbers over all rows in order without a single task for all: range partitions, their counts, then numbers within.
+
+    The partitions are cut, since bounds sampled again for the counts would differ.
+    """
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     shared = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = shared.groupBy("_part").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_before", F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).select("_part", "_before")
