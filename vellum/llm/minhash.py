@@ -8,22 +8,25 @@ of the full bucket that a fixed random order puts first. 42 bands of 6 registers
 similarity 0.8 miss each other in all bands with probability 3e-6.
 
 1. Documents with equal sets form a class; only its smallest doc_id goes on.
-2. A band value's members are dealt out in blocks; each document is paired with the smallest one of a block of its
-   values, after the first step with up to ``TRIES`` of these and only where a value has many members, each time in
-   other blocks, and only with documents of other components. Pairs whose collision-corrected
-   estimate lies within ``SIGMAS`` standard errors of the threshold, and that two bounds on sizes and registers
-   leave possible, are confirmed on the full sets; confirmed links give components. There are up to ``STAR_STEPS``
-   such steps.
-3. Band values whose members still lie in several components are compared member by member, in blocks, on
-   registers; pairs of different components that may reach the threshold are confirmed and join components.
-   So a component loses no link, while pairs within a component are not listed.
-
-Shuffled are band values, registers of candidates, and the sets of documents in candidate pairs.
+2. Each document is paired with one other: of the documents that share a band value with it, the one whose own band
+   values have the most members. Pairs whose collision-corrected estimate lies within ``SIGMAS`` standard errors of
+   the threshold, and that two bounds on sizes and registers leave possible, are confirmed on the full sets;
+   confirmed links give components. In a family of near copies nearly all link to its centre here.
+3. Documents of band values that still hold several components are open. Their band values are split further: two
+   sets that link share one of their rarest shingles, at places that the threshold bounds (rarest by a sketch of
+   shingle counts over the open documents; any order would be exact). Pairs of different components that meet so are
+   estimated and confirmed as in 2. A copy with too many changes to link has only rare shingles there and meets
+   nobody, so a family does not give all of its pairs.
+
+A component loses no link, while pairs within a component are not listed. Band values, shingles and centres of many
+members are split over tasks. Shuffled are band values, registers and sets of candidates, and the rarest shingles of
+open documents.
 
 Defined results. Null, empty or blank text: an empty set (n_shingles 0), linked with nothing, kept. Fewer words
 than SHINGLE: the whole sequence as one shingle. Null doc_id: component_id null, kept, linked with nothing.
-Repeated rows: the same class, so the same component; rows that share a doc_id count as one document and are
-all kept or all dropped. No rows: no rows. Extra columns are dropped by ``near_duplicates`` and kept by the stage.
+Repeated rows: the same class, so the same component. Rows that share a doc_id count as one document, which has the
+links of each of its texts; they are all kept or all dropped. No rows: no rows. Extra columns are dropped by
+``near_duplicates`` and kept by the stage; names cannot clash, since both read doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -35,18 +38,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, slices, table
+from .common import Scratch, slices, split_join, table
 from .components import connected_components
 
 SHINGLE, PERCENT = 2, 80
 STAGE_SHINGLE = 5
 BUCKETS, MANTISSA, WIDE, BANDS = 256, 10, 6, 42
 SIGMAS = 4.5
-BLOCK = 256
-STAR_STEPS, TRIES, SMALL_VALUE = 4, 6, 16
-#: Up to so many doc_ids (8 bytes each) are broadcast to pick the texts of candidates; more are joined by a shuffle.
-BROADCAST_IDS = 200_000
+#: A centre's register or set is sent once for so many of its pairs; members of a hot shingle are dealt in such parts.
+CHUNK, PART = 512, 4096
+#: Counters of the sketch that orders shingles, 4 bytes each.
+COUNTERS = 1 << 17
 KNOWN_WORDS = 300_000
 #: Two registers of different hashes agree with this probability: leading zeros (1/3) and mantissa.
 COLLISION = 1 / 3 / (1 << MANTISSA)
@@ -136,142 +140,223 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the whole set), regs, bands; docs has doc_id long and text."""
+    """doc_id, n_shingles, key (of the whole set) and regs, both null without shingles; docs has doc_id long and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
-            n, keys, regs, found = [], [], [], []
+            n, keys, regs = [], [], []
             for text in part.column(1).to_pylist():
                 h = shingles(text, width)
                 n.append(len(h))
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                regs.append(r := registers(h) if len(h) else np.zeros(BUCKETS, np.uint16))
-                found.append(bands(r).tolist() if len(h) else [])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "regs", "bands"])
+                regs.append(registers(h).tobytes() if len(h) else None)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "key", "regs"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, regs binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, regs binary")
+
+
+def representatives(known: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+    """One row of known (doc_id, n_shingles, key, regs) for each class: that of its smallest doc_id."""
+    several = classes.where("n > 1")
+    own = split_join(known, several, "key", "n", rows).where("doc_id = rep").groupBy("key", "doc_id", "n_shingles").agg(F.first("regs").alias("regs"))
+    names = ["doc_id", "n_shingles", "regs"]
+    alone = known.join(several.select("key"), "key", "left_anti")
+    return alone.select(names).unionByName(own.select(names))
+
+
+def banded(reps: DataFrame) -> DataFrame:
+    """band, doc_id: the band values of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256):
+            found = np.concatenate([bands(r) for r in rows_of(part.column(1).to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["band", "doc_id"])
+
+    return reps.select("doc_id", "regs").mapInArrow(run, "band long, doc_id long")
 
 
 def rows_of(regs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(regs), np.uint16).reshape(len(regs), BUCKETS)
 
 
-def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose registers leave the link possible."""
-    known = lambda side: sigs.select(F.col("doc_id").alias(side), F.col("regs").alias(f"r{side}"), F.col("n_shingles").alias(f"n{side}"))
-    both = pairs.join(known("a"), "a").join(known("b"), "b")
+def dealt(pairs: DataFrame, total: int) -> DataFrame:
+    """Pairs (centre, leaf) with a chunk, so that no centre has more than about CHUNK of them in one."""
+    sizes = pairs.groupBy("centre").agg(F.count("*").alias("n"))
+    return split_join(pairs, sizes, "centre", "n", total).select("centre", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("chunk"), "leaf")
+
+
+def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (centre, chunk, leaf) whose registers leave the link possible."""
+    of = lambda who, r, n: reps.select(F.col("doc_id").alias(who), F.col("regs").alias(r), F.col("n_shingles").alias(n))
+    both = pairs.join(of("leaf", "rl", "nl"), "leaf").join(pairs.select("centre", "chunk").distinct().join(of("centre", "rc", "nc"), "centre"), ["centre", "chunk"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 4096):
-            ok = may_link(*(rows_of(part.column(c).to_pylist()) for c in ("ra", "rb")), *(part.column(c).to_numpy() for c in ("na", "nb")))
-            yield part.select(["a", "b"]).filter(pa.array(ok))
+            ok = may_link(*(rows_of(part.column(c).to_pylist()) for c in ("rc", "rl")), *(part.column(c).to_numpy() for c in ("nc", "nl")))
+            yield part.select(["centre", "chunk", "leaf"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
+    return both.select("centre", "chunk", "leaf", "rc", "rl", "nc", "nl").mapInArrow(run, "centre long, chunk int, leaf long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) that link on their full sets; only the sets of these documents are made."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def sets_of(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """rows (doc_id and more) with items, the shingles of the document."""
+    names = [c for c in rows.columns if c != "doc_id"]
+    schema = T.StructType([rows.schema["doc_id"], *(rows.schema[c] for c in names), T.StructField("items", T.BinaryType())])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, width).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "items"])
+            before, items, out = None, b"", []
+            for text in part.column("text").to_pylist():
+                if text != before:  # the rows of one document follow each other
+                    before, items = text, shingles(text, width).tobytes()
+                out.append(items)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *names)), pa.array(out, pa.binary())], schema.names)
 
-    ids = cut(ids)
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    made = cut(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, items binary"))
-    both = pairs.join(made.select(F.col("doc_id").alias("b"), F.col("items").alias("sb")), "b").join(made.select(F.col("doc_id").alias("a"), F.col("items").alias("sa")), "a")
+    return docs.join(rows, "doc_id").select("doc_id", *names, "text").mapInArrow(run, schema)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) among pairs (centre, chunk, leaf), by their full sets; only the sets of these documents are made."""
+    leaves = sets_of(docs, pairs.withColumnRenamed("leaf", "doc_id"), width).withColumnRenamed("doc_id", "leaf")
+    centres = sets_of(docs, pairs.select(F.col("centre").alias("doc_id"), "chunk").distinct(), width).select(F.col("doc_id").alias("centre"), "chunk", F.col("items").alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):
-            ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist(), strict=True)]
+            ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(part.column("own").to_pylist(), part.column("items").to_pylist(), strict=True)]
             yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return cut(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct())
+    return leaves.join(centres, ["centre", "chunk"]).select(F.col("centre").alias("a"), F.col("leaf").alias("b"), "own", "items").mapInArrow(run, "a long, b long").distinct()
+
 
+def star(shared: DataFrame, total: int) -> DataFrame:
+    """Pairs (centre, leaf): each document with the one of most members in its band values, among those that share one."""
+    weight = shared.groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    centres = shared.join(weight, "doc_id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("less"))).alias("c"), F.max("size").alias("n"))
+    best = split_join(shared, centres, "band", "n", total).groupBy("doc_id").agg(F.max("c").alias("c"))
+    return best.select((-F.col("c.less")).alias("centre"), F.col("doc_id").alias("leaf")).where("centre <> leaf")
 
-def open_pairs(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs of different components within a band value that their registers leave possible.
 
-    members: band, doc_id, component. Of each band value that holds several components the largest one is not
-    compared with itself: its other members are dealt out in blocks, all members in blocks, and a pair of both kinds
-    meets in one pair of blocks.
+def open_documents(shared: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """doc_id, component of the documents whose band values hold several components; found: id, component."""
+    now = shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("n")).where("lo <> hi").select("band", "n")
+    return split_join(now, several, "band", "n", total).select("doc_id", "component").distinct()
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many of the sets' shingles fall on each of COUNTERS hash values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for part in slices(batches, 256):
+            every = np.frombuffer(b"".join(part.column("items").to_pylist()), np.uint64)
+            n += np.bincount((every % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+
+    found = sets.select("items").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found["at"]] = found["n"]
+    return np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
+
+
+def rarest(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """shingle, doc_id, component, size, place: the shingles by which a set can meet one that links with it.
+
+    In the order of counts, sets of sizes a and b that link share a shingle at places up to a - o and b - o, where
+    o = ceil(t / (1 + t) * (a + b)) is the overlap that they need; b >= t * a bounds the first by a - ceil(t * a).
     """
-    per = members.groupBy("band", "component").agg(F.count("*").alias("n"))
-    values = per.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
-    rows = members.join(values, "band")
-    left, right = F.ceil(F.col("others") / BLOCK).cast("int"), F.ceil(F.col("m") / BLOCK).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    others = rows.where("component <> main").select("band", own(left).alias("p"), every(right).alias("q"), F.lit(0).alias("side"), "doc_id", "component")
-    dealt = others.unionByName(rows.select("band", every(left).alias("p"), own(right).alias("q"), F.lit(1).alias("side"), "doc_id", "component"))
-    rows = dealt.join(sigs.select("doc_id", "regs", "n_shingles"), "doc_id").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "side")
-
-    def compare(group: list[tuple]) -> list[tuple[int, int]]:
-        ids, comps, regs, n = np.array([g[4] for g in group]), np.array([g[5] for g in group]), rows_of([g[6] for g in group]), np.array([g[7] for g in group])
-        middle = sum(not g[3] for g in group)
-        found = []
-        for k in range(middle):
-            rest = np.flatnonzero(comps[middle:] != comps[k]) + middle
-            if len(rest):
-                found += [(min(ids[k], ids[x]), max(ids[k], ids[x])) for x in rest[may_link(regs[k], regs[rest], n[k], n[rest])]]
-        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for part in slices(batches, 256):
+            found, n, place = [], [], []
+            for raw in part.column("items").to_pylist():
+                s = np.frombuffer(raw, np.uint64)
+                often = counts[(s % np.uint64(COUNTERS)).astype(np.int64)]
+                last = len(s) - -(-PERCENT * len(s) // 100) + 1
+                first = np.lexsort((s, often))[:last]
+                at = np.flatnonzero(often[first] > 1)  # a shingle counted once is in no other set
+                found.append(s[first[at]])
+                n.append(len(at))
+                place.append(at)
+            size = np.array([len(raw) // 8 for raw in part.column("items").to_pylist()])
+            cols = (np.concatenate(found).view(np.int64), *(np.repeat(part.column(c).to_numpy(), n) for c in ("doc_id", "component")), np.repeat(size, n), np.concatenate(place))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["shingle", "doc_id", "component", "size", "place"])
+
+    return sets.select("doc_id", "component", "items").mapInArrow(run, "shingle long, doc_id long, component long, size long, place long")
+
+
+def open_pairs(rare: DataFrame, total: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of rarest() at places where they may link.
+
+    Of a shingle's components the largest is not paired with itself: all of its members are met by those of the others.
+    Many members are dealt out in parts, to each of which the others come.
+    """
+    per = rare.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    several = per.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0").drop("others")
+    rows = split_join(rare, several, "shingle", "m", total)
+    parts = F.ceil(F.col("m") / PART).cast("int")
+    every = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).drop("main", "m")
+    others = rows.where("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("shingle", "part", *(F.col(c).alias(f"o_{c}") for c in ("doc_id", "component", "size", "place")))
+    need = F.ceil((F.col("size") + F.col("o_size")) * PERCENT / (100 + PERCENT) - 1e-9)
+    met = every.join(others, ["shingle", "part"]).where((F.col("component") != F.col("o_component")) & (F.col("place") <= F.col("size") - need) & (F.col("o_place") <= F.col("o_size") - need))
+    return met.select(F.least("doc_id", "o_doc_id").alias("a"), F.greatest("doc_id", "o_doc_id").alias("b")).where("a <> b").distinct()
+
+
+def oriented(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) as (centre, leaf): the one in more pairs is the centre."""
+    n = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).groupBy("x").agg(F.count("*").alias("n"))
+    both = pairs.join(n.select(F.col("x").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b")
+    return both.select(F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(F.col("na") >= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("leaf"))
+
+
+def ids_of_several_texts(sigs: DataFrame) -> DataFrame:
+    """doc_id of documents whose rows differ in text."""
+    h = F.xxhash64("key")
+    return sigs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("doc_id")
 
-        group: list[tuple] = []
-        for part in slices(batches, 4096):
-            pairs = []
-            for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    pairs += compare(group)
-                    group = []
-                group.append(row)
-            yield out(pairs)
-        if group:
-            yield out(compare(group))
 
-    return rows.select("band", "p", "q", "side", "doc_id", "component", "regs", "n_shingles").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+def shared_ids(known: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes of the documents ids."""
+    reps = known.select("doc_id", "key").join(ids, "doc_id").join(classes.select("key", "rep"), "key")
+    return reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """docs (doc_id long, text) -> doc_id, n_shingles, component_id, kept of every row."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    sigs = cut(signatures(docs, width))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    s = Scratch(docs.sparkSession)
+    sigs = s.save(signatures(docs, width))
     known = sigs.where("doc_id is not null and key is not null")
-    classes = cut(known.groupBy("key").agg(F.min("doc_id").alias("rep")))
-    reps = cut(known.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "regs", "bands"))
-    banded = reps.select(F.explode("bands").alias("band"), "doc_id")
-    values = cut(banded.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1"))
-    shared = cut(banded.join(values, "band"))
-    # every document against the smallest one of a block that shares a band value with it and is not yet in its component;
-    # after the first step only for values of many members, whose pairs are too many to list
-    edges = found = None
-    now = shared.withColumn("component", F.col("doc_id"))
-    for step in range(STAR_STEPS):
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = now.where(f"size > {SMALL_VALUE}" if step else "true").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(step)), blocks).cast("int"))
-        firsts = dealt.groupBy("band", "block").agg(F.min(F.struct("doc_id", "component")).alias("f"))
-        apart = dealt.join(firsts, ["band", "block"]).where(F.col("f.component") != F.col("component"))
-        ranked = F.array_sort(F.collect_set(F.struct(F.xxhash64("f.doc_id", "doc_id").alias("h"), F.col("f.doc_id").alias("id"))))
-        some = F.slice(ranked, 1, TRIES if step else 1)["id"] if step else F.array(F.min("f.doc_id"))
-        star = apart.groupBy(F.col("doc_id").alias("x")).agg(some.alias("ids")).select("x", F.explode("ids").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = confirmed(cut(likely(star.select("a", "b"), reps)), docs, width)
-        if step and not more.head(1):
-            break
-        edges = more if edges is None else edges.unionByName(more)
-        found = cut(connected_components(edges))
-        now = cut(shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-    # what a band value still holds in several components
-    more = confirmed(cut(open_pairs(now.select("band", "doc_id", "component"), reps)), docs, width)
-    if more.head(1):
-        found = cut(connected_components(edges.unionByName(more)))
-    whole = classes.join(found, classes["rep"] == found["id"], "left").select("key", F.coalesce("component", "rep").alias("component"))
-    return sigs.select("doc_id", "n_shingles", "key").join(whole, "key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("component", "doc_id"))).alias("kept"))
+    classes = s.save(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    rows = known.count()
+    ids = s.save(ids_of_several_texts(sigs))
+    reps = s.save(representatives(known, classes, rows))
+    every = banded(reps)
+    sizes = s.save(every.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = s.save(split_join(every, sizes, "band", "size", rows * BANDS))
+    total = shared.count()
+    # every document with the centre of its family
+    pairs = s.save(star(shared, total))
+    near = s.save(likely(dealt(pairs, pairs.count()), reps))
+    edges = s.save(confirmed(near, docs, width).unionByName(shared_ids(known, classes, ids)))
+    found = s.save(connected_components(edges))
+    # what shares a band value with another component
+    sets = s.save(sets_of(docs, open_documents(shared, found, total), width))
+    rare = s.save(rarest(sets, shingle_counts(sets)))
+    more = s.save(oriented(open_pairs(rare, rare.count())))
+    near_too = s.save(likely(dealt(more, more.count()), reps))
+    edges_too = s.save(confirmed(near_too, docs, width))
+    if edges_too.head(1):
+        found = s.save(connected_components(edges.unionByName(edges_too)))
+    s.free(reps, sizes, shared, pairs, near, edges, sets, rare, more, near_too, edges_too)
+    whole = classes.join(found, classes["rep"] == found["id"], "left").select("key", "n", F.coalesce("component", "rep").alias("component"))
+    own = sigs.select("doc_id", "n_shingles", "key")
+    full = split_join(own.where("key is not null"), whole, "key", "n", rows, "left").select("doc_id", "n_shingles", "component")
+    texts = known.select("doc_id", "key").join(ids, "doc_id").join(whole, "key").groupBy("doc_id").agg(F.min("component").alias("component"))
+    empty = own.where("key is null").join(texts, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component"))
+    return full.unionByName(empty).select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
