@@ -2,18 +2,23 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample (``FIT_ROWS`` vectors, those of the smallest
 hashes); every vector is indexed: its list, the codes of its residual in ``PARTS`` subspaces, and the length of what
-the codes leave out. Every distinct vector is also a query. It probes each list whose cell it may leave its own for
-within the radius R = sqrt(2 - 2 * cosine): the distance to the cells' bisector is at most ``REACH`` * R / sqrt(dim),
-where REACH standard deviations of a random direction are allowed for; there is no cap on the number of probes.
-Within a list, distances to the coded vectors come from lookup tables; a vector goes on to the exact cosine in
-double precision unless its table distance exceeds R by more than its own coding error, which loses no pair.
+the codes leave out. There are 2 * sqrt(n) lists (at most FIT_ROWS / 8; beyond some 4 million vectors lists grow
+instead, and with them the work per vector). Every distinct vector is also a query.
+
+Of two vectors within the radius R = sqrt(2 - 2 * cosine) in different cells, one lies within half of the pair's extent
+across the cells' bisector. So a vector probes each list whose bisector is at most ``REACH`` * R / sqrt(dim) / 2 away
+(REACH standard deviations of a random direction; no cap on the number of probes), and a pair that is met from one
+side only counts for both. Within a list, distances to the coded vectors come from lookup tables; a vector goes on to
+the exact cosine in double precision unless its table distance exceeds R by more than its own coding error, which
+loses no pair.
 
 Vectors that are equal bit by bit form a class and are searched once. Lists are dealt out in blocks of members and
-of queries. A block returns the number of links per query and edges that span its links, never all pairs.
+of queries. A block returns the number of links per vector and edges that span its links, never all pairs.
 
 Defined results. Null, zero or non-finite vectors, null components, and vectors whose length is not that of most
-rows: no links. Null vec_id: no links, component_id null, kept. Repeated rows: each is a vector of its own and
-links with the others. No rows: no rows. Extra columns are dropped.
+rows: no links. Null vec_id: linked and counted as any other; its component_id is the smallest vec_id of its component,
+null if that has none, and it is kept only then. Repeated rows, and rows that share a vec_id: each is a vector of its
+own and links with the others. No rows: no rows. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -27,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices, table, unit_hash
+from .common import Scratch, slices, split_join, table, unit_hash
 from .components import connected_components
 
 COSINE = 0.95
-FIT_ROWS, LIST_SIZE, MOST_LISTS = 32_768, 256, 2048
+FIT_ROWS = 32_768
 PARTS, CODES = 16, 256
 REACH = 4.0
 BLOCK = 1024
@@ -63,7 +68,7 @@ class Index:
         rest = sample - self.coarse[nearest(sample, self.coarse)]
         self.cuts = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int)
         self.books = [kmeans(rest[:, a:b], CODES, 6, 2) for a, b in zip(self.cuts, self.cuts[1:])]  # noqa: B905
-        self.apart = np.sqrt(np.maximum(((self.coarse[:, None, :] - self.coarse[None]) ** 2).sum(2), 0)) if len(self.coarse) <= 256 else None
+        self.apart = np.sqrt(np.maximum(((self.coarse[:, None, :] - self.coarse[None]) ** 2).sum(2), 0)) if len(self.coarse) <= 512 else None
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and coding error of each unit vector."""
@@ -79,7 +84,7 @@ class Index:
         d = np.maximum((c * c).sum(1)[None] - 2 * x @ c.T + 1, 0)
         own = d.argmin(1)
         apart = self.apart[own] if self.apart is not None else np.sqrt(np.maximum(((c[own] ** 2).sum(1))[:, None] + (c * c).sum(1)[None] - 2 * c[own] @ c.T, 0))
-        reach = radius * min(1.0, REACH / math.sqrt(x.shape[1]))
+        reach = radius * min(1.0, REACH / math.sqrt(x.shape[1])) / 2
         near = d - d[np.arange(len(x)), own][:, None] <= 2 * reach * apart + 1e-12
         return [np.flatnonzero(row) for row in near]
 
@@ -96,51 +101,73 @@ class Index:
 
 def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(1)[:, None]  # squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+INDEXED = "id long, vec binary, n long, list int, codes binary, err double, probes array<int>"
+
+
 def search(rows: DataFrame, index: Index, kind: str, cosine: float) -> DataFrame:
-    """rows (list, mb, vb, side, id, vec, n, codes, err), blocks sorted with members first -> q, n (links, if x is null) or edges q, x."""
+    """Blocks of rows (list, mb, vb, side, and INDEXED), members first -> q, n (links, if x is null) or edges q, x."""
     radius = math.sqrt(2 - 2 * cosine)
 
+    def compare(at: int, members: list[tuple], queries: list[tuple]) -> pa.RecordBatch:
+        ids, n = np.array([m[0] for m in members]), np.array([m[2] for m in members])
+        x, codes, err = unit_rows([m[1] for m in members], kind), np.frombuffer(b"".join(m[4] for m in members), np.uint8).reshape(len(members), -1), np.array([m[5] for m in members])
+        who, where = np.repeat(np.arange(len(members)), [len(m[6]) for m in members]), np.concatenate([m[6] for m in members])
+        group = np.arange(len(ids))
+        mirrored = np.zeros(len(ids), np.int64)
+        out: list[tuple[int, int | None, int]] = []
+        for k in range(0, len(queries), 512):
+            part = queries[k : k + 512]
+            q = unit_rows([p[1] for p in part], kind)
+            may = index.table_distances(q, at, codes) <= radius + err[None] + 1e-9
+            for r in np.flatnonzero(may.any(1)):
+                near = np.flatnonzero(may[r])
+                near = near[(x[near] @ q[r] >= cosine) & (ids[near] != part[r][0])]
+                if not len(near):
+                    continue
+                out.append((part[r][0], None, int(n[near].sum())))
+                if part[r][3] != at:  # members that do not probe the query's list do not meet it there
+                    back = np.zeros(len(ids), bool)
+                    back[who[where == part[r][3]]] = True
+                    mirrored[near[~back[near]]] += part[r][2]
+                kinds, first = np.unique(group[near], return_index=True)
+                out += [(part[r][0], int(ids[near[f]]), 0) for f in first]
+                if len(kinds) > 1:
+                    group[np.isin(group, kinds)] = kinds[0]
+        out += [(int(ids[m]), None, int(mirrored[m])) for m in np.flatnonzero(mirrored)]
+        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["q", "x", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, members, queries = None, [], []
-
-        def found() -> pa.RecordBatch:
-            out: list[tuple[int, int | None, int]] = []
-            if members and queries:
-                ids, n = np.array([m[0] for m in members]), np.array([m[2] for m in members])
-                x, codes, err = unit_rows([m[1] for m in members], kind), np.frombuffer(b"".join(m[3] for m in members), np.uint8).reshape(len(members), -1), np.array([m[4] for m in members])
-                group = np.arange(len(ids))
-                for k in range(0, len(queries), 512):
-                    part = queries[k : k + 512]
-                    q = unit_rows([p[1] for p in part], kind)
-                    may = index.table_distances(q, block[0], codes) <= radius + err[None] + 1e-9
-                    for r in np.flatnonzero(may.any(1)):
-                        near = np.flatnonzero(may[r])
-                        near = near[(x[near] @ q[r] >= cosine) & (ids[near] != part[r][0])]
-                        if not len(near):
-                            continue
-                        out.append((part[r][0], None, int(n[near].sum())))
-                        kinds, first = np.unique(group[near], return_index=True)
-                        out += [(part[r][0], int(ids[near[f]]), 0) for f in first]
-                        if len(kinds) > 1:
-                            group[np.isin(group, kinds)] = kinds[0]
-            return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["q", "x", "n"])
-
         for part in slices(batches, 2048):
             for at, mb, vb, side, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if block != (at, mb, vb):
-                    if queries:
-                        yield found()
+                    if members and queries:
+                        yield compare(block[0], members, queries)
                     block, members, queries = (at, mb, vb), [], []
                 (queries if side else members).append(row)
-        if queries:
-            yield found()
+        if members and queries:
+            yield compare(block[0], members, queries)
 
     return rows.mapInArrow(run, "q long, x long, n long")
 
 
+def dealt(known: DataFrame) -> DataFrame:
+    """Members and queries of each list in blocks of about BLOCK of either: list, mb, vb, side and INDEXED."""
+    visits = known.select("id", "vec", "n", F.col("list").alias("own"), F.explode("probes").alias("list"))
+    of = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    blocks = lambda rows, name: rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    both = F.broadcast(blocks(known, "m").join(blocks(visits, "v"), "list"))  # a row a list
+    members = known.join(both, "list").select("list", of(F.col("m")).alias("mb"), every(F.col("v")).alias("vb"), F.lit(0).alias("side"), "id", "vec", "n", F.lit(None).cast("int").alias("own"), "codes", "err", "probes")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("codes", "binary"), ("err", "double"), ("probes", "array<int>"))]
+    queries = visits.join(both, "list").select("list", every(F.col("m")).alias("mb"), of(F.col("v")).alias("vb"), F.lit(1).alias("side"), "id", "vec", "n", "own", *none)
+    return members.unionByName(queries).repartition("list", "mb", "vb").sortWithinPartitions("list", "mb", "vb", "side")
+
+
 def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     kind = "<f4" if isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType) else "<f8"
@@ -156,17 +183,16 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
                     out.append(None)
                     continue
                 x = v.values.to_numpy(zero_copy_only=False)
-                norm = np.linalg.norm(x.astype(np.float64))
-                out.append(x.astype(kind).tobytes() if 0 < norm < np.inf else None)
+                out.append(x.astype(kind).tobytes() if np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
-    rows = cut(rows.mapInArrow(valid, "vec_id long, vec binary"))
-    classes = cut(rows.where("vec is not null and vec_id is not null").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    s = Scratch(vectors.sparkSession)
+    rows = s.save(rows.mapInArrow(valid, "vec_id long, vec binary"))
+    classes = s.save(rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
     total = classes.count()
-    links = edges = None
     if total:
         sample = unit_rows([r[0] for r in classes.where(unit_hash("vec") <= min(1.0, 2 * FIT_ROWS / total)).orderBy(F.xxhash64("vec"), "vec").limit(FIT_ROWS).select("vec").collect()], kind)
-        index = Index(sample, max(1, min(MOST_LISTS, math.ceil(total / LIST_SIZE))))
+        index = Index(sample, max(1, min(FIT_ROWS // 8, math.ceil(2 * math.sqrt(total)))))
         radius = math.sqrt(2 - 2 * cosine)
 
         def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,30 +200,23 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
                 x = unit_rows(part.column("vec").to_pylist(), kind)
                 at, codes, err = index.encode(x)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("rep", "vec", "n")), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), pa.array([p.tolist() for p in index.probes(x, radius)], pa.list_(pa.int32()))],
-                    ["id", "vec", "n", "list", "codes", "err", "probes"])
-
-        known = cut(classes.select("rep", "vec", "n").mapInArrow(indexed, "id long, vec binary, n long, list int, codes binary, err double, probes array<int>"))
-        visits = known.select("id", "vec", F.explode("probes").alias("list"))
-        sizes = {r[0]: r[1] for r in known.groupBy("list").count().collect()}
-        visitors = {r[0]: r[1] for r in visits.groupBy("list").count().collect()}
-        blocks = lambda counts: F.element_at(F.array(*(F.lit(max(1, math.ceil(counts.get(k, 0) / BLOCK))) for k in range(len(index.coarse)))), F.col("list") + 1)
-        mb, vb = blocks(sizes), blocks(visitors)
-        of = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        members = known.select("list", of(mb).alias("mb"), every(vb).alias("vb"), F.lit(0).alias("side"), "id", "vec", "n", "codes", "err")
-        queries = visits.select("list", every(mb).alias("mb"), of(vb).alias("vb"), F.lit(1).alias("side"), "id", "vec", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("err"))
-        dealt = members.unionByName(queries).repartition("list", "mb", "vb").sortWithinPartitions("list", "mb", "vb", "side")
-        found = cut(search(dealt, index, kind, cosine))
-        links = found.where("x is null").groupBy(F.col("q").alias("rep")).agg(F.sum("n").alias("more"))
-        edges = connected_components(found.where("x is not null").select(F.col("q").alias("a"), F.col("x").alias("b")))
-        classes = classes.join(links, "rep", "left").join(edges.withColumnRenamed("id", "rep"), "rep", "left")
+                    [*(part.column(c) for c in ("id", "vec", "n")), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), pa.array([p.tolist() for p in index.probes(x, radius)], pa.list_(pa.int32()))],
+                    [c.split()[0] for c in INDEXED.split(", ")])
+
+        known = s.save(classes.select("id", "vec", "n").mapInArrow(indexed, INDEXED))
+        found = s.save(search(dealt(known).select("list", "mb", "vb", "side", "id", "vec", "n", "own", "codes", "err", "probes"), index, kind, cosine))
+        links = found.where("x is null").groupBy(F.col("q").alias("id")).agg(F.sum("n").alias("more"))
+        parts = s.save(connected_components(found.where("x is not null").select(F.col("q").alias("a"), F.col("x").alias("b"))))
+        labelled = s.save(classes.join(links, "id", "left").join(parts, "id", "left"))
+        least = labelled.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("m"))
+        alone = labelled.where("component is null").select("vec", "n", F.coalesce("more", F.lit(0)).alias("more"), F.col("rep").alias("least"))
+        classes = split_join(labelled.where("component is not null"), least, "component", "m", total).select("vec", "n", F.coalesce("more", F.lit(0)).alias("more"), "least").unionByName(alone)
     else:
-        classes = classes.withColumns({"more": F.lit(0).cast("long"), "component": F.lit(None).cast("long")})
-    whole = classes.select("vec", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    found = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    linked = F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
-    return rows.join(whole, "vec", "left").select("vec_id", linked.cast("long").alias("n_links"), found.alias("component_id"), (F.col("vec_id").isNull() | (F.col("vec_id") == found)).alias("kept"))
+        classes = classes.select("vec", "n", F.lit(0).alias("more"), F.col("rep").alias("least"))
+    whole = classes.select("vec", "n", (F.col("n") - 1 + F.col("more")).alias("n_links"), F.col("least").alias("component_id"))
+    good = split_join(rows.where("vec is not null"), whole, "vec", "n", rows.count()).select("vec_id", "n_links", "component_id")
+    bad = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return good.unionByName(bad).withColumns({"n_links": F.col("n_links").cast("long"), "kept": F.col("component_id").isNull() | F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))})
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
