@@ -265,6 +265,22 @@ def test_lines_by_hand(spark):
         assert (r["text"], r["n_deleted"]) == ("\n".join(kept), len(gone[r["doc_id"]]))
 
 
+def test_lines_of_repeated_rows(spark):
+    text = "\n".join(["a b c", "d e f", "g h i", "j k l", "m n o"])
+    rows = [(1, text), (2, text), (2, text), (3, "other"), (3, "other"), (None, text + "\nz"), (4, None), (4, None)]
+    found = lines.without_later_copies(spark.createDataFrame([(*r, "clash", 7, "clash") for r in rows], "doc_id long, text string, deleted string, n_lines long, d string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_lines"], r["n_deleted"], r["deleted"], r["d"]) for r in found if r["doc_id"] != 4) == sorted(
+        [(0, text + "\nz", 6, 0, "clash", "clash"), (1, "", 5, 5, "clash", "clash"), (2, "", 5, 5, "clash", "clash"), (2, "", 5, 5, "clash", "clash"), (3, "other", 1, 0, "clash", "clash"), (3, "other", 1, 0, "clash", "clash")])
+    assert [(r["text"], r["n_lines"]) for r in found if r["doc_id"] == 4] == [(None, 0)] * 2
+
+
+def test_lines_of_a_long_repeated_run(spark):
+    run = [f"line {k}" for k in range(400)]
+    docs = {1: "\n".join(run), 2: "\n".join(["x", *run[50:350], "y"]), 3: "\n".join(["line 7"] * 9), 4: "\n".join(["line 7"] * 9)}
+    found = {r["doc_id"]: (r["text"], r["n_deleted"]) for r in lines.without_later_copies(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert found == {1: (docs[1], 0), 2: ("x\ny", 300), 3: ("line 7", 8), 4: ("", 9)}
+
+
 def test_lines_odd(odd, none):
     found = lines.without_later_copies(odd).collect()
     assert len(found) == odd.count()
@@ -279,9 +295,10 @@ def test_lines_odd(odd, none):
 def test_embeddings_by_hand(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 16))
-    x = np.concatenate([x, x[:60] + rng.normal(scale=0.12, size=(60, 16)), x[:20], x[:5] * 3]).astype(np.float32)
-    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
-    odd = [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [None] + [1.0] * 15, 0), (904, [1.0], 0), (905, [], 0), (None, x[0].tolist(), 0), (906, [float("inf")] + [1.0] * 15, 0)]
+    x = np.concatenate([x, x[:60] + rng.normal(scale=0.12, size=(60, 16)), x[:20], x[:5] * 3, x[:1]]).astype(np.float32)
+    ids = [*range(len(x) - 1), None]  # the last row is a vector as any other, without an id
+    rows = [(i, v.tolist(), 0) for i, v in zip(ids, x, strict=True)]
+    odd = [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [None] + [1.0] * 15, 0), (904, [1.0], 0), (905, [], 0), (906, [float("inf")] + [1.0] * 15, 0)]
     found = embeddings.embedding_duplicates(spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<float>, n long")).collect()
     assert len(found) == len(rows) + len(odd)
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
@@ -293,10 +310,33 @@ def test_embeddings_by_hand(spark):
             break
         label = new
     for r in found:
-        if r["vec_id"] is None or r["vec_id"] >= 900:
+        if r["vec_id"] is not None and r["vec_id"] >= 900:
             assert r["n_links"] == 0 and r["kept"] and r["component_id"] == r["vec_id"]
         else:
-            assert (r["n_links"], r["component_id"]) == (near[r["vec_id"]].sum() - 1, label[r["vec_id"]])
+            k = len(x) - 1 if r["vec_id"] is None else r["vec_id"]
+            assert (r["n_links"], r["component_id"], r["kept"]) == (near[k].sum() - 1, label[k], r["vec_id"] == label[k])
+
+
+def test_embeddings_of_great_and_small_length(spark):
+    big, small = [1e200, 2e200], [1e-200, 2e-200]
+    found = embeddings.embedding_duplicates(spark.createDataFrame([(1, big), (2, small), (3, [1.0, 2.0]), (3, [2.0, 1.0]), (None, [-5.0, 1.0])], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in found) == [(0, 0, 0, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (3, 2, 1, False)]
+
+
+@pytest.mark.parametrize("n", [20_000])
+def test_embeddings_recall(spark, n):
+    """Measured against all pairs, at borderline cosines and a size with many lists."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n // 2, 64))
+    y = x + rng.normal(size=x.shape) * rng.uniform(0.05, 0.4, len(x))[:, None]
+    x = np.concatenate([x, y]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))}))
+    found = embeddings.embedding_duplicates(df).toPandas().set_index("vec_id").loc[np.arange(n)]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    degree = np.concatenate([(u[k : k + 1000] @ u.T >= embeddings.COSINE).sum(1) - 1 for k in range(0, n, 1000)])
+    assert (found["n_links"].to_numpy() <= degree).all()
+    recall = found["n_links"].sum() / degree.sum()
+    assert degree.sum() > n / 4 and recall >= 0.999
 
 
 def test_embeddings_of_nothing(spark):

@@ -64,14 +64,14 @@ class Scratch:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def split_join(rows: DataFrame, known: DataFrame, on: str, size: str, total: int, how: str = "inner") -> DataFrame:
+def split_join(rows: DataFrame, known: DataFrame, on: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with known (one row a key; column size: the key's count of rows, total in all).
 
     Hot keys are joined by a broadcast, which their number bounds, so that no task receives all rows of one.
     """
     limit = max(LEAST_HOT, total // MOST_HOT)
     hot = F.broadcast(known.where(F.col(size) > limit))
-    cold = rows.join(hot.select(on), on, "left_anti").join(known.where(F.col(size) <= limit), on, how)
+    cold = rows.join(hot.select(*([on] if isinstance(on, str) else on)), on, "left_anti").join(known.where(F.col(size) <= limit), on, how)
     return rows.join(hot, on).unionByName(cold)
 
 

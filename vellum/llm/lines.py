@@ -1,20 +1,24 @@
-"""Line dedup: repeated runs of lines, found by prefix doubling; their later copies are deleted.
+"""Line dedup: repeated runs of lines, found by a suffix array; their later copies are deleted.
 
-A text is the sequence of the ids (64-bit hashes) of its lines that hold a word; blank lines are passed over and
-stay. A run is a stretch of such lines in one document with ``MIN_WORDS`` words or more. A line is deleted if it
-lies in a run that also occurs earlier, by (doc_id, line).
+A text is the sequence of the ids of its lines that hold a word; blank lines are passed over and stay. A run is a
+stretch of such lines in one document with ``MIN_WORDS`` words or more. A line is deleted if it lies in a run that
+also occurs earlier, by (doc_id, line).
 
-Only lines that occur at least twice can lie in such a run, so all others are left out first. Prefix doubling
-ranks the suffixes by their first 2, 4, 8 ... lines: the rank of 2n lines is the place, in sorted order, of the pair of
-the ranks of n lines here and n lines on. Pairs are counted before they are sorted, and a pair that occurs once
-gets no rank. A shortest run that reaches MIN_WORDS has at most MIN_WORDS lines, which bounds the number of rounds;
-it is identified by two overlapping ranks and its length. Suffixes that agree in it form an interval of the suffix
-array with at least that longest common prefix; all of its members but the first by position are later copies.
-Any longer repeated run is the union of the shortest ones that start and end in it.
+Only lines that occur at least twice can lie in such a run, so all others are left out first; a line's rank is its
+place among the sorted 128-bit hashes of these. Prefix doubling ranks the suffixes by their first 2, 4, 8 ... lines:
+the rank of 2n lines is the place, in sorted order, of the pair of the ranks of n lines here and n lines on. Pairs are
+counted before they are sorted, and a pair that occurs once gets no rank. A shortest run that reaches MIN_WORDS has at
+most MIN_WORDS lines: further doubling could not change what is deleted, so it ends there. Such a run is identified
+by two overlapping ranks and its length. Suffixes that agree in it form an interval of the suffix array with at least
+that longest common prefix; all of its members but the first by position are later copies. Any longer repeated run is
+the union of the shortest ones that start and end in it, so deleted stretches are the maximal repeated runs.
+
+Hot lines and runs are joined apart from the others (``split_join``), so none lands in one task.
 
 Defined results. Null text: stays null, no lines. Empty text: stays. Null doc_id: before all others. Rows equal in
-doc_id and text: one document, with the same result for each row. Ties cannot occur beyond that. No rows: no rows.
-Extra columns are kept by ``without_later_copies`` and dropped by the query.
+doc_id and text: one document, with the same result for each row. Rows equal in doc_id alone: documents of their own,
+ordered by a hash of their texts. No rows: no rows. Extra columns are kept by ``without_later_copies``, where columns
+named n_lines or n_deleted give way to the results, and dropped by the query.
 """
 
 from __future__ import annotations
@@ -24,43 +28,49 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import Scratch, split_join, table
 
 MIN_WORDS = 10
-OWN = ("_d", "_h")
+OWN = ("d", "h")
+
+
+def place(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with the document's place in the order and a hash of its text."""
-    return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64("text")})
+def documents(docs: DataFrame, s: Scratch) -> DataFrame:
+    """d, h (place in the order, hash of the text) and text of every document; repeated rows once."""
+    rows = docs.where("text is not null").select(place(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("h"), "text")
+    again = s.save(rows.groupBy(*OWN).agg(F.count("*").alias("n")).where("n > 1").select(*OWN))
+    several = rows.join(again, list(OWN), "left_semi").groupBy(*OWN).agg(F.first("text").alias("text"))
+    return rows.join(again, list(OWN), "left_anti").unionByName(several)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """_d, _h, k (place among lines with a word), line (place among all), words, r0 (id) of every line with a word."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.regexp_count(x, F.lit("[^ \\t-\\r]+")).alias("words"), F.xxhash64(x).alias("r0")))
-    return docs.select(*OWN, F.posexplode(F.filter(lines, lambda x: x["words"] > 0)).alias("k", "x")).select(*OWN, "k", "x.line", "x.words", "x.r0")
+    """d, h, k (place among lines with a word), line (place among all), words, x and y (hashes) of every line with a word."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.regexp_count(x, F.lit("[^ \\t-\\r]+")).alias("words"), F.xxhash64(x).alias("x"), F.xxhash64(F.lit(1), x).alias("y")))
+    return docs.select(*OWN, F.posexplode(F.filter(lines, lambda x: x["words"] > 0)).alias("k", "z")).select(*OWN, "k", "z.line", "z.words", "z.x", "z.y")
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose line occurs at least twice."""
-    often = rows.groupBy("r0").agg(F.count("*").alias("n")).where("n > 1").select("r0")
-    return rows.join(often, "r0", "left_semi")
+def ranked(rows: DataFrame, by: list[str], name: str, total: int, s: Scratch) -> DataFrame:
+    """rows that share their values of by, with the place of these in sorted order."""
+    often = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").orderBy(*by).withColumn(name, F.monotonically_increasing_id())
+    return split_join(rows, s.save(often), by, "n", total).drop(*by, "n")
 
 
-def doubled(rows: DataFrame, level: int) -> DataFrame:
+def doubled(rows: DataFrame, level: int, total: int, s: Scratch) -> DataFrame:
     """rows with the rank r<level> of the 2^level lines from each on, null where they occur once or pass a gap."""
     step, was, now = 1 << (level - 1), f"r{level - 1}", f"r{level}"
     order = Window.partitionBy(*OWN).orderBy("k")
-    paired = rows.withColumns({"_a": F.col(was), "_b": F.when(F.lead("k", step).over(order) == F.col("k") + step, F.lead(was, step).over(order))})
-    whole = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    paired = cut(paired)
-    ranks = paired.where(whole).groupBy("_a", "_b").agg(F.count("*").alias("n")).where("n > 1").orderBy("_a", "_b").select("_a", "_b", F.monotonically_increasing_id().alias(now))
-    ranked = paired.where(whole).join(cut(ranks), ["_a", "_b"], "left").drop("_a", "_b")
-    return cut(ranked.unionByName(paired.where(~whole).drop("_a", "_b").withColumn(now, F.lit(None).cast("long"))))
+    paired = s.save(rows.withColumns({"a": F.col(was), "b": F.when(F.lead("k", step).over(order) == F.col("k") + step, F.lead(was, step).over(order))}))
+    whole = paired.where("a is not null and b is not null")
+    known = s.save(whole.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").orderBy("a", "b").withColumn(now, F.monotonically_increasing_id()))
+    found = split_join(whole, known, ["a", "b"], "n", total, "left").drop("a", "b", "n")
+    return s.save(found.unionByName(paired.where("a is null or b is null").drop("a", "b").withColumn(now, F.lit(None).cast("long"))))
 
 
 def shortest_runs(rows: DataFrame, levels: int, min_words: int) -> DataFrame:
-    """_d, _h, k, n (lines), lines (their places), a, b (ranks) of the shortest runs that start at a line or end at one."""
+    """d, h, k, n (lines), lines (their places), a, b (ranks) of the shortest runs that start at a line or end at one."""
     order = Window.partitionBy(*OWN).orderBy("k")
     item = F.struct("k", "line", "words", *(f"r{j}" for j in range(levels + 1)))
 
@@ -89,27 +99,33 @@ def shortest_runs(rows: DataFrame, levels: int, min_words: int) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_d, _h, deleted (places of the lines to delete) of every document with any."""
-    rows = cut(repeated(line_rows(docs)))
+    """d, h, deleted (places of the lines to delete) of every document with any."""
+    s = Scratch(docs.sparkSession)
+    every = line_rows(documents(docs, s))
+    total = every.count()
+    rows = s.save(ranked(every, ["x", "y"], "r0", total, s))
     levels = int(math.log2(max(min_words, 1)))
     for level in range(1, levels + 1):
-        rows = doubled(rows, level)
-    runs = cut(shortest_runs(rows, levels, min_words))
-    first = runs.groupBy("n", "a", "b").agg(F.min(F.struct(*OWN, "k")).alias("first"), F.count("*").alias("many")).where("many > 1").select("n", "a", "b", "first")
-    later = runs.join(first, ["n", "a", "b"]).where(F.struct(*OWN, "k") > F.col("first"))
-    return cut(later.select(*OWN, F.explode("lines").alias("line")).groupBy(*OWN).agg(F.collect_set("line").alias("deleted")))
+        before, rows = rows, doubled(rows, level, total, s)
+        s.free(before)
+    runs = s.save(shortest_runs(rows, levels, min_words))
+    first = s.save(runs.groupBy("n", "a", "b").agg(F.min(F.struct(*OWN, "k")).alias("first"), F.count("*").alias("many")).where("many > 1"))
+    later = split_join(runs, first, ["n", "a", "b"], "many", total).where(F.struct(*OWN, "k") > F.col("first"))
+    found = s.save(later.select(*OWN, F.explode("lines").alias("line")).groupBy(*OWN).agg(F.collect_set("line").alias("deleted")))
+    s.free(rows, runs, first)
+    return found
 
 
 def without_later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later copies taken out of text, and n_lines and n_deleted."""
-    own = keyed(docs)
-    gone = later_copies(own.select("text", *OWN), min_words)
+    gone = later_copies(docs.select("doc_id", F.col("text").cast("string").alias("text")), min_words)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), place(F.col("doc_id")).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"))
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_deleted", i)), "\n")
-    found = own.join(gone.withColumnRenamed("deleted", "_deleted"), list(OWN), "left")
-    counts = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_deleted": F.coalesce(F.array_size("_deleted"), F.lit(0)).cast("long")}
-    found = found.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(counts["n_lines"]).cast("long"), "n_deleted": counts["n_deleted"]})
-    return found.withColumn("text", F.when(F.col("_deleted").isNull(), F.col("text")).otherwise(kept)).select(*(c for c in docs.columns if c not in counts), *counts)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("deleted", i)), "\n")
+    found = rows.join(gone, list(OWN), "left")
+    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_deleted": F.coalesce(F.array_size("deleted"), F.lit(0)).cast("long")}
+    text = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(kept)
+    return found.select(*(text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in counts), *(c.alias(n) for n, c in counts.items()))
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +134,11 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs go; a document of which no word is left goes with them."""
-    found = without_later_copies(docs.withColumnRenamed("n_chars", "_n_chars")).where(~((F.col("n_deleted") > 0) & ~F.col("text").rlike("[^ \\t-\\r]")))
-    return found.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("_n_chars"))).select(*docs.columns)
+    """Later copies of repeated runs go, and n_chars follows; a document of which no word is left goes with them."""
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    found = without_later_copies(packed).where(~((F.col("n_deleted") > 0) & ~F.col("text").rlike("[^ \\t-\\r]")))
+    n_chars = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None
+    return found.select(*(F.col("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 OP5_SQL = r"""
