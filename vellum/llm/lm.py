@@ -9,7 +9,8 @@ Counts are exact and cover all training documents. Documents are packed into chu
 tokens, each with its own word list. A chunk sends its distinct words and word pairs (64-bit hashes) with their
 counts to the groups of a hash range, a row per chunk and range, so a common word comes once from a chunk; the group
 adds them up and replies with the totals in the order asked. So tokens themselves are never shuffled one by one.
-The number of ranges grows with the tokens; a group's size does not.
+The number of ranges grows with the tokens; a group's size does not. A chunk has no more rows than distinct keys, so
+rows grow at most as the tokens.
 
 Defined results. Null or empty text: only the end token. Null doc_id: training, its scores under a null doc_id.
 Repeated rows: each counts and is scored. No training documents: N and V are 0, every word is unknown. No tuning
@@ -30,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import Scratch, slices, table
 from .minhash import mixed
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 CHUNK_TOKENS, RANGE_TOKENS = 1_000_000, 500_000
+#: Groups of a hash range, and chunks, that one task takes; the number of tasks grows with the tokens.
+RANGES_A_TASK, CHUNKS_A_TASK = 8, 2
 BUCKETS, STEPS, EM_ROUNDS = 24, 4, 60
 END = b"\n"  # no word holds a line end
 
@@ -138,7 +141,7 @@ def requests(chunks: DataFrame, bits: int) -> DataFrame:
         for part in slices(batches, 1):
             row = part.to_pylist()[0]
             c = Chunk(row)
-            train, tune = c.counts(c.folds != HELD_OUT), c.counts(c.folds == TUNING)
+            train, tune = c.counts(c.folds != HELD_OUT), c.counts(c.folds == TUNING) if row["tuning"] else None
             out = []
             for kind, keys in enumerate((c.words[c.order], c.pairs)):
                 ends = np.searchsorted(keys, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.uint64))
@@ -146,7 +149,7 @@ def requests(chunks: DataFrame, bits: int) -> DataFrame:
                 for p, (a, b) in enumerate(zip(at, at[1:])):  # noqa: B905
                     if a < b:
                         raw, width = packed_keys(keys[a:b])
-                        out.append((row["chunk"], kind, p, raw, width, packed(train[kind][a:b]), packed(tune[kind][a:b])))
+                        out.append((row["chunk"], kind, p, raw, width, packed(train[kind][a:b]), packed(tune[kind][a:b]) if tune else b""))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in REQUESTS.split(", ")])
 
@@ -158,19 +161,19 @@ def totals(group: pd.DataFrame) -> pd.DataFrame:
     keys = [unpacked_keys(k, w) for k, w in zip(group["keys"], group["width"], strict=True)]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
     train = np.bincount(at, np.concatenate([unpacked(x) for x in group["train"]]), len(every)).astype(np.int64)
-    tune = np.bincount(at, np.concatenate([unpacked(x) for x in group["tune"]]), len(every)).astype(np.int64)
+    tune = np.bincount(at, np.concatenate([unpacked(x) if len(x) else np.zeros(len(k), np.int64) for x, k in zip(group["tune"], keys, strict=True)]), len(every)).astype(np.int64)
     ends = np.cumsum([len(k) for k in keys])[:-1]
     own = np.split(at, ends)
     known = np.zeros(len(group), np.int64)
     known[0] = (train > 0).sum()
-    return pd.DataFrame({"chunk": group["chunk"], "kind": group["kind"], "part": group["part"], "train": [packed(train[k]) for k in own], "tune": [packed(tune[k]) for k in own], "known": known})
+    return pd.DataFrame({"chunk": group["chunk"], "kind": group["kind"], "part": group["part"], "train": [packed(train[k]) for k in own], "tune": [packed(tune[k]) if len(x) else b"" for k, x in zip(own, group["tune"], strict=True)], "known": known})
 
 
-def answered(chunk: Chunk, replies: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Per token: training count of the token, of its context and of the pair; then the same of the tuning fold."""
+def answered(chunk: Chunk, replies: pd.DataFrame, cols: tuple[str, ...] = ("train",)) -> tuple[np.ndarray, ...]:
+    """Per token: training count of the token, of its context and of the pair; then, if asked for, the same of the tuning fold."""
     replies = replies.sort_values(["kind", "part"])
     found = []
-    for col in ("train", "tune"):
+    for col in cols:
         one = np.zeros(len(chunk.words), np.int64)
         one[chunk.order] = np.concatenate([unpacked(x) for x in replies.loc[replies["kind"] == 0, col]])
         two = np.concatenate([unpacked(x) for x in replies.loc[replies["kind"] == 1, col]])
@@ -214,7 +217,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """docs (doc_id long, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     doc_id = F.col("doc_id").cast("long")
     fold = F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(0)).cast("int")
-    chunks = cut(chunked(docs.select(doc_id.alias("doc_id"), fold.alias("fold"), F.col("text").cast("string").alias("text"))))
+    s = Scratch(docs.sparkSession)
+    chunks = s.save(chunked(docs.select(doc_id.alias("doc_id"), fold.alias("fold"), F.col("text").cast("string").alias("text"))))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):
@@ -226,26 +230,26 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     every, train, tune = (x or 0 for x in chunks.select("folds", "lengths").mapInArrow(sizes, "all long, train long, tune long").agg(F.sum("all"), F.sum("train"), F.sum("tune")).first())
     bits = max(3, math.ceil(math.log2(max(every, 1) / RANGE_TOKENS))) if every else 3
-    replies = cut(requests(chunks, bits).groupBy("kind", "part").applyInPandas(totals, REPLIES))
+    replies = s.save(requests(chunks, bits).repartition(max(8, (2 << bits) // RANGES_A_TASK), "kind", "part").groupBy("kind", "part").applyInPandas(totals, REPLIES))
     v = replies.where("kind = 0").agg(F.sum("known")).first()[0] or 0
     answers = replies.select("chunk", "kind", "part", "train", "tune")
 
     def gather(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(own.to_dict("records")[0])
-        token, context, pair, token2, context2, pair2 = answered(c, told)
+        token, context, pair, token2, context2, pair2 = answered(c, told, ("train", "tune"))
         two, one = estimates(token - token2, context - context2, pair - pair2, train - tune)
         rows = pd.DataFrame({"bucket": bucket(context - context2), "two": binned(two), "one": binned(one)})
         return rows.groupby(["bucket", "two", "one"]).size().reset_index(name="n")
 
     tuning = chunks.where("tuning")
-    asked = answers.join(tuning.select("chunk"), "chunk", "left_semi")
+    asked = answers.where("octet_length(tune) > 0")
     gathered = tuning.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInPandas(gather, "bucket long, two long, one long, n long")
     weights = expectation_maximisation(gathered.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).toPandas(), v)
 
     def score(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         row = own.to_dict("records")[0]
         c = Chunk(row)
-        token, context, pair = answered(c, told)[:3]
+        token, context, pair = answered(c, told)
         two, one = estimates(token, context, pair, train)
         w = weights[bucket(context)]
         p = w[:, 0] * two + w[:, 1] * one + w[:, 2] / (v + 1)
@@ -256,7 +260,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                              "base_score": by_doc(np.log10((token + 1) / (train + v + 1))), "score": by_doc(np.log10(p))})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, schema)
+    tasks = max(8, chunks.count() // CHUNKS_A_TASK)
+    told = answers.select("chunk", "kind", "part", "train").repartition(tasks, "chunk")
+    return chunks.repartition(tasks, "chunk").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(score, schema)
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
