@@ -1,8 +1,9 @@
 """Quality rules: an isolation forest on rule statistics.
 
 Each text gets its rule statistics (words, symbols, repeated lines and word windows, capitals, exclamation
-marks). Random splits isolate odd documents early: the shorter a document's mean path over the trees, the
-odder it is. The forest is fitted on a bounded sample of labelled rows (``FIT_ROWS``); the threshold is
+marks) and, from all of them, ``RATES``. A rate counts by how far it lies outside the range that good labelled rows
+cover. Random splits isolate odd documents early: the shorter a document's mean path over the trees, the
+odder it is. Ranges and forest are fitted on a bounded sample of labelled rows (``FIT_ROWS``); the threshold is
 calibrated over all labelled rows.
 
 Defined results. Null text: no words, so the base rules reject it. Empty text: the same. Repeated rows: each
@@ -31,6 +32,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: At most so many labelled rows fit the forest; those of the smallest hashes are taken.
 FIT_ROWS = 8192
 TREES, ROWS_A_TREE = 100, 256
+#: What the forest splits on: symbols, capitals, exclamation marks, letters, repeated lines, repeated words, words a line.
+RATES = ("symbols / words", "capitals / letters", "marks / words", "letters / words", "repeated / lines", "repeated / words", "words / lines")
+#: Of the labelled good rows in the sample this share at either end does not count for a rate's usual range, which is
+#: taken wider by MARGIN on both sides.
+EDGE, MARGIN = 0.0002, 0.25
 #: The threshold rejects at most this share of the labelled good rows.
 MAX_FALSE_REJECTS = 0.005
 BINS = 2000
@@ -84,12 +90,28 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def features(s: np.ndarray) -> np.ndarray:
-    """Rows of STATS as the rates that the forest splits on; repetition is left to the base
-    rules and to line dedup. Tenths: what varies within clean text is no reason for a split."""
-    n, chars, symbols, upper, marks = (s[:, STATS.index(c)].astype(float) for c in ("n_words", "word_chars", "n_symbols", "n_upper", "n_marks"))
-    words, letters = np.maximum(n, 1), np.maximum(chars, 1)
-    return np.stack([symbols / words, upper / letters, marks / words], 1).round(1)
+def rates(s: np.ndarray) -> np.ndarray:
+    """Rows of STATS as RATES."""
+    n, chars, symbols, dup, repeat, upper, marks, lines = (s[:, k].astype(float) for k in range(len(STATS)))
+    words, letters, full = np.maximum(n, 1), np.maximum(chars, 1), np.maximum(lines, 1)
+    return np.stack([symbols / words, upper / letters, marks / words, chars / words, dup / full, repeat / words, n / full], 1)
+
+
+@dataclass
+class Usual:
+    """The range of each rate over good rows, but for EDGE at either end."""
+
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def of(cls, good: np.ndarray) -> Usual:
+        return cls(*np.quantile(rates(good), (EDGE, 1 - EDGE), axis=0))
+
+    def features(self, s: np.ndarray) -> np.ndarray:
+        """How far each rate lies outside by more than MARGIN, in widths of the range: what varies within good text is no reason for a split."""
+        x = rates(s)
+        return np.maximum(np.maximum(x - self.high, self.low - x) / np.maximum(self.high - self.low, 1e-3) - MARGIN, 0)
 
 
 def failed_base(s: np.ndarray) -> np.ndarray:
@@ -157,14 +179,15 @@ class IsolationForest:
 
 @dataclass
 class QualityModel:
-    """forest and threshold are None if no labels could be learned from."""
+    """All are None if no labels could be learned from."""
 
+    usual: Usual | None
     forest: IsolationForest | None
     threshold: float | None
 
     def keeps(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Score and verdict of rows of STATS."""
-        score = self.forest.score(features(s)) if self.forest is not None and len(s) else np.zeros(len(s))
+        score = self.forest.score(self.usual.features(s)) if self.forest is not None and len(s) else np.zeros(len(s))
         ok = ~failed_base(s)
         return score, ok if self.threshold is None else ok & (score <= self.threshold)
 
@@ -192,14 +215,16 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_false
     rows = cut(passed.join(known, "doc_id").select(*STATS, (F.col("quality") > 0).alias("good"), F.xxhash64("doc_id").alias("by")))
     # a share of the hashes first, so that each task sends few rows
     share = min(1.0, 2 * fit_rows / max(1, rows.count()))
-    sample = rows.where(F.shiftrightunsigned("by", 11) < int(share * (1 << 53))).orderBy("by", *STATS).limit(fit_rows).select(*STATS).toPandas().to_numpy()
-    if len(sample) < 2 or not rows.where("good").head(1):
-        return QualityModel(None, None)
-    forest = IsolationForest.fit(features(sample))
+    sample = rows.where(F.shiftrightunsigned("by", 11) < int(share * (1 << 53))).orderBy("by", *STATS).limit(fit_rows).select(*STATS, "good").toPandas()
+    sample, good = sample[list(STATS)].to_numpy(), sample["good"].to_numpy(bool)
+    if len(sample) < 2 or not good.any():
+        return QualityModel(None, None, None)
+    usual = Usual.of(sample[good])
+    forest = IsolationForest.fit(usual.features(sample))
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 8192):
-            at = np.minimum((forest.score(features(matrix(part))) * BINS).astype(int), BINS)
+            at = np.minimum((forest.score(usual.features(matrix(part))) * BINS).astype(int), BINS)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), part.column("good")], ["bin", "good"])
 
     counts = rows.select(*STATS, "good").mapInArrow(binned, "bin int, good boolean").groupBy("bin").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")).toPandas()
@@ -209,7 +234,7 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_false
     lost, caught = 1 - np.cumsum(good) / max(good.sum(), 1), 1 - np.cumsum(bad) / max(bad.sum(), 1)
     gain = np.where(lost <= max_false_rejects + 1e-12, caught - lost, -1)
     best = np.flatnonzero(gain == gain.max())
-    return QualityModel(forest, (int(best[len(best) // 2]) + 1) / BINS)
+    return QualityModel(usual, forest, (int(best[len(best) // 2]) + 1) / BINS)
 
 
 def quality_report(stats: DataFrame, model: QualityModel) -> DataFrame:
