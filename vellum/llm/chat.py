@@ -10,14 +10,14 @@ roles, ``:`` becomes ``\\:``; so no text can hold a control string, and dropping
 The loss spans are the places (start, length; code points) of the assistants' escaped texts in the output.
 
 Defined results. Null text or role: empty. Null conv_id: a conversation of its own. Null turn: before all
-others. Null seq: before all others of its turn. Equal seq: by kind (start first), role, text. Repeated rows of
-a log: each is applied. Events before any start open a message without a role. No rows: no conversations.
+others. Null seq: before all others of its turn. Equal seq: by kind (start first), role, text. Competing rows of a turn
+of ``conversation_log``: by role, text. Repeated rows: each is applied. Events before any start open a message without a role. No rows: no conversations.
 Extra columns are dropped. Everything is native: no Python runs on the executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -34,38 +34,36 @@ def unescape(c: Column) -> Column:
 
 
 def conversation_log(turns: DataFrame) -> DataFrame:
-    """Whole turns (conv_id, turn, role, text) as a log: a start and one delta each."""
-    # the events of repeated or competing rows of a turn stay together; the id only tells equal rows apart
-    ordered = F.struct(F.xxhash64("role", "text").alias("content"), F.monotonically_increasing_id().alias("row"))
+    """Whole turns (conv_id, turn, role, text) as a log: a start and one delta each. Competing rows of a turn follow each other by role and text."""
+    order = [F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), F.monotonically_increasing_id()]
+    numbered = turns.withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(*order)))
     events = F.array(
         F.struct(F.lit(0).alias("part"), F.lit("start").alias("kind"), F.col("role").alias("role"), F.lit("").alias("text")),
         F.struct(F.lit(1).alias("part"), F.lit("delta").alias("kind"), F.lit("").alias("role"), F.col("text").alias("text")),
     )
-    return turns.select("conv_id", "turn", ordered.alias("by"), F.explode(events).alias("e")).select(
-        "conv_id", "turn", F.struct("by", "e.part").alias("seq"), "e.kind", "e.role", "e.text")
+    return numbered.select("conv_id", "turn", "n", F.explode(events).alias("e")).select("conv_id", "turn", (F.col("n") * 2 + F.col("e.part")).alias("seq"), "e.kind", "e.role", "e.text")
 
 
 def messages(log: DataFrame) -> DataFrame:
-    """conv_id, turn, and messages (role, text) of each turn: its events folded in order."""
-    rank = F.when(F.col("kind") == "start", 0).otherwise(1)
-    event = F.struct("seq", rank.alias("rank"), F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    message = lambda role, text: F.struct(role.alias("role"), text.alias("text"))
-    none = F.array().cast("array<struct<role:string,text:string>>")
-
-    def step(done: Column, e: Column) -> Column:
-        last = F.coalesce(F.try_element_at(done, F.lit(-1)), message(F.lit(""), F.lit("")))
-        rest = F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(none)
-        put = lambda text: F.concat(rest, F.array(message(last["role"], text)))
-        return (
-            F.when(e["kind"] == "start", F.concat(done, F.array(message(e["role"], e["text"]))))
-            .when(e["kind"] == "delta", put(F.concat(last["text"], e["text"])))
-            .when(e["kind"] == "edit", put(e["text"]))
-            .when(e["kind"] == "regenerate", put(F.lit("")))
-            .otherwise(done)
-        )
-
-    folded = log.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    return folded.select("conv_id", "turn", F.aggregate("events", none, step).alias("messages"))
+    """conv_id, turn, and messages (role, text) of each turn: its events folded in order.
+
+    A start opens the next message; a start, edit or regeneration also begins its text anew, so a message's text is
+    what its last such event and the deltas after it hold.
+    """
+    kind = F.coalesce("kind", F.lit(""))
+    rank = F.when(kind == "start", 0).otherwise(1)
+    rows = log.select("conv_id", "turn", "seq", rank.alias("rank"), kind.alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    so_far = Window.partitionBy("conv_id", "turn").orderBy("seq", "rank", "kind", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda *kinds: F.sum(F.col("kind").isin(*kinds).cast("int")).over(so_far)
+    placed = rows.select("*", count("start").alias("message"), count("start", "edit", "regenerate").alias("epoch"), F.count("*").over(so_far).alias("place"))
+    said = F.when(F.col("kind").isin("start", "edit", "delta"), F.struct("place", "epoch", "text"))
+    known = F.max(F.col("kind").isin("start", "edit", "delta", "regenerate"))
+    each = placed.groupBy("conv_id", "turn", "message").agg(
+        F.max(F.when(F.col("kind") == "start", F.col("role"))).alias("role"), F.max("epoch").alias("last"), F.array_sort(F.collect_list(said)).alias("parts"), known.alias("known"))
+    text = F.array_join(F.transform(F.filter("parts", lambda p: p["epoch"] == F.col("last")), lambda p: p["text"]), "")
+    message = F.when(F.col("known"), F.struct("message", F.coalesce("role", F.lit("")).alias("role"), text.alias("text")))
+    folded = each.select("conv_id", "turn", message.alias("m")).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    return folded.select("conv_id", "turn", F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
 
 
 def render(folded: DataFrame, mask_role: str = ASSISTANT) -> DataFrame:
