@@ -30,10 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, slices, table
+from .common import cut, shared_dir, slices, split_join, table
 
 MIN_REVISIT = 1000
-SALTS = 32
 ARCHIVE_BYTES = 256 << 20
 #: Index rows are dealt out by ranges of this size; within one, gaps up to MAX_GAP are read over.
 RANGE_BYTES, MAX_GAP = 8 << 20, 64 << 10
@@ -47,14 +46,13 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
     records = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).withColumn("size", F.octet_length("payload"))
     key = F.when(F.col("size") >= MIN_REVISIT, F.sha2("payload", 256))
-    first = (
-        records.select("page_id", "url", key.alias("key")).where("key is not null").groupBy("key")
-        .agg(F.max("page_id").alias("top"), F.max_by("url", "page_id").alias("top_url"), F.count("*").alias("n"))
-        .where("n > 1 and top is not null").select("key", "top", "top_url", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    salted = records.withColumns({"key": key, "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
+    keyed = records.withColumn("key", key)
+    large = keyed.where("key is not null")
+    first = large.groupBy("key").agg(F.max("page_id").alias("top"), F.max_by("url", "page_id").alias("top_url"), F.count("*").alias("n")).where("n > 1 and top is not null")
+    known = split_join(large, first, "key", "n", pages.count(), "left")
+    small = keyed.where("key is null").withColumns({"top": F.lit(None).cast("long"), "top_url": F.lit(None).cast("string"), "n": F.lit(None).cast("long")})
     again = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
-    return salted.join(first, ["key", "salt"], "left").select(
+    return known.unionByName(small).select(
         "page_id", "url", "payload", F.sha1("payload").alias("digest"), F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("top")).alias("refers_to"), F.when(again, F.col("top_url")).alias("refers_url"))
 
