@@ -22,6 +22,7 @@ dropped by the query. Everything is native: no Python runs on the executors.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,51 +54,62 @@ def described(docs: DataFrame) -> DataFrame:
 
 def targets(cells: DataFrame, key: str, shares: Mapping[str, float] | None) -> DataFrame:
     """cells with goal_<key>: the tokens that the key's value is to have; in all as many as there are."""
-    own, every = Window.partitionBy(key), Window.partitionBy("all")
-    tokens = F.sum("tokens").over(own)
-    cells = cells.withColumn("_own", tokens).withColumn("_n", F.count("*").over(own))
+    own = Window.partitionBy(key)
+    cells = cells.withColumn("_own", F.sum("tokens").over(own)).withColumn("_n", F.count("*").over(own))
     if shares:
         given = F.create_map(*(F.lit(x) for kv in shares.items() for x in kv))
         share = F.try_element_at(given, F.col(key))
-        rest = F.sum(F.when(share.isNull(), F.col("tokens"))).over(every)
-        left = F.sum(F.when(share.isNotNull(), share / F.col("_n"))).over(every)
-        goal = F.when(share.isNotNull(), share).otherwise(F.greatest(1 - F.coalesce(left, F.lit(0.0)), F.lit(0.0)) * F.col("_own") / rest)
+        rest, left = cells.agg(F.sum(F.when(share.isNull(), F.col("tokens"))), F.sum(F.when(share.isNotNull(), share / F.col("_n")))).first()
+        goal = F.when(share.isNotNull(), share).otherwise(F.col("_own") * (max(1 - (left or 0.0), 0.0) / (rest or 1)))
     else:
         goal = F.pow(F.col("_own").cast("double"), TEMPER)
     cells = cells.withColumn("_goal", goal)
-    total = F.sum(F.col("_goal") / F.col("_n")).over(every)
-    return cells.withColumn(f"goal_{key}", F.col("_goal") / total * F.sum("tokens").over(every)).drop("_own", "_n", "_goal")
+    total, tokens = cells.agg(F.sum(F.col("_goal") / F.col("_n")), F.sum("tokens")).first()
+    return cells.withColumn(f"goal_{key}", F.col("_goal") * ((tokens or 0) / (total or 1.0))).drop("_own", "_n", "_goal")
+
+
+def rate(live: DataFrame, fraction: float) -> float:
+    """r so that min(tokens, r * weight) over all cells sums to fraction of the tokens: what cells that are kept whole cannot give is spread over the others."""
+    tokens, found = live.agg(F.sum("tokens")).first()[0], fraction
+    full = -1
+    while True:
+        whole = F.lit(found) * F.col("weight") >= F.col("tokens")
+        n, given, rest = live.agg(F.count(F.when(whole, 1)), F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("weight")))).first()
+        if n <= full or not rest:  # each round only adds cells, so this ends
+            return found
+        full, found = n, (fraction * tokens - (given or 0)) / rest
 
 
 def rake(cells: DataFrame, keys: tuple[str, ...] = KEYS, shares: Mapping[str, Mapping[str, float]] | None = None, fraction: float = FRACTION) -> DataFrame:
-    """Cells (keys, tokens, docs) with weight, the raked tokens, and prob, the probability that a document is kept."""
+    """Cells (keys, tokens, docs) with weight, the raked tokens, off, the largest relative error of the cell's marginals, and prob, the probability that a document is kept.
+
+    Targets that the filled cells cannot meet leave errors above TOLERANCE: a warning tells the largest.
+    """
     cells = cut(cells)
     small = cells.count() <= SMALL
     pack = (lambda df: df.coalesce(1)) if small else (lambda df: df)
-    cells = pack(cells).withColumn("all", F.lit(1))
+    cells = pack(cells)
     live = cells.where("tokens > 0")
     for key in keys:
         live = targets(live, key, (shares or {}).get(key))
     live = cut(live.withColumn("weight", F.col("tokens").cast("double")))
+    off = F.greatest(*(F.abs(F.sum("weight").over(Window.partitionBy(k)) / F.col(f"goal_{k}") - 1) for k in keys))
     for done in range(ROUNDS, MOST_ROUNDS + 1, ROUNDS):
         live = pack(live)
         for _ in range(ROUNDS):
             for key in keys:
                 live = live.withColumn("weight", F.col("weight") * F.col(f"goal_{key}") / F.sum("weight").over(Window.partitionBy(key)))
         live = cut(live)
-        off = F.greatest(*(F.abs(F.sum("weight").over(Window.partitionBy(k)) / F.col(f"goal_{k}") - 1) for k in keys))
-        if (pack(live).select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE or done == MOST_ROUNDS:
+        worst = pack(live).select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0
+        if worst <= TOLERANCE:
             break
-    every = Window.partitionBy("all")
-    live = pack(live).withColumn("_rate", F.lit(fraction)).withColumn("_gain", F.col("weight") / F.col("tokens"))
-    for _ in range(8):  # what cells that are kept whole cannot give is spread over the others
-        full = F.col("_rate") * F.col("_gain") >= 1
-        need = fraction * F.sum("tokens").over(every) - F.coalesce(F.sum(F.when(full, F.col("tokens"))).over(every), F.lit(0))
-        live = live.withColumn("_rate", F.coalesce(F.try_divide(need, F.sum(F.when(~full, F.col("weight"))).over(every)), F.col("_rate")))
-    live = live.withColumn("prob", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_rate") * F.col("_gain"))))
-    found = live.select(*keys, "tokens", "docs", *(f"goal_{k}" for k in keys), "weight", "prob")
-    none = cells.where("tokens <= 0").select(*keys, "tokens", "docs", *(F.lit(0.0).alias(f"goal_{k}") for k in keys), F.lit(0.0).alias("weight"), F.lit(1.0).alias("prob"))
-    return cut(found.unionByName(none))
+        if done == MOST_ROUNDS:
+            warnings.warn(f"raking: a marginal is off by {worst:.2g} after {done} rounds", stacklevel=2)
+    found = rate(live, fraction) if live.head(1) else fraction
+    prob = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("weight") * found / F.col("tokens")))
+    raked = pack(live).select(*keys, "tokens", "docs", *(f"goal_{k}" for k in keys), "weight", off.alias("off"), prob.alias("prob"))
+    none = cells.where("tokens <= 0").select(*keys, "tokens", "docs", *(F.lit(0.0).alias(f"goal_{k}") for k in keys), F.lit(0.0).alias("weight"), F.lit(0.0).alias("off"), F.lit(1.0).alias("prob"))
+    return cut(raked.unionByName(none))
 
 
 def with_probability(rows: DataFrame, cells: DataFrame) -> DataFrame:
