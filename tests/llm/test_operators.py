@@ -61,13 +61,13 @@ def test_components_of_a_chain_and_a_star(spark):
 # 1
 
 
-def shingle_set(text):
+def shingle_set(text, width=2):
     words = (text or "").encode().lower().split()
-    return {tuple(words)} if len(words) == 1 else set(zip(words, words[1:]))  # noqa: B905
+    return {tuple(words[k : k + width]) for k in range(max(len(words) - width + 1, 1))} if words else set()
 
 
-def components_by_hand(texts):
-    sets = {i: shingle_set(t) for i, t in texts.items()}
+def components_by_hand(texts, width=2):
+    sets = {i: shingle_set(t, width) for i, t in texts.items()}
     up = {i: i for i in sets}
 
     def top(i):
@@ -119,6 +119,48 @@ def test_bounds_never_exclude_a_link():
             assert minhash.may_link(ra[None], rb[None], np.array([len(a)]), np.array([len(b)]))[0]
 
 
+def test_minhash_family_of_near_copies(spark):
+    """One text in many edited copies: all links are kept, and the pairs compared grow no faster than n log n."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+
+    def copies(n):
+        texts = {}
+        for k in range(n):
+            words = list(base)
+            for _ in range(rng.randrange(8)):
+                words[rng.randrange(60)] = f"z{rng.randrange(50_000)}"
+            texts[k] = " ".join(words)
+        return texts
+
+    pairs = []
+    save = minhash.Scratch.save
+
+    def counting(self, df):
+        out = save(self, df)
+        if df.columns == ["centre", "leaf"]:
+            pairs.append(out.count())
+        return out
+
+    minhash.Scratch.save = counting
+    try:
+        for n in (600, 1800):
+            texts = copies(n)
+            found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+            assert found == components_by_hand(texts)
+    finally:
+        minhash.Scratch.save = save
+    few, many = pairs[0] + pairs[1], pairs[2] + pairs[3]
+    assert many <= 1.3 * few * (1800 * math.log(1800)) / (600 * math.log(600))
+
+
+def test_minhash_rows_that_share_an_id(spark):
+    a, b = "one two three four", " ".join(f"w{k}" for k in range(40))
+    rows = [(1, a), (1, b), (6, b + " more"), (7, a), (0, None), (0, b + " more"), (9, "alone"), (9, "")]
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(0, 0, 0, True), (0, 40, 0, True), (1, 3, 0, False), (1, 39, 0, False), (6, 40, 0, False), (7, 3, 0, False), (9, 0, 9, True), (9, 1, 9, True)]
+
+
 # 2 and 3
 
 
@@ -223,6 +265,23 @@ def test_chat_round_trip(spark):
     assert found[99] == [("user", "x"), ("user", "x"), ("", "")]
 
 
+def test_chat_ties_in_the_order_of_the_oracle(spark, sf, duck):
+    rows = [(1, 0, "user", t) for t in ("zz", "aa", "mm", "aa")] + [(1, 0, "assistant", "z"), (2, 1, "user", None), (2, 1, None, "x"), (2, 1, "user", "")]
+    at = sf(conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1))
+    found = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.parse(chat.chat_format(chat.conversation_log(spark.read.parquet(f"{at}/conversations.parquet")))).collect()}
+    assert found[1] == [("assistant", "z"), ("user", "aa"), ("user", "aa"), ("user", "mm"), ("user", "zz")]
+    assert found[2] == [("", "x"), ("user", ""), ("user", "")]
+    con = duck.cursor()
+    con.execute(f"CREATE OR REPLACE TEMP VIEW conversations AS SELECT * FROM '{at}/conversations.parquet/*.parquet'")
+    same_rows(chat.op4_chat(spark, at), con.execute(registry.ORACLES["op4_chat"]))
+
+
+def test_chat_of_many_deltas(spark):
+    log = [(1, 0, 0, "start", "assistant", "")] + [(1, 0, k, "delta", None, f"{k} ") for k in range(1, 3000)]
+    (found,) = chat.parse(chat.chat_format(spark.createDataFrame(log, "conv_id long, turn long, seq long, kind string, role string, text string"))).collect()
+    assert [tuple(t) for t in found["turns"]] == [("assistant", "".join(f"{k} " for k in range(1, 3000)))]
+
+
 def test_chat_of_nothing(spark, sf):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert [r["conv_id"] for r in chat.op4_chat(spark, sf(conversations=empty)).collect()] == [-7]
@@ -376,6 +435,37 @@ def test_quality_held_out(spark):
     assert kept[1] >= 0.98 and kept[0] <= 0.2
 
 
+def test_quality_verdicts_by_hand(spark):
+    """Statistics, ranges, path lengths and verdicts, each row and tree walked on its own."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    good = [" ".join(word() for _ in range(rng.randrange(60, 120))) for _ in range(120)]
+    bad = [" ".join(word() + "##" if k % 2 else word() for k in range(80)) for _ in range(6)] + [" ".join(word() * 5 for _ in range(80)) for _ in range(6)]
+    texts = dict(enumerate([*good, *bad, "short", None]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < len(good)), 0) for k in range(len(good) + len(bad))], "doc_id long, quality int, toxic int")
+    stats = quality.with_statistics(docs)
+    model = quality.fit(stats, labels)
+    found = {r["doc_id"]: r for r in quality.quality_report(stats, model).collect()}
+    sample = np.array([quality.rule_statistics(texts[k]) for k in range(len(good))])
+    assert np.allclose(model.usual.high, np.quantile(quality.rates(sample), 1 - quality.EDGE, axis=0))
+    forest = model.forest
+    for k, text in texts.items():
+        s = quality.rule_statistics(text)
+        x = model.usual.features(np.array([s]))[0]
+        total = 0.0
+        for t in range(len(forest.feature)):
+            at = 0
+            while forest.feature[t][at] >= 0:
+                at = forest.child[t][at] + int(x[forest.feature[t][at]] >= forest.split[t][at])
+            total += forest.depth[t][at]
+        score = 2 ** -(total / len(forest.feature) / float(quality.mean_depth(forest.rows)))
+        failed = s[0] < 50 or 100 * s[4] > 50 * s[0]
+        assert math.isclose(found[k]["score"], score, rel_tol=1e-9)
+        assert (found[k]["base_failed"], found[k]["kept"]) == (failed, not failed and score <= model.threshold)
+    assert all(found[k]["kept"] for k in range(len(good))) and not any(found[k]["kept"] for k in range(len(good), len(texts)))
+
+
 def test_quality_odd(spark, odd, none, sf):
     labels = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (None, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int")
     stats = quality.with_statistics(odd)
@@ -436,6 +526,53 @@ def test_raking_meets_its_targets(spark):
     assert np.allclose(live["weight"], [w[tuple(r)] for r in live[list(mixing.KEYS)].to_numpy()], rtol=1e-5)
 
 
+def test_mixing_by_hand(spark):
+    """Cells, raking, rate and draw by plain loops."""
+    rng = random.Random(12)
+    docs = [(k, " ".join(["w"] * rng.randrange(0, 30)) + rng.choice(["", " a@b", " | "]), rng.choice(["en", "de", None]), rng.choice(["s0", "s0", "s0", "s1", "s2"])) for k in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    rows = mixing.described(df)
+    found = {r["doc_id"]: r for r in mixing.with_probability(rows, mixing.rake(mixing.cells_of(rows))).withColumn("u", mixing.unit_hash("doc_id")).collect()}
+    tokens = Counter()
+    cell = {}
+    for k, text, lang, source in docs:
+        topic = "contact" if "@b" in text else "table" if "|" in text else "prose"
+        cell[k] = (source, lang or "", topic)
+        tokens[cell[k]] += len(text.split())
+    total = sum(tokens.values())
+    goal = []
+    for at in range(3):
+        own = Counter()
+        for c, n in tokens.items():
+            own[c[at]] += n
+        whole = sum(n**mixing.TEMPER for n in own.values())
+        goal.append({v: n**mixing.TEMPER / whole * total for v, n in own.items()})
+    w = {c: float(n) for c, n in tokens.items() if n}
+    for _ in range(300):
+        for at in range(3):
+            sums = Counter()
+            for c, x in w.items():
+                sums[c[at]] += x
+            w = {c: x * goal[at][c[at]] / sums[c[at]] for c, x in w.items()}
+    lo, hi = 0.0, 1e6
+    for _ in range(200):
+        r = (lo + hi) / 2
+        lo, hi = (r, hi) if sum(min(tokens[c], r * x) for c, x in w.items()) < mixing.FRACTION * total else (lo, r)
+    for k, *_ in docs:
+        prob = min(1.0, lo * w[cell[k]] / tokens[cell[k]]) if tokens[cell[k]] else 1.0
+        assert math.isclose(found[k]["prob"], prob, rel_tol=1e-4)
+    kept = {r["doc_id"] for r in mixing.mix(df).collect()}
+    assert kept == {k for k, r in found.items() if r["u"] < r["prob"]}
+
+
+def test_raking_tells_of_targets_that_cannot_be_met(spark):
+    cells = [("a", "x", "t", 10, 1), ("b", "y", "t", 10, 1)]  # source and language always go together
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long, docs long")
+    with pytest.warns(UserWarning, match="marginal is off"):
+        found = mixing.rake(df, shares={"source": {"a": 0.9}, "lang": {"x": 0.2}}).collect()
+    assert max(r["off"] for r in found) > 0.1
+
+
 def test_mixing_odd(spark, odd, none, sf):
     kept = mixing.mix(odd)
     assert kept.columns == odd.columns and kept.count() <= odd.count()
@@ -464,6 +601,53 @@ def test_lm_by_hand(odd):
     assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in found)
 
 
+def test_lm_scores_by_hand(spark):
+    """Counts, held-out EM and scores from dictionaries."""
+    rng = random.Random(3)
+    texts = {k: " ".join(rng.choice("abcdefghij") + rng.choice(["", "x"]) for _ in range(rng.randrange(0, 40))) for k in range(120)}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    tokens = {k: [*t.split(), "END"] for k, t in texts.items()}
+    grams = lambda k: list(zip(["END", *tokens[k]], tokens[k]))  # noqa: B905, E731
+
+    def counts(folds):
+        one, two = Counter(), Counter()
+        for k in texts:
+            if fold(k) in folds:
+                one.update(tokens[k])
+                two.update(grams(k))
+        return one, two
+
+    every, known = {0, 1, 3, 4, 5, 6}, {0, 1, 4, 5, 6}
+    one, two = counts(every)
+    n, v = sum(one.values()), len(one)
+    part1, part2 = counts(known)
+    m = sum(part1.values())
+    seen = defaultdict(list)
+    for k in texts:
+        if fold(k) == 3:
+            for a, b in grams(k):
+                seen[min(part1[a].bit_length(), lm.BUCKETS - 1)].append((part2[a, b] / max(part1[a], 1), part1[b] / m, 1 / (v + 1)))
+    near = lambda p: 2.0 ** (-round(-lm.STEPS * math.log2(p)) / lm.STEPS) if p else 0.0
+    weights = {b: [1 / 3] * 3 if b else [0, 0.5, 0.5] for b in range(lm.BUCKETS)}
+    for b, rows in seen.items():
+        rows = [(near(x), near(y), z) for x, y, z in rows]
+        w = weights[b]
+        for _ in range(lm.EM_ROUNDS):
+            total = [0.0] * 3
+            for p in rows:
+                s = sum(x * y for x, y in zip(w, p, strict=True))
+                total = [t + x * y / s for t, x, y in zip(total, w, p, strict=True)]
+            w = [t / len(rows) for t in total]
+        w = [max(x, 0 if k == 0 and not b else 1e-6) for k, x in enumerate(w)]
+        weights[b] = [x / sum(w) for x in w]
+    for r in lm.lm_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        score = 0.0
+        for a, b in grams(r["doc_id"]):
+            w = weights[min(one[a].bit_length(), lm.BUCKETS - 1)]
+            score += math.log10(w[0] * two[a, b] / max(one[a], 1) + w[1] * one[b] / n + w[2] / (v + 1))
+        assert math.isclose(r["score"], score, rel_tol=1e-6)
+
+
 def test_lm_predicts_better_than_its_base(spark):
     p = lm.lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
     held = p[p["held_out"]]
@@ -496,7 +680,7 @@ def test_pipeline(spark):
         after = stage(spark, before, sf_dir).cache()
         assert sorted(after.columns) == sorted(docs.columns), name
         if name == "near_dedup":
-            by_hand = components_by_hand({r["doc_id"]: r["text"] for r in before.collect()})
+            by_hand = components_by_hand({r["doc_id"]: r["text"] for r in before.collect()}, minhash.STAGE_SHINGLE)
             assert {r["doc_id"] for r in after.collect()} == {i for i, (_, c) in by_hand.items() if i == c}
         if name == "line_dedup":
             known = {r["doc_id"]: r["text"] for r in before.collect()}
