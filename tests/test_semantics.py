@@ -7,13 +7,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import text as fn
+from vellum.operators import audits as au
+from vellum.operators import catalogs as ct
 from vellum.operators import compare as cp
 from vellum.operators import forms as fm
+from vellum.operators import inventory as iv
 from vellum.operators import layout as ly
 from vellum.operators import navigation as nv
 from vellum.operators import pages as pg
 from vellum.operators import review as rv
 from vellum.operators import search as sc
+from vellum.operators import textflow as tf
 from vellum.plans import actions as ac
 from vellum.registry import QUERIES
 from vellum.sources import derived as dv
@@ -258,3 +262,117 @@ def test_order_list_in_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [r["id"] for r in found] == [1500, 7, *(k for k in range(1999, -1, -1) if k not in (7, 1500))]
     assert [r["place"] for r in found] == list(range(2000)) and len({r["task"] for r in found}) > 1
+
+
+# depth and length without limits
+
+
+def test_threads_of_any_depth_and_cycles(spark):
+    chain = [(1, k, 0, f"c{k}", f"c{k - 1}" if k else None, "a", "x", k, False) for k in range(150)]
+    ring = [(2, k, 0, f"r{k}", f"r{(k + 1) % 3}", "a", "x", k, False) for k in range(3)] + [(2, 9, 0, "below", "r0", "a", "x", 9, False)]
+    df = spark.createDataFrame(chain + ring, "doc_id long, idx int, page int, name string, parent string, author string, contents string, minute int, is_status boolean")
+    found = {(r["doc_id"], r["name"]): (r["root"], r["depth"]) for r in rv.threads(df).collect()}
+    assert all(found[1, f"c{k}"] == ("c0", k) for k in range(150))
+    assert all(found[2, n] == (n, 0) for n in ("r0", "r1", "r2", "below"))
+
+
+def test_deleting_takes_replies_of_any_depth(spark):
+    comments = spark.createDataFrame([(1, f"c{k}", f"c{k - 1}" if k else None, "x") for k in range(45)] + [(2, "a", "b", "x"), (2, "b", "a", "x"), (2, "z", None, "x")], "doc_id long, name string, parent string, contents string")
+    edits = spark.createDataFrame([(1, "c2", "delete", None), (2, "a", "delete", None)], "doc_id long, name string, action string, contents string")
+    assert {(r["doc_id"], r["name"]) for r in rv.apply_edits(comments, edits).collect()} == {(1, "c0"), (1, "c1"), (2, "z")}
+
+
+def test_trees_of_any_depth(spark):
+    nodes = spark.createDataFrame([(1, k, k - 1 if k else None, 0, f"t{k}", f"n{k}", "top" if k == 0 else None) for k in range(40)], "tree int, node int, parent int, ord int, title string, name string, own string")
+    assert {r["node"]: r["depth"] for r in nv.flatten_outline(nodes).collect()} == {k: k for k in range(40)}
+    found = {r["node"]: (r["full_name"], r["value"]) for r in iv.inherited(nodes, "own").collect()}
+    assert found[39] == (".".join(f"n{k}" for k in range(40)), "top")
+    objects = spark.createDataFrame([(1, k, 1) for k in range(40)], "doc_id int, obj int, bytes long")
+    edges = spark.createDataFrame([(1, k, k + 1) for k in range(39)], "doc_id int, src int, dst int")
+    roots = spark.createDataFrame([(1, 0, "pages", 0)], "doc_id int, obj int, category string, priority int")
+    assert [tuple(r) for r in nv.space_audit(objects, edges, roots).collect()] == [(1, "pages", 40)]
+
+
+def test_a_long_thread_of_beads(spark):
+    n = 20_000
+    beads = spark.range(n).selectExpr("1 AS thread", "id AS bead", f"CASE WHEN id < {n - 1} THEN id + 1 END AS next", "id = 0 AS first")
+    assert iv.beads(beads).where("bead = place").count() == n
+
+
+def test_glyphs_of_a_long_line(spark):
+    line = "".join(chr(97 + k % 26) for k in range(500))
+    found = iv.build_lines(dv.glyphs(spark.createDataFrame([(1, line)], DOCS))).collect()
+    assert [r["text"] for r in found] == [line]
+
+
+# columns, paragraphs, continuations, tables without rules
+
+
+def test_split_columns_needs_agreeing_neighbours(spark):
+    row = lambda line, gap: [(1, 0, line, 0.0, 50.0, line * 12.0, 10.0), (1, 0, line, 50.0 + gap, 120.0, line * 12.0, 10.0)]
+    soft = row(0, 14) + row(1, 14) + row(2, 14) + row(10, 14) + row(11, 4) + row(20, 30) + row(21, 3)
+    found = tf.split_columns(spark.createDataFrame(soft, "doc_id int, page int, line_no int, x0 double, x1 double, cy double, size double"))
+    assert {r["line_no"]: r["n"] for r in found.groupBy("line_no").agg(F.max("segment").alias("n")).collect()} == {0: 1, 1: 1, 2: 1, 10: 0, 11: 0, 20: 1, 21: 0}
+
+
+def test_paragraphs(spark):
+    said = [("The first line of a text", 300, 10), ("goes on here", 300, 10), ("and ends short.", 90, 10), ("A new one begins", 300, 10), ("1. an item", 200, 10), ("Large", 60, 16), ("after a gap", 300, 10)]
+    y = [0, 12, 24, 36, 48, 62, 120]
+    rows = [(1, 0, k, 0.0, float(y[k]), float(w), float(y[k] + 10), float(s), False, False, t) for k, (t, w, s) in enumerate(said)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, line_no int, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, mixed boolean, text string")
+    assert {r["line_no"]: r["block"] for r in tf.group_paragraphs(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 2, 5: 3, 6: 4}
+
+
+def test_continuations(spark):
+    def block(k, text, x0, y0, x1, last, first=30.0):
+        return (1, 0, k, "paragraph", "plain", 10.0, float(x0), float(y0), float(x1), float(y0 + 10), 1, float(x0), float(last), first, text)
+
+    rows = [block(0, "a full line that runs on and", 0, 0, 300, 298), block(1, "goes on below with more of it", 0, 20, 300, 295), block(2, "then it ends here.", 0, 40, 300, 90), block(3, "Another paragraph of", 0, 60, 300, 290),
+            block(4, "indented text begins", 20, 80, 300, 300), block(5, "and the column ends with", 0, 300, 300, 299), block(6, "the next column carrying on", 320, 0, 600, 600)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, block int, kind string, style string, size double, x0 double, y0 double, x1 double, y1 double, lines int, last_x0 double, last_x1 double, first_width double, text string")
+    found = {r["block"]: (r["continues"], r["next_column"]) for r in tf.join_continuations(df).collect()}
+    assert found == {0: (None, False), 1: (0, False), 2: (1, False), 3: (None, False), 4: (None, False), 5: (None, False), 6: (5, True)}
+
+
+def test_stream_table(spark):
+    def seg(line, x0, text, width=40.0):
+        return (1, 0, 0, 100.0, 400.0, line, float(x0), line * 12.0, float(x0 + width), text)
+
+    rows = [seg(0, 0, "Row"), seg(0, 110, "1"), seg(0, 200, "2"), seg(1, 0, "Long"), seg(2, 0, "label"), seg(2, 110, "3"), seg(2, 200, "4"), seg(3, 150, "Part", 10.0), seg(4, 0, "End"), seg(4, 110, "5"), seg(4, 200, "6"), seg(5, 110, "note")]
+    schema = "doc_id int, page int, table_no int, tx0 double, tx1 double, line int, x0 double, y0 double, x1 double, text string"
+    found = [tuple(r)[3:] for r in tf.stream_table(spark.createDataFrame(rows, schema)).orderBy("row", "col").collect()]
+    assert found == [(0, 0, 1, "Row"), (0, 1, 1, "1"), (0, 2, 1, "2"), (1, 0, 1, "Long label"), (1, 1, 1, "3"), (1, 2, 1, "4"), (2, 0, 3, "Part"), (3, 0, 1, "End"), (3, 1, 1, "5"), (3, 2, 1, "6")]
+    sentence = [*rows[:6], seg(3, 0, "A sentence below the table", 300.0), *rows[8:11]]
+    assert tf.stream_table(spark.createDataFrame(sentence, schema)).count() == 0  # fewer than three full lines before it
+
+
+def test_moves_in_an_outline(spark):
+    nodes = spark.createDataFrame([(1, 1, None, 0), (1, 2, None, 1), (1, 3, None, 2), (1, 4, 2, 0), (1, 5, 4, 0)], "tree int, node int, parent int, ord int")
+    move = lambda *rows: spark.createDataFrame([(1, *r) for r in rows], "tree int, node int, target int, at int")
+    placed = lambda moves: {r["node"]: (r["parent"], r["ord"]) for r in ct.move_subtrees(nodes, moves).collect()}
+    assert placed(move((1, None, 2))) == {2: (None, 0), 1: (None, 1), 3: (None, 2), 4: (2, 0), 5: (4, 0)}
+    assert placed(move((4, None, None), (5, None, None))) == {1: (None, 0), 2: (None, 1), 3: (None, 2), 4: (None, 3), 5: (4, 0)}
+    with pytest.raises(Exception, match="below itself"):
+        placed(move((2, 5, None)))
+
+
+def test_standards(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id int")
+    facts = [(1, "print_intent", ""), (1, "print_version", "4"), (1, "trapped", "true"), (1, "version", "1.7"), (2, "xfa", ""), (2, "xfa", ""), (2, "print_version", "3"), (2, "print_intent", ""), (2, "trapped", "false")]
+    found = {tuple(r) for r in au.validate_standard(docs, spark.createDataFrame(facts, "doc_id int, fact string, value string"), "print").collect()}
+    assert found == {(1, "version", "warning", 1), (2, "forms", "error", 2), (2, "metadata", "error", 1)}
+
+
+def test_render_xml_reads_back(spark):
+    import xml.etree.ElementTree as ET
+
+    text = "One two\x01 <&\n\nthree\n" + "\n" * 20 + "four"
+    (found,) = fl.render_xml(dv.doc_lines(spark.createDataFrame([(1, text)], DOCS)).withColumn("page", F.floor(F.col("line_no") / 20).cast("int"))).collect()
+    root = ET.fromstring(found["rendered"])
+    words = [(int(w.get("order")), w.get("id"), w.text) for w in root.iter("word")]
+    assert words == [(0, "w-0-0", "One"), (1, "w-0-1", "two�"), (2, "w-0-2", "<&"), (3, "w-2-0", "three"), (4, "w-23-0", "four")]
+    assert [int(p.get("number")) for p in root.iter("page")] == [0, 1]
+
+
+def test_fold(spark):
+    assert value(spark, fn.fold(F.lit("ÀŽý Ά έ Йogh ñ"))) == "azy α ε иogh n"

@@ -10,7 +10,6 @@ from .lineage import cut
 
 #: Categories that are removed unless the caller says otherwise.
 REMOVED = ("metadata", "files", "scripts", "hidden_layers", "hidden_text", "private_data")
-MOST_DEPTH = 32
 
 
 def hidden_counts(objects: DataFrame, categories: tuple[str, ...]) -> DataFrame:
@@ -72,10 +71,10 @@ def exemption_texts(marks: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def inherited(nodes: DataFrame, attribute: str) -> DataFrame:
-    """nodes (tree, node, parent, name, ...) with full_name and the nearest own or ancestor's attribute, level by level."""
+    """nodes (tree, node, parent, name, ...) with full_name and the nearest own or ancestor's attribute, level by level; nodes on a cycle are unreachable and left out."""
     level = cut(nodes.where("parent is null").select("tree", "node", F.col("name").alias("full_name"), F.col(attribute).alias("value")))
     found = level
-    for _ in range(MOST_DEPTH):
+    while True:
         above = level.select("tree", F.col("node").alias("parent"), F.col("full_name").alias("_f"), F.col("value").alias("_v"))
         level = cut(nodes.join(above, ["tree", "parent"]).select("tree", "node", F.concat_ws(".", "_f", "name").alias("full_name"), F.coalesce(attribute, "_v").alias("value")))
         if level.isEmpty():
@@ -89,7 +88,7 @@ def beads(links: DataFrame) -> DataFrame:
     at = cut(links.select("thread", "bead", F.col("next").alias("to")))
     start = cut(links.where("first").select("thread", "bead", F.lit(0).alias("place")))
     reach, step = start, 1
-    for _ in range(14):
+    while True:
         far = reach.join(at, ["thread", "bead"]).where("to is not null").select("thread", F.col("to").alias("bead"), (F.col("place") + step).alias("place"))
         grown = cut(reach.unionByName(far).groupBy("thread", "bead").agg(F.min("place").alias("place")))
         if grown.count() == reach.count():

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import list_marker
+
 HEADING_RATIO, MOST_LEVELS = 1.15, 3
 
 
@@ -40,7 +42,7 @@ def word_breaks(glyphs: DataFrame, gap: float = 0.2) -> DataFrame:
 def classify_blocks(blocks: DataFrame) -> DataFrame:
     """blocks with kind: list, heading (at least HEADING_RATIO of the body size, at most 120 letters, with a letter) or paragraph."""
     body = blocks.groupBy("doc_id", "size").agg(F.sum(F.length("text")).alias("n")).groupBy("doc_id").agg(F.max_by("size", F.struct("n", -F.col("size"))).alias("body"))
-    marker = F.col("text").rlike(r"^\s*([•●◦▪■‣⁃–*-]|\(?[0-9]{1,3}[.)]|\(?[A-Za-z][.)])\s")
+    marker = list_marker(F.col("text")) != ""
     heading = (F.length("text") <= 120) & F.col("text").rlike(r"\p{L}") & (F.col("size") >= HEADING_RATIO * F.col("body"))
     return blocks.join(body, "doc_id").withColumn("kind", F.when(marker, "list").when(heading, "heading").otherwise("paragraph"))
 

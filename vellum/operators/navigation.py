@@ -9,7 +9,6 @@ from .lineage import cut
 from .pages import global_numbers
 
 HREF = r'<a\s[^>]*href="([^"]*)"'
-MOST_DEPTH = 32
 SAFE = ("http", "https", "mailto")
 
 
@@ -43,11 +42,11 @@ def prune_references(refs: DataFrame, gone: DataFrame) -> DataFrame:
     return refs.join(gone.select(F.col("page").alias("target")), "target", "left_anti")
 
 
-def flatten_outline(nodes: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+def flatten_outline(nodes: DataFrame) -> DataFrame:
     """nodes (tree, node, parent, ord, title) -> with depth and path (titles from the top), level by level; nodes on a cycle are unreachable and left out."""
     level = nodes.where("parent is null").select("tree", "node", F.lit(0).alias("depth"), F.array("title").alias("path"), F.array("ord").alias("place"))
     found = level
-    for _ in range(most_depth):
+    while True:
         above = level.select("tree", F.col("node").alias("parent"), "depth", "path", "place")
         below = nodes.join(above, ["tree", "parent"])
         level = cut(below.select("tree", "node", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("title")).alias("path"), F.concat("place", F.array("ord")).alias("place")))
@@ -68,7 +67,7 @@ def space_audit(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataF
     roots (doc_id, obj, category, priority). Reach grows by one edge a round, keeping the least priority per object.
     """
     reach = now = cut(roots.groupBy("doc_id", "obj").agg(F.min(F.struct("priority", "category")).alias("c")))
-    for _ in range(MOST_DEPTH):
+    while True:  # ends: every round lowers the priority of an object
         more = edges.join(now.withColumnRenamed("obj", "src"), ["doc_id", "src"]).groupBy("doc_id", F.col("dst").alias("obj")).agg(F.min("c").alias("n"))
         now = cut(more.join(reach, ["doc_id", "obj"], "left").where("c is null or n < c").select("doc_id", "obj", F.col("n").alias("c")))
         if now.isEmpty():

@@ -7,23 +7,27 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-MOST_DEPTH = 32
-
 
 def threads(comments: DataFrame) -> DataFrame:
     """comments that are no status rows, with root and depth: parents are followed by doubling the distance each round.
 
-    A parent that is missing, or a status row, makes a root. After log2(MOST_DEPTH) rounds of joins every chain of up
-    to MOST_DEPTH is resolved; deeper ones, and cycles, end there.
+    A parent that is missing, or a status row, makes a root. A chain of n takes log2(n) rounds. Comments on a cycle of
+    replies, or below one, have no root: each becomes its own, at depth 0.
     """
     own = comments.where(~F.col("is_status"))
     names = own.select(F.col("doc_id"), F.col("name").alias("parent")).distinct().withColumn("_there", F.lit(True))
     up = own.join(names, ["doc_id", "parent"], "left").select(*own.columns, F.when(F.col("_there"), F.col("parent")).alias("_up"))
-    jump = up.select("doc_id", "name", F.coalesce("_up", "name").alias("root"), F.when(F.col("_up").isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(MOST_DEPTH.bit_length()):
-        far = jump.select("doc_id", F.col("name").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        jump = jump.join(far, ["doc_id", "root"]).select("doc_id", "name", F.col("_root").alias("root"), F.when(F.col("_root") == F.col("root"), F.col("depth")).otherwise(F.col("depth") + F.col("_depth")).alias("depth"))
-    return own.join(jump, ["doc_id", "name"])
+    jump = cut(up.select("doc_id", "name", F.coalesce("_up", "name").alias("root"), F.when(F.col("_up").isNull(), 0).otherwise(1).alias("depth"), F.col("_up").isNull().alias("done")).dropDuplicates(["doc_id", "name"]))
+    left = jump.where("not done").count()
+    while left:
+        far = jump.select("doc_id", F.col("name").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        moved = jump.where("not done").join(far, ["doc_id", "root"]).select("doc_id", "name", F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
+        jump = cut(jump.where("done").unionByName(moved))
+        before, left = left, jump.where("not done").count()
+        if left == before:  # what does not get nearer to a root is on a cycle or below one
+            break
+    settled = jump.select("doc_id", "name", F.when(F.col("done"), F.col("root")).otherwise(F.col("name")).alias("root"), F.when(F.col("done"), F.col("depth")).otherwise(0).alias("depth"))
+    return own.join(settled, ["doc_id", "name"])
 
 
 def thread_texts(threaded: DataFrame) -> DataFrame:
@@ -111,9 +115,8 @@ def apply_edits(comments: DataFrame, edits: DataFrame) -> DataFrame:
     gone = checked.where("action = 'delete'").select("doc_id", "name")
     found = gone
     links = comments.where("parent is not null").select("doc_id", "name", "parent")
-    for _ in range(MOST_DEPTH):
-        below = links.join(found.withColumnRenamed("name", "parent"), ["doc_id", "parent"], "left_semi").select("doc_id", "name")
-        below = cut(below)
+    while True:
+        below = cut(links.join(found.withColumnRenamed("name", "parent"), ["doc_id", "parent"], "left_semi").select("doc_id", "name").join(gone, ["doc_id", "name"], "left_anti"))
         if below.isEmpty():
             break
         gone, found = gone.unionByName(below), below

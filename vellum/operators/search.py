@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 CONTEXT_WORDS, HIT_CAP = 8, 500
 #: A word's ends: letters, digits, marks and underscores on neither side, nor an apostrophe that joins letters.
 BEFORE, AFTER = r"(?<![\p{L}\p{N}\p{M}_])(?<![\p{L}\p{N}]['’])", r"(?![\p{L}\p{N}\p{M}_])(?!['’][\p{L}\p{N}])"
-_MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)"
 #: The patterns of personal data.
 PII = {
     "ssn": r"\b\d{3}[- ]\d{2}[- ]\d{4}\b",
     "phone": r"(?<![\d-])(?:\+?1[-. ]?)?(?:\(\d{3}\)\s?|\d{3}[-. ])\d{3}[-. ]\d{4}(?![\d-])",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "card": r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)",
-    "date": rf"\b(?:\d{{1,2}}[/.-]\d{{1,2}}[/.-](?:\d{{4}}|\d{{2}})|\d{{4}}-\d{{2}}-\d{{2}}|{_MONTH}[a-z]*\.? \d{{1,2}},? \d{{4}}|\d{{1,2}} {_MONTH}[a-z]* \d{{4}})\b",
+    "date": r"\b(?:\d{1,2}[/.-]\d{1,2}[/.-](?:\d{4}|\d{2})|\d{4}-\d{2}-\d{2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.? \d{1,2},? \d{4}|\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]* \d{4})\b",
 }
 
 

@@ -124,7 +124,7 @@ def table_merged_cells(spark: SparkSession, d: str) -> DataFrame:
     return iv.merged_cells(rows.withColumn("ruled", F.length("t") % 3 != 0))
 
 
-@query("form_blank_fields", B + """ SELECT doc_id, block_no AS box, CASE WHEN words BETWEEN 1 AND 2 THEN 'checkbox' ELSE 'text' END AS kind FROM blocks WHERE words BETWEEN 1 AND 51 AND block_no % 2 = 0 AND block_no < 200""")
+@query("form_blank_fields", B + """ SELECT doc_id, block_no AS box, CASE WHEN words BETWEEN 1 AND 2 THEN 'checkbox' ELSE 'text' END AS kind FROM blocks WHERE words BETWEEN 1 AND 51 AND block_no % 2 = 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words, block_no) <= 200""")
 def form_blank_fields(spark: SparkSession, d: str) -> DataFrame:
     b = blocks(spark, d)
     y = F.col("block_no") * 20.0
@@ -173,8 +173,10 @@ def fn_signs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", ge.superscript(key).alias("raised"), ge.drop_leaders(F.concat("c_name", F.lit(" ..... "), key)).alias("leaders"), fn.initials(F.col("c_mktsegment")).alias("initials"))
 
 
-@query("order_listed", """SELECT r_regionkey AS id, (row_number() OVER (ORDER BY CASE r_regionkey WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 9 END, r_regionkey) - 1)::INT AS place FROM region""")
+@query("order_listed", """SELECT o_orderkey AS id, (row_number() OVER (ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey % 1000 ELSE 9999 END, o_orderkey) - 1)::INT AS place FROM orders""")
 def order_listed(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_regionkey").alias("o"))
-    listed = r.where("id in (1, 3)").select("id", F.when(F.col("id") == 3, 0).otherwise(1).alias("pos"))
-    return nv.order_list(r, "id", listed, "o").select("id", "place")
+    """Urgent orders first, by the last digits of their keys."""
+    o = table(spark, d, "orders")
+    listed = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 1000).cast("int").alias("pos"))
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("o"))
+    return nv.order_list(rows, "id", listed, "o").select("id", "place")

@@ -118,7 +118,7 @@ def layout_wrapped_headings(spark: SparkSession, d: str) -> DataFrame:
     return ly.merge_wrapped(headings(spark, d))
 
 
-@query("layout_columns", G + """, w AS (SELECT doc_id, page, line_no, min(x0) AS x0, max(x1) AS x1 FROM glyphs WHERE glyph_no // 40 % 2 = 0 GROUP BY doc_id, page, line_no, glyph_no // 40),
+@query("layout_columns", G + """, w AS (SELECT doc_id, page, line_no, min(x0) + glyph_no // 40 * 48 AS x0, max(x1) + glyph_no // 40 * 48 AS x1 FROM glyphs GROUP BY doc_id, page, line_no, glyph_no // 40),
 m AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page ORDER BY x0, x1, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
 c AS (SELECT *, sum(CASE WHEN x0 > reach + 24 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY x0, x1, line_no ROWS UNBOUNDED PRECEDING) AS col FROM m)
 SELECT doc_id, page, col::BIGINT AS "column", count(*) AS n FROM c GROUP BY ALL""")
@@ -145,14 +145,14 @@ def layout_linked(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("layout_dehyphenate", "WITH " + dv.TOKENS_SQL + """, b AS (SELECT doc_id, key AS a, lead(key) OVER (PARTITION BY doc_id, page ORDER BY pos) AS c, pos FROM tokens), v AS (SELECT key AS word FROM tokens UNION SELECT a || '-' || c FROM b WHERE pos % 10 = 0 AND c IS NOT NULL)
-SELECT doc_id, a AS first, c AS second, CASE WHEN a || c NOT IN (FROM v) AND a || '-' || c IN (FROM v) THEN a || '-' || c ELSE a || c END AS joined FROM b WHERE pos % 10 IN (0, 5) AND c IS NOT NULL""")
+SELECT doc_id, a AS first, c AS second, CASE WHEN a || c NOT IN (FROM v) AND a || '-' || c IN (FROM v) THEN a || '-' || c ELSE a || c END AS joined FROM b WHERE c IS NOT NULL""")
 def layout_dehyphenate(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     t = dv.tokens(dv.doc_pages(table(spark, d, "documents")))
     b = t.select("doc_id", F.col("key").alias("first"), F.lead("key").over(Window.partitionBy("doc_id", "page").orderBy("pos")).alias("second"), "pos").where("second is not null")
     vocabulary = t.select(F.col("key").alias("word")).unionByName(b.where("pos % 10 = 0").select(F.concat_ws("-", "first", "second").alias("word")))
-    return ly.dehyphenate(b.where("pos % 10 in (0, 5)").select("doc_id", "first", "second"), vocabulary)
+    return ly.dehyphenate(b.select("doc_id", "first", "second"), vocabulary)
 
 
 @query("layout_reading_order")
@@ -179,7 +179,7 @@ def table_headers(spark: SparkSession, d: str) -> DataFrame:
     return ly.header_rows(cells(spark, d).withColumn("bold", F.length("text") < 8))
 
 
-@query("table_names", CELLS + """, s AS (SELECT *, lag(text) OVER (PARTITION BY "table", col ORDER BY "row") AS before FROM cells WHERE col < 3)
+@query("table_names", CELLS + """, s AS (SELECT *, lag(text) OVER (PARTITION BY "table", col ORDER BY "row") AS before FROM cells)
 SELECT "table", col, coalesce(string_agg(text, ' / ' ORDER BY "row") FILTER (text <> '' AND text IS DISTINCT FROM before), '') AS name FROM s GROUP BY ALL""")
 def table_names(spark: SparkSession, d: str) -> DataFrame:
     return ly.flatten_header(cells(spark, d))

@@ -89,9 +89,11 @@ def fn_escapes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fn_markdown_inline", r"""
 WITH """ + dv.LINES_SQL + r"""
-SELECT doc_id, line_no, regexp_replace(text, '([\\`*_\[\]<>|~])', '\\\1', 'g') AS markdown FROM doc_lines WHERE NOT regexp_matches(text, '^\s*(#|[-+]|=|[0-9])')""")
+SELECT doc_id, line_no, CASE WHEN regexp_matches(t, '\A\s*[0-9]{1,9}[.)](\s|\z)') THEN regexp_replace(t, '\A(\s*[0-9]+)', '\1\\')
+  WHEN regexp_matches(t, '\A\s*(#{1,6}(\s|\z)|[+-](\s|\z)|=+\s*\z|-{3,}\s*\z)') THEN regexp_replace(t, '\A(\s*)', '\1\\') ELSE t END AS markdown
+FROM (SELECT doc_id, line_no, regexp_replace(text, '([\\`*_\[\]<>|~])', '\\\1', 'g') AS t FROM doc_lines)""")
 def fn_markdown_inline(spark: SparkSession, d: str) -> DataFrame:
-    return dv.doc_lines(table(spark, d, "documents")).where(~F.col("text").rlike(r"^\s*(#|[-+]|=|[0-9])")).select("doc_id", "line_no", fn.escape_markdown(F.col("text")).alias("markdown"))
+    return dv.doc_lines(table(spark, d, "documents")).select("doc_id", "line_no", fn.escape_markdown(F.col("text")).alias("markdown"))
 
 
 @query("fn_fold_keys", r"""
@@ -111,8 +113,8 @@ def fn_safe_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fn_page_labels", """
 SELECT doc_id, doc_id % 40 + 1 AS n, 'A-' || (doc_id % 40 + 1) AS decimal_label, repeat(chr((97 + doc_id % 40 % 26)::INT), (doc_id % 40 // 26 + 1)::INT) AS letter_label,
-  repeat('x', ((doc_id % 40 + 1) // 10)::INT) || CASE (doc_id % 40 + 1) % 10 WHEN 0 THEN '' WHEN 1 THEN 'i' WHEN 2 THEN 'ii' WHEN 3 THEN 'iii' WHEN 4 THEN 'iv' WHEN 5 THEN 'v' WHEN 6 THEN 'vi' WHEN 7 THEN 'vii' WHEN 8 THEN 'viii' ELSE 'ix' END AS roman_label
-FROM documents WHERE doc_id % 40 < 39""")
+  CASE WHEN doc_id % 40 = 39 THEN 'xl' ELSE repeat('x', ((doc_id % 40 + 1) // 10)::INT) END || CASE (doc_id % 40 + 1) % 10 WHEN 0 THEN '' WHEN 1 THEN 'i' WHEN 2 THEN 'ii' WHEN 3 THEN 'iii' WHEN 4 THEN 'iv' WHEN 5 THEN 'v' WHEN 6 THEN 'vi' WHEN 7 THEN 'vii' WHEN 8 THEN 'viii' ELSE 'ix' END AS roman_label
+FROM documents""")
 def fn_page_labels(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id") % 40 + 1
     return table(spark, d, "documents").select("doc_id", n.alias("n"), fn.page_label(F.lit("D"), F.lit("A-"), n).alias("decimal_label"), fn.page_label(F.lit("a"), F.lit(""), n).alias("letter_label"), fn.page_label(F.lit("r"), F.lit(None), n).alias("roman_label"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import intake_queries, inventory_queries, layout_queries, navigation_queries, page_queries, review_queries, text_queries  # noqa: F401
+from .plans import flow_queries, intake_queries, inventory_queries, layout_queries, navigation_queries, page_queries, review_queries, text_queries  # noqa: F401
 from .plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

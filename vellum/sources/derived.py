@@ -71,9 +71,9 @@ BLOCKS_SQL = LINES_SQL + r""",
 blocks0 AS (SELECT doc_id, (line_no // 20)::INT AS page, line_no AS block_no, text, len(regexp_extract_all(text, '[^ \t-\r]+'))::INT AS words FROM doc_lines),
 blocks AS (SELECT *, CASE WHEN words <= 3 THEN 14.0 WHEN words <= 6 THEN 12.0 ELSE 10.0 END::DOUBLE AS size FROM blocks0)"""
 GLYPHS_SQL = LINES_SQL + r""",
-glyphs0 AS (SELECT doc_id, line_no, unnest(range(0, least(length(text), 200)))::INT AS glyph_no, text FROM doc_lines WHERE text <> ''),
+glyphs0 AS (SELECT doc_id, line_no, unnest(range(0, len(string_split(text, ''))))::INT AS glyph_no, unnest(string_split(text, '')) AS ch FROM doc_lines WHERE text <> ''),
 glyphs AS (
-  SELECT doc_id, (line_no // 20)::INT AS page, line_no, glyph_no, substr(text, glyph_no + 1, 1) AS ch, glyph_no * 6.0::DOUBLE AS x0, (line_no % 20) * 12.0::DOUBLE AS y0,
+  SELECT doc_id, (line_no // 20)::INT AS page, line_no, glyph_no, ch, glyph_no * 6.0::DOUBLE AS x0, (line_no % 20) * 12.0::DOUBLE AS y0,
     glyph_no * 6.0::DOUBLE + 6 AS x1, (line_no % 20) * 12.0::DOUBLE + 10 AS y1, 10.0::DOUBLE AS size FROM glyphs0)"""
 COMMENTS_SQL = r"""comments AS (
   SELECT conv_id AS doc_id, turn AS idx, (turn // 3)::INT AS page, conv_id || '-' || turn AS name, CASE WHEN turn > 0 THEN conv_id || '-' || (turn - 1) END AS parent,

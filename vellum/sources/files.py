@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_html, escape_markdown
@@ -67,3 +67,30 @@ def chapters(blocks: DataFrame) -> DataFrame:
 def conversion_report(warnings: DataFrame) -> DataFrame:
     """code, page, count of warning rows (code, page, n)."""
     return warnings.groupBy("code", "page").agg(F.sum("n").alias("count"))
+
+
+def write_tables(cells: DataFrame, texts: DataFrame, folder: str) -> None:
+    """cells (doc_id, table_no, row, col, text) to a folder per logical table, and all other nodes (doc_id, flow_no, page, kind, text) to one relation in reading order."""
+    cells.repartition("doc_id", "table_no").sortWithinPartitions("doc_id", "table_no", "row", "col").write.partitionBy("doc_id", "table_no").parquet(f"{folder}/tables")
+    texts.repartitionByRange("doc_id", "flow_no").sortWithinPartitions("doc_id", "flow_no").write.parquet(f"{folder}/text")
+
+
+#: Characters that XML 1.0 cannot hold.
+NOT_XML = "[^\\t\\n\\r\\x20-\\x{D7FF}\\x{E000}-\\x{FFFD}\\x{10000}-\\x{10FFFF}]"
+
+
+def render_xml(lines: DataFrame) -> DataFrame:
+    """doc_id, rendered: pages, lines and words of a document as nested XML; words have ids and a reading order through the document.
+
+    lines: doc_id, page, line_no, text. What XML cannot hold becomes U+FFFD.
+    """
+    clean = F.regexp_replace("text", NOT_XML, "\ufffd")
+    words = F.filter(F.split(clean, r"[ \t-\r]+"), lambda w: w != "")
+    rows = lines.select("doc_id", "page", "line_no", words.alias("words")).where(F.size("words") > 0)
+    before = F.sum(F.size("words")).over(Window.partitionBy("doc_id").orderBy("line_no")) - F.size("words")
+    word = lambda w, i: F.struct(F.concat_ws("-", F.lit("w"), "line_no", i).alias("_id"), (F.col("before") + i).alias("_order"), w.alias("_VALUE"))
+    line = F.struct(F.concat(F.lit("l-"), "line_no").alias("_id"), F.transform("words", word).alias("word"))
+    pages = rows.withColumn("before", before).groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    page = F.struct(F.col("page").alias("_number"), F.col("lines").alias("line"))
+    docs = pages.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", page.alias("p")))), lambda x: x["p"]).alias("pages"))
+    return docs.select("doc_id", F.to_xml(F.struct(F.col("pages").alias("page")), {"rowTag": "document"}).alias("rendered"))
