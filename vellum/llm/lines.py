@@ -101,9 +101,10 @@ def shortest_runs(rows: DataFrame, levels: int, min_words: int) -> DataFrame:
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """d, h, deleted (places of the lines to delete) of every document with any."""
     s = Scratch(docs.sparkSession)
-    every = line_rows(documents(docs, s))
+    every = s.save(line_rows(documents(docs, s)))
     total = every.count()
     rows = s.save(ranked(every, ["x", "y"], "r0", total, s))
+    s.free(every)
     levels = int(math.log2(max(min_words, 1)))
     for level in range(1, levels + 1):
         before, rows = rows, doubled(rows, level, total, s)
