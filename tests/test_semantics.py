@@ -376,3 +376,12 @@ def test_render_xml_reads_back(spark):
 
 def test_fold(spark):
     assert value(spark, fn.fold(F.lit("ÀŽý Ά έ Йogh ñ"))) == "azy α ε иogh n"
+
+
+def test_labels_of_fields(spark):
+    b = [(1, 0, 0, 0, 0, 50, "Name:"), (1, 0, 1, 60, 40, 100, "City"), (1, 0, 2, 60, 62, 100, "(town)"), (1, 0, 3, 30, 100, 90, "Yes, I agree"), (1, 0, 4, 0, 140, 50, "Left"), (1, 0, 5, 60, 122, 100, "Right over"), (1, 0, 6, 300, 300, 340, "far")]
+    f = [(1, 0, 0, "text", None, 60, 0, 160), (1, 0, 1, "text", None, 60, 52, 160), (1, 0, 2, "checkbox", None, 10, 100, 20), (1, 0, 3, "text", "the left one", 60, 140, 160), (1, 0, 4, "text", "tip", 400, 500, 450), (1, 0, 5, "text", None, 170, 0, 220), (1, 0, 6, "signature", None, 60, 300, 160)]
+    blocks = spark.createDataFrame([(d, p, k, float(x0), float(y), float(x1), y + 10.0, 10.0, t) for d, p, k, x0, y, x1, t in b], "doc_id long, page int, block int, x0 double, y0 double, x1 double, y1 double, size double, text string")
+    fields = spark.createDataFrame([(d, p, k, kind, tip, float(x0), float(y), float(x1), y + 10.0) for d, p, k, kind, tip, x0, y, x1 in f], "doc_id long, page int, field int, kind string, tooltip string, x0 double, y0 double, x1 double, y1 double")
+    found = {r["field"]: (r["label"], r["source"], r["ambiguous"]) for r in fm.pair_labels(fields, blocks).collect()}
+    assert found == {0: ("Name:", "left", False), 1: ("City (town)", "above", False), 2: ("Yes, I agree", "right", False), 3: ("Right over", "above", False), 4: ("tip", "tooltip", False), 5: ("Name:", "left_shared", False), 6: (None, "none", False)}

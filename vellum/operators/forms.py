@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,3 +77,97 @@ def two_passes(forms: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
         for name, expression in rules:
             before = before.withColumn(name, notation(expression, {c: F.coalesce(F.col(c), F.lit(0.0)) for c in forms.columns}))
     return before.withColumn("changed", F.array_join(F.array_compact(F.array(*(F.when(~F.col(n).eqNullSafe(F.col(f"_was.{n}")), n) for n in names))), ",")).drop("_was")
+
+
+#: What each place of a label adds to its distance, and how far it may lie, in font sizes.
+PENALTIES = {"inside": 0.0, "right": 0.0, "left": 0.5, "above": 0.5, "below": 0.6, "caption": 0.7, "right_hint": 0.8}
+REACH = {"above": 1.5, "below": 1.2, "left": 6.0, "right": 3.0}
+SUPPLEMENTS = ("below", "right_hint")
+RIVALS, MOST_LABEL = 0.15, 220
+
+
+def label_candidates(fields: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, page, field, block, source, score, text: every block that may label a field by where it stands; see pair_labels()."""
+    place = ["doc_id", "page"]
+    size = blocks.groupBy(*place).agg(F.median("size").alias("s"))
+    b = blocks.join(size, place).select(*place, "block", "text", "s", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
+    check = F.col("kind").isin("checkbox", "radio")
+    row = (F.least("y1", "by1") - F.greatest("y0", "by0") >= 0.3 * F.least(F.col("y1") - F.col("y0"), F.col("by1") - F.col("by0"))) | (F.abs(F.col("by0") + F.col("by1") - F.col("y0") - F.col("y1")) / 2 <= 0.6 * (F.col("y1") - F.col("y0")))
+    right = F.col("bx0") - F.col("x1")
+    boxes = fields.where(check).select(*place, "x0", "y0", "x1", "y1")
+    owned = b.join(boxes, place).where(row & right.between(0, 3 * F.col("s"))).select(*place, "block").distinct().withColumn("owned", F.lit(True))
+    near = fields.where(~F.col("kind").isin("button", "signature")).join(b.join(owned, [*place, "block"], "left"), place)
+
+    left, above, below = F.col("x0") - F.col("bx1"), F.col("y0") - F.col("by1"), F.col("by0") - F.col("y1")
+    width, words = F.col("bx1") - F.col("bx0"), F.size(F.split(F.trim("text"), r"\s+"))
+    over = F.least("x1", "bx1") - F.greatest("x0", "bx0")
+    free = F.col("owned").isNull() & (F.length("text") <= MOST_LABEL)
+    within = lambda gap, side: gap.between(-2, REACH[side] * F.col("s"))
+    middle = (F.col("by0") + F.col("by1")) / 2
+    rules = {  # source: (kind of field, condition, distance in font sizes or what stands for it)
+        "right": (check, row & within(right, "right"), right / F.col("s")),
+        "left": (check, row & within(left, "right"), left / F.col("s") + 0.3),
+        "inside": (~check, free & (F.col("bx0") >= F.col("x0")) & (F.col("bx1") <= F.col("x1")) & (F.col("by0") >= F.col("y0") - 1) & (F.col("by1") <= F.col("y1") + 1), F.lit(0.0)),
+        "above": (~check, free & (over >= 0.5 * width) & within(above, "above"), above / F.col("s") + F.greatest(F.col("bx0") - F.col("x0"), F.lit(0.0)) / F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0))),
+        "below": (~check, free & (over >= 0.5 * width) & within(below, "below") & (words <= 4) & ~F.rtrim("text").endswith(":"), below / F.col("s")),
+        "caption": (~check, free & F.col("text").contains(":") & F.col("bx0").between(F.col("x0") - 3 * F.col("s"), F.col("x1")) & (over >= 0.3 * width) & middle.between((F.col("y0") + F.col("y1")) / 2, F.col("y1") + REACH["below"] * F.col("s")), F.greatest(middle - F.col("y1"), F.lit(0.0)) / F.col("s")),
+        "right_hint": (~check, free & row & within(right, "right") & (words <= 3) & (F.col("text").startswith("(") | (F.length("text") <= 14)), right / F.col("s") - F.when(F.col("text").startswith("("), 0.4).otherwise(0.0)),
+    }
+    rules["beside"] = (~check, free & row & within(left, "left"), left / F.col("s"))
+    each = [F.when(kind & where, F.struct(F.lit("left" if name == "beside" else name).alias("source"), (F.greatest(distance, F.lit(0.0)) + PENALTIES["left" if name == "beside" else name]).alias("score"))) for name, (kind, where, distance) in rules.items()]
+    found = near.select(*place, "field", "tooltip", "block", "text", F.explode(F.array_compact(F.array(*each))).alias("c"))
+    return found.select(*place, "field", "tooltip", "block", "text", "c.source", "c.score")
+
+
+def pair_labels(fields: DataFrame, blocks: DataFrame) -> DataFrame:
+    """fields (doc_id, page, field, kind, tooltip, x0, y0, x1, y1) with label, source and ambiguous, from blocks (doc_id, page, block, x0, y0, x1, y1, size, text).
+
+    Candidates are made and scored by a join within the page. In the order of their scores each block labels one field; a
+    field whose best ones lie within RIVALS of each other takes the one that its tooltip agrees with, or is ambiguous.
+    Blocks below a field and hints at its right are added to its label. Then text fields without one share that of the
+    nearest field at their left in the same row; what is left takes its tooltip. The choice is ordered, so it runs per
+    page, on candidates only.
+    """
+    place = ["doc_id", "page"]
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        bare = lambda t: " ".join(re.sub(r"\W+", " ", t or "").lower().split())
+        every = list(part.sort_values(["score", "field", "block"]).itertuples())
+        used: set = set()
+        main, more, unclear = {}, {}, set()
+        for c in every:
+            extra = c.source in SUPPLEMENTS
+            if c.block in used or (c.field in more if extra else c.field in main or c.field in unclear):
+                continue
+            if not extra:
+                rivals = [o for o in every if o.field == c.field and o.source not in SUPPLEMENTS and o.block not in used and abs(o.score - c.score) <= RIVALS and o.text != c.text]
+                if rivals:
+                    tip = bare(c.tooltip)
+                    agree = [o for o in (c, *rivals) if tip and (tip in bare(o.text) or bare(o.text) in tip)]
+                    if len(agree) != 1:
+                        unclear.add(c.field)
+                        continue
+                    c = agree[0]
+            used.add(c.block)
+            (more if extra else main)[c.field] = c
+        found = []
+        for f in {c.field for c in every}:
+            if f in main:
+                label = main[f].text.strip() + (" " + more[f].text.strip() if f in more else "")
+                found.append((f, label, main[f].source, False))
+            elif f in more and more[f].source == "below":
+                found.append((f, more[f].text.strip(), "below", False))
+            elif f in unclear:
+                found.append((f, None, None, True))
+        out = pd.DataFrame(found, columns=["field", "label", "source", "ambiguous"])
+        return out.assign(doc_id=part.doc_id.iloc[0], page=part.page.iloc[0])[[*place, "field", "label", "source", "ambiguous"]]
+
+    chosen = label_candidates(fields, blocks).groupBy(*place).applyInPandas(choose, "doc_id long, page int, field int, label string, source string, ambiguous boolean")
+    paired = fields.join(chosen, [*place, "field"], "left")
+    mate = paired.where(F.col("label").isNotNull() & F.col("source").isin("left", "inside", "above", "caption")).select(*place, F.col("x1").alias("_x1"), F.col("y0").alias("_y0"), F.col("y1").alias("_y1"), F.col("label").alias("_label"), F.col("source").alias("_source"))
+    alone = paired.where(F.col("label").isNull() & ~F.coalesce("ambiguous", F.lit(False)) & ~F.col("kind").isin("checkbox", "radio", "button", "signature"))
+    beside = (F.col("_x1") <= F.col("x0") + 2) & (F.least("y1", "_y1") - F.greatest("y0", "_y0") >= 0.5 * F.least(F.col("y1") - F.col("y0"), F.col("_y1") - F.col("_y0")))
+    shared = alone.join(mate, place).where(beside).groupBy(*place, "field").agg(F.max_by(F.struct("_label", "_source"), "_x1").alias("_m"))
+    label = F.coalesce("label", "_m._label", F.col("tooltip"))
+    source = F.when(F.col("label").isNotNull(), F.col("source")).when(F.col("_m").isNotNull(), F.concat("_m._source", F.lit("_shared"))).when(F.col("tooltip").isNotNull(), "tooltip").otherwise("none")
+    return paired.join(shared, [*place, "field"], "left").select(*fields.columns, label.alias("label"), source.alias("source"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))

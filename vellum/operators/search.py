@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.derived import token_keys
+
 CONTEXT_WORDS, HIT_CAP = 8, 500
 #: A word's ends: letters, digits, marks and underscores on neither side, nor an apostrophe that joins letters.
 BEFORE, AFTER = r"(?<![\p{L}\p{N}\p{M}_])(?<![\p{L}\p{N}]['’])", r"(?![\p{L}\p{N}\p{M}_])(?!['’][\p{L}\p{N}])"
@@ -18,6 +20,10 @@ PII = {
 }
 
 
+#: A text without this has no match.
+NEEDS = {"email": "@"}
+
+
 def quoted(text: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c != " " and ord(c) < 128 else c for c in text)
 
@@ -68,20 +74,27 @@ def search_page(hits: DataFrame, order: list[str], after: tuple | None, limit: i
     return numbered.where(F.col("_n") <= limit).withColumn("complete", F.col("_all") <= limit).drop("_n", "_all")
 
 
-def proximity_search(tokens: DataFrame, terms: list[str], within: int) -> DataFrame:
+def proximity_search(pages: DataFrame, terms: list[str], within: int) -> DataFrame:
     """doc_id, page, start, stop of each hit of the first term with every other term within that many words.
 
-    One pass over each page's words: only tokens that equal a term are kept, then joined by page and by blocks of
-    positions, so that only near tokens meet.
+    pages: doc_id, page, text. All lies within one page's row: around each hit of the first term a slice of the page's words
+    is searched for the first occurrence of every other one; nothing is shuffled. Pages without all terms are not split.
     """
-    hits = tokens.where(F.col("key").isin(terms)).select("doc_id", "page", "pos", "key")
-    block = F.floor(F.col("pos") / (within + 1))
-    left = hits.where(F.col("key") == terms[0]).select("doc_id", "page", F.col("pos").alias("pos0"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    right = hits.where(F.col("key").isin(terms[1:])).withColumn("block", block)
-    near = left.join(right, ["doc_id", "page", "block"]).where(F.abs(F.col("pos") - F.col("pos0")) <= within)
-    each = near.groupBy("doc_id", "page", "pos0", "key").agg(F.min("pos").alias("pos"))
-    spans = each.groupBy("doc_id", "page", "pos0").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    return spans.where(F.col("n") == len(set(terms[1:]))).select("doc_id", "page", F.least("pos0", "lo").alias("start"), F.greatest("pos0", "hi").alias("stop"))
+    first, rest = terms[0], sorted(set(terms[1:]))
+    may = pages
+    for t in (first, *rest):
+        may = may.where(F.lower("text").contains(t))
+    keys = may.select("doc_id", "page", token_keys(F.col("text")).alias("keys"))
+    at = F.filter(F.transform("keys", lambda k, i: F.when(k == first, i)), lambda p: p.isNotNull())
+
+    def hit(p: Column) -> Column:
+        begin = F.greatest(p - within, F.lit(0))
+        near = F.slice("keys", begin + 1, p + within - begin + 1)
+        return F.struct(p.alias("pos"), F.array(*(F.when(F.array_contains(near, t), (begin + F.array_position(near, t) - 1).cast("int")) for t in rest)).alias("others"))
+
+    rows = keys.select("doc_id", "page", F.explode(F.transform(at, hit)).alias("h")).where(F.forall("h.others", lambda p: p.isNotNull()))
+    ends = F.concat(F.array("h.pos"), F.col("h.others"))
+    return rows.select("doc_id", "page", F.array_min(ends).alias("start"), F.array_max(ends).alias("stop"))
 
 
 def stem_search(tokens: DataFrame, term: str, lemmas: DataFrame) -> DataFrame:
@@ -103,24 +116,31 @@ def luhn(text: Column) -> Column:
     return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
-def find_pii(units: DataFrame, kinds: tuple[str, ...] = tuple(PII), text_col: str = "text") -> DataFrame:
-    """units' columns but the text, kind, found."""
-    rest = [c for c in units.columns if c != text_col]
+def pii_hits(text: Column, kinds: tuple[str, ...] = tuple(PII)) -> Column:
+    """array<struct<kind, found>> of a text; cards only where the checksum holds."""
 
     def of(kind: str) -> Column:
-        return F.transform(F.regexp_extract_all(text_col, F.lit(f"({PII[kind]})"), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found")))
+        found = F.transform(F.regexp_extract_all(text, F.lit(f"({PII[kind]})"), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found")))
+        if kind == "card":
+            found = F.filter(found, lambda h: luhn(h["found"]))
+        return F.when(text.contains(NEEDS[kind]), found).otherwise(F.array().cast("array<struct<kind:string,found:string>>")) if kind in NEEDS else found
+
+    return F.flatten(F.array(*map(of, kinds)))
+
 
-    hits = F.flatten(F.array(*map(of, kinds)))
-    rows = units.select(*rest, F.explode(hits).alias("hit")).select(*rest, "hit.kind", "hit.found")
-    return rows.where((F.col("kind") != "card") | luhn(F.col("found")))
+def find_pii(units: DataFrame, kinds: tuple[str, ...] = tuple(PII), text_col: str = "text") -> DataFrame:
+    """units' columns but the text, kind, found."""
+    rest = [c for c in units.columns if c != text_col]
+    return units.select(*rest, F.explode(pii_hits(F.col(text_col), kinds)).alias("hit")).select(*rest, "hit.kind", "hit.found")
 
 
 def mask_pii(text: Column, kinds: tuple[str, ...] = tuple(PII), overlay: str = "█") -> Column:
-    """text with every accepted match replaced; cards only where the checksum holds."""
+    """text with every accepted match replaced; cards only where the checksum holds, and not inside longer digit runs."""
     for kind in kinds:
         if kind == "card":
             cards = F.filter(F.regexp_extract_all(text, F.lit(f"({PII[kind]})"), F.lit(1)), luhn)
-            text = F.aggregate(cards, text, lambda t, c: F.replace(t, c, F.lit(overlay)))
+            text = F.aggregate(cards, text, lambda t, c: F.regexp_replace(t, F.concat(F.lit(r"(?<!\d)\Q"), c, F.lit(r"\E(?!\d)")), F.lit(overlay)))
         else:
-            text = F.regexp_replace(text, PII[kind], overlay)
+            masked = F.regexp_replace(text, PII[kind], overlay)
+            text = F.when(text.contains(NEEDS[kind]), masked).otherwise(text) if kind in NEEDS else masked
     return text

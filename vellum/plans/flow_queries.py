@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audits as au
 from ..operators import catalogs as ct
+from ..operators import forms as fm
 from ..operators import lineage as lg
 from ..operators import textflow as tf
 from ..sources import derived as dv
@@ -145,3 +146,15 @@ def tables_sink(spark: SparkSession, d: str) -> DataFrame:
 def render_xml(spark: SparkSession, d: str) -> DataFrame:
     """Tests parse it and hold its words and their order against the texts."""
     return fl.render_xml(lines(spark, d))
+
+
+@query("form_labels", L + r""" SELECT doc_id, (line_no // 20)::INT AS page, line_no AS field, CASE WHEN length(text) <= 220 THEN trim(text, chr(32) || chr(9) || chr(13)) WHEN line_no % 2 = 0 THEN 'tip' END AS label,
+  CASE WHEN length(text) <= 220 THEN 'left' WHEN line_no % 2 = 0 THEN 'tooltip' ELSE 'none' END AS source FROM doc_lines WHERE regexp_matches(text, '[^ \t-\r]')""")
+def form_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every line is a block with a field at its right; texts too long for a label leave the tooltip."""
+    rows = lines(spark, d).where(F.col("text").rlike(r"[^ \t-\r]"))
+    y0 = (F.col("line_no") % dv.LINES_A_PAGE) * 40.0
+    x1 = F.length("text") * 5.0
+    blocks = rows.select("doc_id", "page", F.col("line_no").alias("block"), F.lit(0.0).alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + 10).alias("y1"), F.lit(10.0).alias("size"), "text")
+    fields = rows.select("doc_id", "page", F.col("line_no").alias("field"), F.lit("text").alias("kind"), F.when(F.col("line_no") % 2 == 0, "tip").alias("tooltip"), (x1 + 10).alias("x0"), y0.alias("y0"), (x1 + 60).alias("x1"), (y0 + 10).alias("y1"))
+    return fm.pair_labels(fields, blocks).select("doc_id", "page", "field", "label", "source")

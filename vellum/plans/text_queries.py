@@ -155,7 +155,7 @@ a AS (SELECT * FROM tokens WHERE key = 'the'), b AS (SELECT * FROM tokens WHERE
 e AS (SELECT a.doc_id, a.page, a.pos AS pos0, b.key, min(b.pos) AS pos FROM a JOIN b ON a.doc_id = b.doc_id AND a.page = b.page AND abs(b.pos - a.pos) <= 5 GROUP BY ALL)
 SELECT doc_id, page, least(pos0, min(pos))::INT AS start, greatest(pos0, max(pos))::INT AS stop FROM e GROUP BY doc_id, page, pos0 HAVING count(*) = 2""")
 def search_proximity(spark: SparkSession, d: str) -> DataFrame:
-    return sc.proximity_search(dv.tokens(dv.doc_pages(table(spark, d, "documents"))), ["the", "of", "and"], 5)
+    return sc.proximity_search(dv.doc_pages(table(spark, d, "documents")), ["the", "of", "and"], 5)
 
 
 @query("search_stems", r"""
@@ -217,12 +217,12 @@ def pii_mask(spark: SparkSession, d: str) -> DataFrame:
 SELECT lang, kind, count(*) AS n_found, count(DISTINCT doc_id)::BIGINT AS n_docs, 0::BIGINT AS n_left FROM hits GROUP BY lang, kind""")
 def pii_summary(spark: SparkSession, d: str) -> DataFrame:
     """Found, masked and verified, by language and kind; n_left counts what a search of the masked text still finds."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
     kinds = ("email", "ssn")
-    found = sc.find_pii(docs, kinds).groupBy("lang", "kind", "doc_id").agg(F.count("*").alias("n"))
-    left = sc.find_pii(docs.withColumn("text", sc.mask_pii(F.col("text"), kinds)), kinds).groupBy("lang", "kind").agg(F.count("*").alias("n_left"))
-    by = found.groupBy("lang", "kind").agg(F.sum("n").alias("n_found"), F.count("*").alias("n_docs"))
-    return by.join(left, ["lang", "kind"], "left").select("lang", "kind", "n_found", "n_docs", F.coalesce("n_left", F.lit(0)).cast("long").alias("n_left"))
+    found = table(spark, d, "documents").select("doc_id", "lang", "text", sc.pii_hits(F.col("text"), kinds).alias("hits")).where(F.size("hits") > 0)
+    counted = lambda hits, n, left: F.transform(hits, lambda h: F.struct(h["kind"].alias("kind"), F.lit(n).alias("n"), F.lit(left).alias("left")))
+    both = F.concat(counted(F.col("hits"), 1, 0), counted(sc.pii_hits(sc.mask_pii(F.col("text"), kinds), kinds), 0, 1))
+    by = found.select("lang", "doc_id", F.explode(both).alias("h")).groupBy("lang", "h.kind", "doc_id").agg(F.sum("h.n").alias("n"), F.sum("h.left").alias("left"))
+    return by.groupBy("lang", "kind").agg(F.sum("n").alias("n_found"), F.sum((F.col("n") > 0).cast("long")).alias("n_docs"), F.sum("left").alias("n_left"))
 
 
 @query("verify_removed", "WITH " + dv.PAGES_SQL + r""",

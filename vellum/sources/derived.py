@@ -5,10 +5,12 @@ All are narrow transformations of one row each (no shuffle); a text's parts are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINES_A_PAGE = 20
+#: Punctuation around a word.
+OUTER = r"^[.,;:!?()\[\]\"'|]+|[.,;:!?()\[\]\"'|]+$"
 
 
 def doc_lines(docs: DataFrame) -> DataFrame:
@@ -24,10 +26,21 @@ def doc_pages(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.posexplode(parts).alias("page", "text"))
 
 
+def token_keys(text: Column) -> Column:
+    """The keys of a page's words, in order: lower case without outer punctuation, the word itself if nothing is left."""
+    words = F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
+
+    def key(w: Column) -> Column:
+        bare = F.lower(F.regexp_replace(w, OUTER, ""))
+        return F.when(bare == "", w).otherwise(bare)
+
+    return F.transform(words, key)
+
+
 def tokens(pages: DataFrame) -> DataFrame:
     """doc_id, page, pos (from 0, by page), word, key (lower case without outer punctuation)."""
     words = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
-    key = F.lower(F.regexp_replace("word", r"^[.,;:!?()\[\]\"'|]+|[.,;:!?()\[\]\"'|]+$", ""))
+    key = F.lower(F.regexp_replace("word", OUTER, ""))
     return pages.select("doc_id", "page", F.posexplode(words).alias("pos", "word")).withColumn("key", F.when(key == "", F.col("word")).otherwise(key))
 
 
