@@ -17,6 +17,7 @@ from vellum.operators import navigation as nv
 from vellum.operators import pages as pg
 from vellum.operators import review as rv
 from vellum.operators import search as sc
+from vellum.operators import structure as sr
 from vellum.operators import textflow as tf
 from vellum.plans import actions as ac
 from vellum.registry import QUERIES
@@ -385,3 +386,21 @@ def test_labels_of_fields(spark):
     fields = spark.createDataFrame([(d, p, k, kind, tip, float(x0), float(y), float(x1), y + 10.0) for d, p, k, kind, tip, x0, y, x1 in f], "doc_id long, page int, field int, kind string, tooltip string, x0 double, y0 double, x1 double, y1 double")
     found = {r["field"]: (r["label"], r["source"], r["ambiguous"]) for r in fm.pair_labels(fields, blocks).collect()}
     assert found == {0: ("Name:", "left", False), 1: ("City (town)", "above", False), 2: ("Yes, I agree", "right", False), 3: ("Right over", "above", False), 4: ("tip", "tooltip", False), 5: ("Name:", "left_shared", False), 6: (None, "none", False)}
+
+
+def structure_of(spark, rows):
+    schema = "doc_id long, page int, seg int, l double, b double, r double, t double, size double, bold boolean, figure boolean, text string, width double"
+    df = spark.createDataFrame([(1, 0, k, float(l), float(t - 10), float(r), float(t), float(size), bold, text is None, text or "", 600.0) for k, (l, r, t, size, bold, text) in enumerate(rows)], schema)
+    return [(r["kind"], r["segs"], r["items"]) for r in sr.auto_structure(df).orderBy("no").collect()]
+
+
+def test_structure_of_one_column(spark):
+    rows = [(50, 300, 780, 16, False, "A heading"), (50, 400, 750, 10, False, "text that goes"), (50, 400, 738, 10, False, "on here"), (50, 200, 700, 10, False, "- one"), (50, 200, 686, 10, False, "- two"), (70, 200, 674, 10, False, "wrapped"),
+            (50, 90, 600, 10, False, "a"), (150, 190, 600, 10, False, "b"), (250, 290, 600, 10, False, "c"), (50, 90, 580, 10, False, "d"), (150, 190, 580, 10, False, "e"), (250, 290, 580, 10, False, "f"),
+            (50, 100, 500, 10, False, None), (50, 200, 400, 10, False, "1. only one"), (50, 200, 300, 11, True, "Bold")]
+    assert structure_of(spark, rows) == [("Heading", [0], 0), ("Paragraph", [1, 2], 0), ("List", [3, 4, 5], 2), ("Table", [6, 7, 8, 9, 10, 11], 2), ("Figure", [12], 0), ("Paragraph", [13], 1), ("Heading", [14], 0)]
+
+
+def test_structure_of_two_columns(spark):
+    rows = [(50, 550, 780, 10, False, "a line across both columns that is wide")] + [(50, 280, 700 - 12 * k, 10, False, f"left {k}") for k in range(6)] + [(320, 550, 700 - 12 * k, 10, False, f"right {k}") for k in range(6)]
+    assert structure_of(spark, rows) == [("Paragraph", [0], 0), ("Paragraph", [1, 2, 3, 4, 5, 6], 0), ("Paragraph", [7, 8, 9, 10, 11, 12], 0)]

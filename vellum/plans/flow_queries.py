@@ -11,6 +11,7 @@ from ..operators import audits as au
 from ..operators import catalogs as ct
 from ..operators import forms as fm
 from ..operators import lineage as lg
+from ..operators import structure as st
 from ..operators import textflow as tf
 from ..sources import derived as dv
 from ..sources import files as fl
@@ -158,3 +159,12 @@ def form_labels(spark: SparkSession, d: str) -> DataFrame:
     blocks = rows.select("doc_id", "page", F.col("line_no").alias("block"), F.lit(0.0).alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + 10).alias("y1"), F.lit(10.0).alias("size"), "text")
     fields = rows.select("doc_id", "page", F.col("line_no").alias("field"), F.lit("text").alias("kind"), F.when(F.col("line_no") % 2 == 0, "tip").alias("tooltip"), (x1 + 10).alias("x0"), y0.alias("y0"), (x1 + 60).alias("x1"), (y0 + 10).alias("y1"))
     return fm.pair_labels(fields, blocks).select("doc_id", "page", "field", "label", "source")
+
+
+@query("audit_structure")
+def audit_structure(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as segments of their block's size; order-dependent within a page, tests hold it on literal pages."""
+    b = dv.blocks(table(spark, d, "documents")).where("words > 0")
+    t = 800.0 - (F.col("block_no") % dv.LINES_A_PAGE) * 14.0
+    segments = b.select("doc_id", "page", F.col("block_no").alias("seg"), F.lit(50.0).alias("l"), (t - 10).alias("b"), F.least(50.0 + F.length("text") * 5.0, F.lit(550.0)).alias("r"), t.alias("t"), "size", F.lit(False).alias("bold"), F.lit(False).alias("figure"), "text", F.lit(600.0).alias("width"))
+    return st.auto_structure(segments)
