@@ -187,6 +187,11 @@ def test_bpe_equals_the_library(library):
         assert own.decode(ids) == library.decode(e.ids, skip_special_tokens=False)
 
 
+def test_unknown_ids_are_told():
+    with pytest.raises(ValueError, match="vocabulary"):
+        bpe.tokenizer(bpe.vocabulary()).decode(np.array([1, 60_000], "<u4").tobytes())
+
+
 def test_long_words_merge_alike():
     own = bpe.tokenizer(bpe.vocabulary())
     for word in ("thethethe" * 7, "ingandth" * 8):

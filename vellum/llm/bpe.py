@@ -7,10 +7,11 @@ the same merges in the same order from a heap, so that one long word costs n log
 The tokenizer's file gives vocabulary, merges and special tokens; it lies at the same path on all machines.
 Special tokens' strings in a text become their ids, as in the tokenizers library. Text is put in NFC, lower-cased
 letter by letter, split at white space and then by the pattern below; each word is spelled in bytes and ends with
-``</w>``. Words are encoded once and kept in a cache of bounded size per Python worker.
+``</w>``. Words, and runs of them and signs, are encoded once and kept in caches of bounded size per
+Python worker.
 
 Defined results. Null text: as empty, no ids. Empty text: no ids; decoded, the empty string. Null ids: decoded to
-the empty string. Repeated rows: each is encoded. No rows: no rows. Extra columns are dropped by ``encode`` and
+the empty string. Ids that are not in the vocabulary: ValueError. Repeated rows: each is encoded. No rows: no rows. Extra columns are dropped by ``encode`` and
 kept by ``with_ids``. Texts of any length are encoded whole.
 """
 
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ from .common import slices, table
 
 TOKENIZER = "word_bpe_49k.json"
 SHORT = 64
-CACHED_WORDS = 300_000
+CACHED_WORDS, CACHED_CHUNKS = 1_000_000, 300_000
 #: White space and words of this tokenizer.
 WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -60,8 +62,10 @@ class Bpe:
         self.rank = {tuple(m): k for k, m in enumerate(model["merges"])}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.token = {i: t for t, i in self.id_of.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = pa.array([self.token.get(i) for i in range(max(self.token) + 1)], pa.string())
         self.letters = byte_letters()
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.words: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
 
     def merge(self, parts: list[str]) -> list[str]:
@@ -101,18 +105,25 @@ class Bpe:
                 heapq.heappush(heap, (r, before[k]))
         return [p for p in parts if p]
 
-    def word(self, chunk: str) -> bytes:
-        """Ids of a run without white space, as little-endian unsigned 32-bit integers."""
+    def spell(self, word: str) -> bytes:
+        """Ids of one word of lower-cased text, as little-endian unsigned 32-bit integers."""
+        parts = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
+        parts[-1] += self.end
+        found = np.array([self.id_of[p] for p in self.merge(parts)], "<u4").tobytes()
+        if len(word) <= SHORT:
+            if len(self.words) >= CACHED_WORDS:
+                self.words.clear()
+            self.words[word] = found
+        return found
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a run without white space."""
         text = unicodedata.normalize("NFC", chunk)
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        ids: list[int] = []
-        for w in WORDS.findall(text):
-            parts = [self.letters[b] for b in w.encode("utf-8", "surrogatepass")]
-            parts[-1] += self.end
-            ids += [self.id_of[p] for p in self.merge(parts)]
-        found = np.array(ids, "<u4").tobytes()
+        known, spell = self.words.get, self.spell
+        found = b"".join([e if (e := known(w)) is not None else spell(w) for w in WORDS.findall(text)])
         if len(chunk) <= SHORT:
-            if len(self.cache) >= CACHED_WORDS:
+            if len(self.cache) >= CACHED_CHUNKS:
                 self.cache.clear()
             self.cache[chunk] = found
         return found
@@ -131,13 +142,23 @@ class Bpe:
     def plain(self, text: str) -> bytes:
         odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text  # str.split() takes these for white space
         chunks = filter(None, WHITE.split(text)) if odd else text.split()
-        known, word = self.cache.get, self.word
-        found = [e if (e := known(c)) is not None else word(c) for c in chunks]
+        known, chunk = self.cache.get, self.chunk
+        found = [e if (e := known(c)) is not None else chunk(c) for c in chunks]
         return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
-        token = self.token
-        return " ".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return self.decode_all([ids])[0].as_py()
+
+    def decode_all(self, ids: list[bytes]) -> pa.Array:
+        """The texts that ids stand for: their tokens, with a space between."""
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        if len(flat) and int(flat.max()) >= len(self.tokens):
+            raise ValueError(f"id {int(flat.max())} is not in the vocabulary")
+        tokens = self.tokens.take(pa.array(flat))
+        if tokens.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " ")
 
 
 @functools.cache
@@ -179,8 +200,8 @@ def decoded(docs: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for part in slices(batches, 256):
-            texts = [bpe.decode(np.array(x or [], "<u4").tobytes()) for x in part.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.string())], schema.names)
+            texts = bpe.decode_all([np.array(x or [], "<i8").astype("<u4").tobytes() for x in part.column(ids_col).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), texts], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -194,9 +215,9 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
         bpe = tokenizer(path)
         for part in slices(batches, 256):
             ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                 pa.array([hashlib.sha256(bpe.decode(x).encode("utf-8")).hexdigest() for x in ids], pa.string())], names)
+            back = bpe.decode_all(ids).cast(pa.binary()).to_pylist()
+            digests = (pa.array([hashlib.sha256(x).hexdigest() for x in some], pa.string()) for some in (ids, back))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *digests], names)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
