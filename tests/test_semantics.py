@@ -404,3 +404,25 @@ def test_structure_of_one_column(spark):
 def test_structure_of_two_columns(spark):
     rows = [(50, 550, 780, 10, False, "a line across both columns that is wide")] + [(50, 280, 700 - 12 * k, 10, False, f"left {k}") for k in range(6)] + [(320, 550, 700 - 12 * k, 10, False, f"right {k}") for k in range(6)]
     assert structure_of(spark, rows) == [("Paragraph", [0], 0), ("Paragraph", [1, 2, 3, 4, 5, 6], 0), ("Paragraph", [7, 8, 9, 10, 11, 12], 0)]
+
+
+def test_renaming_a_destination_to_a_taken_name_fails(spark):
+    refs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "ref int, dest string")
+    names = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    renames = lambda *rows: spark.createDataFrame(list(rows), "old string, new string")
+    swapped = nv.rename_destinations(refs, renames(("a", "b"), ("b", "a")), names)
+    assert {r["ref"]: r["dest"] for r in swapped.collect()} == {1: "b", 2: "a", 3: "b"} and nv.rename_count(swapped).first()["n"] == 3
+    for bad in ([("a", "c")], [("a", "x"), ("b", "x")]):
+        with pytest.raises(Exception, match="has this name"):
+            nv.rename_destinations(refs, renames(*bad), names).collect()
+
+
+def test_burst_limit_of_bouts(spark):
+    times = [0, 1, 2, 3, 59, 60, 61, 125, 126, 300]
+    df = spark.createDataFrame([("u", t, k) for k, t in enumerate(times)], "user string, s long, event_id long").withColumn("ts", F.timestamp_seconds("s"))
+    log, expected = [], {}
+    for k, t in enumerate(times):
+        log = [x for x in log if x > t - 60]
+        expected[k] = len(log) < 3
+        log += [t] if expected[k] else []
+    assert {r["event_id"]: r["accepted"] for r in st.burst_limit(df, "user", "ts", 3, 60).collect()} == expected

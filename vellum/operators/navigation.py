@@ -32,11 +32,24 @@ def resolve_destinations(refs: DataFrame, names: DataFrame, legacy: DataFrame) -
     return refs.join(a, "dest", "left").join(b, "dest", "left").withColumn("target", F.coalesce("_a", "_b")).drop("_a", "_b")
 
 
-def rename_destinations(refs: DataFrame, renames: DataFrame) -> DataFrame:
-    """refs with dest rewritten by renames (old, new), and renamed."""
+def rename_destinations(refs: DataFrame, renames: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """refs with dest rewritten by renames (old, new), and renamed.
+
+    With names (name), all that exist, a new name that another destination keeps or also takes fails.
+    """
+    if names is not None:
+        kept = names.join(renames.select(F.col("old").alias("name")), "name", "left_anti").select(F.col("name").alias("new"))
+        clash = renames.select("new").unionByName(kept).groupBy("new").agg(F.count("*").alias("_n"))
+        checked = renames.join(clash, "new")
+        renames = checked.where(F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("a destination has this name: "), F.col("new"))).cast("boolean")).otherwise(True)).select("old", "new")
     return refs.join(renames.select(F.col("old").alias("dest"), "new"), "dest", "left").withColumn("renamed", F.col("new").isNotNull()).withColumn("dest", F.coalesce("new", "dest")).drop("new")
 
 
+def rename_count(renamed: DataFrame) -> DataFrame:
+    """n: how many references rename_destinations() has rewritten."""
+    return renamed.agg(F.sum(F.col("renamed").cast("long")).alias("n"))
+
+
 def prune_references(refs: DataFrame, gone: DataFrame) -> DataFrame:
     """refs whose target is not among the removed ones."""
     return refs.join(gone.select(F.col("page").alias("target")), "target", "left_anti")

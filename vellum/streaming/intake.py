@@ -26,9 +26,13 @@ def first_error(kind: Column, title: Column, email: Column) -> Column:
 def burst_limit(reports: DataFrame, key: str, ts: str, limit: int = BURST, period_s: int = PERIOD_S) -> DataFrame:
     """reports with accepted: a sliding log per key; refused requests take no place in it. Equal times go by event_id.
 
-    The log depends on order, so a key's times are folded as one sorted array; the fold keeps only the log.
+    A pause of a period empties the log, so a key's requests fall into bouts that are judged apart. Within one the log
+    depends on order: its times are folded as one sorted array, and the fold keeps only the log.
     """
-    rows = reports.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).cast("timestamp").cast("double").alias("t"), "event_id"))).alias("rows"))
+    w = Window.partitionBy(key).orderBy("t", "event_id")
+    timed = reports.select(key, F.col(ts).cast("timestamp").cast("double").alias("t"), "event_id")
+    bouts = timed.withColumn("_new", F.coalesce((F.col("t") - F.lag("t").over(w) >= period_s).cast("long"), F.lit(0))).withColumn("_bout", F.sum("_new").over(w))
+    rows = bouts.groupBy(key, "_bout").agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("rows"))
     zero = F.struct(F.array().cast("array<double>").alias("log"), F.array().cast("array<struct<event_id:bigint,accepted:boolean>>").alias("out"))
 
     def step(acc: Column, r: Column) -> Column:
