@@ -426,3 +426,12 @@ def test_burst_limit_of_bouts(spark):
         expected[k] = len(log) < 3
         log += [t] if expected[k] else []
     assert {r["event_id"]: r["accepted"] for r in st.burst_limit(df, "user", "ts", 3, 60).collect()} == expected
+
+
+def test_renderings_of_lists_and_tables(spark):
+    lines = ["Title", "", "a plain line of text <b>", "- one *", "- two", "1. first", "Name | Age", "Ann | 7", "end of the whole text"]
+    blocks = dv.blocks(spark.createDataFrame([(1, "\n".join(lines))], DOCS))
+    markdown = "## Title\n\na plain line of text \\<b\\>\n\n- one \\*\n- two\n1. first\n\n| Name | Age |\n| --- | --- |\n| Ann | 7 |\n\nend of the whole text"
+    assert fl.render_markdown(blocks).first()["rendered"] == markdown
+    html = "<h2>Title</h2>\n<p>a plain line of text &lt;b&gt;</p>\n<ul>\n<li>one *</li>\n<li>two</li>\n<li>1. first</li>\n</ul>\n<table>\n<tr><th>Name</th><th>Age</th></tr>\n<tr><td>Ann</td><td>7</td></tr>\n</table>\n<p>end of the whole text</p>"
+    assert fl.render_html(blocks).first()["rendered"] == html

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import escape_html, escape_markdown
+from ..functions.text import LIST_MARKER, escape_html, escape_markdown, list_marker
 from .derived import comments, doc_pages
 
 
@@ -40,20 +40,46 @@ def read_comment_xml(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "comment").schema(schema).load(path)
 
 
-def _assembled(rows: DataFrame, piece: Column, between: str) -> DataFrame:
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("block_no", piece.alias("piece")))), lambda p: p["piece"])
-    return rows.groupBy("doc_id").agg(F.array_join(parts, between).alias("rendered"))
+def _pieces(blocks: DataFrame) -> DataFrame:
+    """Blocks with words, as nodes: kind (table, list, heading, paragraph), before and after (the kinds beside it), bullet, body (an item's text)."""
+    text = F.col("text")
+    marker = list_marker(text)
+    kind = F.when(text.contains(" | "), "table").when(marker != "", "list").when(F.col("size") == 14.0, "heading").otherwise("paragraph")
+    bullet = F.length(marker) == 1
+    w = Window.partitionBy("doc_id").orderBy("block_no")
+    rows = blocks.where("words > 0").select("doc_id", "block_no", "text", kind.alias("kind"), bullet.alias("bullet"), F.regexp_replace("text", r"^\s*" + LIST_MARKER, "").alias("body"), marker.alias("marker"))
+    return rows.withColumns({"before": F.coalesce(F.lag("kind").over(w), F.lit("")), "after": F.coalesce(F.lead("kind").over(w), F.lit(""))})
+
+
+def _assembled(nodes: DataFrame, piece: Column, end: Column) -> DataFrame:
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("block_no", F.concat(piece, end).alias("piece")))), lambda p: p["piece"])
+    return nodes.groupBy("doc_id").agg(F.array_join(parts, "").alias("rendered"))
 
 
 def render_markdown(blocks: DataFrame) -> DataFrame:
-    """doc_id, rendered: blocks of size 14 as headings, the others as paragraphs, escaped."""
-    text = escape_markdown(F.col("text"))
-    return _assembled(blocks.where("words > 0"), F.when(F.col("size") == 14.0, F.concat(F.lit("## "), text)).otherwise(text), "\n\n")
+    """doc_id, rendered: headings, paragraphs, lists (items follow each other) and tables (the first row is the head), escaped."""
+    n = _pieces(blocks)
+    heading = F.concat(F.lit("## "), escape_markdown(F.col("text")))
+    item = F.concat(F.when(F.col("bullet"), "-").when(F.col("marker").rlike(r"^\d+[.)]$"), F.col("marker")).otherwise(F.concat(F.lit("- "), escape_markdown(F.col("marker")))), F.lit(" "), escape_markdown(F.col("body")))
+    cells = F.split("text", r" \| ", -1)
+    row = F.concat(F.lit("| "), F.array_join(F.transform(cells, escape_markdown), " | "), F.lit(" |"))
+    head = F.when((F.col("before") != "table"), F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.size(cells)))).otherwise("")
+    piece = F.when(F.col("kind") == "heading", heading).when(F.col("kind") == "list", item).when(F.col("kind") == "table", F.concat(row, head)).otherwise(escape_markdown(F.col("text")))
+    run = F.col("kind").isin("list", "table") & (F.col("kind") == F.col("after"))
+    return _assembled(n, piece, F.when(F.col("after") == "", "").when(run, "\n").otherwise("\n\n"))
 
 
 def render_html(blocks: DataFrame) -> DataFrame:
+    """doc_id, rendered: headings, paragraphs, lists and tables (the first row is the head), a line each, escaped."""
+    n = _pieces(blocks)
     text = escape_html(F.col("text"))
-    return _assembled(blocks.where("words > 0"), F.when(F.col("size") == 14.0, F.concat(F.lit("<h2>"), text, F.lit("</h2>"))).otherwise(F.concat(F.lit("<p>"), text, F.lit("</p>"))), "\n")
+    item = F.concat(F.when(F.col("before") != "list", "<ul>\n").otherwise(""), F.lit("<li>"), F.when(F.col("bullet"), escape_html(F.col("body"))).otherwise(text), F.lit("</li>"), F.when(F.col("after") != "list", "\n</ul>").otherwise(""))
+    cell = F.when(F.col("before") != "table", "th").otherwise("td")
+    between = F.concat(F.lit("</"), cell, F.lit("><"), cell, F.lit(">"))
+    row = F.concat(F.when(F.col("before") != "table", "<table>\n").otherwise(""), F.lit("<tr><"), cell, F.lit(">"), F.replace(text, F.lit(" | "), between), F.lit("</"), cell, F.lit("></tr>"), F.when(F.col("after") != "table", "\n</table>").otherwise(""))
+    wrapped = lambda tag: F.concat(F.lit(f"<{tag}>"), text, F.lit(f"</{tag}>"))
+    piece = F.when(F.col("kind") == "heading", wrapped("h2")).when(F.col("kind") == "list", item).when(F.col("kind") == "table", row).otherwise(wrapped("p"))
+    return _assembled(n, piece, F.when(F.col("after") == "", "").otherwise("\n"))
 
 
 def chapters(blocks: DataFrame) -> DataFrame:
