@@ -167,5 +167,5 @@ def preflight(facts: DataFrame, profile: dict[str, tuple[str, float, str]], by:
 def measurement_rows(points: Column) -> Column:
     """Points as "x y; x y" with two decimals, for a CSV sink."""
     n = F.floor(F.size(points) / 2).cast("int")
-    two = lambda i: F.format_number(F.bround(F.get(points, i).cast("decimal(18,6)"), 2), "0.00")
+    two = lambda i: F.bround(F.get(points, i).cast("decimal(18,6)"), 2).cast("decimal(18,2)").cast("string")
     return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat_ws(" ", two(2 * i), two(2 * i + 1))), "; ")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import audits as au
 from ..operators import catalogs as ct
+from ..operators import compare as cp
 from ..operators import forms as fm
+from ..operators import inventory as iv
 from ..operators import lineage as lg
 from ..operators import structure as st
 from ..operators import textflow as tf
@@ -168,3 +170,36 @@ def audit_structure(spark: SparkSession, d: str) -> DataFrame:
     t = 800.0 - (F.col("block_no") % dv.LINES_A_PAGE) * 14.0
     segments = b.select("doc_id", "page", F.col("block_no").alias("seg"), F.lit(50.0).alias("l"), (t - 10).alias("b"), F.least(50.0 + F.length("text") * 5.0, F.lit(550.0)).alias("r"), t.alias("t"), "size", F.lit(False).alias("bold"), F.lit(False).alias("figure"), "text", F.lit(600.0).alias("width"))
     return st.auto_structure(segments)
+
+
+@query("measurements_csv", """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), t AS (SELECT vec_id, list_transform(e, lambda x: round_even(x::DECIMAL(18,6), 2)::DECIMAL(18,2)::VARCHAR) AS s FROM p)
+SELECT 'doc "' || vec_id || '", a' AS document, (vec_id % 7 + 1)::VARCHAR AS page, 'Distance' AS kind, array_to_string(list_transform(range(1, len(s) // 2 + 1), lambda i: s[2 * i - 1] || ' ' || s[2 * i]), '; ') AS points FROM t""")
+def measurements_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as polylines, written and read back."""
+    folder = f"{lg.shared_dir(spark)}/measurements-{uuid.uuid4().hex}"
+    e = table(spark, d, "embeddings").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    rows = e.select(F.concat(F.lit('doc "'), "vec_id", F.lit('", a')).alias("document"), (F.col("vec_id") % 7).alias("page"), F.lit("distance").alias("kind"), F.lit("1 m").alias("label"), F.lit(None).cast("string").alias("ratio"), F.lit(None).cast("string").alias("author"), F.lit(True).alias("saved"), iv.measurement_rows(F.col("embedding")).alias("points"))
+    fl.write_measurements(rows, folder)
+    back = spark.read.option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(folder)
+    return back.select(F.col("Document").alias("document"), F.col("Page").alias("page"), F.col("Type").alias("kind"), F.col("Points").alias("points"))
+
+
+@query("compare_classes", """WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS k FROM orders), c AS (SELECT doc_id, CASE WHEN k % 5 = 0 THEN 'pages' WHEN k % 5 = 1 THEN 'content' WHEN k % 5 = 2 THEN 'annotations' END AS kind FROM o
+  UNION ALL SELECT doc_id, CASE WHEN k % 4 = 0 THEN 'fields' WHEN k % 4 = 1 THEN 'form_fill' END FROM o UNION ALL SELECT doc_id, 'signatures' FROM o WHERE k % 4 = 2)
+SELECT doc_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM c WHERE kind IS NOT NULL GROUP BY doc_id""")
+def compare_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The orders of a customer as pages and fields, some of them changed."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("k"))
+    k5, k4 = F.col("k") % 5, F.col("k") % 4
+    page = lambda rows, content, notes: rows.select("doc_id", F.col("k").alias("page"), content.alias("content"), notes.alias("notes"))
+    field = lambda rows, value, signed: rows.select("doc_id", F.col("k").alias("name"), value.alias("value"), signed.alias("signed"))
+    same = F.lit("same")
+    return cp.classify_revisions(
+        page(o, same, same), page(o.where(k5 != 0), F.when(k5 == 1, "new").otherwise(same), F.when(k5 == 2, "new").otherwise(same)),
+        field(o.where(k4 != 0), same, F.lit(False)), field(o, F.when(k4 == 1, "new").otherwise(same), k4 == 2))
+
+
+@query("conversion_status", "WITH " + dv.BLOCKS_SQL + " SELECT CASE WHEN count(*) FILTER (words = 0) > 0 THEN 'ok_with_warnings' ELSE 'ok' END AS status FROM blocks")
+def conversion_status(spark: SparkSession, d: str) -> DataFrame:
+    b = dv.blocks(table(spark, d, "documents")).where("words = 0")
+    return fl.report_status(fl.conversion_report(b.select(F.lit("blank").alias("code"), "page", F.lit(1).cast("long").alias("n"))))

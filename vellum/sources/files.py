@@ -90,6 +90,22 @@ def chapters(blocks: DataFrame) -> DataFrame:
     return by.select("doc_id", "page", F.coalesce("_h", F.left("_f", F.lit(40)), F.concat(F.lit("Page "), (F.col("page") + 1).cast("string"))).alias("title"))
 
 
+#: The columns of a measurement file.
+MEASUREMENT_COLUMNS = ("Document", "Page", "Type", "Measurement", "Scale", "Author", "Saved in PDF", "Points")
+
+
+def write_measurements(rows: DataFrame, folder: str) -> None:
+    """rows (document, page from 0, kind, label, ratio, author, saved, points as "x y; x y") as RFC 4180 CSV with a header and CRLF."""
+    values = (F.col("document"), F.col("page") + 1, F.initcap("kind"), F.col("label"), F.coalesce("ratio", F.lit("")), F.coalesce("author", F.lit("")), F.when(F.col("saved"), "Yes").otherwise("No"), F.col("points"))
+    named = rows.select(*(v.cast("string").alias(c) for v, c in zip(values, MEASUREMENT_COLUMNS, strict=True)))
+    named.write.option("header", True).option("lineSep", "\r\n").option("escape", '"').option("emptyValue", "").csv(folder)
+
+
+def report_status(report: DataFrame) -> DataFrame:
+    """status: ok, or ok_with_warnings if the report of conversion_report() has rows."""
+    return report.agg(F.when(F.count("*") > 0, "ok_with_warnings").otherwise("ok").alias("status"))
+
+
 def conversion_report(warnings: DataFrame) -> DataFrame:
     """code, page, count of warning rows (code, page, n)."""
     return warnings.groupBy("code", "page").agg(F.sum("n").alias("count"))
