@@ -435,3 +435,11 @@ def test_renderings_of_lists_and_tables(spark):
     assert fl.render_markdown(blocks).first()["rendered"] == markdown
     html = "<h2>Title</h2>\n<p>a plain line of text &lt;b&gt;</p>\n<ul>\n<li>one *</li>\n<li>two</li>\n<li>1. first</li>\n</ul>\n<table>\n<tr><th>Name</th><th>Age</th></tr>\n<tr><td>Ann</td><td>7</td></tr>\n</table>\n<p>end of the whole text</p>"
     assert fl.render_html(blocks).first()["rendered"] == html
+
+
+def test_comparing_comments_by_more_fields(spark):
+    schema = "doc_id long, name string, page int, author string, contents string, color string, x double"
+    ours = spark.createDataFrame([(1, "a", 0, "u", "t", "red", 5.0), (1, "b", 0, "u", "s", None, 5.0), (1, "c", 1, "u", "r", "red", None)], schema)
+    theirs = spark.createDataFrame([(1, "a", 0, "u", "t", "blue", 5.5), (1, "b", 0, "u", "s", "", 7.0), (1, "c", 1, "u", "r", "red", 1.0)], schema)
+    found = {r["name"]: (r["change"], r["fields"]) for r in rv.compare_comments(ours, theirs, ("color", "x"), {"x": 1.0}).collect()}
+    assert found == {"a": ("changed", "color"), "b": ("changed", "x"), "c": ("changed", "x")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,10 +77,15 @@ def import_comments(target: DataFrame, incoming: DataFrame, pages: int) -> DataF
     return both.join(parents, ["doc_id", "parent"], "left").withColumn("parent", F.when(F.col("_there"), F.col("parent"))).select(*target.columns, "imported")
 
 
-def compare_comments(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """doc_id, name, change (added, removed, changed, unchanged), fields: by name, then by (page, author), then by (page, text); each row is used once."""
-    left = ours.select("doc_id", F.col("name").alias("a"), F.struct("page", "author", "contents").alias("x"))
-    right = theirs.select("doc_id", F.col("name").alias("b"), F.struct("page", "author", "contents").alias("y"))
+def compare_comments(ours: DataFrame, theirs: DataFrame, extra: tuple[str, ...] = (), within: Mapping[str, float] | None = None) -> DataFrame:
+    """doc_id, name, change (added, removed, changed, unchanged), fields: by name, then by (page, author), then by (page, text); each row is used once.
+
+    Compared are page, author, contents and the extra columns (colour, state, opacity, ...); numbers in within, such as a
+    position, count as changed if they differ by more than its value.
+    """
+    compared = ("page", "author", "contents", *extra)
+    left = ours.select("doc_id", F.col("name").alias("a"), F.struct(*compared).alias("x"))
+    right = theirs.select("doc_id", F.col("name").alias("b"), F.struct(*compared).alias("y"))
     named = left.join(right, (left["doc_id"] == right["doc_id"]) & (left["a"] == right["b"])).select(left["doc_id"], "a", "b", "x", "y")
     matched = named
     for fields in (("page", "author"), ("page", "contents")):
@@ -92,7 +99,13 @@ def compare_comments(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         l = l.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", *key).orderBy("a")))  # noqa: E741
         r = r.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", *key).orderBy("b")))
         matched = matched.unionByName(l.join(r, ["doc_id", *key, "_n"]).select("doc_id", "a", "b", "x", "y"))
-    fields = F.array_compact(F.array(*(F.when(~F.coalesce(F.nullif(F.col(f"x.{f}").cast("string"), F.lit("")), F.lit("")).eqNullSafe(F.coalesce(F.nullif(F.col(f"y.{f}").cast("string"), F.lit("")), F.lit(""))), f) for f in ("page", "author", "contents"))))
+    shown = lambda side, f: F.coalesce(F.nullif(F.col(f"{side}.{f}").cast("string"), F.lit("")), F.lit(""))
+
+    def differs(f: str) -> Column:
+        apart = ~shown("x", f).eqNullSafe(shown("y", f))
+        return apart & F.coalesce(F.abs(F.col(f"x.{f}") - F.col(f"y.{f}")) > within[f], F.lit(True)) if f in (within or {}) else apart
+
+    fields = F.array_compact(F.array(*(F.when(differs(f), f) for f in compared)))
     pairs = matched.select("doc_id", F.col("a").alias("name"), F.when(F.size(fields) > 0, "changed").otherwise("unchanged").alias("change"), F.array_join(fields, ",").alias("fields"))
     gone = left.join(matched.select("doc_id", "a"), ["doc_id", "a"], "left_anti").select("doc_id", F.col("a").alias("name"), F.lit("removed").alias("change"), F.lit("").alias("fields"))
     new = right.join(matched.select("doc_id", "b"), ["doc_id", "b"], "left_anti").select("doc_id", F.col("b").alias("name"), F.lit("added").alias("change"), F.lit("").alias("fields"))
