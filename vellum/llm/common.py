@@ -42,10 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
 class Scratch:
     """Tables written to the shared folder between steps; unlike checkpoints they are columnar, of known size, and can go."""
 
+    folders: list[str] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.at = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.made = 0
+        self.folders.append(self.at)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -57,21 +60,31 @@ class Scratch:
 
     def free(self, *tables: DataFrame | None) -> None:
         """Deletes tables of save() that nothing reads any more."""
-        jvm = self.spark._jvm
         for t in tables:
             if t is not None:
-                path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                delete(self.spark, t.scratch_path)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all tables of Scratch that this driver has made: to be called when the results that rest on them are written."""
+    while Scratch.folders:
+        delete(spark, Scratch.folders.pop())
 
 
 def split_join(rows: DataFrame, known: DataFrame, on: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with known (one row a key; column size: the key's count of rows, total in all).
 
-    Hot keys are joined by a broadcast, which their number bounds, so that no task receives all rows of one.
+    Hot keys are joined by a broadcast, which their number bounds, so that no task receives all rows of one. The others
+    are always shuffled, so a plan for few rows is that for many.
     """
     limit = max(LEAST_HOT, total // MOST_HOT)
     hot = F.broadcast(known.where(F.col(size) > limit))
-    cold = rows.join(hot.select(*([on] if isinstance(on, str) else on)), on, "left_anti").join(known.where(F.col(size) <= limit), on, how)
+    cold = rows.join(hot.select(*([on] if isinstance(on, str) else on)), on, "left_anti").join(known.where(F.col(size) <= limit).hint("merge"), on, how)
     return rows.join(hot, on).unionByName(cold)
 
 

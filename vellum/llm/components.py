@@ -2,6 +2,9 @@
 
 Every step is a minimum per node (combined before the shuffle) and a join of edges to it; a hub's edges may be
 split over tasks, no node's neighbours are ever gathered. Each round is cut through the shared folder.
+
+Defined results. An edge with a null end, or from an id to itself: left out. Repeated edges, in either direction: one.
+Ids without an edge to another: no row. No rows: no rows. Extra columns are dropped.
 """
 
 from __future__ import annotations

@@ -123,7 +123,7 @@ def without_later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), place(F.col("doc_id")).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"))
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("deleted", i)), "\n")
-    found = rows.join(gone, list(OWN), "left")
+    found = rows.join(gone.hint("merge"), list(OWN), "left")
     counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_deleted": F.coalesce(F.array_size("deleted"), F.lit(0)).cast("long")}
     text = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(kept)
     return found.select(*(text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in counts), *(c.alias(n) for n, c in counts.items()))

@@ -14,9 +14,11 @@ similarity 0.8 miss each other in all bands with probability 3e-6.
    confirmed links give components. In a family of near copies nearly all link to its centre here.
 3. Documents of band values that still hold several components are open. Their band values are split further: two
    sets that link share one of their rarest shingles, at places that the threshold bounds (rarest by a sketch of
-   shingle counts over the open documents; any order would be exact). Pairs of different components that meet so are
-   estimated and confirmed as in 2. A copy with too many changes to link has only rare shingles there and meets
-   nobody, so a family does not give all of its pairs.
+   shingle counts over the open documents; any order would be exact). First each document meets one of the largest
+   component that shares such a shingle, its most central one; then pairs of components that are still different meet,
+   unless the parities of their shingles tell that too many are apart. They are estimated and confirmed as in 2. A copy
+   with too many changes to link has only rare shingles there and meets nobody, so a family does not give all of its
+   pairs.
 
 A component loses no link, while pairs within a component are not listed. Band values, shingles and centres of many
 members are split over tasks. Shuffled are band values, registers and sets of candidates, and the rarest shingles of
@@ -49,6 +51,7 @@ BUCKETS, MANTISSA, WIDE, BANDS = 256, 10, 6, 42
 SIGMAS = 4.5
 #: A centre's register or set is sent once for so many of its pairs; members of a hot shingle are dealt in such parts.
 CHUNK, PART = 512, 4096
+MARKS = ("m0", "m1", "m2", "m3")
 #: Counters of the sketch that orders shingles, 4 bytes each.
 COUNTERS = 1 << 17
 KNOWN_WORDS = 300_000
@@ -261,15 +264,16 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
 
 
 def rarest(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """shingle, doc_id, component, size, place: the shingles by which a set can meet one that links with it.
+    """shingle, doc_id, component, size, place, MARKS: the shingles by which a set can meet one that links with it.
 
     In the order of counts, sets of sizes a and b that link share a shingle at places up to a - o and b - o, where
-    o = ceil(t / (1 + t) * (a + b)) is the overlap that they need; b >= t * a bounds the first by a - ceil(t * a).
+    o = ceil(t / (1 + t) * (a + b)) is the overlap that they need; b >= t * a bounds the first by a - ceil(t * a). MARKS are
+    256 parities of the set by hash: as many of two sets' marks differ at most as they have shingles apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
-            found, n, place = [], [], []
+            found, n, place, marks = [], [], [], []
             for raw in part.column("items").to_pylist():
                 s = np.frombuffer(raw, np.uint64)
                 often = counts[(s % np.uint64(COUNTERS)).astype(np.int64)]
@@ -279,11 +283,25 @@ def rarest(sets: DataFrame, counts: np.ndarray) -> DataFrame:
                 found.append(s[first[at]])
                 n.append(len(at))
                 place.append(at)
+                marks.append(np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) & 255, minlength=256) & 1))
             size = np.array([len(raw) // 8 for raw in part.column("items").to_pylist()])
-            cols = (np.concatenate(found).view(np.int64), *(np.repeat(part.column(c).to_numpy(), n) for c in ("doc_id", "component")), np.repeat(size, n), np.concatenate(place))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["shingle", "doc_id", "component", "size", "place"])
+            cols = (np.concatenate(found).view(np.int64), *(np.repeat(part.column(c).to_numpy(), n) for c in ("doc_id", "component")), np.repeat(size, n), np.concatenate(place), *(np.repeat(c, n) for c in np.stack(marks).view(np.int64).T))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["shingle", "doc_id", "component", "size", "place", *MARKS])
 
-    return sets.select("doc_id", "component", "items").mapInArrow(run, "shingle long, doc_id long, component long, size long, place long")
+    return sets.select("doc_id", "component", "items").mapInArrow(run, "shingle long, doc_id long, component long, size long, place long, " + ", ".join(f"{m} long" for m in MARKS))
+
+
+def several_components(rare: DataFrame) -> DataFrame:
+    """shingle, main (its largest component), head (of main's documents that with the fewest rarer shingles), m (rows) where a shingle has several components."""
+    per = rare.groupBy("shingle", "component").agg(F.count("*").alias("n"), F.min(F.struct("place", "doc_id")).alias("head"))
+    first = F.struct("n", "component")
+    return per.groupBy("shingle").agg(F.max_by("component", first).alias("main"), F.max_by("head", first).alias("head"), F.sum("n").alias("m"), F.count("*").alias("k")).where("k > 1").drop("k")
+
+
+def heads(rare: DataFrame, total: int) -> DataFrame:
+    """Pairs (centre, leaf): each document outside a shingle's largest component with one document of that, the most central it meets."""
+    rows = split_join(rare, several_components(rare), "shingle", "m", total).where("component <> main")
+    return rows.groupBy("doc_id").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("centre"), F.col("doc_id").alias("leaf"))
 
 
 def open_pairs(rare: DataFrame, total: int) -> DataFrame:
@@ -292,14 +310,14 @@ def open_pairs(rare: DataFrame, total: int) -> DataFrame:
     Of a shingle's components the largest is not paired with itself: all of its members are met by those of the others.
     Many members are dealt out in parts, to each of which the others come.
     """
-    per = rare.groupBy("shingle", "component").agg(F.count("*").alias("n"))
-    several = per.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0").drop("others")
-    rows = split_join(rare, several, "shingle", "m", total)
+    rows = split_join(rare, several_components(rare), "shingle", "m", total).drop("head")
     parts = F.ceil(F.col("m") / PART).cast("int")
     every = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).drop("main", "m")
-    others = rows.where("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("shingle", "part", *(F.col(c).alias(f"o_{c}") for c in ("doc_id", "component", "size", "place")))
+    others = rows.where("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("shingle", "part", *(F.col(c).alias(f"o_{c}") for c in ("doc_id", "component", "size", "place", *MARKS)))
     need = F.ceil((F.col("size") + F.col("o_size")) * PERCENT / (100 + PERCENT) - 1e-9)
-    met = every.join(others, ["shingle", "part"]).where((F.col("component") != F.col("o_component")) & (F.col("place") <= F.col("size") - need) & (F.col("o_place") <= F.col("o_size") - need))
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"o_{m}"))) for m in MARKS), F.lit(0))
+    near = (F.col("place") <= F.col("size") - need) & (F.col("o_place") <= F.col("o_size") - need) & (apart <= F.col("size") + F.col("o_size") - 2 * need)
+    met = every.join(others, ["shingle", "part"]).where((F.col("component") != F.col("o_component")) & near)
     return met.select(F.least("doc_id", "o_doc_id").alias("a"), F.greatest("doc_id", "o_doc_id").alias("b")).where("a <> b").distinct()
 
 
@@ -344,12 +362,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     # what shares a band value with another component
     sets = s.save(sets_of(docs, open_documents(shared, found, total), width))
     rare = s.save(rarest(sets, shingle_counts(sets)))
-    more = s.save(oriented(open_pairs(rare, rare.count())))
-    near_too = s.save(likely(dealt(more, more.count()), reps))
-    edges_too = s.save(confirmed(near_too, docs, width))
-    if edges_too.head(1):
-        found = s.save(connected_components(edges.unionByName(edges_too)))
-    s.free(reps, sizes, shared, pairs, near, edges, sets, rare, more, near_too, edges_too)
+    rows_open = rare.count()
+    for find in (heads, lambda r, n: oriented(open_pairs(r, n))):
+        more = s.save(find(rare, rows_open))
+        near_too = s.save(likely(dealt(more, more.count()), reps))
+        new = s.save(confirmed(near_too, docs, width))
+        s.free(more, near_too)
+        if new.head(1):
+            edges = edges.unionByName(new)
+            found = s.save(connected_components(edges))
+            moved = found.withColumnRenamed("id", "doc_id").withColumnRenamed("component", "now")
+            rare = rare.join(moved, "doc_id", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+    s.free(reps, sizes, shared, pairs, near, sets)
     whole = classes.join(found, classes["rep"] == found["id"], "left").select("key", "n", F.coalesce("component", "rep").alias("component"))
     own = sigs.select("doc_id", "n_shingles", "key")
     full = split_join(own.where("key is not null"), whole, "key", "n", rows, "left").select("doc_id", "n_shingles", "component")
