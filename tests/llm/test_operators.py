@@ -150,7 +150,7 @@ def test_minhash_family_of_near_copies(spark):
             assert found == components_by_hand(texts)
     finally:
         minhash.Scratch.save = save
-    few, many = pairs[0] + pairs[1], pairs[2] + pairs[3]
+    few, many = sum(pairs[:3]), sum(pairs[3:])
     assert many <= 1.3 * few * (1800 * math.log(1800)) / (600 * math.log(600))
 
 
@@ -698,6 +698,20 @@ def test_pipeline(spark):
     assert last.count() == before.count() and last.where("n_tokens <> size(token_ids)").count() == 0
 
 
+def test_pipeline_odd(spark, odd, none, sf):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing names through every stage; and no rows at all."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(7, 1, 0), (8, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    at = sf(labels=labels)
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, at)
+            assert after.columns == docs.columns and after.count() <= docs.count(), name  # each on the odd rows themselves
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, at)
+        assert last.count() == docs.count() and last.where("n_tokens <> size(token_ids)").count() == 0
+
+
 def test_near_dedup_stage_takes_five_words(spark):
     rng = random.Random(5)
     base = [f"w{k}" for k in range(200)]
