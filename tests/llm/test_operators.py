@@ -453,11 +453,12 @@ def test_quality_verdicts_by_hand(spark):
     model = quality.fit(stats, labels)
     found = {r["doc_id"]: r for r in quality.quality_report(stats, model).collect()}
     sample = np.array([quality.rule_statistics(texts[k]) for k in range(len(good))])
-    assert np.allclose(model.usual.high, np.quantile(quality.rates(sample), 1 - quality.EDGE, axis=0))
+    low, high = np.quantile(quality.rates(sample), (quality.EDGE, 1 - quality.EDGE), axis=0)
+    assert np.allclose(model.scale.low, low) and np.allclose(model.scale.width, np.maximum(high - low, 1e-3))
     forest = model.forest
     for k, text in texts.items():
         s = quality.rule_statistics(text)
-        x = model.usual.features(np.array([s]))[0]
+        x = model.scale.features(np.array([s]))[0]
         total = 0.0
         for t in range(len(forest.feature)):
             at = 0
@@ -471,6 +472,22 @@ def test_quality_verdicts_by_hand(spark):
     assert all(found[k]["kept"] for k in range(len(good))) and not any(found[k]["kept"] for k in range(len(good), len(texts)))
 
 
+def test_quality_forest_decides(spark):
+    """The verdict is not that of ranges: documents inside every good row's range are rejected, by their path length."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    stats = quality.with_statistics(docs).cache()
+    model = quality.fit(stats, labels)
+    known = stats.join(labels.where("quality = 1"), "doc_id").select(*quality.STATS).toPandas().to_numpy()
+    good = quality.rates(known[~quality.failed_base(known)])
+    every = stats.select(*quality.STATS).toPandas().to_numpy()
+    every = every[~quality.failed_base(every)]
+    score, kept = model.keeps(every)
+    x = quality.rates(every)
+    inside = ((x >= np.quantile(good, 0.0002, axis=0)) & (x <= np.quantile(good, 0.9998, axis=0))).all(1)
+    assert (inside & ~kept).any() and (kept == (score <= model.threshold)).all()
+    assert len(np.unique(score[kept])) > 1000
+
+
 def test_quality_odd(spark, odd, none, sf):
     labels = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (None, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int")
     stats = quality.with_statistics(odd)

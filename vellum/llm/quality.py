@@ -1,10 +1,12 @@
 """Quality rules: an isolation forest on rule statistics.
 
 Each text gets its rule statistics (words, symbols, repeated lines and word windows, capitals, exclamation
-marks) and, from all of them, ``RATES``. A rate counts by how far it lies outside the range that good labelled rows
-cover. Random splits isolate odd documents early: the shorter a document's mean path over the trees, the
-odder it is. Ranges and forest are fitted on a bounded sample of labelled rows (``FIT_ROWS``); the threshold is
-calibrated over all labelled rows.
+marks) and, from all of them, ``RATES``, measured in the width that most good labelled rows cover. A tree is grown
+over good rows in the box that all labelled rows span: the box is cut at a random place across a random rate, a rate
+being as likely as the box is long in it, until a part holds one row or none. Parts that no good text reaches are cut off
+early, so the shorter a document's mean path over the trees, the odder it is; its combination of rates may be odd
+although each of them is usual. Widths and forest are fitted on a bounded sample of labelled rows (``FIT_ROWS``); the
+threshold is calibrated over all labelled rows, and path length alone decides.
 
 Defined results. Null text: no words, so the base rules reject it. Empty text: the same. Repeated rows: each
 is judged on its own. Null doc_id: judged, but without a label. No table of labels, or none of quality 1: no
@@ -34,11 +36,10 @@ FIT_ROWS = 8192
 TREES, ROWS_A_TREE = 100, 256
 #: What the forest splits on: symbols, capitals, exclamation marks, letters, repeated lines, repeated words, words a line.
 RATES = ("symbols / words", "capitals / letters", "marks / words", "letters / words", "repeated / lines", "repeated / words", "words / lines")
-#: Of the labelled good rows in the sample this share at either end does not count for a rate's usual range, which is
-#: taken wider by MARGIN on both sides.
-EDGE, MARGIN = 0.0002, 0.25
-#: The threshold rejects at most this share of the labelled good rows.
-MAX_FALSE_REJECTS = 0.005
+#: A rate's width is what the labelled good rows of the sample cover but for this share at either end.
+EDGE = 0.01
+#: The threshold is the strictest that rejects at most this share of the labelled good rows.
+MAX_FALSE_REJECTS = 0.002
 BINS = 2000
 
 
@@ -98,20 +99,19 @@ def rates(s: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Usual:
-    """The range of each rate over good rows, but for EDGE at either end."""
+class Scale:
+    """Where good rows begin in each rate, and the width they cover."""
 
     low: np.ndarray
-    high: np.ndarray
+    width: np.ndarray
 
     @classmethod
-    def of(cls, good: np.ndarray) -> Usual:
-        return cls(*np.quantile(rates(good), (EDGE, 1 - EDGE), axis=0))
+    def of(cls, good: np.ndarray) -> Scale:
+        low, high = np.quantile(rates(good), (EDGE, 1 - EDGE), axis=0)
+        return cls(low, np.maximum(high - low, 1e-3))
 
     def features(self, s: np.ndarray) -> np.ndarray:
-        """How far each rate lies outside by more than MARGIN, in widths of the range: what varies within good text is no reason for a split."""
-        x = rates(s)
-        return np.maximum(np.maximum(x - self.high, self.low - x) / np.maximum(self.high - self.low, 1e-3) - MARGIN, 0)
+        return (rates(s) - self.low) / self.width
 
 
 def failed_base(s: np.ndarray) -> np.ndarray:
@@ -136,27 +136,31 @@ class IsolationForest:
     rows: int
 
     @classmethod
-    def fit(cls, x: np.ndarray, trees: int = TREES, rows: int = ROWS_A_TREE, seed: int = 7) -> IsolationForest:
+    def fit(cls, x: np.ndarray, good: np.ndarray, trees: int = TREES, rows: int = ROWS_A_TREE, seed: int = 7) -> IsolationForest:
+        """Trees over rows of x that are good, in the box of all of x."""
         rng = np.random.default_rng(seed)
-        rows = min(rows, len(x))
+        inside = np.flatnonzero(good)
+        rows = min(rows, len(inside))
         limit = int(np.ceil(np.log2(max(rows, 2))))
         size = 2 ** (limit + 1)
         feature, split = np.full((trees, size), -1), np.zeros((trees, size))
         child, depth = np.zeros((trees, size), int), np.zeros((trees, size))
         for t in range(trees):
             used = 1
-            todo = [(0, x[rng.choice(len(x), rows, replace=False)], 0)]
+            todo = [(0, x[rng.choice(inside, rows, replace=False)], x.min(0), x.max(0), 0)]
             while todo:
-                at, part, d = todo.pop()
-                spread = np.flatnonzero(part.max(0) > part.min(0)) if len(part) > 1 else []
-                if d >= limit or not len(spread):
+                at, part, low, high, d = todo.pop()
+                long = high - low
+                if d >= limit or len(part) <= 1 or not long.sum():
                     depth[t, at] = d + float(mean_depth(len(part)))
                     continue
-                k = rng.choice(spread)
-                cutoff = rng.uniform(part[:, k].min(), part[:, k].max())
+                k = rng.choice(len(long), p=long / long.sum())
+                cutoff = rng.uniform(low[k], high[k])
                 left = part[:, k] < cutoff
                 feature[t, at], split[t, at], child[t, at] = k, cutoff, used
-                todo += [(used, part[left], d + 1), (used + 1, part[~left], d + 1)]
+                below, above = high.copy(), low.copy()
+                below[k] = above[k] = cutoff
+                todo += [(used, part[left], low, below, d + 1), (used + 1, part[~left], above, high, d + 1)]
                 used += 2
         return cls(feature, split, child, depth, rows)
 
@@ -181,13 +185,13 @@ class IsolationForest:
 class QualityModel:
     """All are None if no labels could be learned from."""
 
-    usual: Usual | None
+    scale: Scale | None
     forest: IsolationForest | None
     threshold: float | None
 
     def keeps(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Score and verdict of rows of STATS."""
-        score = self.forest.score(self.usual.features(s)) if self.forest is not None and len(s) else np.zeros(len(s))
+        score = self.forest.score(self.scale.features(s)) if self.forest is not None and len(s) else np.zeros(len(s))
         ok = ~failed_base(s)
         return score, ok if self.threshold is None else ok & (score <= self.threshold)
 
@@ -219,22 +223,20 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_false
     sample, good = sample[list(STATS)].to_numpy(), sample["good"].to_numpy(bool)
     if len(sample) < 2 or not good.any():
         return QualityModel(None, None, None)
-    usual = Usual.of(sample[good])
-    forest = IsolationForest.fit(usual.features(sample))
+    scale = Scale.of(sample[good])
+    forest = IsolationForest.fit(scale.features(sample), good)
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 8192):
-            at = np.minimum((forest.score(usual.features(matrix(part))) * BINS).astype(int), BINS)
+            at = np.minimum((forest.score(scale.features(matrix(part))) * BINS).astype(int), BINS)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), part.column("good")], ["bin", "good"])
 
-    counts = rows.select(*STATS, "good").mapInArrow(binned, "bin int, good boolean").groupBy("bin").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")).toPandas()
-    good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
-    good[counts["bin"]], bad[counts["bin"]] = counts["good"], counts["bad"]
+    counts = rows.select(*STATS, "good").mapInArrow(binned, "bin int, good boolean").groupBy("bin").agg(F.sum(F.col("good").cast("long")).alias("good")).toPandas()
+    good = np.zeros(BINS + 1)
+    good[counts["bin"]] = counts["good"]
     # rejected by a threshold at the upper end of bin k: all in higher bins
-    lost, caught = 1 - np.cumsum(good) / max(good.sum(), 1), 1 - np.cumsum(bad) / max(bad.sum(), 1)
-    gain = np.where(lost <= max_false_rejects + 1e-12, caught - lost, -1)
-    best = np.flatnonzero(gain == gain.max())
-    return QualityModel(usual, forest, (int(best[len(best) // 2]) + 1) / BINS)
+    lost = 1 - np.cumsum(good) / max(good.sum(), 1)
+    return QualityModel(scale, forest, (int(np.flatnonzero(lost <= max_false_rejects + 1e-12)[0]) + 1) / BINS)
 
 
 def quality_report(stats: DataFrame, model: QualityModel) -> DataFrame:
