@@ -292,6 +292,22 @@ def test_chat_of_nothing(spark, sf):
     assert [r["conv_id"] for r in chat.op4_chat(spark, sf(conversations=empty)).collect()] == [-7]
 
 
+def test_chat_long_roles_and_many_turns(spark):
+    """A role of a million characters, marks at the start of a text, and time linear in the turns."""
+    import time
+
+    role = "a:\\# </turn>\n" * 80_000
+    rows = [(1, 0, role, "\ufeffx"), (1, 1, "assistant", "\ufeff\U0001f600 \\"), (1, 2, "assistant", ""), (2, 0, "assistant", "y" * 1_000_000)]
+    log = chat.conversation_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    read = chat.parse(chat.chat_format(log)).select("*", F.transform(chat.under(F.col("formatted"), F.col("loss_spans")), chat.unescape).alias("lost")).orderBy("conv_id").collect()
+    assert [[tuple(t) for t in r["turns"]] for r in read] == [[(a, b) for c, _, a, b in rows if c == k] for k in (1, 2)]
+    assert [r["lost"] for r in read] == [["\ufeff\U0001f600 \\", ""], ["y" * 1_000_000]]
+    long = spark.range(12_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("word # "), 20).alias("text"))
+    start = time.time()
+    (found,) = chat.parse(chat.chat_format(chat.conversation_log(long))).select(F.size("turns").alias("n"), F.array_join(chat.under(F.col("formatted"), F.col("loss_spans")), "").alias("lost")).collect()
+    assert found["n"] == 12_000 and found["lost"] == "word \\# " * 20 * 6000 and time.time() - start < 30
+
+
 # 5
 
 

@@ -12,7 +12,8 @@ The loss spans are the places (start, length; code points) of the assistants' es
 Defined results. Null text or role: empty. Null conv_id: a conversation of its own. Null turn: before all
 others. Null seq: before all others of its turn. Equal seq: by kind (start first), role, text. Competing rows of a turn
 of ``conversation_log``: by role, text. Repeated rows: each is applied. Events before any start open a message without a role. No rows: no conversations.
-Extra columns are dropped. Everything is native: no Python runs on the executors.
+Extra columns are dropped. Time is linear in a conversation's messages; a conversation must fit a row (2 GB, 500 million
+characters). Everything is native: no Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -67,29 +68,25 @@ def messages(log: DataFrame) -> DataFrame:
 
 
 def render(folded: DataFrame, mask_role: str = ASSISTANT) -> DataFrame:
-    """conv_id, formatted, loss_spans (start, length) of every conversation."""
-    turn = F.struct(F.col("turn"), F.col("messages"))
-    grouped = folded.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    flat = grouped.select("conv_id", F.flatten(F.transform("turns", lambda t: t["messages"])).alias("m"))
-
-    def piece(m: Column) -> Column:
-        head = F.concat(F.lit("### "), F.replace(escape(m["role"]), F.lit(":"), F.lit("\\:")), F.lit(": "))
-        return F.struct(head.alias("head"), escape(m["text"]).alias("body"), (m["role"] == mask_role).alias("loss"))
-
-    pieces = flat.select("conv_id", F.transform("m", piece).alias("p"))
+    """conv_id, formatted, loss_spans (start, length) of every conversation: a message's place is the running length of those before it."""
+    said = folded.select("conv_id", "turn", F.posexplode_outer("messages").alias("k", "m")).select("conv_id", "turn", "k", "m.role", "m.text")
+    head = F.concat(F.lit("### "), F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\:")), F.lit(": "))
+    pieces = said.select("conv_id", "turn", "k", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == mask_role).alias("loss"))
     end = "</turn>\n"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    size = F.length("head") + F.length("body") + len(end)
+    before = Window.partitionBy("conv_id").orderBy("turn", "k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head"))
+    span = F.when(F.col("loss"), F.struct(F.col("at").cast("int").alias("start"), F.length("body").alias("length")))
+    piece = F.struct("turn", "k", F.concat("head", "body", F.lit(end)).alias("text"), span.alias("span"))
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), piece))).alias("p"))
+    return whole.select("conv_id", F.array_join(F.transform("p", lambda p: p["text"]), "").alias("formatted"), F.array_compact(F.transform("p", lambda p: p["span"])).alias("loss_spans"))
 
-    def span(acc: Column, p: Column) -> Column:
-        at = acc["at"] + F.length(p["head"])
-        here = F.struct(at.alias("start"), F.length(p["body"]).alias("length"))
-        return F.struct((at + F.length(p["body"]) + len(end)).alias("at"), F.when(p["loss"], F.concat(acc["spans"], F.array(here))).otherwise(acc["spans"]).alias("spans"))
 
-    return pieces.select(
-        "conv_id",
-        F.concat_ws("", F.transform("p", lambda p: F.concat(p["head"], p["body"], F.lit(end)))).alias("formatted"),
-        F.aggregate("p", start, span)["spans"].alias("loss_spans"),
-    )
+def under(text: Column, spans: Column) -> Column:
+    """The stretches (start, length; code points) of a text. They are cut from four bytes a character, so each costs its own length only."""
+    guard = F.lit(b"\x00\x00\x00A")  # a byte order mark at a stretch's start is text
+    cut = lambda b: F.transform(spans, lambda s: F.substr(F.decode(F.concat(guard, F.substring(b, 4 * s["start"] + 1, 4 * s["length"])), "UTF-32"), F.lit(2)))
+    return F.get(F.transform(F.array(F.encode(text, "UTF-32")), cut), F.lit(0))
 
 
 def parse(formatted: DataFrame) -> DataFrame:
@@ -97,7 +94,7 @@ def parse(formatted: DataFrame) -> DataFrame:
     parts = F.filter(F.split("formatted", "</turn>\n"), lambda s: s != "")
 
     def turn(s: Column) -> Column:
-        head = F.regexp_extract(s, r"(?s)^### ((?:[^\\:]|\\.)*): ", 0)
+        head = F.regexp_extract(s, r"(?s)^### (?:[^\\:]++|\\.)*+: ", 0)
         role = F.substr(head, F.lit(5), F.length(head) - 6)
         return F.struct(unescape(role).alias("role"), unescape(F.substr(s, F.length(head) + 1)).alias("text"))
 
@@ -115,8 +112,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     own = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))).alias("t")).select("conv_id", "t.turn", "t.role", F.lit(tricky).alias("text"))
     read = parse(chat_format(conversation_log(turns.unionByName(own))))
-    lost = F.concat_ws("", F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"]))))
-    said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    lost = F.array_join(F.transform(under(F.col("formatted"), F.col("loss_spans")), unescape), "")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", "formatted", "turns", lost.alias("lost"), said.alias("said")).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode("said", "utf-8"), 256).alias("turns_sha256"), F.length("lost").cast("long").alias("loss_chars"),
         F.sha2(F.encode("lost", "utf-8"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
