@@ -419,6 +419,24 @@ def test_embeddings_recall(spark, n):
     assert degree.sum() > n / 4 and recall >= 0.999
 
 
+@pytest.mark.parametrize(("varied", "exact", "least"), [(64, False, 0.999), (8, False, 0.99), (4, False, 0.99), (16, False, 0.99), (16, True, 1.0)])
+def test_embeddings_of_low_dimension(spark, varied, exact, least):
+    """Links found where vectors vary in few of their dimensions."""
+    rng = np.random.default_rng(varied)
+    half = np.zeros((1500, 64))
+    half[:, :varied] = rng.normal(size=(1500, varied))
+    half /= np.linalg.norm(half, axis=1)[:, None]
+    noise = np.zeros_like(half)
+    noise[:, :varied] = rng.normal(size=(1500, varied))
+    noise -= (noise * half).sum(1)[:, None] * half
+    x = np.concatenate([half, half * 0.952 + noise / np.linalg.norm(noise, axis=1)[:, None] * math.sqrt(1 - 0.952**2)])
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))}))
+    found = embeddings.embedding_duplicates(df, exact=exact).agg(F.sum("n_links")).first()[0]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = int((u @ u.T >= embeddings.COSINE).sum()) - len(x)
+    assert least * want <= found <= want
+
+
 def test_embeddings_of_nothing(spark):
     assert embeddings.embedding_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     only = embeddings.embedding_duplicates(spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")).collect()

@@ -6,9 +6,10 @@ the codes leave out. There are 2 * sqrt(n) lists (at most FIT_ROWS / 8; beyond s
 instead, and with them the work per vector). Every distinct vector is also a query.
 
 Of two vectors within the radius R = sqrt(2 - 2 * cosine) in different cells, one lies within half of the pair's extent
-across the cells' bisector. So a vector probes each list whose bisector is at most ``REACH`` * R / sqrt(dim) / 2 away
-(REACH standard deviations of a random direction; no cap on the number of probes), and a pair that is met from one
-side only counts for both. Within a list, distances to the coded vectors come from lookup tables; a vector goes on to
+across the cells' bisector. That extent is R at most, and for most pairs much less: it is the length of their difference
+along one direction. How long that is is measured on the sample (``spread``), and a vector probes each list whose bisector
+is at most ``REACH`` times its root mean square / 2 away, R / 2 at most; no cap on the number of probes. So a link may be
+lost if its difference lies as no close pair of the sample shows; ``exact=True`` probes up to R / 2 and loses none. A pair that is met from one side only counts for both. Within a list, distances to the coded vectors come from lookup tables; a vector goes on to
 the exact cosine in double precision unless its table distance exceeds R by more than its own coding error, which
 loses no pair.
 
@@ -39,6 +40,10 @@ COSINE = 0.95
 FIT_ROWS = 32_768
 PARTS, CODES = 16, 256
 REACH = 4.0
+#: Rows of the sample whose close pairs in it are looked for.
+CLOSE_ROWS = 2048
+#: So many close pairs across cells tell how far pairs extend across bisectors.
+CROSSING = 200
 BLOCK = 1024
 
 
@@ -60,12 +65,43 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([(half - x[k : k + 4096] @ c.T).argmin(1) for k in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
 
 
+def spread(sample: np.ndarray, coarse: np.ndarray, radius: float) -> float:
+    """Root mean square of the extent of close pairs across the bisector of their cells, in radii.
+
+    Where the sample shows too few such pairs: the largest standard deviation, along any direction, of the unit
+    differences of its close pairs and of what centroids leave.
+    """
+    step = max(1, len(sample) // CLOSE_ROWS)
+    few = sample[::step]
+    close = []
+    for k in range(0, len(few), 256):
+        i, j = np.nonzero(few[k : k + 256] @ sample.T >= 1 - radius**2 / 2)
+        every = max(1, len(i) // 8192)  # pairs enough for a second moment
+        close.append((k + i[::every], j[::every]))
+    i, j = (np.concatenate(c) for c in zip(*close, strict=True))
+    at = nearest(sample, coarse)
+    one, two = at[i * step], at[j]
+    cross = one != two
+    if cross.sum() >= CROSSING:
+        normal = coarse[one[cross]] - coarse[two[cross]]
+        extent = ((few[i[cross]] - sample[j[cross]]) * normal).sum(1) / np.linalg.norm(normal, axis=1)
+        return float(np.sqrt((extent**2).mean())) / radius
+    most = 0.0
+    for rows in (few[i] - sample[j], sample - coarse[at]):
+        size = np.linalg.norm(rows, axis=1)
+        unit = rows[size > 1e-9] / size[size > 1e-9, None]
+        if len(unit) > 1:
+            most = max(most, float(np.linalg.eigvalsh(unit.T @ unit / len(unit))[-1]))
+    return math.sqrt(most) if most else 1.0
+
+
 class Index:
     """Coarse centroids and residual codebooks."""
 
-    def __init__(self, sample: np.ndarray, lists: int):
+    def __init__(self, sample: np.ndarray, lists: int, radius: float, exact: bool = False):
         self.coarse = kmeans(sample, lists, 8, 1)
         rest = sample - self.coarse[nearest(sample, self.coarse)]
+        self.reach = radius / 2 * (1.0 if exact else min(1.0, REACH * spread(sample, self.coarse, radius)))
         self.cuts = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int)
         self.books = [kmeans(rest[:, a:b], CODES, 6, 2) for a, b in zip(self.cuts, self.cuts[1:])]  # noqa: B905
         self.apart = np.sqrt(np.maximum(((self.coarse[:, None, :] - self.coarse[None]) ** 2).sum(2), 0)) if len(self.coarse) <= 512 else None
@@ -78,14 +114,13 @@ class Index:
         back = np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], 1)
         return at, codes.astype(np.uint8), np.linalg.norm(rest - back, axis=1)
 
-    def probes(self, x: np.ndarray, radius: float) -> list[np.ndarray]:
+    def probes(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists that each unit vector probes."""
         c = self.coarse
         d = np.maximum((c * c).sum(1)[None] - 2 * x @ c.T + 1, 0)
         own = d.argmin(1)
         apart = self.apart[own] if self.apart is not None else np.sqrt(np.maximum(((c[own] ** 2).sum(1))[:, None] + (c * c).sum(1)[None] - 2 * c[own] @ c.T, 0))
-        reach = radius * min(1.0, REACH / math.sqrt(x.shape[1])) / 2
-        near = d - d[np.arange(len(x)), own][:, None] <= 2 * reach * apart + 1e-12
+        near = d - d[np.arange(len(x)), own][:, None] <= 2 * self.reach * apart + 1e-12
         return [np.flatnonzero(row) for row in near]
 
     def table_distances(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
@@ -168,7 +203,7 @@ def dealt(known: DataFrame) -> DataFrame:
     return members.unionByName(queries).repartition("list", "mb", "vb").sortWithinPartitions("list", "mb", "vb", "side")
 
 
-def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
+def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, exact: bool = False) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     kind = "<f4" if isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType) else "<f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
@@ -192,15 +227,14 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     total = classes.count()
     if total:
         sample = unit_rows([r[0] for r in classes.where(unit_hash("vec") <= min(1.0, 2 * FIT_ROWS / total)).orderBy(F.xxhash64("vec"), "vec").limit(FIT_ROWS).select("vec").collect()], kind)
-        index = Index(sample, max(1, min(FIT_ROWS // 8, math.ceil(2 * math.sqrt(total)))))
-        radius = math.sqrt(2 - 2 * cosine)
+        index = Index(sample, max(1, min(FIT_ROWS // 8, math.ceil(2 * math.sqrt(total)))), math.sqrt(2 - 2 * cosine), exact)
 
         def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, 1024):
                 x = unit_rows(part.column("vec").to_pylist(), kind)
                 at, codes, err = index.encode(x)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("id", "vec", "n")), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), pa.array([p.tolist() for p in index.probes(x, radius)], pa.list_(pa.int32()))],
+                    [*(part.column(c) for c in ("id", "vec", "n")), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), pa.array([p.tolist() for p in index.probes(x)], pa.list_(pa.int32()))],
                     [c.split()[0] for c in INDEXED.split(", ")])
 
         known = s.save(classes.select("id", "vec", "n").mapInArrow(indexed, INDEXED))
