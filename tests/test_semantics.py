@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,20 +213,59 @@ def test_word_diff_of_long_pairs(spark):
     assert found == [(1, 0, "replaced", old[0], "first"), (1, 1, "inserted", "", "x y"), (1, 2, "deleted", old[9000], ""), (1, 3, "replaced", old[11_990], "z")]
 
 
-def test_edit_runs_are_shortest():
+def shortest(a, b):
+    common = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            common[i + 1][j + 1] = common[i][j] + 1 if x == y else max(common[i][j + 1], common[i + 1][j])
+    return len(a) + len(b) - 2 * common[-1][-1]
+
+
+def applied(a, b, runs):
+    back, at = [], 0
+    for i0, i1, j0, j1 in runs:
+        back += [*a[at:i0], *b[j0:j1]]
+        at = i1
+    return back + list(a[at:])
+
+
+@pytest.mark.parametrize("kept", [2048, 3, 1])
+def test_edit_runs_are_shortest(monkeypatch, kept):
+    """Kept step by step or halved: the fewest edits, in runs that do not touch."""
+    monkeypatch.setattr(cp, "KEPT_EDITS", kept)
     rng = random.Random(2)
-    for _ in range(400):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(14))] for _ in range(2))
-        runs, back, at = cp.edit_runs(a, b), [], 0
-        for i0, i1, j0, j1 in runs:
-            back += a[at:i0] + b[j0:j1]
-            at = i1
-        assert back + a[at:] == b
-        common = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                common[i + 1][j + 1] = common[i][j] + 1 if x == y else max(common[i][j + 1], common[i + 1][j])
-        assert sum(r[1] - r[0] + r[3] - r[2] for r in runs) == len(a) + len(b) - 2 * common[-1][-1]
+    for _ in range(300):
+        a, b = (np.array([rng.randrange(4) for _ in range(rng.randrange(14))], np.int64) for _ in range(2))
+        runs = cp.edit_runs(a, b)
+        assert applied(a, b, runs) == list(b)
+        assert sum(i1 - i0 + j1 - j0 for i0, i1, j0, j1 in runs) == shortest(a, b)
+        assert all(r[1] < s[0] and r[3] < s[2] for r, s in zip(runs, runs[1:], strict=False))
+
+
+def test_gaps_between_anchors(monkeypatch):
+    """Gaps lie apart, cover every difference and are aligned by shortest scripts; anchors are words found once in both."""
+    monkeypatch.setattr(cp, "WHOLE_WORDS", 6)
+    rng = random.Random(3)
+    for _ in range(200):
+        a = np.array([rng.randrange(30) for _ in range(40)], np.int64)
+        b = np.array([w for w in a if rng.random() > 0.1] + [rng.randrange(30)], np.int64)
+        found = sorted(cp.gaps(a, b))
+        runs = [(i + i0, i + i1, j + j0, j + j1) for i, i_end, j, j_end in found for i0, i1, j0, j1 in cp.edit_runs(a[i:i_end], b[j:j_end])]
+        assert applied(a, b, runs) == list(b)
+        chain = cp.anchors(a, b)
+        assert all(list(a).count(a[i]) == list(b).count(b[j]) == 1 and a[i] == b[j] for i, j in chain) and chain == sorted(chain, key=lambda x: x[1])
+
+
+def test_word_diff_of_a_rewritten_book(spark):
+    """200,000 words of a small vocabulary with 50,000 edits: no word is an anchor, and it ends."""
+    rng = random.Random(5)
+    old = [f"w{rng.randrange(400)}" for _ in range(200_000)]
+    new = [w if rng.random() > 0.25 else f"n{rng.randrange(400)}" for w in old]
+    frame = lambda w: spark.createDataFrame([(1, w)], "doc_id long, words array<string>")
+    rows = cp.word_diff(frame(old), frame(new)).orderBy("change_no").collect()
+    edits = sum(len(r["removed"].split()) + len(r["inserted"].split()) for r in rows)
+    assert edits <= 2 * sum(x != y for x, y in zip(old, new, strict=True))
+    assert [r["change_no"] for r in rows] == list(range(len(rows)))
 
 
 def test_table_names_of_all_columns(spark, tmp_path):

@@ -111,6 +111,21 @@ def compare_word_diff(spark: SparkSession, d: str) -> DataFrame:
     return cp.word_diff(words(docs), words(cp.edited(docs)))
 
 
+@query("compare_numbered_diff", r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t-\r]+') AS ws FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(ws) || ':' || unnest(range(1, len(ws) + 1)) AS w, unnest(range(1, len(ws) + 1)) AS i FROM w),
+e AS (SELECT *, CASE WHEN i % 11 = 0 THEN NULL WHEN i % 7 = 0 THEN translate(w, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE w END AS v FROM u),
+c AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM e WHERE v IS DISTINCT FROM w),
+g AS (SELECT doc_id, k, min(i) AS i, string_agg(w, ' ' ORDER BY i) AS removed, coalesce(string_agg(v, ' ' ORDER BY i), '') AS inserted FROM c GROUP BY doc_id, k)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS change_no, CASE WHEN inserted = '' THEN 'deleted' ELSE 'replaced' END AS kind, removed, inserted FROM g""")
+def compare_numbered_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Words that carry their number are found once, so the changes are known beforehand: all pairs of whole documents."""
+    words = F.transform(F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != ""), lambda w, i: F.concat(w, F.lit(":"), (i + 1).cast("string")))
+    old = table(spark, d, "documents").where("text is not null").select("doc_id", words.alias("words"))
+    capital = lambda w: F.translate(w, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    new = F.filter(F.transform("words", lambda w, i: F.when((i + 1) % 11 == 0, "").when((i + 1) % 7 == 0, capital(w)).otherwise(w)), lambda w: w != "")
+    return cp.word_diff(old, old.select("doc_id", new.alias("words")))
+
+
 @query("compare_grouped_changes", "WITH " + dv.TOKENS_SQL + """, s AS (SELECT *, CASE WHEN pos % 11 IN (9, 10) THEN -1 WHEN pos % 7 = 6 THEN 1 ELSE 0 END AS side FROM tokens),
 m AS (SELECT *, CASE WHEN side <> 0 AND coalesce(lag(side) OVER w, 0) = 0 THEN 1 ELSE 0 END AS st FROM s WINDOW w AS (PARTITION BY doc_id, page ORDER BY pos, side)),
 k AS (SELECT *, sum(st) OVER (PARTITION BY doc_id, page ORDER BY pos, side) AS k FROM m),
