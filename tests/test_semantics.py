@@ -375,6 +375,28 @@ def test_continuations(spark):
     assert found == {0: (None, False), 1: (0, False), 2: (1, False), 3: (None, False), 4: (None, False), 5: (None, False), 6: (5, True)}
 
 
+def test_paragraphs_in_two_columns(spark):
+    """Lines side by side: each column's lines chain among themselves, and no page runs through Python."""
+    left = [(0.0, 140.0, "Left begins here"), (0.0, 140.0, "and goes on"), (0.0, 50.0, "and ends."), (0.0, 140.0, "Next of left")]
+    right = [(160.0, 300.0, "Right begins here"), (160.0, 300.0, "and goes on"), (160.0, 300.0, "still"), (160.0, 300.0, "to its end")]
+    rows = [(1, 0, 2 * k + c, x0, 12.0 * k, x1, 12.0 * k + 10, 10.0, False, False, t) for c, side in enumerate((left, right)) for k, (x0, x1, t) in enumerate(side)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, line_no int, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, mixed boolean, text string")
+    found = tf.group_paragraphs(df)
+    assert {r["line_no"]: r["block"] for r in found.collect()} == {0: 0, 2: 0, 4: 0, 6: 2, 1: 1, 3: 1, 5: 1, 7: 1}
+    assert "Python" not in found._jdf.queryExecution().toString() and "Pandas" not in found._jdf.queryExecution().toString()
+
+
+def test_continuations_chain_on_their_own_spacing(spark):
+    """A block joined once sets the spacing for the next: wide gaps end a chain of narrow ones and may start one of their own."""
+    def block(k, y0):
+        return (1, 0, k, "paragraph", "plain", 10.0, 0.0, float(y0), 300.0, float(y0 + 10), 1, 0.0, 298.0, 30.0, "words that fill their line and")
+
+    rows = [block(0, 0), block(1, 12), block(2, 24), block(3, 48), block(4, 72), block(5, 76 + 10)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, block int, kind string, style string, size double, x0 double, y0 double, x1 double, y1 double, lines int, last_x0 double, last_x1 double, first_width double, text string")
+    found = {r["block"]: r["continues"] for r in tf.join_continuations(df).collect()}
+    assert found == {0: None, 1: 0, 2: 1, 3: None, 4: 3, 5: 4}
+
+
 def test_stream_table(spark):
     def seg(line, x0, text, width=40.0):
         return (1, 0, 0, 100.0, 400.0, line, float(x0), line * 12.0, float(x0 + width), text)
