@@ -450,6 +450,33 @@ def test_labels_of_fields(spark):
     assert found == {0: ("Name:", "left", False), 1: ("City (town)", "above", False), 2: ("Yes, I agree", "right", False), 3: ("Right over", "above", False), 4: ("tip", "tooltip", False), 5: ("Name:", "left_shared", False), 6: (None, "none", False)}
 
 
+FIELDS = "doc_id long, page int, field int, kind string, name string, tooltip string, x0 double, y0 double, x1 double, y1 double"
+
+
+def test_labels_use_up_tokens(spark):
+    """One line of three words over three fields labels each with its word; what no field took stays."""
+    token = lambda x, w: (float(x), 0.0, float(x + 30), 10.0, w)
+    blocks = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, 330.0, 10.0, 10.0, "First Last Town Rest", [token(0, "First"), token(100, "Last"), token(200, "Town"), token(300, "Rest")])],
+                                   "doc_id long, page int, block int, x0 double, y0 double, x1 double, y1 double, size double, text string, tokens array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>")
+    fields = spark.createDataFrame([(1, 0, k, "text", f"f{k}", None, 100.0 * k, 14.0, 100.0 * k + 60, 26.0) for k in range(3)], FIELDS)
+    found = fm.pair_labels(fields, blocks)
+    assert {r["field"]: (r["label"], r["source"]) for r in found.collect()} == {0: ("First", "above"), 1: ("Last", "above"), 2: ("Town", "above")}
+    (rest,) = fm.blocks_left(blocks, found).collect()
+    assert (rest["text"], rest["x0"], rest["x1"]) == ("Rest", 300.0, 330.0)
+
+
+def test_labels_in_cells_and_groups(spark):
+    """The cell's own text, the cell at the right of a box, at the left of a text field, the one above; buttons take none."""
+    texts = {(0, 0): "Name", (0, 1): "Value", (1, 0): "", (1, 1): "agree\n fully", (2, 0): "", (2, 1): "", (3, 0): "Total:", (3, 1): ""}
+    cells = spark.createDataFrame([(1, 0, 0, r, c, 100.0 * c, 20.0 * r, 100.0 * c + 100, 20.0 * r + 20, t) for (r, c), t in texts.items()], "doc_id long, page int, table_no int, row int, col int, x0 double, y0 double, x1 double, y1 double, text string")
+    at = lambda k, kind, r, c, name=None: (1, 0, k, kind, name or f"n{k}", None, 100.0 * c + 10, 20.0 * r + 5, 100.0 * c + 20, 20.0 * r + 15)
+    fields = spark.createDataFrame([at(0, "checkbox", 1, 0), at(1, "text", 3, 1), at(2, "text", 2, 1), at(3, "text", 0, 0), at(4, "checkbox", 2, 1), at(5, "button", 0, 0), at(6, "text", 9, 0, "a"), at(7, "radio", 9, 1, "Pick One!"), at(8, "text", 9, 3, "a")], FIELDS)
+    blocks = spark.createDataFrame([(1, 0, 0, 0.0, 400.0, 9.0, 410.0, 10.0, "far")], "doc_id long, page int, block int, x0 double, y0 double, x1 double, y1 double, size double, text string")
+    found = {r["field"]: (r["label"], r["source"]) for r in fm.pair_labels(fields, blocks, cells).collect()}
+    assert found == {0: ("agree fully", "cell_right"), 1: ("Total:", "cell_left"), 2: ("agree fully", "cell_above"), 3: ("Name", "cell"), 4: (None, "none"), 5: (None, "none"), 6: (None, "none"), 7: (None, "none"), 8: (None, "none")}
+    assert {r["field"]: r["group"] for r in fm.field_groups(fields).collect() if r["group"]} == {6: "a", 7: "pick-one", 8: "a"}
+
+
 def structure_of(spark, rows):
     schema = "doc_id long, page int, seg int, l double, b double, r double, t double, size double, bold boolean, figure boolean, text string, width double"
     df = spark.createDataFrame([(1, 0, k, float(l), float(t - 10), float(r), float(t), float(size), bold, text is None, text or "", 600.0) for k, (l, r, t, size, bold, text) in enumerate(rows)], schema)

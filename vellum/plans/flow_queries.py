@@ -163,6 +163,26 @@ def form_labels(spark: SparkSession, d: str) -> DataFrame:
     return fm.pair_labels(fields, blocks).select("doc_id", "page", "field", "label", "source")
 
 
+@query("form_labels_tokens", L + r""", w AS (SELECT doc_id, (line_no // 20)::INT AS page, line_no, regexp_extract_all(text, '[^ \t-\r]+') AS ws FROM doc_lines),
+t AS (SELECT * FROM w WHERE len(ws) >= 2 AND length(ws[1] || ' ' || ws[2]) <= 220 AND NOT contains(ws[1] || ws[2], ':'))
+SELECT doc_id, page, line_no * 2 + k - 1 AS field, ws[k] AS label, 'above' AS source FROM t, (VALUES (1), (2)) AS v(k)
+UNION ALL SELECT doc_id, page, -1 - line_no AS field, ws[1] AS label, 'cell_left' AS source FROM t""")
+def form_labels_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The first two words of a line stand over a field each and use up their own word; a third field stands in an empty cell beside the first word's."""
+    words = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
+    w = lambda k: F.get("ws", F.lit(k))
+    rows = lines(spark, d).withColumn("ws", words).where(F.size("ws") >= 2)
+    rows = rows.where((F.length(F.concat(w(0), F.lit(" "), w(1))) <= 220) & ~F.contains(F.concat(w(0), w(1)), F.lit(":")))
+    y0 = (F.col("line_no") % dv.LINES_A_PAGE) * 60.0
+    token = lambda k: F.struct(F.lit(100.0 * k).alias("x0"), y0.alias("y0"), F.lit(100.0 * k + 50).alias("x1"), (y0 + 10).alias("y1"), w(k).alias("text"))
+    blocks = rows.select("doc_id", "page", F.col("line_no").alias("block"), F.lit(0.0).alias("x0"), y0.alias("y0"), F.lit(150.0).alias("x1"), (y0 + 10).alias("y1"), F.lit(10.0).alias("size"), F.concat(w(0), F.lit(" "), w(1)).alias("text"), F.array(token(0), token(1)).alias("tokens"))
+    field = lambda number, x, y: rows.select("doc_id", "page", number.cast("int").alias("field"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("tooltip"), F.lit(x).alias("x0"), y.alias("y0"), F.lit(x + 60).alias("x1"), (y + 10).alias("y1"))
+    fields = field(F.col("line_no") * 2, 0.0, y0 + 14).unionByName(field(F.col("line_no") * 2 + 1, 100.0, y0 + 14)).unionByName(field(-1 - F.col("line_no"), 700.0, y0))
+    cell = lambda col, x, text: rows.select("doc_id", "page", F.lit(0).alias("table_no"), F.col("line_no").alias("row"), F.lit(col).alias("col"), F.lit(x).alias("x0"), y0.alias("y0"), F.lit(x + 100).alias("x1"), (y0 + 20).alias("y1"), text.alias("text"))
+    cells = cell(0, 580.0, w(0)).unionByName(cell(1, 680.0, F.lit("")))
+    return fm.pair_labels(fields, blocks, cells).select("doc_id", "page", "field", "label", "source")
+
+
 @query("audit_structure")
 def audit_structure(spark: SparkSession, d: str) -> DataFrame:
     """Lines as segments of their block's size; order-dependent within a page, tests hold it on literal pages."""
