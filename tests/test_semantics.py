@@ -19,6 +19,7 @@ from vellum.operators import pages as pg
 from vellum.operators import review as rv
 from vellum.operators import search as sc
 from vellum.operators import structure as sr
+from vellum.operators import tables as tb
 from vellum.operators import textflow as tf
 from vellum.plans import actions as ac
 from vellum.registry import QUERIES
@@ -477,6 +478,21 @@ def test_labels_in_cells_and_groups(spark):
     assert {r["field"]: r["group"] for r in fm.field_groups(fields).collect() if r["group"]} == {6: "a", 7: "pick-one", 8: "a"}
 
 
+def test_ruled_tables(spark):
+    """Two tables on a page, rules drawn twice and in pieces, a cell over two rows and one over two columns, boxed text that is none."""
+    def box(x, y, rows, cols, step=40, without=()):
+        h = [("h", y + r * step, x + c * step, x + (c + 1) * step) for r in range(rows + 1) for c in range(cols) if ("h", r, c) not in without]
+        return h + [("v", x + c * step, y + r * step, y + (r + 1) * step) for c in range(cols + 1) for r in range(rows) if ("v", r, c) not in without]
+
+    drawn = box(0, 0, 3, 2, without={("h", 1, 0), ("v", 2, 1)}) + [("h", 121.5, 0, 80)] + box(300, 0, 2, 2) + box(0, 400, 1, 3)
+    rules = spark.createDataFrame([(1, 0, k, a, float(at), float(lo), float(hi)) for k, (a, at, lo, hi) in enumerate(drawn)] + [(1, 0, 999, "h", None, 0.0, 1.0)], "doc_id long, page int, rule int, axis string, at double, lo double, hi double")
+    word = lambda x, y, t: (1, 0, float(x), float(y), float(x + 10), float(y + 8), t)
+    words = spark.createDataFrame([word(5, 45, "below"), word(5, 5, "tall"), word(50, 90, "wide"), word(5, 90, "is"), word(310, 50, "other"), word(5, 410, "box"), word(500, 500, "out")], "doc_id long, page int, x0 double, y0 double, x1 double, y1 double, text string")
+    found = {tuple(r[c] for c in ("table_no", "row", "col", "row_span", "col_span")): r["text"] for r in tb.ruled_cells(rules, words).collect()}
+    assert found == {(0, 0, 0, 2, 1): "tall below", (0, 0, 1, 1, 1): "", (0, 1, 1, 1, 1): "", (0, 2, 0, 1, 2): "is wide", (1, 0, 0, 1, 1): "", (1, 0, 1, 1, 1): "", (1, 1, 0, 1, 1): "other", (1, 1, 1, 1, 1): ""}
+    assert tb.ruled_cells(rules.limit(0), words).count() == 0
+
+
 def structure_of(spark, rows):
     schema = "doc_id long, page int, seg int, l double, b double, r double, t double, size double, bold boolean, figure boolean, text string, width double"
     df = spark.createDataFrame([(1, 0, k, float(l), float(t - 10), float(r), float(t), float(size), bold, text is None, text or "", 600.0) for k, (l, r, t, size, bold, text) in enumerate(rows)], schema)

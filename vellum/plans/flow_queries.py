@@ -14,6 +14,7 @@ from ..operators import forms as fm
 from ..operators import inventory as iv
 from ..operators import lineage as lg
 from ..operators import structure as st
+from ..operators import tables as tb
 from ..operators import textflow as tf
 from ..sources import derived as dv
 from ..sources import files as fl
@@ -183,6 +184,26 @@ def form_labels_tokens(spark: SparkSession, d: str) -> DataFrame:
     return fm.pair_labels(fields, blocks, cells).select("doc_id", "page", "field", "label", "source")
 
 
+@query("table_ruled_cells", L + r""", w AS (SELECT doc_id, (line_no // 20)::INT AS page, line_no % 20 AS k, regexp_extract_all(text, '[^ \t-\r]+') AS ws FROM doc_lines),
+p AS (SELECT *, max(len(ws)) OVER v >= 3 AS wide, count(*) OVER v AS n FROM w WINDOW v AS (PARTITION BY doc_id, page)),
+t AS (SELECT *, sum((k = 0 OR len(ws) > 0)::INT) OVER (PARTITION BY doc_id, page ORDER BY k) AS cell FROM p WHERE n >= 2)
+SELECT doc_id, page, min(k)::INT AS row, 0 AS col, count(*)::INT AS row_span, 1 AS col_span, coalesce(min_by(ws[1], k), '') AS text FROM t GROUP BY doc_id, page, cell
+UNION ALL SELECT doc_id, page, k::INT, 1, 1, CASE WHEN wide AND len(ws) < 3 THEN 2 ELSE 1 END, coalesce(ws[2], '') FROM t
+UNION ALL SELECT doc_id, page, k::INT, 2, 1, 1, ws[3] FROM t WHERE len(ws) >= 3""")
+def table_ruled_cells(spark: SparkSession, d: str) -> DataFrame:
+    """A ruled row for each line of a page: its first three words in columns, the last two merged where there is no third word, the first merged with that above on blank lines."""
+    words = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
+    rows = lines(spark, d).select("doc_id", "page", (F.col("line_no") % dv.LINES_A_PAGE).alias("k"), words.alias("ws"))
+    y = F.col("k") * 20.0
+    rule = lambda axis, at, lo, hi: F.struct(F.lit(axis).alias("axis"), at.alias("at"), lo.alias("lo"), hi.alias("hi"))
+    v = lambda x: rule("v", F.lit(float(x)), y, y + 20)
+    h = lambda at, x0, x1: rule("h", at, F.lit(float(x0)), F.lit(float(x1)))
+    whole = [v(0), v(100), v(300), h(y + 20, 100, 300), F.when(F.size("ws") >= 3, v(200)), F.when((F.col("k") == 0) | (F.size("ws") > 0), h(y, 0, 100)), F.when(F.col("k") == 0, h(y, 100, 300))]
+    rules = rows.select("doc_id", "page", "k", F.posexplode(F.array_compact(F.array(*whole))).alias("i", "r")).select("doc_id", "page", (F.col("k") * 10 + F.col("i")).alias("rule"), "r.*")
+    said = rows.select("doc_id", "page", y.alias("y"), F.posexplode(F.slice("ws", 1, 3)).alias("i", "text")).select("doc_id", "page", (F.col("i") * 100.0 + 10).alias("x0"), (F.col("y") + 5).alias("y0"), (F.col("i") * 100.0 + 60).alias("x1"), (F.col("y") + 15).alias("y1"), "text")
+    return tb.ruled_cells(rules, said).select("doc_id", "page", "row", "col", "row_span", "col_span", "text")
+
+
 @query("audit_structure")
 def audit_structure(spark: SparkSession, d: str) -> DataFrame:
     """Lines as segments of their block's size; order-dependent within a page, tests hold it on literal pages."""
