@@ -478,6 +478,15 @@ def test_labels_in_cells_and_groups(spark):
     assert {r["field"]: r["group"] for r in fm.field_groups(fields).collect() if r["group"]} == {6: "a", 7: "pick-one", 8: "a"}
 
 
+def test_merged_names_pass_taken_prefixes(spark):
+    """A prefix that some field or the target has already is passed over."""
+    fields = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (1, "p1_x"), (2, "y"), (4, "p2_x")], "doc_id long, name string")
+    others = spark.createDataFrame([("y",), ("p1_y",)], "name string")
+    found = {(r["doc_id"], r["name"]): r["merged_name"] for r in iv.namespaced(fields, others).collect()}
+    assert found[1, "x"] == "x" and found[1, "p1_x"] == "p1_x" and found[4, "p2_x"] == "p2_x" and found[2, "y"] == "p2_y"
+    assert len(set(found.values())) == 6 and {found[2, "x"], found[3, "x"]} == {"p3_x", "p4_x"}
+
+
 def test_ruled_tables(spark):
     """Two tables on a page, rules drawn twice and in pieces, a cell over two rows and one over two columns, boxed text that is none."""
     def box(x, y, rows, cols, step=40, without=()):

@@ -59,10 +59,22 @@ def skew(lines: DataFrame) -> DataFrame:
 
 
 def namespaced(fields: DataFrame, others: DataFrame) -> DataFrame:
-    """fields (doc_id, name) with merged_name: of a name that others, or an earlier document, has, later ones get p<n>_ in front."""
+    """fields (doc_id, name) with merged_name: of a name that others, or an earlier document, has, later ones get p<n>_ in front.
+
+    n is the first number, from the count of those before on, that gives a name which neither others, nor a field that
+    keeps its name, nor an earlier field of that new name has; names that clash are numbered on until none does.
+    """
     taken = others.select("name").distinct().withColumn("_t", F.lit(1))
     n = F.row_number().over(Window.partitionBy("name").orderBy("doc_id")) - 1 + F.coalesce("_t", F.lit(0))
-    return fields.join(taken, "name", "left").withColumn("merged_name", F.when(n == 0, F.col("name")).otherwise(F.concat(F.lit("p"), n, F.lit("_"), F.col("name")))).drop("_t")
+    merged = F.when(F.col("_n") == 0, F.col("name")).otherwise(F.concat(F.lit("p"), "_n", F.lit("_"), F.col("name")))
+    now = cut(fields.join(taken, "name", "left").withColumn("_n", n).drop("_t").withColumn("merged_name", merged))
+    while True:
+        held = taken.select(F.col("name").alias("merged_name")).unionByName(now.where("_n = 0").select("merged_name")).distinct().withColumn("_held", F.lit(True))
+        nth = F.row_number().over(Window.partitionBy("merged_name").orderBy("doc_id", "name"))
+        checked = now.join(held, "merged_name", "left").withColumn("_clash", (F.col("_n") > 0) & (F.col("_held").isNotNull() | (nth > 1)))
+        if not checked.where("_clash").limit(1).count():
+            return now.drop("_n")
+        now = cut(checked.withColumn("_n", F.col("_n") + F.col("_clash").cast("int")).withColumn("merged_name", merged).drop("_held", "_clash"))
 
 
 def exemption_texts(marks: DataFrame, codes: DataFrame) -> DataFrame:
