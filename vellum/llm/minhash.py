@@ -390,8 +390,9 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays; its shingles have STAGE_SHINGLE words."""
-    dropped = near_duplicates(docs, STAGE_SHINGLE).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
+    dropped = near_duplicates(docs, STAGE_SHINGLE).where("not kept").select("doc_id").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return rows.join(dropped, "doc_id", "left_anti").select("row.*")
 
 
 OP1_SQL = r"""
