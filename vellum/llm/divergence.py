@@ -34,27 +34,33 @@ LEAST_DOCS, SMOOTH, UNIT, TOP_TERMS = 30, 5, 1_000_000_000, 50
 #: On UTF-8: runs of ASCII letters and of bytes of other characters.
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: A task hands on its counts or sums when it holds so many.
-HELD = 400_000
+HELD = 600_000
+#: Sources of a language are numbered in so many bits; the pairs of more could not be listed.
+SID_BITS = 24
+MOST_SOURCES = (1 << SID_BITS) - 1
 
 
 def collapsed(docs: DataFrame) -> DataFrame:
-    """lang, text, sources (source, n): a row per distinct text of a language."""
-    named = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "text", "source")))
-    return named.groupBy("lang", "text", "source").agg(F.count("*").alias("n")).groupBy("lang", "text").agg(F.collect_list(F.struct("source", "n")).alias("sources"))
+    """lang, text, sources (source, n): a row per distinct text of a language. Texts, known by their SHA-256, are shuffled once."""
+    named = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "text", "source"))).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    copies = named.groupBy("lang", "digest", "source").agg(F.count("*").alias("n")).groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "n")).alias("sources"))
+    return named.groupBy("lang", "digest").agg(F.first("text").alias("text")).join(copies.hint("merge"), ["lang", "digest"]).select("lang", "text", "sources")
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """lang, source, term, docs, n: documents with the term and its occurrences."""
+    """lang, term, source, docs, n, partitioned by language and term: documents with the term and its occurrences.
+
+    A task hands on one row per term, with the sources side by side.
+    """
 
     def flushed(held: dict) -> pa.RecordBatch:
-        langs, sources, terms, docs, n = [], [], [], [], []
+        rows: dict = defaultdict(list)
         for (lang, source), (by_doc, by_word) in held.items():
-            langs += [lang] * len(by_word)
-            sources += [source] * len(by_word)
-            terms += by_word.keys()
-            n += by_word.values()
-            docs += [by_doc[t] for t in by_word]
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(docs, pa.int64()), pa.array(n, pa.int64())], ["lang", "source", "term", "docs", "n"])
+            for t, k in by_word.items():
+                rows[lang, t].append((source, by_doc[t], k))
+        ends = np.concatenate([[0], np.cumsum([len(r) for r in rows.values()])]).astype(np.int32)
+        at = pa.StructArray.from_arrays([pa.array([x[c] for r in rows.values() for x in r], t) for c, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["source", "docs", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(pa.array(ends), at)], ["lang", "term", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = defaultdict(lambda: (Counter(), Counter()))
@@ -78,7 +84,8 @@ def term_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield flushed(held)
 
-    return texts.mapInArrow(run, "lang string, source string, term string, docs long, n long").groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    rows = texts.mapInArrow(run, "lang string, term string, at array<struct<source:string,docs:long,n:long>>").repartition("lang", "term")
+    return rows.select("lang", "term", F.inline("at")).groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -91,10 +98,10 @@ def shared_sums(lists: DataFrame) -> DataFrame:
     """lang, s, u (s < u), v: the last sum of the formula, of lists (lang, at: array of (sid, p, b)), a row per term."""
 
     def combined(keys: list, values: list) -> tuple[np.ndarray, np.ndarray]:
-        key, at = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
-        total = np.zeros(len(key), np.int64)
-        np.add.at(total, at.reshape(-1), np.concatenate(values))
-        return key, total
+        key, value = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(key, kind="stable")
+        key, first = np.unique(key[order], return_index=True)
+        return key, np.add.reduceat(value[order], first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict[str, int] = {}
@@ -105,7 +112,7 @@ def shared_sums(lists: DataFrame) -> DataFrame:
         def flushed() -> pa.RecordBatch:
             key, total = combined(keys, values)
             names = list(langs)
-            return pa.RecordBatch.from_arrays([pa.array([names[k] for k in key[:, 0]], pa.string()), pa.array(key[:, 1]), pa.array(key[:, 2]), pa.array(total)], ["lang", "s", "u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([names[k] for k in key >> 2 * SID_BITS], pa.string()), pa.array(key >> SID_BITS & MOST_SOURCES), pa.array(key & MOST_SOURCES), pa.array(total)], ["lang", "s", "u", "v"])
 
         for part in slices(batches):
             for lang, at in zip(part.column(0).to_pylist(), part.column(1), strict=True):
@@ -117,7 +124,7 @@ def shared_sums(lists: DataFrame) -> DataFrame:
                     i, j = i + k, j + k
                     if len(i):
                         waiting += len(i)
-                        keys.append(np.stack([np.full(len(i), langs.setdefault(lang, len(langs))), sid[i], sid[j]], 1))
+                        keys.append((langs.setdefault(lang, len(langs)) << 2 * SID_BITS) + (sid[i] << SID_BITS) + sid[j])
                         values.append(np.abs(p[i] - p[j]) - np.abs(p[i] - b[j]) - np.abs(p[j] - b[i]) + np.abs(b[i] - b[j]))
                     if waiting > 4 * HELD:
                         key, total = combined(keys, values)
@@ -150,10 +157,9 @@ def own_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
 def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
     """lang, source, part, item, value, rank."""
     s = Scratch(docs.sparkSession)
-    counts = s.save(term_counts(collapsed(docs)))
-    common = counts.groupBy("lang", "term").agg(F.sum("docs").alias("in_docs"), F.sum("n").alias("all_n")).where(F.col("in_docs") >= least_docs)
-    kept = s.save(counts.join(common, ["lang", "term"]).select("lang", "source", "term", "n", "all_n"))
-    s.free(counts)
+    term = Window.partitionBy("lang", "term")
+    counts = term_counts(collapsed(docs)).select("lang", "source", "term", "n", F.sum("docs").over(term).alias("in_docs"), F.sum("n").over(term).alias("all_n"))
+    kept = s.save(counts.where(F.col("in_docs") >= least_docs).drop("in_docs"))
     sizes = kept.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.count_distinct("term").alias("v"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("source_n"))
     named = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
