@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import make_number
+from .lineage import cut
 
 CALCULATIONS = ("SUM", "PRD", "AVG", "MIN", "MAX")
 
@@ -224,7 +225,7 @@ def pair_labels(fields: DataFrame, blocks: DataFrame, cells: DataFrame | None =
     else:
         in_cells = cell_labels(fields.where("kind <> 'button'"), cells)
         loose = fields.join(in_cells, [*place, "field"], "left_anti")
-    chosen = label_candidates(loose, blocks).groupBy(*place).applyInPandas(choose, f"doc_id long, page int, field int, label string, source string, ambiguous boolean, taken {took}")
+    chosen = cut(label_candidates(loose, blocks).groupBy(*place).applyInPandas(choose, f"doc_id long, page int, field int, label string, source string, ambiguous boolean, taken {took}"))
     paired = loose.join(chosen, [*place, "field"], "left")
     mate = paired.where(F.col("label").isNotNull() & F.col("source").isin("left", "inside", "above", "caption")).select(*place, F.col("x1").alias("_x1"), F.col("y0").alias("_y0"), F.col("y1").alias("_y1"), F.col("label").alias("_label"), F.col("source").alias("_source"))
     alone = paired.where(F.col("label").isNull() & ~F.coalesce("ambiguous", F.lit(False)) & ~F.col("kind").isin("checkbox", "radio", "button", "signature"))
