@@ -557,3 +557,111 @@ def test_comparing_comments_by_more_fields(spark):
     theirs = spark.createDataFrame([(1, "a", 0, "u", "t", "blue", 5.5), (1, "b", 0, "u", "s", "", 7.0), (1, "c", 1, "u", "r", "red", 1.0)], schema)
     found = {r["name"]: (r["change"], r["fields"]) for r in rv.compare_comments(ours, theirs, ("color", "x"), {"x": 1.0}).collect()}
     assert found == {"a": ("changed", "color"), "b": ("changed", "x"), "c": ("changed", "x")}
+
+
+def test_words_of_glyphs(spark):
+    row = lambda line, k, ch, x0, x1, size=10.0: (1, line, k, ch, x0, x1, size)
+    rows = [row(0, 0, "a", 0.0, 5.0), row(0, 1, "b", 5.0, 10.0), row(0, 2, "c", 13.0, 18.0), row(0, 3, " ", 18.0, 20.0), row(0, 4, "d", 20.0, 25.0, 20.0), row(1, 0, "x", 9.0, 12.0), row(1, 1, "y", 0.0, 3.0), row(2, 0, " ", 0.0, 2.0)]
+    g = spark.createDataFrame(rows, "doc_id long, line_no int, glyph_no int, ch string, x0 double, x1 double, size double")
+    assert {(r["line_no"], r["words"]) for r in ly.word_breaks(g).collect()} == {(0, "ab cd"), (1, "y x")}
+    assert {(r["line_no"], r["words"]) for r in ly.word_breaks(g, 0.05).collect()} == {(0, "ab c d"), (1, "y x")}
+
+
+def test_redact_adds_areas(spark):
+    """Two areas that cover a fifth of the points each take a glyph away; one alone does not."""
+    g = spark.createDataFrame([(1, 0, 0, k, 10.0 * k, 0.0, 10.0 * k + 10, 10.0) for k in range(3)], "doc_id long, page int, line_no int, glyph_no int, x0 double, y0 double, x1 double, y1 double")
+    area = lambda *rows: spark.createDataFrame([(1, 0, *map(float, r)) for r in rows], "doc_id long, page int, ax0 double, ay0 double, ax1 double, ay1 double")
+    left = lambda a: [r["glyph_no"] for r in ly.redact(g, a).orderBy("glyph_no").collect()]
+    assert left(area((0, 0, 2, 10))) == [0, 1, 2]
+    assert left(area((0, 0, 2, 10), (8, 0, 10, 10))) == [1, 2]
+    assert left(area((0, 0, 2, 10), (0, 0, 2, 10))) == [0, 1, 2]
+    assert left(area((14, 4, 16, 6))) == [0, 2]
+
+
+def crossings_by_hand(segments):
+    found = set()
+    for a, (_, sa, *p) in enumerate(segments):
+        for _, sb, *q in segments[a + 1 :]:
+            ax, ay, bx, by = p[2] - p[0], p[3] - p[1], q[2] - q[0], q[3] - q[1]
+            turn = ax * by - ay * bx
+            if abs(turn) < 1e-9:
+                continue
+            t, u = ((q[0] - p[0]) * by - (q[1] - p[1]) * bx) / turn, ((q[0] - p[0]) * ay - (q[1] - p[1]) * ax) / turn
+            end = [min(abs(v), abs(v - 1)) <= 1e-6 for v in (t, u)]
+            if -1e-6 <= t <= 1 + 1e-6 and -1e-6 <= u <= 1 + 1e-6 and not all(end):
+                found.add((sa, sb, round(p[0] + t * ax, 6), round(p[1] + t * ay, 6)))
+    return found
+
+
+def test_crossing_points(spark):
+    schema = "tree long, seg int, x0 double, y0 double, x1 double, y1 double"
+    cross, end_on, joint, parallel = (0, 0, 0.0, 0.0, 10.0, 10.0), (0, 1, 0.0, 10.0, 10.0, 0.0), (0, 2, 10.0, 10.0, 20.0, 10.0), (0, 3, 0.0, 1.0, 10.0, 11.0)
+    tee, odd = (0, 4, 5.0, 5.0, 5.0, -7.0), (0, 5, float("nan"), 0.0, 1.0, 1.0)
+    rows = [cross, end_on, joint, parallel, tee, odd]
+    found = nv.segment_crossings(spark.createDataFrame(rows, schema))
+    assert {(r["a"], r["b"], r["x"], r["y"]) for r in found.collect()} == {(0, 1, 5.0, 5.0), (1, 3, 4.5, 5.5), (0, 4, 5.0, 5.0), (1, 4, 5.0, 5.0)}
+    assert {(r["x"], r["y"]) for r in nv.crossing_points(found).collect()} == {(5.0, 5.0), (4.5, 5.5)}
+    rng = random.Random(4)
+    many = [(7, k, *(float(rng.randint(0, 12)) for _ in range(4))) for k in range(60)]
+    for cell in (None, 2.5, 1000.0):
+        got = nv.segment_crossings(spark.createDataFrame(many, schema), cell).collect()
+        assert {(r["a"], r["b"], round(r["x"], 6), round(r["y"], 6)) for r in got} == crossings_by_hand(many)
+        assert len(got) == len(crossings_by_hand(many))
+    assert nv.segment_crossings(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_tables_in_one_relation(spark, tmp_path):
+    cells = spark.createDataFrame([(d, t, r, c, f"{d}{t}{r}{c}") for d in range(3) for t in range(2) for r in range(4) for c in range(t + 1)], "doc_id long, table_no int, row int, col int, text string")
+    texts = spark.createDataFrame([(0, 0, 0, "paragraph", "x")], "doc_id long, flow_no int, page int, kind string, text string")
+    fl.write_tables(cells, texts, str(tmp_path / "t"))
+    assert not list((tmp_path / "t").glob("tables/*="))
+    back = spark.read.parquet(str(tmp_path / "t/tables"))
+    assert back.schema == cells.schema and sorted(map(tuple, back.collect())) == sorted(map(tuple, cells.collect()))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t/manifest")).collect()} == {(d, t, 4, t + 1) for d in range(3) for t in range(2)}
+
+
+def test_batch_run(spark, tmp_path):
+    rows = [(1, "nation MAIL a@b.example"), (2, "none"), (3, None), (4, "12.50"), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    steps = [("replace", {"find": "tion", "put": "SION"}), ("mask", {}), ("at_least", {"n": 4})]
+    found = {r["doc_id"]: tuple(r)[1:] for r in ac.batch_run(docs, steps, ("replace", "mask")).collect()}
+    assert found[1][0].startswith("naSION MAIL ") and "a@b.example" not in found[1][0] and found[1][1:] == ("ok", "", None)
+    assert found[2] == ("none", "skipped", "replace,mask", None) and found[3] == (None, "error", "", "no text")
+    assert found[5] == ("", "error", "replace,mask", "at_least: too short")
+    strict = {r["doc_id"]: (r["status"], r["error"]) for r in ac.batch_run(docs, steps, ("mask",)).collect()}
+    assert strict[2] == ("error", "replace: not applicable") and strict[1] == ("ok", None)
+    numbers = {r["doc_id"]: (r["text"], r["error"]) for r in ac.batch_run(docs, [("number", {})]).collect()}
+    assert numbers[4] == ("12.500000", None) and numbers[2] == ("none", "number: not a number")
+    coded = {r["doc_id"]: r["error"] for r in ac.batch_run(docs, [("base64", {})]).collect()}
+    assert coded[2] is None and coded[4] == "base64: not base64"
+    for bad in ([("nothing", {})], [("number", {"n": 1})]):
+        with pytest.raises(ValueError):
+            ac.batch_run(docs, bad)
+    run = ac.batch_run(docs.withColumn("status", F.lit("clash")), steps, ("replace", "mask"))
+    version = ac.publish_batch(run, str(tmp_path / "out"))
+    (tmp_path / "out/version-broken/outputs").mkdir(parents=True)
+    assert [v.split("/")[-1] for v in ac.published(spark, str(tmp_path / "out"))] == [version.split("/")[-1]]
+    assert {r["doc_id"] for r in spark.read.parquet(f"{version}/outputs").collect()} == {1, 2, 4}
+    assert spark.read.parquet(f"{version}/manifest").where("error is not null").count() == 2
+    assert {tuple(r) for r in ac.batch_report(run).collect()} >= {("ok", None, "", 1), ("error", "no text", "", 1)}
+
+
+def test_sweep_resumes(spark, tmp_path):
+    seen = []
+
+    def run(new):
+        seen.append({(r["file"], r["op"]) for r in new.collect()})
+        return new.select("file", "op", F.when(F.col("file") == "b", "crash").otherwise("ok").alias("status"), F.when(F.col("file") == "b", "E: x").alias("error"), F.lit(None).cast("string").alias("at"))
+
+    todo = lambda *files: spark.createDataFrame([(f, op) for f in files for op in ("open", "save")], "file string, op string")
+    folder = str(tmp_path / "ledger")
+    assert ac.sweep(todo("a", "b"), run, folder).count() == 4
+    (tmp_path / "ledger/run-broken").mkdir()
+    spark.createDataFrame([("c", "open", "ok", None, None)], ac.SWEEP).write.parquet(str(tmp_path / "ledger/run-half"))
+    (tmp_path / "ledger/run-half/_SUCCESS").unlink()
+    every = ac.sweep(todo("a", "b", "c"), run, folder)
+    assert seen == [{("a", "open"), ("a", "save"), ("b", "open"), ("b", "save")}, {("c", "open"), ("c", "save")}]
+    assert every.count() == 6 and ac.sweep(todo("a"), run, folder).count() == 6 and len(seen) == 2
+    assert {tuple(r) for r in nv.sweep_outcomes(every).collect()} == {("open", 2, 0, 1), ("save", 2, 0, 1)}
+    assert {tuple(r) for r in nv.sweep_summary(every).collect()} == {("open", "E", None, 1, "b"), ("save", "E", None, 1, "b")}
+    assert {r["operation"] for r in ac.list_operations(spark).collect()} == set(k for k, s in ac.CATALOGUE.items() if s.params)

@@ -29,14 +29,24 @@ def dominant_size(rows: DataFrame) -> DataFrame:
     return by.groupBy("doc_id", "page").agg(F.max_by("size", F.struct("n", -F.col("first"))).alias("size"))
 
 
+def dominant_font(rows: DataFrame) -> DataFrame:
+    """doc_id, page, font, size of most letters (rows: doc_id, page, block_no, font, size, text); of equal ones the first seen."""
+    by = rows.groupBy("doc_id", "page", "font", "size").agg(F.sum(F.length("text")).alias("n"), F.min("block_no").alias("first"))
+    return by.groupBy("doc_id", "page").agg(F.max_by(F.struct("font", "size"), F.struct("n", -F.col("first"))).alias("_f")).select("doc_id", "page", "_f.*")
+
+
 def word_breaks(glyphs: DataFrame, gap: float = 0.2) -> DataFrame:
-    """doc_id, line_no, words: glyphs of a line in words; a break is a space glyph or a gap of more than gap times the larger size."""
-    w = Window.partitionBy("doc_id", "line_no").orderBy("x0")
-    shown = glyphs.where("ch <> ' '").withColumn("_gap", F.col("x0") - F.lag("x1").over(w))
-    start = F.col("_gap").isNull() | (F.col("_gap") > gap * F.greatest("size", F.lag("size").over(w)))
-    marked = shown.withColumn("_start", start.cast("int")).withColumn("_word", F.sum("_start").over(w))
-    words = marked.groupBy("doc_id", "line_no", "_word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "ch"))), lambda g: g["ch"]), "").alias("word"))
-    return words.groupBy("doc_id", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_word", "word"))), lambda g: g["word"]), " ").alias("words"))
+    """doc_id, line_no, words: glyphs of a line in words; a break is a space glyph or a gap of more than gap times the larger size.
+
+    A line's glyphs are one sorted array, split within its row: one shuffle by line, no window over single glyphs.
+    """
+    lines = glyphs.where("ch <> ' '").groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "size", "ch"))).alias("_g"))
+
+    def spaced(g: Column, i: Column) -> Column:
+        before = F.get("_g", i - 1)
+        return F.when((i > 0) & (g["x0"] - before["x1"] > gap * F.greatest(g["size"], before["size"])), F.concat(F.lit(" "), g["ch"])).otherwise(g["ch"])
+
+    return lines.select("doc_id", "line_no", F.array_join(F.transform("_g", spaced), "").alias("words"))
 
 
 def classify_blocks(blocks: DataFrame) -> DataFrame:
@@ -80,15 +90,22 @@ def x_clusters(boxes: DataFrame, gap: float) -> DataFrame:
 
 
 def redact(glyphs: DataFrame, areas: DataFrame) -> DataFrame:
-    """Glyphs left outside of areas (doc_id, page, ax0, ay0, ax1, ay1): gone are those whose centre is inside, or of whose 5 x 5 sample points two fifths are."""
+    """Glyphs left outside of areas (doc_id, page, ax0, ay0, ax1, ay1): gone are those whose centre is inside, or of whose 5 x 5 sample points two fifths are.
+
+    The sample points inside an area are a rectangle of columns and rows, kept as bits, so that areas add up without a row a point.
+    """
     near = glyphs.join(areas, ["doc_id", "page"]).where("ax0 <= x1 and x0 <= ax1 and ay0 <= y1 and y0 <= ay1")
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    inside = lambda x, y: (x >= F.col("ax0")) & (x <= F.col("ax1")) & (y >= F.col("ay0")) & (y <= F.col("ay1"))
-    points = near.withColumns({"centre": inside(cx, cy), "k": F.explode(F.sequence(F.lit(0), F.lit(24)))})
-    px = F.col("x0") + (F.col("k") % 5 + 0.5) / 5 * (F.col("x1") - F.col("x0"))
-    py = F.col("y0") + (F.floor(F.col("k") / 5) + 0.5) / 5 * (F.col("y1") - F.col("y0"))
-    hit = points.groupBy("doc_id", "page", "line_no", "glyph_no").agg(F.bool_or("centre").alias("centre"), F.count_distinct(F.when(inside(px, py), F.col("k"))).alias("n"))
-    return glyphs.join(hit.where("centre or n >= 10"), ["doc_id", "page", "line_no", "glyph_no"], "left_anti")
+
+    def within(at: Column, axis: str) -> Column:
+        return (at >= F.col(f"a{axis}0")) & (at <= F.col(f"a{axis}1"))
+
+    def bits(axis: str, step: int) -> Column:
+        lo, hi = F.col(f"{axis}0"), F.col(f"{axis}1")
+        return sum((F.when(within(lo + (k + 0.5) / 5 * (hi - lo), axis), 1 << step * k).otherwise(0) for k in range(5)), F.lit(0))
+
+    centre = within((F.col("x0") + F.col("x1")) / 2, "x") & within((F.col("y0") + F.col("y1")) / 2, "y")
+    hit = near.groupBy("doc_id", "page", "line_no", "glyph_no").agg(F.bool_or(centre).alias("centre"), F.bit_or(bits("x", 1) * bits("y", 5)).alias("points"))
+    return glyphs.join(hit.where(F.col("centre") | (F.bit_count("points") >= 10)), ["doc_id", "page", "line_no", "glyph_no"], "left_anti")
 
 
 def attach_links(glyphs: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -109,16 +109,48 @@ def polyline(points: Column) -> dict[str, Column]:
     return {"length": F.when(n >= 2, length).otherwise(0.0), "perimeter": F.when(n >= 3, length + F.hypot(first["x"] - last["x"], first["y"] - last["y"])).otherwise(0.0), "area": F.when(n >= 3, area).otherwise(0.0)}
 
 
-def segment_crossings(segments: DataFrame, cell: float) -> DataFrame:
-    """tree, a, b: crossing pairs of segments (tree, seg, x0, y0, x1, y1); only segments that share a grid cell meet."""
-    span = lambda u, v: F.sequence(F.floor(F.least(u, v) / cell), F.floor(F.greatest(u, v) / cell))
-    cells = segments.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
-    a = cells.select("tree", "cx", "cy", *(F.col(c).alias(f"a_{c}") for c in ("seg", "x0", "y0", "x1", "y1")))
-    b = cells.select("tree", "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in ("seg", "x0", "y0", "x1", "y1")))
+#: Segments of a smaller cross product are parallel; ends meet within this share of a length; most cells a side.
+PARALLEL, AT_END, MOST_CELLS = 1e-9, 1e-6, 256
+
+
+def segment_crossings(segments: DataFrame, cell: float | None = None) -> DataFrame:
+    """tree, a, b, x, y: pairs of segments (tree, seg, x0, y0, x1, y1) that cross, and where. A joint, an end on an end, is no crossing; an end on an inner point is.
+
+    Only segments that share a grid cell meet. Without a cell the grid of a tree follows from its extent and its number of
+    segments, with MOST_CELLS a side at most. Segments with a coordinate that is null or not finite cross nothing.
+    """
+    ends = ("x0", "y0", "x1", "y1")
+    fine = segments.select("tree", "seg", *ends).where(" and ".join(f"abs({c}) < double('infinity')" for c in ends))
+    if cell is None:
+        low = {c: F.min(F.least(f"{c}0", f"{c}1")) for c in "xy"}
+        high = {c: F.max(F.greatest(f"{c}0", f"{c}1")) for c in "xy"}
+        side = F.greatest(F.lit(1.0), F.least(F.lit(float(MOST_CELLS)), F.floor(F.sqrt(F.count("*")))))
+        grid = fine.groupBy("tree").agg((F.greatest(high["x"] - low["x"], high["y"] - low["y"], F.lit(1.0)) / side).alias("cell"))
+        fine = fine.join(grid, "tree")
+    else:
+        fine = fine.withColumn("cell", F.lit(float(cell)))
+
+    def span(c: str) -> Column:
+        u, v = F.col(f"{c}0"), F.col(f"{c}1")
+        over = F.abs(v - u) * AT_END
+        return F.sequence(F.floor((F.least(u, v) - over) / F.col("cell")), F.floor((F.greatest(u, v) + over) / F.col("cell")))
+
+    cells = fine.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    a, b = (cells.select("tree", "cx", "cy", *(F.col(c).alias(f"{side}_{c}") for c in ("seg", *ends))) for side in "ab")
     pairs = a.join(b, ["tree", "cx", "cy"]).where("a_seg < b_seg").drop("cx", "cy").dropDuplicates(["tree", "a_seg", "b_seg"])
-    side = lambda p, q, r: (F.col(f"{q}_x1") - F.col(f"{q}_x0")) * (F.col(f"{p}_y{r}") - F.col(f"{q}_y0")) - (F.col(f"{q}_y1") - F.col(f"{q}_y0")) * (F.col(f"{p}_x{r}") - F.col(f"{q}_x0"))
-    cross = (side("a", "b", 0) * side("a", "b", 1) < 0) & (side("b", "a", 0) * side("b", "a", 1) < 0)
-    return pairs.where(cross).select("tree", F.col("a_seg").alias("a"), F.col("b_seg").alias("b"))
+    dx = {s: F.col(f"{s}_x1") - F.col(f"{s}_x0") for s in "ab"}
+    dy = {s: F.col(f"{s}_y1") - F.col(f"{s}_y0") for s in "ab"}
+    wx, wy = F.col("b_x0") - F.col("a_x0"), F.col("b_y0") - F.col("a_y0")
+    turn = dx["a"] * dy["b"] - dy["a"] * dx["b"]
+    on = pairs.withColumn("turn", turn).where(F.abs("turn") >= PARALLEL).withColumns({"t": (wx * dy["b"] - wy * dx["b"]) / F.col("turn"), "u": (wx * dy["a"] - wy * dx["a"]) / F.col("turn")})
+    inside = F.col("t").between(-AT_END, 1 + AT_END) & F.col("u").between(-AT_END, 1 + AT_END)
+    joint = ((F.col("t") <= AT_END) | (F.col("t") >= 1 - AT_END)) & ((F.col("u") <= AT_END) | (F.col("u") >= 1 - AT_END))
+    return on.where(inside & ~joint).select("tree", F.col("a_seg").alias("a"), F.col("b_seg").alias("b"), (F.col("a_x0") + F.col("t") * dx["a"]).alias("x"), (F.col("a_y0") + F.col("t") * dy["a"]).alias("y"))
+
+
+def crossing_points(crossings: DataFrame) -> DataFrame:
+    """tree, x, y: the places of crossings, merged at two decimals."""
+    return crossings.select("tree", *((F.round(c, 2) + 0.0).alias(c) for c in ("x", "y"))).distinct()
 
 
 def snap_points(points: DataFrame, candidates: DataFrame, tolerance: float) -> DataFrame:
@@ -138,8 +170,15 @@ def font_inventory(rows: DataFrame) -> DataFrame:
 
 
 def sweep_summary(results: DataFrame) -> DataFrame:
-    """signature (op, error), files, first_file: most frequent first; of results (file, op, status, error)."""
-    return results.where("status = 'crash'").groupBy("op", "error").agg(F.count("*").alias("files"), F.min("file").alias("first_file"))
+    """op, error (its class, before the first colon), at (where results name a place), files, first_file of crashes; of results (file, op, status, error)."""
+    by = ["op", "error", *(c for c in ("at",) if c in results.columns)]
+    crashes = results.where("status = 'crash'").withColumn("error", F.substring_index("error", ":", 1))
+    return crashes.groupBy(*by).agg(F.count_distinct("file").alias("files"), F.min("file").alias("first_file"))
+
+
+def sweep_outcomes(results: DataFrame) -> DataFrame:
+    """op, ok, refused, crash: how often an operation ended so."""
+    return results.groupBy("op").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("ok", "refused", "crash")))
 
 
 def recent(events: DataFrame, k: int, by: str = "user_id") -> DataFrame:

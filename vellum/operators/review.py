@@ -45,14 +45,31 @@ def latest_status(status: DataFrame) -> DataFrame:
     return status.groupBy("doc_id", "parent").agg(last.alias("s")).select("doc_id", "parent", F.col("s.contents").alias("state"), F.col("s.author").alias("author"))
 
 
-def review_filter(threaded: DataFrame, terms: str = "", author: str | None = None) -> DataFrame:
-    """Root comments whose thread text, or author, holds every term (any case), by the given author if there is one."""
-    roots = threaded.where("depth = 0").select("doc_id", "name", "author").join(thread_texts(threaded).withColumnRenamed("root", "name"), ["doc_id", "name"])
-    words = [w.lower() for w in terms.split()]
+def review_filter(threaded: DataFrame, terms: str = "", author: str | None = None, kind: str | None = None, state: str | None = None, marked: bool | None = None, status: DataFrame | None = None) -> DataFrame:
+    """Root comments that pass every filter that is set, with their thread text.
+
+    Every term (any case) must occur in the thread text, the author or the column quote; author and kind must be equal;
+    marked must be that of the column marked (null: not marked); state must be the comment's last one in status
+    (doc_id, parent, contents, author, minute, idx), "none" where it has none.
+    """
+    own = [c for c in ("kind", "quote", "marked") if c in threaded.columns]
+    roots = threaded.where("depth = 0").select("doc_id", "name", "author", *own).join(thread_texts(threaded).withColumnRenamed("root", "name"), ["doc_id", "name"])
     where = F.lit(True)
-    for w in words:
-        where = where & (F.lower("thread_text").contains(w) | F.lower("author").contains(w))
-    return roots.where(where if author is None else where & (F.col("author") == author))
+    for w in terms.lower().split():
+        where = where & (F.lower("thread_text").contains(w) | F.lower(F.coalesce("author", F.lit(""))).contains(w) | (F.lower(F.coalesce("quote", F.lit(""))).contains(w) if "quote" in own else F.lit(False)))
+    if author is not None:
+        where = where & (F.col("author") == author)
+    if kind is not None:
+        where = where & (F.col("kind") == kind)
+    if marked is not None:
+        where = where & (F.coalesce("marked", F.lit(False)) == marked)
+    found = roots.where(where)
+    if state is None:
+        return found
+    if status is None:
+        raise ValueError("a filter by state needs the status rows")
+    last = latest_status(status).select("doc_id", F.col("parent").alias("name"), "state")
+    return found.join(last, ["doc_id", "name"], "left").withColumn("state", F.coalesce("state", F.lit("none"))).where(F.col("state") == state)
 
 
 def sort_keys(order: str) -> list[Column]:

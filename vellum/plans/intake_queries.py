@@ -102,3 +102,24 @@ SELECT p_partkey AS input, name, name || ' ' || (n + 1) AS output FROM e""")
 def action_outputs(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("input"), F.left("p_name", F.lit(3)).alias("name"))
     return ac.batch_outputs(p, p.select("name").distinct())
+
+
+BATCH = """WITH i AS (SELECT doc_id, CASE WHEN doc_id % 50 <> 7 THEN text END AS text FROM documents),
+o AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN 'no text' WHEN length(text) < 200 THEN 'at_least: too short' END AS error, CASE WHEN text IS NULL OR contains(text, 'tion') THEN '' ELSE 'replace' END AS skipped FROM i),
+b AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'error' WHEN skipped <> '' THEN 'skipped' ELSE 'ok' END AS status FROM o)"""
+
+
+@query("action_batch", BATCH + " SELECT doc_id, status, skipped, error, md5(CASE WHEN error IS NULL THEN replace(text, 'tion', 'SION') ELSE text END) AS digest FROM b")
+def action_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, with planted failures: no text, too short ones, and an optional step that may not apply."""
+    return batch(spark, d).select("doc_id", "status", "skipped", "error", F.md5("text").alias("digest"))
+
+
+def batch(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 50 != 7, F.col("text")).alias("text"))
+    return ac.batch_run(docs, [("replace", {"find": "tion", "put": "SION"}), ("at_least", {"n": 200})], optional=("replace",))
+
+
+@query("action_batch_report", BATCH + " SELECT status, error, skipped, count(*) AS n FROM b GROUP BY ALL")
+def action_batch_report(spark: SparkSession, d: str) -> DataFrame:
+    return ac.batch_report(batch(spark, d))

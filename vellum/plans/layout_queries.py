@@ -81,6 +81,11 @@ def layout_dominant_size(spark: SparkSession, d: str) -> DataFrame:
     return ly.dominant_size(blocks(spark, d))
 
 
+@query("layout_dominant_font", B + ", f AS (SELECT *, 'Serif' || words % 3 AS font FROM blocks), s AS (SELECT doc_id, page, font, size, sum(length(text)) AS n, min(block_no) AS first FROM f GROUP BY ALL) SELECT doc_id, page, arg_max(font, n * 100000 - first) AS font, arg_max(size, n * 100000 - first) AS size FROM s GROUP BY ALL")
+def layout_dominant_font(spark: SparkSession, d: str) -> DataFrame:
+    return ly.dominant_font(blocks(spark, d).withColumn("font", F.concat(F.lit("Serif"), F.col("words") % 3)))
+
+
 @query("layout_upper_median", B + " SELECT doc_id, list_sort(list(words))[count(*) // 2 + 1] AS median_words FROM blocks GROUP BY doc_id")
 def layout_upper_median(spark: SparkSession, d: str) -> DataFrame:
     return blocks(spark, d).groupBy("doc_id").agg(ly.upper_median(F.col("words")).alias("median_words"))

@@ -123,10 +123,20 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("tree"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("seg"), "embedding").select("tree", "seg", at(0).alias("x0"), at(1).alias("y0"), at(2).alias("x1"), at(3).alias("y1"))
 
 
-@query("nav_crossings", SEGS + """ SELECT a.tree, a.seg AS a, b.seg AS b FROM segs a JOIN segs b ON a.tree = b.tree AND a.seg < b.seg
-WHERE ((b.x1-b.x0)*(a.y0-b.y0)-(b.y1-b.y0)*(a.x0-b.x0)) * ((b.x1-b.x0)*(a.y1-b.y0)-(b.y1-b.y0)*(a.x1-b.x0)) < 0 AND ((a.x1-a.x0)*(b.y0-a.y0)-(a.y1-a.y0)*(b.x0-a.x0)) * ((a.x1-a.x0)*(b.y1-a.y0)-(a.y1-a.y0)*(b.x1-a.x0)) < 0""")
+CROSSINGS = SEGS + """, p AS (SELECT a.tree, a.seg AS a, b.seg AS b, a.x0, a.y0, a.x1 - a.x0 AS ax, a.y1 - a.y0 AS ay, b.x1 - b.x0 AS bx, b.y1 - b.y0 AS "by", b.x0 - a.x0 AS wx, b.y0 - a.y0 AS wy FROM segs a JOIN segs b ON a.tree = b.tree AND a.seg < b.seg),
+d AS (SELECT *, ax * "by" - ay * bx AS turn FROM p WHERE abs(ax * "by" - ay * bx) >= 1e-9), tu AS (SELECT *, (wx * "by" - wy * bx) / turn AS t, (wx * ay - wy * ax) / turn AS u FROM d),
+crossings AS (SELECT tree, a, b, x0 + t * ax AS x, y0 + t * ay AS y FROM tu WHERE t BETWEEN -1e-6 AND 1 + 1e-6 AND u BETWEEN -1e-6 AND 1 + 1e-6 AND NOT ((t <= 1e-6 OR t >= 1 - 1e-6) AND (u <= 1e-6 OR u >= 1 - 1e-6)))"""
+
+
+@query("nav_crossings", CROSSINGS + " SELECT tree, a, b FROM crossings")
 def nav_crossings(spark: SparkSession, d: str) -> DataFrame:
-    return nv.segment_crossings(segments(spark, d), 0.1)
+    return nv.segment_crossings(segments(spark, d), 0.1).select("tree", "a", "b")
+
+
+@query("nav_crossing_points", CROSSINGS + " SELECT DISTINCT tree, round(x, 2) + 0.0 AS x, round(y, 2) + 0.0 AS y FROM crossings")
+def nav_crossing_points(spark: SparkSession, d: str) -> DataFrame:
+    """Each drawing's own grid."""
+    return nv.crossing_points(nv.segment_crossings(segments(spark, d)))
 
 
 @query("nav_snap", SEGS + """, pts AS (SELECT tree, seg AS point, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM segs), c AS (SELECT tree, seg AS cand, 1 AS priority, x0 AS cx, y0 AS cy FROM segs),
@@ -151,6 +161,23 @@ def nav_sweep(spark: SparkSession, d: str) -> DataFrame:
     return nv.sweep_summary(e)
 
 
+@query("nav_sweep_places", """SELECT event_type AS op, 'E' || (event_id % 5) AS error, 'line ' || event_id % 7 AS "at", count(DISTINCT user_id) AS files, min(user_id) AS first_file FROM events WHERE event_id % 3 = 0 GROUP BY ALL""")
+def nav_sweep_places(spark: SparkSession, d: str) -> DataFrame:
+    """Crashes of one file at one place count once."""
+    return nv.sweep_summary(sweep_results(spark, d))
+
+
+@query("nav_sweep_outcomes", """SELECT event_type AS op, count(*) FILTER (event_id % 3 = 1) AS ok, count(*) FILTER (event_id % 3 = 2) AS refused, count(*) FILTER (event_id % 3 = 0) AS crash FROM events GROUP BY 1""")
+def nav_sweep_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return nv.sweep_outcomes(sweep_results(spark, d))
+
+
+def sweep_results(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    error = F.when(k == 0, F.concat(F.lit("E"), F.col("event_id") % 5, F.lit(": event "), "event_id"))
+    return table(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("op"), F.when(k == 0, "crash").when(k == 1, "ok").otherwise("refused").alias("status"), error.alias("error"), F.concat(F.lit("line "), F.col("event_id") % 7).alias("at"))
+
+
 @query("nav_recent", "SELECT user_id, max(event_id) AS event_id FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS m FROM events) WHERE ts = m GROUP BY user_id, m ORDER BY m DESC, max(event_id) DESC LIMIT 20")
 def nav_recent(spark: SparkSession, d: str) -> DataFrame:
     return nv.recent(table(spark, d, "events"), 20).select("user_id", "event_id")

@@ -42,6 +42,18 @@ def review_filter(spark: SparkSession, d: str) -> DataFrame:
     return rv.review_filter(rv.threads(comments(spark, d)), "the AN", "user").select("doc_id", "name")
 
 
+@query("review_filter_all", T + """, s AS (SELECT doc_id, parent AS name, CASE WHEN doc_id % 2 = 0 THEN 'accepted' ELSE 'rejected' END AS state FROM comments WHERE idx % 5 = 1),
+texts AS (SELECT doc_id, root AS name, string_agg(contents, chr(10) ORDER BY idx) AS t FROM threads GROUP BY ALL)
+SELECT r.doc_id, r.name FROM threads r JOIN texts USING (doc_id, name) LEFT JOIN s USING (doc_id, name)
+WHERE depth = 0 AND r.doc_id % 3 <> 0 AND idx % 2 = 0 AND coalesce(state, 'none') = 'accepted' AND (contains(lower(t), 'the') OR contains(lower(author), 'the') OR r.doc_id % 4 = 0)""")
+def review_filter_all(spark: SparkSession, d: str) -> DataFrame:
+    """By kind, mark, state and a term that a quote may hold; the first answer to a comment sets its state."""
+    c = comments(spark, d)
+    t = rv.threads(c).withColumns({"kind": F.when(F.col("doc_id") % 3 == 0, "note").otherwise("highlight"), "marked": F.col("idx") % 2 == 0, "quote": F.when(F.col("doc_id") % 4 == 0, "Over THE quoted words")})
+    status = c.where("idx % 5 = 1").withColumn("contents", F.when(F.col("doc_id") % 2 == 0, "accepted").otherwise("rejected"))
+    return rv.review_filter(t, "the", kind="highlight", state="accepted", marked=True, status=status).select("doc_id", "name")
+
+
 @query("review_newest", C + " SELECT doc_id, name FROM comments ORDER BY minute DESC, doc_id, page, idx LIMIT 200")
 def review_newest(spark: SparkSession, d: str) -> DataFrame:
     return comments(spark, d).orderBy(*rv.sort_keys("newest")).limit(200).select("doc_id", "name")
@@ -166,6 +178,13 @@ def compare_coverage(spark: SparkSession, d: str) -> DataFrame:
     return cp.word_coverage(t, t.where("pos % 9 <> 4"))
 
 
+@query("compare_missing", "WITH " + dv.TOKENS_SQL + """, a AS (SELECT doc_id, key, count(*) AS a FROM tokens GROUP BY ALL), b AS (SELECT doc_id, key, count(*) AS b FROM tokens WHERE pos % 9 <> 4 GROUP BY ALL)
+SELECT doc_id, key, (a - coalesce(b, 0))::BIGINT AS n_missing FROM a LEFT JOIN b USING (doc_id, key) WHERE a > coalesce(b, 0)""")
+def compare_missing(spark: SparkSession, d: str) -> DataFrame:
+    t = dv.tokens(dv.doc_pages(table(spark, d, "documents"))).select("doc_id", "pos", "key")
+    return cp.missing_words(t, t.where("pos % 9 <> 4"))
+
+
 @query("compare_multiset_diff", "WITH " + dv.TOKENS_SQL + """
 SELECT doc_id, key, count(*) AS n FROM (SELECT doc_id, key FROM tokens EXCEPT ALL SELECT doc_id, key FROM tokens WHERE pos % 9 <> 4) GROUP BY ALL""")
 def compare_multiset_diff(spark: SparkSession, d: str) -> DataFrame:

@@ -112,8 +112,13 @@ def conversion_report(warnings: DataFrame) -> DataFrame:
 
 
 def write_tables(cells: DataFrame, texts: DataFrame, folder: str) -> None:
-    """cells (doc_id, table_no, row, col, text) to a folder per logical table, and all other nodes (doc_id, flow_no, page, kind, text) to one relation in reading order."""
-    cells.repartition("doc_id", "table_no").sortWithinPartitions("doc_id", "table_no", "row", "col").write.partitionBy("doc_id", "table_no").parquet(f"{folder}/tables")
+    """cells (doc_id, table_no, row, col, text) to one relation in the order of tables, a manifest of the tables (doc_id, table_no, n_rows, n_cols), and all other nodes (doc_id, flow_no, page, kind, text) in reading order.
+
+    All are range partitions, so that a table's cells lie together, a reader of few documents skips the other files, and a very long table is no task of its own.
+    """
+    cells.repartitionByRange("doc_id", "table_no", "row").sortWithinPartitions("doc_id", "table_no", "row", "col").write.parquet(f"{folder}/tables")
+    known = cells.sparkSession.read.schema(cells.schema).parquet(f"{folder}/tables").groupBy("doc_id", "table_no")
+    known.agg(F.count_distinct("row").alias("n_rows"), (F.max("col") + 1).alias("n_cols")).write.parquet(f"{folder}/manifest")
     texts.repartitionByRange("doc_id", "flow_no").sortWithinPartitions("doc_id", "flow_no").write.parquet(f"{folder}/text")
 
 
