@@ -40,7 +40,7 @@ def word_breaks(glyphs: DataFrame, gap: float = 0.2) -> DataFrame:
 
     A line's glyphs are one sorted array, split within its row: one shuffle by line, no window over single glyphs.
     """
-    lines = glyphs.where("ch <> ' '").groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "size", "ch"))).alias("_g"))
+    lines = glyphs.where("ch <> ' '").groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("x0", "x1", "size", "ch"))).alias("_g"))
 
     def spaced(g: Column, i: Column) -> Column:
         before = F.get("_g", i - 1)
