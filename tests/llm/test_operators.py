@@ -224,6 +224,44 @@ def test_coder_round_trip(ids):
     assert coder.decode(raw).tolist() == list(ids)
 
 
+def test_coder_mixes():
+    """The widths of all ids tile the range for every kind of context, and an id has the sum of its shares, once."""
+    rng = np.random.default_rng(5)
+    history = [[0] for _ in range(64)]
+    model = coder.Model(64)
+    for _ in range(129):
+        ids = np.minimum(rng.zipf(1.4, 64), 500) % 500
+        _, _, coded, _ = model.place(ids)
+        model.learn(ids, coded)
+        for lane, i in zip(history, ids.tolist(), strict=True):
+            lane.append(i)
+    seen = {}
+    for lane in history:
+        for a, b in zip(lane[:-2], lane[1:-1], strict=True):  # the last step has not been folded in
+            seen.setdefault(a, Counter())[b] += 1
+    owned = model.owner[model.owner >= 0]
+    every = np.arange(1 << 16)
+    lone = next(c for c in sorted(seen, key=lambda c: -sum(seen[c].values())))
+    for last, pair in ((lone, 400 << 16 | 65000), (int(owned[0] & 0xFFFF), int(owned[0])), (int(owned[-1] & 0xFFFF), int(owned[-1])), (60000, 60000)):
+        model.last, model.pair = np.full(1 << 16, last), np.full(1 << 16, pair)
+        start, width, _, raw = model.place(every)
+        parts = np.unique(np.stack([start, start + width], 1), axis=0)
+        assert parts[0, 0] == 0 and parts[-1, 1] == 1 << 24 and (parts[1:, 0] == parts[:-1, 1]).all() and (width > 0).all()
+        slots = np.linspace(0, (1 << 24) - 1, 1 << 16).astype(np.int64)
+        back, start_back, width_back, _ = model.symbols(slots)
+        assert ((start_back <= slots) & (slots < start_back + width_back)).all()
+        known = back < 1 << 16
+        assert (start[back[known]] == start_back[known]).all() and (width[back[known]] == width_back[known]).all() and set(raw) == set(np.flatnonzero(model.freq[:-1] == 0)) - set(back[known])
+    model.last, model.pair = np.full(1 << 16, lone), np.full(1 << 16, 400 << 16 | 65000)
+    _, width, coded, _ = model.place(every)
+    top = sorted(seen[lone].items(), key=lambda x: (-x[1], x[0]))[: coder.ONE_MOST]
+    came = model.came[model.cell[(1 << 16) + lone]]
+    a1 = coder.MOST_LISTED * came[1] / came.sum() / 65536
+    for i, n in top:
+        assert width[i] / (1 << 24) == pytest.approx(a1 * n / sum(n for _, n in top) + (1 - a1) * model.freq[i] / 65536, abs=1e-3)
+    assert set(np.flatnonzero(coded >= 0)) == {i for i, _ in top}
+
+
 def test_coder_checksum_and_limit():
     raw = bytearray(coder.encode(np.arange(4000) % 50))
     raw[-40] ^= 1

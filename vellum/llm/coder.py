@@ -1,16 +1,20 @@
 """An adaptive context-mixing range coder for token ids below 65,536.
 
 A block's ids are laid out in lanes, contiguous stretches that are coded in step. All lanes share one model, which
-starts empty in every block, and each has its own range coder. An id's probability mixes three predictions:
+starts empty in every block, and each has its own range coder. An id's probability is the sum of three shares:
 
-- order 2 and order 1: the distribution over the ids most often seen after the last two ids (by a hash) and after
-  the last one, ``Order.most`` of them, in proportion to their counts in the block so far;
-- order 0: the frequencies of the ids of the block so far, with an escape for ids that have not occurred.
+    a2 * its share of what followed the last two ids + a1 * its share of what followed the last id + a0 * its frequency
 
-The weights of the mix are learned for each pair of confidences (how much of what followed a context its list
-covers) from how often either prediction came true. Counts are folded in after the steps ``FIRST`` and every
-``REFRESH``, orders 1 and 2 from every second lane; encoder and decoder make the same updates. The range coder works on 48 bits with 16-bit output; carries
-are added when a block is finished.
+Orders 2 and 1 know the ``TWO_MOST`` and ``ONE_MOST`` ids seen most often after a context; order 0 knows the block's
+ids so far, with an escape for others. Order 2 has one pair of ids a slot, which is compared, so contexts never mix.
+The ids that either order lists come first in the range, each once with its summed width; all others follow by their
+frequency, the listed ones left out. The weights a2, a1, a0 belong to a pair of confidences (how much of what followed
+a context its list covers) and are learned by expectation-maximisation: each id that was coded counts for the three
+orders in proportion to their parts of its width.
+
+Counts of all lanes are folded in after the steps ``FIRST`` and every ``REFRESH``; the mix of every context is then
+tabulated, so a step is a look-up. Everything is whole numbers; encoder and decoder make the same updates. The range
+coder works on 48 bits with 16-bit output; carries are added when a block is finished.
 
 Defined results. No ids: a block of none. Ids of 65,536 or more, or negative: ValueError. A block ends with a checksum
 of its ids; one that differs on reading raises ValueError.
@@ -24,11 +28,15 @@ import numpy as np
 
 LANES, LANE_TOKENS = 8192, 256
 ESCAPE = 48
-FIRST, REFRESH = (1, 4, 16, 64), 256
-#: Order-1 and order-2 shares within a list are fractions of 1 << SHARE.
+FIRST, REFRESH = (1, 4, 16, 64, 128), 256
+TWO_MOST, ONE_MOST = 4, 8
+LISTED = TWO_MOST + ONE_MOST
+#: Shares within a list are fractions of 1 << SHARE, weights of 1 << 16, widths of 1 << 24.
 SHARE = 12
 LEVELS = 6
-TWO = np.uint64(2)
+#: What the listed orders can have of 1 << 16 at most.
+MOST_LISTED = 65000
+BEYOND = 1 << 17
 U16, U24, U32 = np.uint64(16), np.uint64(24), np.uint64(32)
 LOW = np.uint64((1 << 32) - 1)
 FLOOR = np.uint64(1 << 32)
@@ -41,28 +49,25 @@ def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Order:
-    """For each of 65,536 contexts the ids most often seen after it, with their shares. Contexts are intp, values int32."""
-
-    def __init__(self, most: int, lanes: slice):
-        self.most, self.lanes = most, lanes
-        self.ids = np.full((1 << 16, most), -1, np.int32)
-        self.ends = np.zeros((1 << 16, most), np.int32)
-        self.share = np.zeros((1 << 16, most), np.int32)  # begin << 16 | end
-        self.level = np.zeros(1 << 16, np.int32)
-        self.codes, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        self.fresh: list[np.ndarray] = []
+    """How often ids followed each of 65,536 contexts, as sorted codes context << 16 | id and their counts."""
 
-    def learn(self, context: np.ndarray, ids: np.ndarray) -> None:
-        self.fresh.append((context[self.lanes] << 16 | ids[self.lanes]).astype(np.uint32))
+    def __init__(self, most: int):
+        self.most = most
+        self.codes, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def refresh(self) -> None:
-        new, n = counted(np.sort(np.concatenate(self.fresh)))
-        self.fresh.clear()
+    def add(self, codes: np.ndarray) -> None:
+        if not len(codes):
+            return
+        new, n = counted(np.sort(codes))
         both = np.sort(np.concatenate([self.codes.astype(np.uint64) << U32 | self.counts.astype(np.uint64), new.astype(np.uint64) << U32 | n.astype(np.uint64)]))
         code, n = (both >> U32).astype(np.uint32), (both & LOW).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         self.codes, self.counts = code[first], np.add.reduceat(n, first)
-        # by context, most frequent first
+
+    def listed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The contexts, the ids most often seen after each (-1: none), their shares, and a level of confidence from 1."""
+        if not len(self.codes):
+            return np.zeros(0, np.int64), np.zeros((0, self.most), np.int32), np.zeros((0, self.most), np.int32), np.zeros(0, np.int32)
         rare = np.uint64((1 << 24) - 1) - np.minimum(self.counts, (1 << 24) - 1).astype(np.uint64)
         order = np.sort((self.codes >> np.uint32(16)).astype(np.uint64) << np.uint64(40) | rare << U16 | (self.codes & np.uint32(0xFFFF)).astype(np.uint64))
         context, ids = (order >> np.uint64(40)).astype(np.int64), (order & np.uint64(0xFFFF)).astype(np.int32)
@@ -71,147 +76,187 @@ class Order:
         start = np.cumsum(size) - size
         place = np.arange(len(context)) - np.repeat(start, size)
         top = place < self.most
-        self.ids[context[top], place[top]] = ids[top]
-        listed = np.zeros((len(own), self.most + 1), np.int64)
-        listed[np.repeat(np.arange(len(own)), size)[top], place[top] + 1] = n[top]
-        sums = np.cumsum(listed, 1)
-        ends = ((sums << SHARE) // sums[:, -1:]).astype(np.int32)
-        self.ends[own] = ends[:, 1:]
-        self.share[own] = ends[:, :-1] << 16 | ends[:, 1:]
-        total = np.add.reduceat(n, start)
-        # how far the list can be trusted: the share of all that followed, less what a short history leaves open
-        trust = sums[:, -1] / (total + np.minimum(size, self.most) + 1)
-        self.level[own] = 1 + np.minimum((trust * (LEVELS - 1)).astype(np.int32), LEVELS - 2)
-
-    def found(self, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether ids are listed after context, and their shares."""
-        at = context * self.most
-        at += (self.ids.take(context, 0) == ids[:, None]).argmax(1)
-        return self.ids.ravel().take(at) == ids, self.share.ravel().take(at)
-
-    def at(self, context: np.ndarray, inner: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The id whose share of width (of 1 << 24) covers inner, and the share."""
-        inside = np.clip(inner, 0, np.maximum(width - 1, 0)).astype(np.int64)
-        place = (((inside + 1 << SHARE) - 1) / np.maximum(width, 1)).astype(np.int32)  # below 2^37 over 2^24: exact
-        at = context * self.most
-        at += (self.ends.take(context, 0) > place[:, None]).argmax(1)
-        return self.ids.ravel().take(at), self.share.ravel().take(at)
-
-
-def stretch(a: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width of a share of width a (of 65,536) as fractions of 1 << 24."""
-    lo = a * (share >> 16) >> SHARE - 8
-    return lo, (a * (share & 0xFFFF) >> SHARE - 8) - lo
+        row, place = np.repeat(np.arange(len(own)), size)[top], place[top]
+        best, seen = np.full((len(own), self.most), -1, np.int32), np.zeros((len(own), self.most), np.int64)
+        best[row, place], seen[row, place] = ids[top], n[top]
+        sums = seen.sum(1)
+        # how far the list can be trusted: its share of all that followed, less what a short history leaves open
+        open_ended = np.add.reduceat(n, start) + np.minimum(size, self.most) + 1
+        level = 1 + np.minimum(sums * (LEVELS - 1) // open_ended, LEVELS - 2)
+        return own, best, ((seen << SHARE) // sums[:, None]).astype(np.int32), level.astype(np.int32)
+
+
+def slot_of(pair: np.ndarray) -> np.ndarray:
+    """The slot of a pair of ids (before << 16 | last)."""
+    return (pair >> 16) * 40503 + (pair & 0xFFFF) * 2654435761 >> 9 & 0xFFFF
 
 
 class Model:
-    """The shared predictions; ids of a step come as one array, a lane each. Probabilities are fractions of 1 << 24."""
+    """The shared predictions; ids of a step come as one array, a lane each.
+
+    Rows 0 to 65,535 of the tables are slots of order 2, the others contexts of order 1 where order 2 knows nothing.
+    """
 
     def __init__(self, lanes: int):
-        self.one, self.two = Order(8, slice(None, None, 2)), Order(4, slice(None, None, 2))
-        self.last, self.hashed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.one, self.two = Order(ONE_MOST), Order(TWO_MOST)
+        self.last, self.pair = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.counts = np.zeros(1 << 16, np.int64)
-        self.came = np.tile(np.array([1.0, 1.0, 2.0]), (LEVELS * LEVELS, 1))
+        self.came = np.tile(np.array([256, 256, 512], np.int64), (LEVELS * LEVELS, 1))
+        self.owner = np.full(1 << 16, -1, np.int64)
         self.step = 0
-        self.fresh: list[np.ndarray] = []
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Order 0: frequencies that sum to 65,536, each id's start, and the id of each slot (65,536: escape)."""
-        if self.fresh:
-            self.counts += np.bincount(np.concatenate(self.fresh), minlength=1 << 16)
-            self.fresh.clear()
-            self.one.refresh()
-            self.two.refresh()
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        self.coded: list[np.ndarray] = []
+        rows = 2 << 16
+        self.ids, self.ends = np.full((rows, LISTED), -1, np.int32), np.zeros((rows, LISTED), np.int32)
+        self.width = np.zeros((rows, LISTED), np.int32)
+        # order 0's stretches of the listed ids, sorted, and a last one beyond all: where they start, where they would with
+        # those before left out, and how much lies before
+        self.first, self.shut = np.full((rows, LISTED + 1), BEYOND, np.int32), np.full((rows, LISTED + 1), BEYOND, np.int32)
+        self.before = np.zeros((rows, LISTED + 1), np.int32)
+        self.part2, self.part1 = np.zeros((rows, LISTED), np.int16), np.zeros((rows, LISTED), np.int16)
+        self.base, self.rest, self.cell = np.zeros(rows, np.int64), np.full(rows, 1 << 16, np.int64), np.zeros(rows, np.int32)
+        self.frequencies()
+
+    def frequencies(self) -> None:
+        """Order 0: frequencies that sum to 65,536, each id's start, and the id of each place (65,536: escape)."""
         seen = np.flatnonzero(self.counts)
-        self.freq, self.start = np.zeros((1 << 16) + 1, np.uint32), np.zeros((1 << 16) + 1, np.uint32)
-        if len(seen):
-            # with very many different ids the rarest go without and are escaped
-            if len(seen) > 1 << 15:
-                seen = np.sort(seen[np.argsort(-self.counts[seen], kind="stable")[: 1 << 15]])
-            n = self.counts[seen]
-            free = (1 << 16) - ESCAPE - len(seen)
-            f = 1 + n * free // n.sum()
-            f[n.argmax()] += (1 << 16) - ESCAPE - f.sum()
-            self.freq[seen] = f
-            ends = np.cumsum(f)
-            self.start[seen] = ends - f
-            self.slots = np.concatenate([np.repeat(seen, f), np.full(ESCAPE, 1 << 16)])
-            self.start[-1], self.freq[-1] = ends[-1], ESCAPE
-        else:
-            self.slots = np.full(1 << 16, 1 << 16)
+        self.freq, self.start = np.zeros((1 << 16) + 1, np.int64), np.zeros((1 << 16) + 1, np.int64)
+        if not len(seen):
+            self.places = np.full(1 << 16, 1 << 16)
             self.freq[-1] = 1 << 16
+            return
+        # with very many different ids the rarest go without and are escaped
+        if len(seen) > 1 << 15:
+            seen = np.sort(seen[np.argsort(-self.counts[seen], kind="stable")[: 1 << 15]])
+        n = self.counts[seen]
+        f = 1 + n * ((1 << 16) - ESCAPE - len(seen)) // n.sum()
+        f[n.argmax()] += (1 << 16) - ESCAPE - f.sum()
+        self.freq[seen] = f
+        ends = np.cumsum(f)
+        self.start[seen] = ends - f
+        self.places = np.concatenate([np.repeat(seen, f), np.full(ESCAPE, 1 << 16)])
+        self.start[-1], self.freq[-1] = ends[-1], ESCAPE
+
+    def refresh(self) -> None:
+        """Learns from all that was coded since the last time, and tabulates the mix of every context."""
+        if not self.fresh:
+            return
+        coded = np.concatenate(self.coded)
+        hit = coded[coded >= 0]
+        cells = self.cell.take(np.where(coded >= 0, coded // LISTED, ~coded))
+        parts = np.zeros((2, len(coded)), np.int64)
+        parts[:, coded >= 0] = self.part2.ravel().take(hit), self.part1.ravel().take(hit)
+        for k, w in enumerate((*parts, 256 - parts[0] - parts[1])):
+            self.came[:, k] += np.bincount(cells, w, len(self.came)).astype(np.int64)  # sums below 2^53: exact
+        pair, ids = (np.concatenate(x) for x in zip(*self.fresh, strict=True))
+        self.fresh.clear()
+        self.coded.clear()
+        self.counts += np.bincount(ids, minlength=1 << 16)
+        self.frequencies()
+        self.one.add(((pair & 0xFFFF) << 16 | ids).astype(np.uint32))
+        # free slots go to the most frequent pairs, for good
+        often = np.flatnonzero(self.one.counts > 1)
+        wish = self.one.codes[often].astype(np.int64)
+        slots = slot_of(wish)
+        free = np.flatnonzero(self.owner[slots] < 0)
+        free = free[np.argsort(self.one.counts[often[free]], kind="stable")]
+        self.owner[slots[free]] = wish[free]  # of equal slots the last one stays
+        slots = slot_of(pair)
+        known = self.owner[slots] == pair
+        self.two.add((slots[known] << 16 | ids[known]).astype(np.uint32))
+        self.tabulate()
+
+    def tabulate(self) -> None:
+        own1, ids1, share1, level1 = self.one.listed()
+        own2, ids2, share2, level2 = self.two.listed()
+        weights = self.came[:, :2] * MOST_LISTED // self.came.sum(1, keepdims=True)
+        weights[:LEVELS, 0] = 0  # no list
+        weights[::LEVELS, 1] = 0
+        row_of = np.searchsorted(own1, self.owner[own2] & 0xFFFF)  # an owner's last id has been a context
+        none = np.full((len(own1), TWO_MOST), -1, np.int32)
+        a_ids, a_share = np.concatenate([ids2, none]), np.concatenate([share2, np.zeros_like(none)])
+        b_row = np.concatenate([row_of, np.arange(len(own1))])
+        b_ids, b_share = ids1[b_row], share1[b_row]
+        cell = np.concatenate([level2, np.zeros(len(own1), np.int32)]) * LEVELS + level1[b_row]
+        at = np.concatenate([own2, own1 + (1 << 16)])
+        # order 1's shares of what order 2 lists too
+        both = np.zeros_like(a_share)
+        for k in range(TWO_MOST):
+            same = (a_ids[: len(own2), k, None] == b_ids[: len(own2)]) & (b_ids[: len(own2)] >= 0)
+            both[: len(own2), k] = (same * b_share[: len(own2)]).sum(1)
+            b_ids[: len(own2)][same] = -1
+            b_share[: len(own2)][same] = 0
+        ids = np.concatenate([a_ids, b_ids], 1)
+        a2, a1 = weights[cell, 0, None], weights[cell, 1, None]
+        p2 = np.zeros(ids.shape, np.int64)
+        p2[:, :TWO_MOST] = a2 * a_share >> SHARE - 8
+        p1 = a1 * np.concatenate([both, b_share], 1) >> SHARE - 8
+        listed = ids >= 0
+        f = self.freq.take(np.where(listed, ids, 0)) * listed
+        width = np.maximum(p2 + p1 + ((65536 - a2 - a1) * f >> 8), 1) * listed
+        self.ids[at], self.ends[at], self.width[at] = ids, np.cumsum(width, 1), width
+        stretch = np.sort(np.where(f > 0, self.start.take(np.maximum(ids, 0)), BEYOND) << 17 | f, 1)
+        first, before = stretch >> 17, np.cumsum(stretch & (1 << 17) - 1, 1)
+        self.first[at, :LISTED], self.before[at, 1:] = first, before
+        self.shut[at, :LISTED] = np.where(first < BEYOND, first - before + (stretch & (1 << 17) - 1), BEYOND)
+        some = np.maximum(width, 1)
+        self.part2[at], self.part1[at] = (p2 << 8) // some, (p1 << 8) // some
+        self.base[at], self.rest[at], self.cell[at] = width.sum(1), (1 << 16) - f.sum(1), cell
 
     def expect(self) -> None:
-        """The mix: widths a2 and a1 of 65,536 for orders 2 and 1, the rest for order 0."""
-        self.cell = self.two.level.take(self.hashed) * LEVELS + self.one.level.take(self.last)
-        widths = (self.came[:, :2] * (65000 / self.came.sum(1))[:, None]).astype(np.int32)
-        widths[:LEVELS, 0] = 0  # empty lists
-        widths[::LEVELS, 1] = 0
-        self.a2, self.a1 = widths[:, 0].take(self.cell), widths[:, 1].take(self.cell)
-        self.a = np.maximum(self.a2 + self.a1, 1)  # what is left times 1 << 16 stays below 1 << 32
-
-    def learn(self, ids: np.ndarray, by2: np.ndarray, by1: np.ndarray) -> None:
-        kind = self.cell * 3 + 2 - by1 - 2 * by2
-        self.came += np.bincount(kind, minlength=self.came.size).reshape(self.came.shape)
-        self.one.learn(self.last, ids)
-        self.two.learn(self.hashed, ids)
-        self.hashed = self.last * 40503 + ids * 2654435761 >> 9 & 0xFFFF
+        """The row of each lane's context."""
+        slots = slot_of(self.pair)
+        self.row = np.where(self.owner.take(slots) == self.pair, slots, self.last + (1 << 16))
+
+    def learn(self, ids: np.ndarray, coded: np.ndarray) -> None:
+        """coded: the place in the tables that gave an id, or the complement of its row where it was not listed."""
+        self.coded.append(coded)
+        self.fresh.append((self.pair, ids))
+        self.pair = self.last << 16 | ids
         self.last = ids
-        self.fresh.append(ids)
         self.step += 1
         if self.step in FIRST or not self.step % REFRESH:
             self.refresh()
 
-    def order0(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of order 0's symbols within what the mix leaves."""
-        rest = (65536 - self.a).astype(np.uint32)
-        start = self.start.take(sym)
-        lo = (start * rest >> 8).astype(np.int32)
-        return (self.a << 8) + lo, ((start + self.freq.take(sym)) * rest >> 8).astype(np.int32) - lo
+    def unlisted(self, row: np.ndarray, at: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of order 0's stretch of freq from at on, of what the listed ids leave."""
+        base, rest = self.base.take(row), self.rest.take(row)
+        wide = (1 << 24) - base
+        lo = at * wide // rest
+        return base + lo, (at + freq) * wide // rest - lo
 
-    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start and width of ids; whether order 2 or 1 gives them; the lanes whose id follows an escape."""
+    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and width of ids, their places for learn(), and the lanes whose id follows an escape."""
         self.expect()
-        short = ids.astype(np.int32)
-        by2, share2 = self.two.found(self.hashed, short)
-        by1, share1 = self.one.found(self.last, short)
-        lo2, n2 = stretch(self.a2, share2)
-        lo1, n1 = stretch(self.a1, share1)
-        n1 *= by1
-        n2 *= by2
-        by2 = n2 > n1
-        by1 = (n1 > 0) & ~by2
-        known = self.freq.take(ids) > 0
-        unknown = np.flatnonzero(~known)
-        if len(unknown):
-            ids = ids.copy()
-            ids[unknown] = 1 << 16
-        start, width = self.order0(ids)
-        lo1 += self.a2 << 8
-        for by, lo, n in ((by2, lo2, n2), (by1, lo1, n1)):
-            np.copyto(start, lo, where=by)
-            np.copyto(width, n, where=by)
-        return start, width, by2, by1, unknown[~(by1 | by2)[unknown]]
-
-    def symbols(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """place() the other way: ids (65,536: escape) from the slots of 1 << 24 that were coded."""
-        w2, w1 = self.a2 << 8, self.a1 << 8
-        inner = slot - w2
-        by2 = inner < 0
-        by1 = ~by2 & (inner < w1)
-        left = np.maximum(slot - (self.a << 8), 0)
-        id2, share2 = self.two.at(self.hashed, slot, w2)
-        id1, share1 = self.one.at(self.last, inner, w1)
-        ids = self.slots.take(((left.astype(np.int64) + 1 << 8) - 1) // (65536 - self.a), mode="clip")
-        start, width = self.order0(ids)
-        lo1, n1 = stretch(self.a1, share1)
-        lo1 += w2
-        for by, some, (lo, n) in ((by2, id2, stretch(self.a2, share2)), (by1, id1, (lo1, n1))):
-            np.copyto(ids, some, where=by)
-            np.copyto(start, lo, where=by)
-            np.copyto(width, n, where=by)
-        return ids, start, width, by2, by1
+        lists = self.ids.take(self.row, 0)
+        coded = self.row * LISTED + (lists == ids.astype(np.int32)[:, None]).argmax(1)
+        width = self.width.ravel().take(coded).astype(np.int64)
+        start = self.ends.ravel().take(coded) - width
+        miss = np.flatnonzero(self.ids.ravel().take(coded) != ids)
+        row = self.row[miss]
+        sym = np.where(self.freq.take(ids[miss]) > 0, ids[miss], 1 << 16)
+        at = self.start.take(sym)
+        before = self.before.ravel().take(row * (LISTED + 1) + (self.first.take(row, 0) >= at.astype(np.int32)[:, None]).argmax(1))
+        start[miss], width[miss] = self.unlisted(row, at - before, self.freq.take(sym))
+        coded[miss] = ~row
+        return start, width, coded, miss[sym == 1 << 16]
+
+    def symbols(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """place() the other way: ids (65,536: escape), start, width and places from the slots of 1 << 24 that were coded."""
+        coded = self.row * LISTED + (self.ends.take(self.row, 0) > slot.astype(np.int32)[:, None]).argmax(1)
+        ids = self.ids.ravel().take(coded).astype(np.int64)
+        width = self.width.ravel().take(coded).astype(np.int64)
+        start = self.ends.ravel().take(coded) - width
+        miss = np.flatnonzero(slot >= self.base.take(self.row))
+        row = self.row[miss]
+        base, rest = self.base.take(row), self.rest.take(row)
+        at = ((slot[miss] - base + 1) * rest - 1) // ((1 << 24) - base)
+        before = self.before.ravel().take(row * (LISTED + 1) + (self.shut.take(row, 0) > at.astype(np.int32)[:, None]).argmax(1))
+        sym = self.places.take(at + before)
+        ids[miss] = sym
+        start[miss], width[miss] = self.unlisted(row, self.start.take(sym) - before, self.freq.take(sym))
+        coded[miss] = ~row
+        return ids, start, width, coded
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -241,7 +286,7 @@ def encode(ids: np.ndarray) -> bytes:
             at = at[wide < FLOOR]
 
     for row in grid:
-        start, width, by2, by1, raw = model.place(row)
+        start, width, coded, raw = model.place(row)
         r = rng >> U24
         low += start.astype(np.uint64) * r
         rng = r * width.astype(np.uint64)
@@ -251,7 +296,7 @@ def encode(ids: np.ndarray) -> bytes:
             low[raw] += row[raw].astype(np.uint64) * r
             rng[raw] = r
             shift(raw[r < FLOOR])
-        model.learn(row, by2, by1)
+        model.learn(row, coded)
     for _ in range(3):
         at_out.append(np.arange(lanes, dtype=np.uint16))
         words.append((low >> U32).astype(np.uint32))
@@ -293,8 +338,8 @@ def decode(raw: bytes) -> np.ndarray:
     for t in range(steps):
         model.expect()
         r = rng >> U24
-        slot = np.minimum((code / r).astype(np.int32), (1 << 24) - 1)  # both are below 2^48, r below 2^24: the quotient is exact
-        row, start, width, by2, by1 = model.symbols(slot)
+        slot = np.minimum((code / r).astype(np.int64), (1 << 24) - 1)  # both are below 2^48, r below 2^24: the quotient is exact
+        row, start, width, coded = model.symbols(slot)
         code -= start.astype(np.uint64) * r
         rng = r * width.astype(np.uint64)
         shift(np.flatnonzero(rng < FLOOR))
@@ -306,7 +351,7 @@ def decode(raw: bytes) -> np.ndarray:
             rng[escaped] = r
             shift(escaped[r < FLOOR])
         grid[t] = row
-        model.learn(row, by2, by1)
+        model.learn(row, coded)
     ids = grid.T.reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids) != crc:
         raise ValueError("checksum of a block differs")
