@@ -399,6 +399,32 @@ def test_lines_of_a_long_repeated_run(spark):
     assert found == {1: (docs[1], 0), 2: ("x\ny", 300), 3: ("line 7", 8), 4: ("", 9)}
 
 
+def test_shared_prefixes_by_hand(spark):
+    """The longest prefix shared with an earlier suffix, against all pairs; sequences of few different lines, of which some are missing."""
+    rng = random.Random(5)
+    docs = {d: [rng.randrange(2 + d % 3) if rng.random() < 0.97 else None for _ in range(rng.randrange(1, 40))] for d in range(24)} | {30: [7] * 50, 31: [7] * 20}
+    rows = [(d, 0, k, v) for d, line in docs.items() for k, v in enumerate(line) if v is not None]
+    s = lines.Scratch(spark)
+    many = spark.createDataFrame(rows, "d long, h long, k int, v int")
+    levels = lines.suffix_ranks(lines.ranked(many, ["v"], len(rows), s), len(rows), s)
+    assert len(levels) == 6  # 32 of the 50 equal lines occur again, 64 do not
+    found = {(r["d"], r["k"]): r["n"] for r in lines.shared_prefixes(levels, len(rows), s).collect()}
+
+    def shared(p, q):
+        a, b = docs[p[0]][p[1] :], docs[q[0]][q[1] :]
+        return next((n for n, (x, y) in enumerate(zip(a, b)) if x is None or x != y), min(len(a), len(b)))
+
+    at = [r[:1] + r[2:3] for r in rows]
+    longest = {p: max((shared(p, q) for q in at if q < p), default=0) for p in at}
+    assert found == {p: n for p, n in longest.items() if n}
+
+
+def test_lines_of_many_equal_lines(spark):
+    docs = {1: "\n".join(["line of one text"] * 10_000), 2: "\n".join(["line of one text"] * 3)}
+    found = {r["doc_id"]: (r["text"], r["n_deleted"]) for r in lines.without_later_copies(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert found == {1: ("line of one text", 9_999), 2: ("", 3)}
+
+
 def test_lines_odd(odd, none):
     found = lines.without_later_copies(odd).collect()
     assert len(found) == odd.count()

@@ -4,16 +4,23 @@ A text is the sequence of the ids of its lines that hold a word; blank lines are
 stretch of such lines in one document with ``MIN_WORDS`` words or more. A line is deleted if it lies in a run that
 also occurs earlier, by (doc_id, line).
 
-Only lines that occur at least twice can lie in such a run, so all others are left out first; a line's rank is its
-place among the sorted 128-bit hashes of these. Prefix doubling ranks the suffixes by their first 2, 4, 8 ... lines:
-the rank of 2n lines is the place, in sorted order, of the pair of the ranks of n lines here and n lines on. Pairs are
-counted before they are sorted, and a pair that occurs once gets no rank. A shortest run that reaches MIN_WORDS has at
-most MIN_WORDS lines: further doubling could not change what is deleted, so it ends there. Such a run is identified
-by two overlapping ranks and its length. Suffixes that agree in it form an interval of the suffix array with at least
-that longest common prefix; all of its members but the first by position are later copies. Any longer repeated run is
-the union of the shortest ones that start and end in it, so deleted stretches are the maximal repeated runs.
-
-Hot lines and runs are joined apart from the others (``split_join``), so none lands in one task.
+Suffix array. Only lines that occur at least twice can lie in such a run, so all others are left out first; a line's
+rank is its place among the sorted 128-bit hashes of these. Prefix doubling ranks the suffixes by their first 2, 4,
+8 ... lines: the rank of 2n lines is the place, in sorted order, of the pair of the ranks of n lines here and n lines
+on. Pairs are counted before they are sorted; a suffix whose pair occurs once is settled and leaves. Doubling goes on
+until all have left, so a repeated run of n lines takes log2(n) rounds.
+
+Common prefixes. Suffixes with equal first n lines are an interval of the sorted suffixes. ``shared_prefixes`` finds for
+each suffix the longest prefix it shares with an earlier one by halving: from the widest rank down, an interval of
+common prefix n is parted by the ranks of the 2^i lines that follow. Each part of several suffixes becomes an interval
+of common prefix n + 2^i, in which all but its first suffix go on; the firsts of all parts stay in the interval
+before, where shorter prefixes are looked for among them: what a later member shares with a suffix outside its
+part, its part's first shares too. So an interval holds one suffix more than it decides on, and the table of intervals
+stays linear in the lines, whatever repeats.
+
+The stretches found are merged by the running maximum of their ends: these are the maximal repeated runs, without
+their first occurrences. Hot lines, pairs and intervals are joined apart from the others (``split_join``), so none lands
+in one task.
 
 Defined results. Null text: stays null, no lines. Empty text: stays. Null doc_id: before all others. Rows equal in
 doc_id and text: one document, with the same result for each row. Rows equal in doc_id alone: documents of their own,
@@ -23,8 +30,6 @@ named n_lines or n_deleted give way to the results, and dropped by the query.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,68 +57,90 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return docs.select(*OWN, F.posexplode(F.filter(lines, lambda x: x["words"] > 0)).alias("k", "z")).select(*OWN, "k", "z.line", "z.words", "z.x", "z.y")
 
 
-def ranked(rows: DataFrame, by: list[str], name: str, total: int, s: Scratch) -> DataFrame:
-    """rows that share their values of by, with the place of these in sorted order."""
-    often = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").orderBy(*by).withColumn(name, F.monotonically_increasing_id())
-    return split_join(rows, s.save(often), by, "n", total).drop(*by, "n")
-
+def ranked(rows: DataFrame, by: list[str], total: int, s: Scratch) -> DataFrame:
+    """rows that share their values of by, with the place r of these in sorted order."""
+    often = s.save(rows.groupBy(*by).agg(F.count("*").alias("many")).where("many > 1").orderBy(*by).withColumn("r", F.monotonically_increasing_id()))
+    found = s.save(split_join(rows, often, by, "many", total).drop(*by, "many"))
+    s.free(often)
+    return found
 
-def doubled(rows: DataFrame, level: int, total: int, s: Scratch) -> DataFrame:
-    """rows with the rank r<level> of the 2^level lines from each on, null where they occur once or pass a gap."""
-    step, was, now = 1 << (level - 1), f"r{level - 1}", f"r{level}"
-    order = Window.partitionBy(*OWN).orderBy("k")
-    paired = s.save(rows.withColumns({"a": F.col(was), "b": F.when(F.lead("k", step).over(order) == F.col("k") + step, F.lead(was, step).over(order))}))
-    whole = paired.where("a is not null and b is not null")
-    known = s.save(whole.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").orderBy("a", "b").withColumn(now, F.monotonically_increasing_id()))
-    found = split_join(whole, known, ["a", "b"], "n", total, "left").drop("a", "b", "n")
-    return s.save(found.unionByName(paired.where("a is null or b is null").drop("a", "b").withColumn(now, F.lit(None).cast("long"))))
 
+def suffix_ranks(first: DataFrame, total: int, s: Scratch) -> list[DataFrame]:
+    """From d, h, k, r of single lines: tables d, h, k, r for 1, 2, 4 ... lines, each of the suffixes whose stretch occurs again.
 
-def shortest_runs(rows: DataFrame, levels: int, min_words: int) -> DataFrame:
-    """d, h, k, n (lines), lines (their places), a, b (ranks) of the shortest runs that start at a line or end at one."""
+    If a stretch occurs again, so do all inside it; a row that is missing between k and k + step thus means that the
+    pair cannot occur again either.
+    """
+    levels, step = [first], 1
     order = Window.partitionBy(*OWN).orderBy("k")
-    item = F.struct("k", "line", "words", *(f"r{j}" for j in range(levels + 1)))
-
-    def length(items: Column, sign: int) -> Column:
-        """Lines up to min_words without a gap; null if there are too few."""
-        begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
-
-        def more(acc: Column, x: Column) -> Column:
-            on = (acc["words"] < min_words) & (x["k"] == F.get(items, F.lit(0))["k"] + sign * acc["n"])
-            return F.when(on, F.struct((acc["n"] + 1).alias("n"), (acc["words"] + x["words"]).alias("words"))).otherwise(acc)
-
-        found = F.aggregate(items, begin, more)
-        return F.when(found["words"] >= min_words, found["n"])
-
-    here = rows.select(*OWN, "k", F.collect_list(item).over(order.rowsBetween(0, min_words - 1)).alias("on"), F.collect_list(item).over(order.rowsBetween(-(min_words - 1), 0)).alias("back"))
-    starts = here.select(*OWN, "k", length(F.col("on"), 1).alias("n"), F.col("on").alias("items"))
-    n = length(F.reverse("back"), -1)
-    ends = here.select(*OWN, (F.col("k") - n + 1).alias("k"), n.alias("n"), F.slice("back", F.size("back") - n + 1, n).alias("items"))
-    runs = starts.unionByName(ends).where("n is not null")
-    a, b = F.lit(None).cast("long"), F.lit(None).cast("long")
-    for j in range(levels + 1):
-        inside = F.col("n") >= (1 << j)
-        a = F.when(inside, F.get("items", F.lit(0))[f"r{j}"]).otherwise(a)
-        b = F.when(inside, F.get("items", F.col("n") - (1 << j))[f"r{j}"]).otherwise(b)
-    return runs.select(*OWN, "k", "n", F.transform(F.slice("items", F.lit(1), F.col("n")), lambda x: x["line"]).alias("lines"), a.alias("a"), b.alias("b")).where("a is not null and b is not null")
+    while not levels[-1].isEmpty():
+        pairs = levels[-1].select(*OWN, "k", F.col("r").alias("a"), F.when(F.lead("k", step).over(order) == F.col("k") + step, F.lead("r", step).over(order)).alias("b"))
+        pairs = s.save(pairs.where("b is not null"))
+        levels.append(ranked(pairs, ["a", "b"], total, s))
+        s.free(pairs)
+        step *= 2
+    s.free(levels.pop())
+    return levels
+
+
+def shared_prefixes(levels: list[DataFrame], total: int, s: Scratch) -> DataFrame | None:
+    """d, h, k, n: the number n > 0 of lines from k on that an earlier suffix shares; None if there are no ranks.
+
+    Rows of the working table: a suffix (d, h, k) in an interval (node) of common prefix n; decides: whether its own
+    length is looked for there, which holds in one interval for every suffix. The interval of prefix 0 is not written.
+    """
+    at = [*OWN, "k"]
+    held = None
+    for i in reversed(range(len(levels))):
+        ranks, known = levels[i], held
+        if known is None:
+            parted, apart = ranks, None
+        else:
+            parted = ranks.join(known.where("decides").select(*at).hint("merge"), at, "left_anti")
+            there = ranks.select(*OWN, F.col("k").alias("to"), "r")
+            met = s.save(known.withColumn("to", F.col("k") + F.col("n")).join(there.hint("merge"), [*OWN, "to"], "left").drop("to"))
+            apart = met.where("r is null").drop("r")
+        parted = parted.select(*at, F.lit(0).cast("long").alias("node"), F.lit(0).alias("n"), F.lit(True).alias("decides"), "r")
+        parted = s.save(parted if known is None else parted.unionByName(met.where("r is not null")))
+        parts = parted.groupBy("node", "r").agg(F.count("*").alias("many"), F.min(F.struct(*at)).alias("first")).where("many > 1")
+        parts = s.save(parts.withColumn("part", F.monotonically_increasing_id() + F.lit((i + 1) << 56)))
+        own = split_join(parted, parts, ["node", "r"], "many", 2 * total, "left")
+        is_first, alone = F.struct(*at) == F.col("first"), F.col("part").isNull()
+        stays = F.when((F.col("node") != 0) & (alone | is_first), F.struct("node", "n", "decides"))
+        goes = F.when(~alone, F.struct(F.col("part").alias("node"), (F.col("n") + (1 << i)).alias("n"), (F.col("decides") & ~is_first).alias("decides")))
+        now = own.select(*at, F.explode(F.array_compact(F.array(stays, goes))).alias("z")).select(*at, "z.*")
+        held = s.save(now if apart is None else now.unionByName(apart))
+        s.free(parted, parts, *([] if known is None else [known, met]))
+    return None if held is None else held.where("decides").select(*at, "n")
+
+
+def lines_needed(words: Column, min_words: int) -> Column:
+    """How many of the numbers, from the first on, reach min_words; null if all do not."""
+    begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
+    found = F.aggregate(words, begin, lambda acc, x: F.when(acc["words"] >= min_words, acc).otherwise(F.struct((acc["n"] + 1).alias("n"), (acc["words"] + x).alias("words"))))
+    return F.when(found["words"] >= min_words, found["n"])
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """d, h, deleted (places of the lines to delete) of every document with any."""
+    """d, h, gone (for each line up to the last deleted one: whether it is deleted) of every document with any."""
+    min_words = max(min_words, 1)
     s = Scratch(docs.sparkSession)
     every = s.save(line_rows(documents(docs, s)))
     total = every.count()
-    rows = s.save(ranked(every, ["x", "y"], "r0", total, s))
+    rows = ranked(every, ["x", "y"], total, s)
     s.free(every)
-    levels = int(math.log2(max(min_words, 1)))
-    for level in range(1, levels + 1):
-        before, rows = rows, doubled(rows, level, total, s)
-        s.free(before)
-    runs = s.save(shortest_runs(rows, levels, min_words))
-    first = s.save(runs.groupBy("n", "a", "b").agg(F.min(F.struct(*OWN, "k")).alias("first"), F.count("*").alias("many")).where("many > 1"))
-    later = split_join(runs, first, ["n", "a", "b"], "many", total).where(F.struct(*OWN, "k") > F.col("first"))
-    found = s.save(later.select(*OWN, F.explode("lines").alias("line")).groupBy(*OWN).agg(F.collect_set("line").alias("deleted")))
-    s.free(rows, runs, first)
+    levels = suffix_ranks(rows.select(*OWN, "k", "r"), total, s) if total else []
+    shared = shared_prefixes(levels, total, s)
+    if shared is None:
+        shared = rows.select(*OWN, "k", F.lit(None).cast("int").alias("n"))
+    order = Window.partitionBy(*OWN).orderBy("k")
+    need = lines_needed(F.collect_list("words").over(order.rowsBetween(0, min_words - 1)), min_words)
+    ends = rows.join(shared.hint("merge"), [*OWN, "k"], "left").select(*OWN, "k", "line", F.when(F.col("n") >= need, F.col("k") + F.col("n") - 1).alias("end"))
+    inside = ends.withColumn("end", F.max("end").over(order)).where("end >= k")
+    spaced = inside.select(*OWN, "line", (F.col("line") - F.lag("line", 1, -1).over(order) - 1).alias("kept_before"))
+    flags = F.transform(F.array_sort(F.collect_list(F.struct("line", "kept_before"))), lambda x: F.concat(F.array_repeat(F.lit(False), x["kept_before"]), F.array(F.lit(True))))
+    found = s.save(spaced.groupBy(*OWN).agg(F.flatten(flags).alias("gone")))
+    s.free(rows, *levels[1:])
     return found
 
 
@@ -122,10 +149,10 @@ def without_later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     gone = later_copies(docs.select("doc_id", F.col("text").cast("string").alias("text")), min_words)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), place(F.col("doc_id")).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"))
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("deleted", i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get("gone", i), F.lit(False))), "\n")
     found = rows.join(gone.hint("merge"), list(OWN), "left")
-    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_deleted": F.coalesce(F.array_size("deleted"), F.lit(0)).cast("long")}
-    text = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(kept)
+    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_deleted": F.coalesce(F.array_size(F.filter("gone", lambda x: x)), F.lit(0)).cast("long")}
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
     return found.select(*(text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in counts), *(c.alias(n) for n, c in counts.items()))
 
 
