@@ -25,6 +25,7 @@ from vellum.plans import actions as ac
 from vellum.registry import QUERIES
 from vellum.sources import derived as dv
 from vellum.sources import files as fl
+from vellum.sources import interchange as ix
 from vellum.streaming import intake as st
 
 DOCS = "doc_id long, text string"
@@ -162,6 +163,39 @@ def test_comment_xml_round_trip(spark, tmp_path):
     assert sorted(map(tuple, fl.read_comment_xml(spark, f"{tmp_path}/xml", "name string, contents string").select("name", "contents").collect())) == [("n1", "a & b"), ("n2", "<c>")]
 
 
+def test_comments_through_files(spark, tmp_path):
+    """Every column through XML files and back; names that are missing are made, subtypes without an element and odd values have their result."""
+    schema = "doc_id long, page int, idx int, subtype string, rect array<double>, name string, parent string, reply string, flags int, color array<double>, fill array<double>, opacity double, width double, author string, contents string"
+    rows = [
+        (1, 0, 0, "Text", [10.0, 40.5, 30.0, 20.25], None, None, None, 0, [0.5], None, 1.5, None, "A & <B>", "  two\nlines  "),
+        (1, 0, 1, "Text", [1.0, 2.0, 3.0, 4.0], "n2", "comment-0-0", "R", 4 + 128, [1.0, 0.0, 0.2], [0.0, 0.0, 0.0, 1.0], 0.25, 2.0, None, ""),
+        (2, 3, 7, "Highlight", [1.0], "n3", "n2", "Group", 1, [0.1, 0.2], None, -1.0, 1.0 / 3, "x", None),
+        (2, 0, 0, "Link", [1.0, 2.0, 3.0, 4.0], "n4", None, None, 4, None, None, None, None, None, "no element"),
+    ]
+    ix.write_comments(spark.createDataFrame(rows, schema), f"{tmp_path}/xml")
+    found = {r["name"]: r.asDict() for r in ix.read_comments(spark, f"{tmp_path}/xml").collect()}
+    assert sorted(found) == ["comment-0-0", "n2", "n3"]
+    a, b, c = (found[n] for n in ("comment-0-0", "n2", "n3"))
+    assert (a["doc_id"], a["page"], a["subtype"], a["rect"], a["flags"], a["opacity"], a["author"], a["contents"]) == (1, 0, "Text", [10.0, 20.25, 30.0, 40.5], 4, 1.0, "A & <B>", "  two\nlines  ")
+    assert (a["parent"], a["reply"], a["color"], a["fill"], a["width"]) == (None, None, [128 / 255] * 3, None, None)
+    assert (b["parent"], b["reply"], b["flags"], b["color"], b["fill"], b["opacity"], b["width"], b["contents"]) == ("comment-0-0", "R", 132, [1.0, 0.0, 0.2], [0.0] * 3, 0.25, 2.0, None)
+    assert (c["page"], c["subtype"], c["rect"], c["parent"], c["reply"], c["flags"], c["color"], c["opacity"], c["width"]) == (3, "Highlight", [0.0] * 4, "n2", "Group", 1, None, 0.0, 0.333)
+
+
+def test_comments_of_other_writers(spark, tmp_path):
+    (tmp_path / "a.xfdf").write_text(
+        """<?xml version="1.0" encoding="UTF-8"?><xfdf xmlns="http://example.org/x"><annots>
+        <square page="2" rect="1;2 3,x" name="s" flags="Print, LOCKED,unknown" color="#zz0000" opacity="thin" replyType="group"/>
+        <square page="2" rect="1,2,3" name="no box"/><other page="1" rect="1,2,3,4" name="no kind"/>
+        <text rect="1,2,3,4" inreplyto="s" replyType="GROUP"><contents>Hello</contents></text></annots></xfdf>"""
+    )
+    found = {r["subtype"]: r.asDict() for r in ix.read_comments(spark, str(tmp_path)).collect()}
+    assert sorted(found) == ["Square", "Text"]
+    s, t = found["Square"], found["Text"]
+    assert (s["doc_id"], s["page"], s["rect"], s["name"], s["flags"], s["color"], s["opacity"], s["reply"]) == (None, 2, [1.0, 2.0, 3.0, 0.0], "s", 132, None, 1.0, None)
+    assert (t["page"], t["name"], t["parent"], t["reply"], t["flags"], t["opacity"], t["contents"]) == (0, None, "s", "Group", 4, None, "Hello")
+
+
 def test_streams_equal_batches(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
     events.coalesce(1).write.parquet(f"{tmp_path}/in")

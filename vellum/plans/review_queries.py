@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import compare as cp
 from ..operators import review as rv
 from ..sources import derived as dv
+from ..sources import interchange as ix
 from .catalog import query, table
 
 C = "WITH RECURSIVE " + dv.COMMENTS_SQL
@@ -199,3 +200,19 @@ def corpus_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit("([A-Za-z]+(?:-[A-Za-z]+)*)"), F.lit(1))
     each = dv.doc_lines(table(spark, d, "documents")).select(F.explode(words).alias("w"))
     return each.select(F.explode(F.when(F.col("w").contains("-"), F.concat(F.array("w"), F.split("w", "-"))).otherwise(F.array("w"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("comments_interchange", C + """, k AS (SELECT *, ['Text', 'Square', 'Highlight', 'Link', 'FreeText'][1 + (doc_id % 5)::INT] AS subtype, (doc_id % 512)::INT AS f FROM comments)
+SELECT doc_id, page, subtype, CASE WHEN idx % 2 = 0 THEN name ELSE 'c-' || page || '-' || idx END AS name, parent, CASE WHEN parent IS NOT NULL THEN CASE WHEN idx % 3 = 0 THEN 'Group' ELSE 'R' END END AS reply,
+  CASE WHEN f = 0 THEN 4 ELSE f END AS flags, least(idx, 5)::DOUBLE AS x0, greatest(idx, 5)::DOUBLE AS x1, (doc_id % 256)::INT AS red, CASE WHEN idx % 4 = 0 THEN NULL ELSE least(1.0, (idx % 4) / 2.0)::DOUBLE END AS opacity,
+  author, nullif(regexp_replace(contents, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '') AS contents FROM k WHERE subtype <> 'Link'""")
+def comments_interchange(spark: SparkSession, d: str) -> DataFrame:
+    """All comments as XML elements and back: subtypes (one without an element), flags, boxes, colours, opacities, names and replies."""
+    c = comments(spark, d)
+    subtype = F.element_at(F.array(*map(F.lit, ("Text", "Square", "Highlight", "Link", "FreeText"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    x = F.col("idx").cast("double")
+    more = {"subtype": subtype, "rect": F.array(x, F.lit(20.0), F.lit(5.0), F.lit(10.0)), "flags": (F.col("doc_id") % 512).cast("int"), "color": F.array((F.col("doc_id") % 256) / 255, F.lit(0.0), F.lit(1.0)),
+            "opacity": F.when(F.col("idx") % 4 != 0, F.col("idx") % 4 / 2), "name": F.when(F.col("idx") % 2 == 0, F.col("name")), "reply": F.when(F.col("idx") % 3 == 0, "Group").otherwise("R")}
+    back = ix.from_elements(ix.elements(c.withColumns(more), "c"))
+    red = F.round(F.get("color", F.lit(0)) * 255).cast("int")
+    return back.select("doc_id", "page", "subtype", "name", "parent", "reply", "flags", F.get("rect", F.lit(0)).alias("x0"), F.get("rect", F.lit(2)).alias("x1"), red.alias("red"), "opacity", "author", "contents")
