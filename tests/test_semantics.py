@@ -163,6 +163,18 @@ def test_comment_xml_round_trip(spark, tmp_path):
     assert sorted(map(tuple, fl.read_comment_xml(spark, f"{tmp_path}/xml", "name string, contents string").select("name", "contents").collect())) == [("n1", "a & b"), ("n2", "<c>")]
 
 
+def test_contents_never_skip_a_level(spark):
+    blocks = spark.createDataFrame([(d, 0, k, t, len(t.split()), s) for d in (1, 2, 3) for k, (t, s) in enumerate([("A head", 14.0 if d < 3 else 10.0), ("and its text of more words", 12.0)])] + [(1, 1, 2, "", 0, 14.0)], "doc_id long, page int, block_no int, text string, words int, size double")
+    levels = [3, 9, 2, 5, 5, 9, None]
+    marks = spark.createDataFrame([(1, k, v, f"m{k}", k % 2) for k, v in enumerate(levels)] + [(2, 0, 1, "elsewhere", 7)], "doc_id long, ord int, level int, title string, page int")
+    found = sorted(map(tuple, fl.contents(blocks, marks).select("doc_id", "entry", "source", "title", "depth").collect()))
+    depths, before = [], -1
+    for v in levels:
+        before = min(v or 0, before + 1)
+        depths.append(before)
+    assert found == [*((1, k + 1, "bookmarks", f"m{k}", d) for k, d in enumerate(depths)), (2, 1, "headings", "A head", 0), (3, 1, "pages", "Page 1", 0)]
+
+
 def test_comments_through_files(spark, tmp_path):
     """Every column through XML files and back; names that are missing are made, subtypes without an element and odd values have their result."""
     schema = "doc_id long, page int, idx int, subtype string, rect array<double>, name string, parent string, reply string, flags int, color array<double>, fill array<double>, opacity double, width double, author string, contents string"

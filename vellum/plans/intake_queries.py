@@ -59,6 +59,24 @@ def render_chapters(spark: SparkSession, d: str) -> DataFrame:
     return fl.chapters(dv.blocks(table(spark, d, "documents")))
 
 
+@query("render_contents", "WITH RECURSIVE " + dv.BLOCKS_SQL + """,
+p AS (SELECT DISTINCT doc_id, page FROM blocks),
+m AS (SELECT doc_id, (page + (block_no % 5 = 0)::INT)::INT AS page, block_no AS a, block_no * 7 % 4 + 1 AS l, 'Mark ' || block_no AS title FROM blocks WHERE doc_id % 3 = 0 AND words BETWEEN 4 AND 9),
+b AS (SELECT m.* FROM m JOIN p USING (doc_id, page)),
+h AS (SELECT doc_id, page, block_no AS a, 1 AS l, trim(text, ' ') AS title FROM blocks WHERE size = 14 AND words > 0 AND doc_id NOT IN (SELECT doc_id FROM b)),
+e AS (SELECT doc_id, page, page AS a, 0 AS l, 'Page ' || (page + 1) AS title FROM p WHERE doc_id NOT IN (SELECT doc_id FROM b) AND doc_id NOT IN (SELECT doc_id FROM h)),
+u AS (SELECT 'bookmarks' AS source, * FROM b UNION ALL SELECT 'headings', * FROM h UNION ALL SELECT 'pages', * FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS entry, l - min(l) OVER (PARTITION BY doc_id) AS level FROM u),
+d AS (SELECT doc_id, entry, 0 AS depth FROM n WHERE entry = 1 UNION ALL SELECT n.doc_id, n.entry, least(n.level, d.depth + 1) FROM d JOIN n ON n.doc_id = d.doc_id AND n.entry = d.entry + 1)
+SELECT doc_id, entry, source, page, title, depth FROM n JOIN d USING (doc_id, entry)""")
+def render_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Of documents with bookmarks (some lead to pages that are not there), with headings only, and with neither."""
+    blocks = dv.blocks(table(spark, d, "documents"))
+    marks = blocks.where("doc_id % 3 = 0 and words between 4 and 9")
+    outline = marks.select("doc_id", F.col("block_no").alias("ord"), (F.col("block_no") * 7 % 4 + 1).alias("level"), F.concat(F.lit("Mark "), "block_no").alias("title"), (F.col("page") + (F.col("block_no") % 5 == 0).cast("int")).alias("page"))
+    return fl.contents(blocks, outline)
+
+
 @query("conversion_report", "WITH " + dv.BLOCKS_SQL + """ SELECT CASE WHEN words = 0 THEN 'blank' ELSE 'long' END AS code, page, count(*) AS count FROM blocks WHERE words = 0 OR length(text) > 400 GROUP BY ALL""")
 def conversion_report(spark: SparkSession, d: str) -> DataFrame:
     b = dv.blocks(table(spark, d, "documents")).where("words = 0 or length(text) > 400")

@@ -90,6 +90,28 @@ def chapters(blocks: DataFrame) -> DataFrame:
     return by.select("doc_id", "page", F.coalesce("_h", F.left("_f", F.lit(40)), F.concat(F.lit("Page "), (F.col("page") + 1).cast("string"))).alias("title"))
 
 
+def contents(blocks: DataFrame, outline: DataFrame) -> DataFrame:
+    """doc_id, entry (from 1), source, page, title, depth (from 0): each document's table of contents.
+
+    Its bookmarks (outline: doc_id, ord, level, title, page) that lead to a page it has, in their order; without any, its
+    headings; without these, its pages. Nesting never skips a level: an entry is at most one deeper than that before it,
+    d(i) = min(l(i), d(i-1) + 1) with d(0) = 0, which is i plus the running minimum of l(j) - j and 0.
+    Levels count from the document's least; a missing level is 0.
+    """
+    pages = blocks.select("doc_id", "page").distinct()
+    row = lambda source, at, level, title: [F.col("doc_id"), F.lit(source).alias("source"), F.col("page"), at.cast("long").alias("_at"), F.coalesce(level, F.lit(0)).cast("int").alias("_level"), title.alias("title")]
+    marks = outline.join(pages, ["doc_id", "page"], "left_semi").select(row("bookmarks", F.col("ord"), F.col("level"), F.col("title")))
+    heads = blocks.where("size = 14.0 and words > 0").select(row("headings", F.col("block_no"), F.lit(1), F.trim("text")))
+    every = pages.select(row("pages", F.col("page"), F.lit(0), F.concat(F.lit("Page "), (F.col("page") + 1).cast("string"))))
+    own = Window.partitionBy("doc_id")
+    order = own.orderBy("_at", "page", "title")
+    # The names of the sources are in the order of preference.
+    best = marks.unionByName(heads).unionByName(every).withColumn("_best", F.min("source").over(own)).where("source = _best")
+    numbered = best.withColumns({"entry": F.row_number().over(order), "_level": F.col("_level") - F.min("_level").over(own)})
+    depth = F.col("entry") - 1 + F.least(F.lit(0), F.min(F.col("_level") - F.col("entry") + 1).over(own.orderBy("entry")))
+    return numbered.select("doc_id", "entry", "source", "page", "title", depth.alias("depth"))
+
+
 #: The columns of a measurement file.
 MEASUREMENT_COLUMNS = ("Document", "Page", "Type", "Measurement", "Scale", "Author", "Saved in PDF", "Points")
 
