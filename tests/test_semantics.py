@@ -141,6 +141,15 @@ def test_pair_pages(spark):
     assert sorted(tuple(r) for r in cp.pair_pages(votes).collect()) == [(1, 0, 0), (1, 1, 2)]
 
 
+def test_align_pages(spark):
+    """Pages without text pair by position if both are free; all others that are left over are told."""
+    pairs = spark.createDataFrame([(1, 0, 1), (1, 3, 3)], "doc_id long, old_page int, new_page int")
+    old = spark.createDataFrame([(1, 0, True), (1, 1, False), (1, 2, False), (1, 3, True), (1, 4, True), (2, 0, False)], "doc_id long, page int, has_text boolean")
+    new = spark.createDataFrame([(1, 0, True), (1, 1, True), (1, 2, False), (1, 3, True), (1, 4, False), (3, 0, False)], "doc_id long, page int, has_text boolean")
+    found = set(map(tuple, cp.align_pages(pairs, old, new).collect()))
+    assert found == {(1, 0, 1, "words"), (1, 3, 3, "words"), (1, 2, 2, "position"), (1, 1, None, "removed"), (1, 4, None, "removed"), (2, 0, None, "removed"), (1, None, 0, "added"), (1, None, 4, "added"), (3, None, 0, "added")}
+
+
 def test_reading_order_two_columns(spark):
     boxes = [(1, 0, 0, 0.0, 0.0, 100.0, 10.0), (1, 0, 1, 200.0, 0.0, 300.0, 10.0), (1, 0, 2, 0.0, 12.0, 100.0, 22.0), (1, 0, 3, 200.0, 12.0, 300.0, 22.0)]
     found = ly.reading_order(spark.createDataFrame(boxes, "doc_id long, page int, box int, x0 double, y0 double, x1 double, y1 double"))

@@ -172,6 +172,21 @@ def compare_page_pairs(spark: SparkSession, d: str) -> DataFrame:
     return cp.pair_pages(compare_page_votes(spark, d))
 
 
+@query("compare_page_alignment", "WITH " + dv.TOKENS_SQL + """, o AS (SELECT doc_id, key, min(page) AS old_page FROM tokens GROUP BY ALL HAVING min(page) = max(page)),
+n AS (SELECT doc_id, key, (min(page) + 1)::INT AS new_page FROM tokens WHERE pos % 5 <> 0 GROUP BY ALL HAVING min(page) = max(page)),
+pairs AS (SELECT DISTINCT doc_id, old_page, new_page FROM o JOIN n USING (doc_id, key)),
+pages AS (SELECT doc_id, page, regexp_matches(text, '[^ \\t-\\r]') AND doc_id % 4 <> 0 AS has_text FROM doc_pages),
+a AS (SELECT doc_id, page AS old_page, has_text FROM pages WHERE (doc_id, page) NOT IN (SELECT doc_id, old_page FROM pairs)),
+b AS (SELECT doc_id, (page + 1)::INT AS new_page, has_text FROM pages WHERE (doc_id, page + 1) NOT IN (SELECT doc_id, new_page FROM pairs))
+SELECT *, 'words' AS how FROM pairs UNION ALL
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, old_page, new_page, CASE WHEN new_page IS NULL THEN 'removed' WHEN old_page IS NULL THEN 'added' ELSE 'position' END
+FROM a FULL JOIN b ON a.doc_id = b.doc_id AND old_page = new_page AND NOT a.has_text AND NOT b.has_text""")
+def compare_page_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose new version has a page before the others. Words that one page alone holds lead to one page only, so each vote is a pair."""
+    pages = dv.doc_pages(table(spark, d, "documents")).select("doc_id", "page", (F.col("text").rlike(r"[^ \t-\r]") & (F.col("doc_id") % 4 != 0)).alias("has_text"))
+    return cp.align_pages(compare_page_pairs(spark, d), pages, pages.withColumn("page", F.col("page") + 1))
+
+
 @query("compare_coverage", "WITH " + dv.TOKENS_SQL + """, a AS (SELECT doc_id, key, count(*) AS a FROM tokens GROUP BY ALL), b AS (SELECT doc_id, key, count(*) AS b FROM tokens WHERE pos % 9 <> 4 GROUP BY ALL)
 SELECT doc_id, sum(a)::BIGINT AS n_source, sum(least(a, coalesce(b, 0)))::BIGINT AS n_covered FROM a LEFT JOIN b USING (doc_id, key) GROUP BY doc_id""")
 def compare_coverage(spark: SparkSession, d: str) -> DataFrame:
