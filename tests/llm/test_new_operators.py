@@ -206,6 +206,24 @@ def test_moved_passages_keep_their_anchors(spark):
     assert whole.select(fingerprints.likeness(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b")))).first()[0] > 0.9
 
 
+def test_all_closed_syncmers_are_anchors(spark):
+    """Any K - S + 1 k-mers in a row hold an anchor; a sketch of all of them compares all."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (8, 9, 10, 11, 12, 300, 1500)]
+    pairs = [(t, "A few words before " + t + " and behind") for t in texts]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    a, b = (fingerprints.fingerprint(F.col(c), None) for c in "ab")
+    reach = fingerprints.K - fingerprints.S + 1
+    for row in df.select("a", "b", a.alias("x"), b.alias("y"), fingerprints.likeness(a, b, None).alias("near"), fingerprints.likeness(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))).alias("sketched")).collect():
+        places = sorted(v & 0xFFFFFFFF for v in row["x"])
+        assert all(y - x <= reach for x, y in pairwise([-1, *places, len(row["a"]) - fingerprints.K + 1]))
+        sides = [{v >> 32: v & 0xFFFFFFFF for v in row[c]} for c in "xy"]
+        assert set(sides[0]) <= set(sides[1])
+        share = len(sides[0]) / len(sides[1])
+        assert row["near"] == pytest.approx(2 * share / (1 + share)) and abs(row["sketched"] - row["near"]) < 0.1
+
+
 def test_fingerprints_run_no_python(spark):
     plan = fingerprints.op13_fingerprints(spark, DATA)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval", plan)
