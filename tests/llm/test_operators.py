@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -281,6 +282,51 @@ def test_token_files(odd, none, sf, spark, library):
         start += len(ids)
 
 
+def test_a_look_at_few_words_does_not_go_through_the_table():
+    chunks = tokenfile.ChunkEncoder(bpe.vocabulary())
+    letters = np.frombuffer(b"abcdefghijklmnopqrst", np.uint8)
+    many = letters[np.arange(160_000)[:, None] // 20 ** np.arange(4) % 20].view("S4").ravel().astype(str).tolist()
+    chunks.encode(pa.array([" ".join(many)], pa.string()))
+    few = pa.array(["the of, And", None, "", " "], pa.string())
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: chunks.encode(few)) < least(lambda: chunks.words.dictionary_encode())
+
+
+def test_words_of_one_hash_are_told_apart(library, monkeypatch):
+    monkeypatch.setattr(tokenfile, "hashes", lambda words: np.full(len(words), (1 << 42) - 1, np.uint64))
+    chunks = tokenfile.ChunkEncoder(bpe.vocabulary())
+    texts = ["The cat, the hat", "été über straße", "the <|endoftext|> dog 12", "", "hat!! the Été"]
+    for _ in range(3):
+        found = [np.frombuffer(x, "<u2").tolist() for x in chunks.encode(pa.array(texts, pa.string()))]
+        assert found == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_texts_without_words():
+    chunks = tokenfile.ChunkEncoder(bpe.vocabulary())
+    for texts in (["", " ", None], [None], []):
+        assert chunks.encode(pa.array(texts, pa.string())) == [b""] * len(texts)
+
+
+def test_coder_holds_rows_of_seen_contexts_only():
+    model = coder.Model(64)
+    for ids in np.random.default_rng(6).integers(0, 300, (17, 64)):
+        model.learn(ids, model.place(ids)[2])
+    assert sum(a.nbytes for a in vars(model).values() if isinstance(a, np.ndarray)) < 1 << 23
+
+
+@pytest.mark.parametrize("ids", [[65535, 5] * 4000, [65535, 65534, 65535] * 3000, list(range(65536)) * 3])
+def test_coder_round_trip_of_the_last_id(ids):
+    assert coder.decode(coder.encode(np.array(ids, np.int64))).tolist() == ids
+
+
 def test_token_files_of_nothing(none, sf, spark):
     assert tokenfile.op3_tokenfile(spark, sf(documents=none)).count() == 0
 

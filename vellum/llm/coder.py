@@ -36,10 +36,12 @@ SHARE = 12
 LEVELS = 6
 #: What the listed orders can have of 1 << 16 at most.
 MOST_LISTED = 65000
-BEYOND = 1 << 17
-U16, U24, U32 = np.uint64(16), np.uint64(24), np.uint64(32)
-LOW = np.uint64((1 << 32) - 1)
-FLOOR = np.uint64(1 << 32)
+#: Rows of the tables are padded to so many places of 16 bits; NONE fills the places that list nothing.
+PLACES = 16
+NONE = (1 << 16) - 1
+#: The range coder's digits and the least range before one is put out.
+LOW = (1 << 32) - 1
+FLOOR = 1 << 32
 
 
 def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,71 +61,101 @@ class Order:
         if not len(codes):
             return
         new, n = counted(np.sort(codes))
-        both = np.sort(np.concatenate([self.codes.astype(np.uint64) << U32 | self.counts.astype(np.uint64), new.astype(np.uint64) << U32 | n.astype(np.uint64)]))
-        code, n = (both >> U32).astype(np.uint32), (both & LOW).astype(np.int64)
+        both = np.sort(np.concatenate([self.codes.astype(np.int64) << 31 | self.counts, new.astype(np.int64) << 31 | n]))
+        code = both >> 31
         first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        self.codes, self.counts = code[first], np.add.reduceat(n, first)
+        self.codes, self.counts = code[first].astype(np.uint32), np.add.reduceat(both & (1 << 31) - 1, first)
 
     def listed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The contexts, the ids most often seen after each (-1: none), their shares, and a level of confidence from 1."""
+        """The contexts, the ids most often seen after each (-1: none; a column a context), their shares, and a level of confidence from 1."""
         if not len(self.codes):
-            return np.zeros(0, np.int64), np.zeros((0, self.most), np.int32), np.zeros((0, self.most), np.int32), np.zeros(0, np.int32)
-        rare = np.uint64((1 << 24) - 1) - np.minimum(self.counts, (1 << 24) - 1).astype(np.uint64)
-        order = np.sort((self.codes >> np.uint32(16)).astype(np.uint64) << np.uint64(40) | rare << U16 | (self.codes & np.uint32(0xFFFF)).astype(np.uint64))
-        context, ids = (order >> np.uint64(40)).astype(np.int64), (order & np.uint64(0xFFFF)).astype(np.int32)
-        n = ((1 << 24) - 1) - (order >> U16 & np.uint64((1 << 24) - 1)).astype(np.int64)
-        own, size = counted(context)
+            return np.zeros(0, np.int64), np.zeros((self.most, 0), np.int32), np.zeros((self.most, 0), np.int32), np.zeros(0, np.int32)
+        own, size = counted(self.codes >> np.uint32(16))
         start = np.cumsum(size) - size
-        place = np.arange(len(context)) - np.repeat(start, size)
-        top = place < self.most
-        row, place = np.repeat(np.arange(len(own)), size)[top], place[top]
-        best, seen = np.full((len(own), self.most), -1, np.int32), np.zeros((len(own), self.most), np.int64)
-        best[row, place], seen[row, place] = ids[top], n[top]
-        sums = seen.sum(1)
+        rare = (1 << 24) - 1 - np.minimum(self.counts, (1 << 24) - 1)
+        order = np.sort((self.codes >> np.uint32(16)).astype(np.int64) << 40 | rare << 16 | (self.codes & np.uint32(0xFFFF)))
+        best, seen = np.full((self.most, len(own)), -1, np.int32), np.zeros((self.most, len(own)), np.int64)
+        for k in range(self.most):
+            with_k = np.flatnonzero(size > k)
+            found = order.take(start[with_k] + k)
+            best[k, with_k], seen[k, with_k] = found & 0xFFFF, (1 << 24) - 1 - (found >> 16 & (1 << 24) - 1)
+        sums = seen.sum(0)
         # how far the list can be trusted: its share of all that followed, less what a short history leaves open
-        open_ended = np.add.reduceat(n, start) + np.minimum(size, self.most) + 1
+        open_ended = np.add.reduceat(np.minimum(self.counts, (1 << 24) - 1), start) + np.minimum(size, self.most) + 1
         level = 1 + np.minimum(sums * (LEVELS - 1) // open_ended, LEVELS - 2)
-        return own, best, ((seen << SHARE) // sums[:, None]).astype(np.int32), level.astype(np.int32)
+        return own.astype(np.int64), best, floor_div(seen << SHARE, sums).astype(np.int32), level.astype(np.int32)
+
+
+def floor_div(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b of whole numbers from 0 to below 2^53: the quotient in double precision never rounds up to the next one."""
+    return (a / b).astype(np.int64)
 
 
 def slot_of(pair: np.ndarray) -> np.ndarray:
-    """The slot of a pair of ids (before << 16 | last)."""
-    return (pair >> 16) * 40503 + (pair & 0xFFFF) * 2654435761 >> 9 & 0xFFFF
+    """The slot of a pair of ids (before << 16 | last, unsigned 32-bit)."""
+    return (pair >> np.uint32(16)) * np.uint32(40503) + (pair & np.uint32(0xFFFF)) * np.uint32(2654435761) >> np.uint32(9) & np.uint32(0xFFFF)
+
+
+def count_true(found: np.ndarray) -> np.ndarray:
+    """How many of each row's PLACES flags are set: the bytes of whole words are added up."""
+    words = found.view(np.uint64)
+    return (((words[:, 0] + words[:, 1]) * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+
+
+def place_true(found: np.ndarray) -> np.ndarray:
+    """The place of the one flag that is set in each row of PLACES, from 1; 0 if none is: bytes times their places."""
+    words = found.view(np.uint64)
+    return (words[:, 0] * np.uint64(0x0102030405060708) + words[:, 1] * np.uint64(0x090A0B0C0D0E0F10) >> np.uint64(56)).astype(np.int64)
+
+
+def table(columns: np.ndarray, filler: int) -> np.ndarray:
+    """Columns as rows of PLACES values."""
+    rows = np.full((columns.shape[1], PLACES), filler, np.uint16)
+    rows[:, : len(columns)] = columns.T
+    return rows
 
 
 class Model:
     """The shared predictions; ids of a step come as one array, a lane each.
 
-    Rows 0 to 65,535 of the tables are slots of order 2, the others contexts of order 1 where order 2 knows nothing.
+    The tables have a row for each context that was seen, slots of order 2 and ids of order 1 where order 2 knows nothing;
+    row 0 is for all others.
     """
 
     def __init__(self, lanes: int):
         self.one, self.two = Order(ONE_MOST), Order(TWO_MOST)
-        self.last, self.pair = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.last, self.pair = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint32)
         self.counts = np.zeros(1 << 16, np.int64)
         self.came = np.tile(np.array([256, 256, 512], np.int64), (LEVELS * LEVELS, 1))
-        self.owner = np.full(1 << 16, -1, np.int64)
+        # a free slot holds a pair of another slot
+        every = np.arange(1 << 16, dtype=np.uint32)
+        self.held = (every == slot_of(np.zeros(1, np.uint32))).astype(np.uint32)
         self.step = 0
         self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
         self.coded: list[np.ndarray] = []
-        rows = 2 << 16
-        self.ids, self.ends = np.full((rows, LISTED), -1, np.int32), np.zeros((rows, LISTED), np.int32)
-        self.width = np.zeros((rows, LISTED), np.int32)
-        # order 0's stretches of the listed ids, sorted, and a last one beyond all: where they start, where they would with
-        # those before left out, and how much lies before
-        self.first, self.shut = np.full((rows, LISTED + 1), BEYOND, np.int32), np.full((rows, LISTED + 1), BEYOND, np.int32)
-        self.before = np.zeros((rows, LISTED + 1), np.int32)
-        self.part2, self.part1 = np.zeros((rows, LISTED), np.int16), np.zeros((rows, LISTED), np.int16)
-        self.base, self.rest, self.cell = np.zeros(rows, np.int64), np.full(rows, 1 << 16, np.int64), np.zeros(rows, np.int32)
+        #: The rows of slots, then of contexts of order 1.
+        self.rows = np.zeros(2 << 16, np.int32)
         self.frequencies()
+        self.tabulate()
+
+    @property
+    def owner(self) -> np.ndarray:
+        """The pair of each slot, -1 if it is free."""
+        return np.where(slot_of(self.held) == np.arange(1 << 16), self.held.astype(np.int64), -1)
+
+    @property
+    def cell(self) -> np.ndarray:
+        """The pair of confidences of each slot, then of each context of order 1."""
+        return self.cells.take(self.rows)
 
     def frequencies(self) -> None:
         """Order 0: frequencies that sum to 65,536, each id's start, and the id of each place (65,536: escape)."""
         seen = np.flatnonzero(self.counts)
-        self.freq, self.start = np.zeros((1 << 16) + 1, np.int64), np.zeros((1 << 16) + 1, np.int64)
+        self.freq, self.start = np.zeros((1 << 16) + 1, np.int32), np.zeros((1 << 16) + 1, np.int32)
         if not len(seen):
-            self.places = np.full(1 << 16, 1 << 16)
+            self.places = np.full(1 << 16, 1 << 16, np.int32)
             self.freq[-1] = 1 << 16
+            self.stretch = self.start.astype(np.int64) << 17 | self.freq
             return
         # with very many different ids the rarest go without and are escaped
         if len(seen) > 1 << 15:
@@ -134,128 +166,171 @@ class Model:
         self.freq[seen] = f
         ends = np.cumsum(f)
         self.start[seen] = ends - f
-        self.places = np.concatenate([np.repeat(seen, f), np.full(ESCAPE, 1 << 16)])
+        self.places = np.concatenate([np.repeat(seen, f), np.full(ESCAPE, 1 << 16)]).astype(np.int32)
         self.start[-1], self.freq[-1] = ends[-1], ESCAPE
+        self.stretch = self.start.astype(np.int64) << 17 | self.freq
+
+    def weigh(self) -> None:
+        """Counts the orders' parts of what was coded since the last time for its confidences."""
+        coded = np.concatenate(self.coded)
+        missed = coded < 0
+        times = np.bincount(coded[~missed], minlength=self.ids.size)
+        hit = np.flatnonzero(times)
+        times, cells = times[hit], self.cells.take(hit // PLACES)
+        some = self.ends.ravel().take(hit + 1) - self.ends.ravel().take(hit)
+        parts = [floor_div(p[hit % PLACES, hit // PLACES].astype(np.int64) << 8, some) for p in (self.p2, self.p1)]
+        sums = [np.bincount(cells, times * w, len(self.came)).astype(np.int64) for w in (*parts, 256 - parts[0] - parts[1])]  # below 2^53: exact
+        sums[2] += 256 * np.bincount(self.cells, np.bincount(~coded[missed], minlength=len(self.cells)), len(self.came)).astype(np.int64)
+        self.came += np.stack(sums, 1)
 
     def refresh(self) -> None:
         """Learns from all that was coded since the last time, and tabulates the mix of every context."""
         if not self.fresh:
             return
-        coded = np.concatenate(self.coded)
-        hit = coded[coded >= 0]
-        cells = self.cell.take(np.where(coded >= 0, coded // LISTED, ~coded))
-        parts = np.zeros((2, len(coded)), np.int64)
-        parts[:, coded >= 0] = self.part2.ravel().take(hit), self.part1.ravel().take(hit)
-        for k, w in enumerate((*parts, 256 - parts[0] - parts[1])):
-            self.came[:, k] += np.bincount(cells, w, len(self.came)).astype(np.int64)  # sums below 2^53: exact
+        self.weigh()
         pair, ids = (np.concatenate(x) for x in zip(*self.fresh, strict=True))
         self.fresh.clear()
         self.coded.clear()
         self.counts += np.bincount(ids, minlength=1 << 16)
         self.frequencies()
-        self.one.add(((pair & 0xFFFF) << 16 | ids).astype(np.uint32))
+        ids = ids.astype(np.uint32)
+        self.one.add(pair << np.uint32(16) | ids)
         # free slots go to the most frequent pairs, for good
         often = np.flatnonzero(self.one.counts > 1)
-        wish = self.one.codes[often].astype(np.int64)
+        wish = self.one.codes[often]
         slots = slot_of(wish)
         free = np.flatnonzero(self.owner[slots] < 0)
         free = free[np.argsort(self.one.counts[often[free]], kind="stable")]
-        self.owner[slots[free]] = wish[free]  # of equal slots the last one stays
+        self.held[slots[free]] = wish[free]  # of equal slots the last one stays
         slots = slot_of(pair)
-        known = self.owner[slots] == pair
-        self.two.add((slots[known] << 16 | ids[known]).astype(np.uint32))
+        known = np.flatnonzero(self.held.take(slots) == pair)
+        self.two.add(slots.take(known) << np.uint32(16) | ids.take(known))
         self.tabulate()
 
     def tabulate(self) -> None:
         own1, ids1, share1, level1 = self.one.listed()
         own2, ids2, share2, level2 = self.two.listed()
+        n1, n2 = len(own1), len(own2)
         weights = self.came[:, :2] * MOST_LISTED // self.came.sum(1, keepdims=True)
         weights[:LEVELS, 0] = 0  # no list
         weights[::LEVELS, 1] = 0
-        row_of = np.searchsorted(own1, self.owner[own2] & 0xFFFF)  # an owner's last id has been a context
-        none = np.full((len(own1), TWO_MOST), -1, np.int32)
-        a_ids, a_share = np.concatenate([ids2, none]), np.concatenate([share2, np.zeros_like(none)])
-        b_row = np.concatenate([row_of, np.arange(len(own1))])
-        b_ids, b_share = ids1[b_row], share1[b_row]
-        cell = np.concatenate([level2, np.zeros(len(own1), np.int32)]) * LEVELS + level1[b_row]
-        at = np.concatenate([own2, own1 + (1 << 16)])
+        place = np.zeros(1 << 16, np.int64)
+        place[own1] = np.arange(n1)
+        b_row = np.concatenate([place[self.held[own2] & np.uint32(0xFFFF)], np.arange(n1)])  # an owner's last id has been a context
+        # a column a row of the tables; the first is that of unknown contexts
+        ids, share = np.full((LISTED, 1 + n2 + n1), -1, np.int32), np.zeros((LISTED, 1 + n2 + n1), np.int32)
+        ids[:TWO_MOST, 1 : n2 + 1], share[:TWO_MOST, 1 : n2 + 1] = ids2, share2
+        ids[TWO_MOST:, 1:], share[TWO_MOST:, 1:] = ids1.take(b_row, 1), share1.take(b_row, 1)
+        cells = np.zeros(1 + n2 + n1, np.int32)
+        cells[1:] = level1[b_row]
+        cells[1 : n2 + 1] += level2 * LEVELS
         # order 1's shares of what order 2 lists too
-        both = np.zeros_like(a_share)
+        both = np.zeros((TWO_MOST, n2), np.int32)
+        b_ids, b_share = ids[TWO_MOST:, 1 : n2 + 1], share[TWO_MOST:, 1 : n2 + 1]
         for k in range(TWO_MOST):
-            same = (a_ids[: len(own2), k, None] == b_ids[: len(own2)]) & (b_ids[: len(own2)] >= 0)
-            both[: len(own2), k] = (same * b_share[: len(own2)]).sum(1)
-            b_ids[: len(own2)][same] = -1
-            b_share[: len(own2)][same] = 0
-        ids = np.concatenate([a_ids, b_ids], 1)
-        a2, a1 = weights[cell, 0, None], weights[cell, 1, None]
-        p2 = np.zeros(ids.shape, np.int64)
-        p2[:, :TWO_MOST] = a2 * a_share >> SHARE - 8
-        p1 = a1 * np.concatenate([both, b_share], 1) >> SHARE - 8
+            same = (b_ids == ids2[k]) & (b_ids >= 0)
+            both[k] = (same * b_share).sum(0, dtype=np.int32)
+            b_ids[same] = -1
+            b_share[same] = 0
+        a2, a1 = weights.astype(np.int32).take(cells, 0).T
+        p2, p1 = np.zeros_like(share), a1 * share >> SHARE - 8
+        p2[:TWO_MOST] = a2 * share[:TWO_MOST] >> SHARE - 8
+        p1[:TWO_MOST] = 0
+        p1[:TWO_MOST, 1 : n2 + 1] = a1[1 : n2 + 1] * both >> SHARE - 8
         listed = ids >= 0
-        f = self.freq.take(np.where(listed, ids, 0)) * listed
-        width = np.maximum(p2 + p1 + ((65536 - a2 - a1) * f >> 8), 1) * listed
-        self.ids[at], self.ends[at], self.width[at] = ids, np.cumsum(width, 1), width
-        stretch = np.sort(np.where(f > 0, self.start.take(np.maximum(ids, 0)), BEYOND) << 17 | f, 1)
-        first, before = stretch >> 17, np.cumsum(stretch & (1 << 17) - 1, 1)
-        self.first[at, :LISTED], self.before[at, 1:] = first, before
-        self.shut[at, :LISTED] = np.where(first < BEYOND, first - before + (stretch & (1 << 17) - 1), BEYOND)
-        some = np.maximum(width, 1)
-        self.part2[at], self.part1[at] = (p2 << 8) // some, (p1 << 8) // some
-        self.base[at], self.rest[at], self.cell[at] = width.sum(1), (1 << 16) - f.sum(1), cell
+        f = self.freq.take(np.maximum(ids, 0)) * listed
+        plain = ((65536 - a2 - a1).astype(np.uint32) * f.astype(np.uint32) >> np.uint32(8)).astype(np.int32)
+        width = np.maximum(p2 + p1 + plain, 1) * listed
+        # order 0's stretches of the listed ids, sorted: where they start, where they would with those before left out, and how
+        # much lies before, in the end before all others
+        stretch = np.where(f > 0, self.stretch.take(np.maximum(ids, 0)), NONE << 17)
+        stretch = np.sort(np.ascontiguousarray(stretch.T), 1).T
+        first, f = (stretch >> 17).astype(np.int32), (stretch & (1 << 17) - 1).astype(np.int32)
+        before, ends = np.zeros((LISTED + 1, 1 + n2 + n1), np.int32), np.zeros((PLACES, 1 + n2 + n1), np.int32)
+        np.cumsum(f, 0, out=before[1:])
+        np.cumsum(width, 0, out=ends[1 : LISTED + 1])
+        ends[LISTED + 1 :] = ends[LISTED]
+        self.ids, self.first = table(np.where(listed, ids, NONE), NONE), table(first, NONE)
+        self.shut = table(np.where(first < NONE, first - before[:-1], NONE), NONE)
+        self.before = table(before, 0)
+        #: Where the listed ids start and, in the next place, end; ends >> 8 for a first look; base << 17 | rest of what they leave.
+        self.ends = np.ascontiguousarray(ends.T)
+        self.near = table(ends[1 : LISTED + 1] >> 8, NONE)
+        self.left = ends[-1].astype(np.int64) << 17 | (1 << 16) - before[-1]
+        self.p2, self.p1, self.cells = p2, p1, cells
+        self.rows[own2], self.rows[own1 + (1 << 16)] = np.arange(1, n2 + 1), np.arange(n2 + 1, n2 + n1 + 1)
 
     def expect(self) -> None:
         """The row of each lane's context."""
-        slots = slot_of(self.pair)
-        self.row = np.where(self.owner.take(slots) == self.pair, slots, self.last + (1 << 16))
+        slots = slot_of(self.pair.astype(np.uint32, copy=False)).astype(np.int64)
+        self.row = self.rows.take(np.where(self.held.take(slots) == self.pair, slots, self.last + (1 << 16))).astype(np.int64)
 
     def learn(self, ids: np.ndarray, coded: np.ndarray) -> None:
         """coded: the place in the tables that gave an id, or the complement of its row where it was not listed."""
         self.coded.append(coded)
         self.fresh.append((self.pair, ids))
-        self.pair = self.last << 16 | ids
+        self.pair = (self.last << 16 | ids).astype(np.uint32)
         self.last = ids
         self.step += 1
         if self.step in FIRST or not self.step % REFRESH:
             self.refresh()
 
-    def unlisted(self, row: np.ndarray, at: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def unlisted(self, left: np.ndarray, at: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of order 0's stretch of freq from at on, of what the listed ids leave."""
-        base, rest = self.base.take(row), self.rest.take(row)
-        wide = (1 << 24) - base
-        lo = at * wide // rest
-        return base + lo, (at + freq) * wide // rest - lo
+        base, rest = left >> 17, (left & (1 << 17) - 1).astype(np.float64)
+        wide = ((1 << 24) - base).astype(np.float64)
+        lo = (at * wide / rest).astype(np.int64)  # as floor_div()
+        return base + lo, ((at + freq) * wide / rest).astype(np.int64) - lo
 
     def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start and width of ids, their places for learn(), and the lanes whose id follows an escape."""
         self.expect()
-        lists = self.ids.take(self.row, 0)
-        coded = self.row * LISTED + (lists == ids.astype(np.int32)[:, None]).argmax(1)
-        width = self.width.ravel().take(coded).astype(np.int64)
-        start = self.ends.ravel().take(coded) - width
-        miss = np.flatnonzero(self.ids.ravel().take(coded) != ids)
-        row = self.row[miss]
-        sym = np.where(self.freq.take(ids[miss]) > 0, ids[miss], 1 << 16)
-        at = self.start.take(sym)
-        before = self.before.ravel().take(row * (LISTED + 1) + (self.first.take(row, 0) >= at.astype(np.int32)[:, None]).argmax(1))
-        start[miss], width[miss] = self.unlisted(row, at - before, self.freq.take(sym))
-        coded[miss] = ~row
-        return start, width, coded, miss[sym == 1 << 16]
+        found = self.ids.take(self.row, 0) == ids.astype(np.uint16)[:, None]
+        if (ids == NONE).any():  # what fills a row looks like this id, but has no width
+            found &= np.diff(self.ends.take(self.row, 0), append=0) > 0
+        places = place_true(found)  # a row lists an id once
+        lane = np.flatnonzero(places)
+        hit = self.row.take(lane) * PLACES + places.take(lane) - 1
+        begin = self.ends.ravel().take(hit)
+        start, width, coded = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64), ~self.row
+        coded[lane] = hit
+        width[lane], start[lane] = self.ends.ravel().take(hit + 1) - begin, begin
+        miss = np.flatnonzero(coded < 0)
+        row, sym = self.row.take(miss), ids.take(miss)
+        stretch = self.stretch.take(sym)
+        unseen = np.flatnonzero(stretch & (1 << 17) - 1 == 0)
+        stretch[unseen] = self.stretch[-1]
+        at = stretch >> 17
+        before = self.before.ravel().take(row * PLACES + count_true(self.first.take(row, 0) < at.astype(np.uint16)[:, None]))
+        start[miss], width[miss] = self.unlisted(self.left.take(row), at - before, stretch & (1 << 17) - 1)
+        return start, width, coded, miss[unseen]
 
     def symbols(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """place() the other way: ids (65,536: escape), start, width and places from the slots of 1 << 24 that were coded."""
-        coded = self.row * LISTED + (self.ends.take(self.row, 0) > slot.astype(np.int32)[:, None]).argmax(1)
-        ids = self.ids.ravel().take(coded).astype(np.int64)
-        width = self.width.ravel().take(coded).astype(np.int64)
-        start = self.ends.ravel().take(coded) - width
-        miss = np.flatnonzero(slot >= self.base.take(self.row))
-        row = self.row[miss]
-        base, rest = self.base.take(row), self.rest.take(row)
-        at = ((slot[miss] - base + 1) * rest - 1) // ((1 << 24) - base)
-        before = self.before.ravel().take(row * (LISTED + 1) + (self.shut.take(row, 0) > at.astype(np.int32)[:, None]).argmax(1))
+        start, width = np.empty(len(slot), np.int64), np.empty(len(slot), np.int64)
+        ids, coded = np.empty(len(slot), np.int64), ~self.row
+        left = self.left.take(self.row)
+        listed = slot < left >> 17
+        lane, miss = np.flatnonzero(listed), np.flatnonzero(~listed)
+        row, own = self.row.take(lane), slot.take(lane)
+        hit = row * PLACES + count_true(self.near.take(row, 0) < (own >> 8).astype(np.uint16)[:, None])
+        end = self.ends.ravel().take(hit + 1)
+        late = np.flatnonzero(end <= own)
+        while len(late):  # ends that differ in the last 8 bits only
+            hit[late] += 1
+            end[late] = again = self.ends.ravel().take(hit.take(late) + 1)
+            late = late[again <= own.take(late)]
+        begin = self.ends.ravel().take(hit)
+        coded[lane], ids[lane] = hit, self.ids.ravel().take(hit)
+        width[lane], start[lane] = end - begin, begin
+        row, left = self.row.take(miss), left.take(miss)
+        base, rest = left >> 17, (left & (1 << 17) - 1).astype(np.float64)
+        at = (((slot.take(miss) - base + 1) * rest - 1) / ((1 << 24) - base)).astype(np.int64)  # as floor_div()
+        before = self.before.ravel().take(row * PLACES + count_true(self.shut.take(row, 0) <= np.minimum(at, NONE - 1).astype(np.uint16)[:, None]))
         sym = self.places.take(at + before)
         ids[miss] = sym
-        start[miss], width[miss] = self.unlisted(row, self.start.take(sym) - before, self.freq.take(sym))
-        coded[miss] = ~row
+        stretch = self.stretch.take(sym)
+        start[miss], width[miss] = self.unlisted(left, (stretch >> 17) - before, stretch & (1 << 17) - 1)
         return ids, start, width, coded
 
 
@@ -270,7 +345,7 @@ def encode(ids: np.ndarray) -> bytes:
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Model(lanes)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48)
     at_out: list[np.ndarray] = []
     words: list[np.ndarray] = []
 
@@ -279,28 +354,28 @@ def encode(ids: np.ndarray) -> bytes:
         while len(at):
             lo = low.take(at)
             at_out.append(at.astype(np.uint16))
-            words.append((lo >> U32).astype(np.uint32))
-            low[at] = (lo & LOW) << U16
-            wide = rng.take(at) << U16
+            words.append((lo >> 32).astype(np.uint32))
+            low[at] = (lo & LOW) << 16
+            wide = rng.take(at) << 16
             rng[at] = wide
             at = at[wide < FLOOR]
 
     for row in grid:
         start, width, coded, raw = model.place(row)
-        r = rng >> U24
-        low += start.astype(np.uint64) * r
-        rng = r * width.astype(np.uint64)
+        r = rng >> 24
+        low += start * r
+        rng = r * width
         shift(np.flatnonzero(rng < FLOOR))
         if len(raw):
-            r = rng[raw] >> U16
-            low[raw] += row[raw].astype(np.uint64) * r
+            r = rng[raw] >> 16
+            low[raw] += row[raw] * r
             rng[raw] = r
             shift(raw[r < FLOOR])
         model.learn(row, coded)
     for _ in range(3):
         at_out.append(np.arange(lanes, dtype=np.uint16))
-        words.append((low >> U32).astype(np.uint32))
-        low = (low & LOW) << U16
+        words.append((low >> 32).astype(np.uint32))
+        low = (low & LOW) << 16
     lane = np.concatenate(at_out)
     data = np.concatenate(words)[np.argsort(lane, kind="stable")]
     sizes = np.bincount(lane, minlength=lanes)
@@ -315,39 +390,39 @@ def decode(raw: bytes) -> np.ndarray:
     """The ids of a block; a wrong checksum raises ValueError."""
     n, lanes, crc, total = np.frombuffer(raw, "<i8", 4).tolist()
     sizes = np.frombuffer(raw, "<u4", lanes, 32).astype(np.int64)
-    data = np.concatenate([np.frombuffer(raw, "<u2", total, 32 + 4 * lanes), np.zeros(8, np.uint16)]).astype(np.uint64)
+    data = np.concatenate([np.frombuffer(raw, "<u2", total, 32 + 4 * lanes), np.zeros(8, np.uint16)])
     steps = -(-n // lanes)
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.uint16)
     model = Model(lanes)
-    rng = np.full(lanes, 1 << 48, np.uint64)
+    rng = np.full(lanes, 1 << 48)
     at = np.cumsum(sizes) - sizes
-    code = np.zeros(lanes, np.uint64)
+    code = np.zeros(lanes, np.int64)
     for _ in range(3):
-        code = code << U16 | data.take(at)
+        code = code << 16 | data.take(at)
         at += 1
 
     def shift(where: np.ndarray) -> None:
         while len(where):
             own = at.take(where)
-            code[where] = code.take(where) << U16 | data.take(own, mode="clip")
+            code[where] = code.take(where) << 16 | data.take(own, mode="clip")
             at[where] = own + 1
-            wide = rng.take(where) << U16
+            wide = rng.take(where) << 16
             rng[where] = wide
             where = where[wide < FLOOR]
 
     for t in range(steps):
         model.expect()
-        r = rng >> U24
-        slot = np.minimum((code / r).astype(np.int64), (1 << 24) - 1)  # both are below 2^48, r below 2^24: the quotient is exact
+        r = rng >> 24
+        slot = np.minimum((code / r).astype(np.int64), (1 << 24) - 1)  # as floor_div()
         row, start, width, coded = model.symbols(slot)
-        code -= start.astype(np.uint64) * r
-        rng = r * width.astype(np.uint64)
+        code -= start * r
+        rng = r * width
         shift(np.flatnonzero(rng < FLOOR))
         escaped = np.flatnonzero(row == 1 << 16)
         if len(escaped):
-            r = rng[escaped] >> U16
-            row[escaped] = np.minimum(code[escaped] // np.maximum(r, np.uint64(1)), 65535)
-            code[escaped] -= row[escaped].astype(np.uint64) * r
+            r = rng[escaped] >> 16
+            row[escaped] = np.minimum(code[escaped] // np.maximum(r, 1), 65535)
+            code[escaped] -= row[escaped] * r
             rng[escaped] = r
             shift(escaped[r < FLOOR])
         grid[t] = row

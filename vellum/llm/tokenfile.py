@@ -7,7 +7,8 @@ folder that all executors share and are opened by its URI; a file's name holds a
 only files of tasks that committed.
 
 Texts are split at white space, where this tokenizer's words end, and the tokenizers library encodes each distinct
-word; the words and their ids are kept in arrays, ``CACHED_WORDS`` at most per Python worker. Texts that hold a special token's string, or a control
+word, lower-case letters by its model alone; the words and their ids are kept in arrays, ``CACHED_WORDS`` at most per
+Python worker, found by the sorted hashes of the words and compared. Texts that hold a special token's string, or a control
 character that Arrow would split at, are given to the library whole.
 
 Defined results. Null or empty text: only the end id. Null doc_id: before all others. Equal doc_ids: by text. No rows:
@@ -16,6 +17,7 @@ no files. Extra columns are dropped. Texts of any length are one document in one
 
 from __future__ import annotations
 
+import array
 import functools
 import os
 import re
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import coder
-from .bpe import vocabulary
+from .bpe import byte_letters, vocabulary
 from .common import cut, shared_dir, slices, table
 
 END_ID = 2
@@ -44,8 +46,9 @@ SIGNS = ".,;:!?*$%#&|"
 #: Letters that lower-case one by one and that no letter joins with: ASCII and Latin-1.
 SMALL_LETTERS = "a-zß-öø-ÿ"
 PLAIN_LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªµº")
-#: Words are given to the library in texts of so many; much longer texts take it more time a word.
-WORDS_A_TEXT = 500
+#: A key of the table of words is a hash and, in its low bits, the word's place.
+PLACE_BITS = 22
+MULTIPLIER = 0x9E3779B97F4A7C15
 MAGIC = b"IDBLOCK1"
 FILES = "part int, file string, n_docs long, n_tokens long, n_bytes long"
 
@@ -57,6 +60,23 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
     return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)], ends
 
 
+def hashes(words: pa.Array) -> np.ndarray:
+    """A hash of 64 - PLACE_BITS bits of each string: its bytes as digits of a number."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    sizes = np.diff(ends)
+    powers = np.full(int(sizes.max(initial=0)) + 1, MULTIPLIER, np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    total = int(ends[-1] - ends[0])
+    place = np.arange(total) - np.repeat(ends[:-1] - ends[0], sizes)
+    sums = np.zeros(total + 1, np.uint64)
+    if total:
+        np.cumsum((np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] + np.uint64(1)) * powers[place], out=sums[1:])
+    mixed = (sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]]) * np.uint64(MULTIPLIER)
+    return (mixed ^ mixed >> np.uint64(32)) * np.uint64(MULTIPLIER) >> np.uint64(PLACE_BITS)
+
+
 class ChunkEncoder:
     """The tokenizers library behind a table of words and their ids, held in arrays."""
 
@@ -68,48 +88,73 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.ends_word = np.zeros(1 << 16, bool)
-        for token, i in self.library.get_vocab().items():
-            self.ends_word[i] = token.endswith("</w>")
+        # small letters beyond ASCII, spelled by signs that are none of them
+        self.spelled = {c: "".join(byte_letters()[x] for x in c.encode()) for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
         self.forget()
 
     def forget(self) -> None:
-        self.words = pa.array([], pa.string())
-        self.ids, self.sizes = np.zeros(0, np.uint16), np.zeros(0, np.int64)
-
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint16) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their numbers of words of lower-case letters, many in one text: each ends with the next id that ends a word."""
-        texts = [" ".join(words[k : k + WORDS_A_TEXT]) for k in range(0, len(words), WORDS_A_TEXT)]
-        ids = np.concatenate(self.whole(texts))
-        sizes = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
-        if len(sizes) != len(words):
-            raise ValueError("the tokenizer splits words of letters")
+        self.words, self.keys = pa.array([], pa.string()), np.zeros(0, np.uint64)
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters(self, words: list[str]) -> tuple[array.array, array.array]:
+        """Ids, one after another, and their numbers of words of lower-case letters: one word each to the tokenizer, so its model gets them, spelled in bytes."""
+        ids, sizes = array.array("H"), array.array("q")
+        text = "\n".join(words)
+        if not text.isascii():
+            for c, spelled in self.spelled.items():
+                text = text.replace(c, spelled)
+        tokenize = self.library.model.tokenize
+        for word in text.split("\n") if words else ():
+            found = tokenize(word)
+            sizes.append(len(found))
+            ids.extend([t.id for t in found])
         return ids, sizes
 
-    def learn(self, words: pa.Array) -> None:
-        """Adds distinct words to the table."""
-        plain = pc.match_substring_regex(words, f"^[{SMALL_LETTERS}]+$")
-        for some, many in ((words.filter(plain), True), (words.filter(pc.invert(plain)), False)):
-            if len(some):
-                if many:
-                    ids, sizes = self.letters(some.to_pylist())
-                else:
-                    found = self.whole(some.to_pylist())
-                    ids, sizes = np.concatenate(found), np.array([len(x) for x in found])
-                self.words = pa.concat_arrays([self.words, some])
-                self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Adds words to the table; their places."""
+        distinct = words.dictionary_encode()
+        new = distinct.dictionary
+        plain = pc.match_substring_regex(new, f"^[{SMALL_LETTERS}]+$").to_numpy(zero_copy_only=False)
+        order = np.argsort(~plain, kind="stable")
+        new, n = new.take(pa.array(order)), int(plain.sum())
+        strings = new.to_numpy(zero_copy_only=False).tolist()
+        ids, sizes = self.letters(strings[:n])
+        for found in self.whole(strings[n:]):
+            sizes.append(len(found))
+            ids.extend(found)
+        sizes = np.array(sizes, np.int64)
+        at = len(self.words) + np.arange(len(new))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids = np.concatenate([self.ids, np.array(ids, np.uint16)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.words = pa.concat_arrays([self.words, new])
+        self.keys = np.sort(np.concatenate([self.keys, hashes(new) << np.uint64(PLACE_BITS) | at.astype(np.uint64)]))
+        back = np.empty(len(new), np.int64)
+        back[order] = at
+        return back[distinct.indices.to_numpy()]
 
     def numbers(self, words: pa.Array) -> np.ndarray:
-        """The places of words in the table; unknown ones are learned."""
-        distinct = words.dictionary_encode()
-        at = pc.index_in(distinct.dictionary, value_set=self.words)
-        if at.null_count:
-            self.learn(distinct.dictionary.filter(pc.is_null(at)))
-            at = pc.index_in(distinct.dictionary, value_set=self.words)
-        return at.to_numpy()[distinct.indices.to_numpy()]
+        """The places of words in the table; unknown ones are learned. A word whose hash is another's is learned each time."""
+        if not len(words):
+            return np.zeros(0, np.int64)
+        if not len(self.keys):
+            return self.learn(words)
+        own = hashes(words)
+        order = np.argsort(own)
+        near = np.empty(len(words), np.int64)
+        near[order] = np.searchsorted(self.keys, own[order] << np.uint64(PLACE_BITS))
+        key = self.keys[np.minimum(near, len(self.keys) - 1)]
+        at = (key & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        known = np.flatnonzero(key >> np.uint64(PLACE_BITS) == own)
+        known = known[pc.equal(self.words.take(pa.array(at[known])), words.take(pa.array(known))).to_numpy(zero_copy_only=False)]
+        new = np.ones(len(words), bool)
+        new[known] = False
+        if new.any():
+            at[new] = self.learn(words.filter(pa.array(new)))
+        return at
 
     def chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks, one after another, and their numbers; letters and the signs after them are looked up apart."""
@@ -117,11 +162,12 @@ class ChunkEncoder:
             self.forget()
         word = pc.utf8_rtrim(chunks, SIGNS)
         plain = pc.match_substring_regex(word, f"^[A-ZÀ-ÖØ-Þ{SMALL_LETTERS}]+$")
-        sign = pc.utf8_ltrim(chunks, PLAIN_LETTERS)
-        first, second = self.numbers(pc.if_else(plain, pc.utf8_lower(word), chunks)), self.numbers(pc.if_else(plain, sign, ""))
+        sign = pc.if_else(plain, pc.utf8_ltrim(chunks, PLAIN_LETTERS), "").dictionary_encode()
+        first = self.numbers(pc.if_else(plain, pc.utf8_lower(word), chunks))
+        second = self.numbers(sign.dictionary)[sign.indices.to_numpy()]
         units = np.stack([first, second], 1).ravel()
         sizes = self.sizes[units]
-        ids, _ = gathered(self.ids, (np.cumsum(self.sizes) - self.sizes)[units], sizes)
+        ids, _ = gathered(self.ids, self.starts[units], sizes)
         return ids, sizes.reshape(-1, 2).sum(1)
 
     def encode(self, texts: pa.Array) -> list[bytes]:
@@ -133,14 +179,16 @@ class ChunkEncoder:
         odd = pc.match_substring_regex(texts, "[\\x1c-\\x1f]|" + "|".join(map(re.escape, self.special))).fill_null(False)
         found: dict[int, bytes] = {}
         for k in pc.indices_nonzero(odd).to_pylist():
-            found[k] = self.whole([texts[k].as_py()])[0].astype("<u2").tobytes()
+            found[k] = np.array(self.whole([texts[k].as_py()])[0], "<u2").tobytes()
         split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts.fill_null("")))
         numbered = split.flatten().dictionary_encode()
         own, n = self.chunk_ids(numbered.dictionary)
-        at = numbered.indices.to_numpy()
-        ids, ends = gathered(own.astype("<u2"), (np.cumsum(n) - n)[at], n[at])
-        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return [found.get(k) or ids[a:b].tobytes() for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist()))]  # noqa: B905
+        ends = 2 * np.concatenate([[0], np.cumsum(n)])
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(own.astype("<u2"))])
+        _, offsets, data = chunks.take(numbered.indices).buffers()
+        cuts = np.frombuffer(offsets, np.int64)[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        ids = memoryview(data) if data else b""
+        return [found.get(k) or bytes(ids[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]  # noqa: B905
 
 
 @functools.cache
