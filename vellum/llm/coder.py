@@ -39,6 +39,9 @@ MOST_LISTED = 65000
 #: Rows of the tables are padded to so many places of 16 bits; NONE fills the places that list nothing.
 PLACES = 16
 NONE = (1 << 16) - 1
+ESCAPED = 1 << 50
+#: Ids of known steps are placed so many at once, which the processor's cache holds.
+AT_ONCE = 1 << 13
 #: The range coder's digits and the least range before one is put out.
 LOW = (1 << 32) - 1
 FLOOR = 1 << 32
@@ -132,7 +135,8 @@ class Model:
         self.held = (every == slot_of(np.zeros(1, np.uint32))).astype(np.uint32)
         self.step = 0
         self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
-        self.coded: list[np.ndarray] = []
+        #: The places in the tables that gave ids, or the complements of their rows, and how often each did.
+        self.coded: list[tuple[np.ndarray, np.ndarray]] = []
         #: The rows of slots, then of contexts of order 1.
         self.rows = np.zeros(2 << 16, np.int32)
         self.frequencies()
@@ -172,15 +176,15 @@ class Model:
 
     def weigh(self) -> None:
         """Counts the orders' parts of what was coded since the last time for its confidences."""
-        coded = np.concatenate(self.coded)
+        coded, often = (np.concatenate(x) for x in zip(*self.coded, strict=True))
         missed = coded < 0
-        times = np.bincount(coded[~missed], minlength=self.ids.size)
+        times = np.bincount(coded[~missed], often[~missed], self.ids.size).astype(np.int64)
         hit = np.flatnonzero(times)
         times, cells = times[hit], self.cells.take(hit // PLACES)
         some = self.ends.ravel().take(hit + 1) - self.ends.ravel().take(hit)
         parts = [floor_div(p[hit % PLACES, hit // PLACES].astype(np.int64) << 8, some) for p in (self.p2, self.p1)]
         sums = [np.bincount(cells, times * w, len(self.came)).astype(np.int64) for w in (*parts, 256 - parts[0] - parts[1])]  # below 2^53: exact
-        sums[2] += 256 * np.bincount(self.cells, np.bincount(~coded[missed], minlength=len(self.cells)), len(self.came)).astype(np.int64)
+        sums[2] += 256 * np.bincount(self.cells, np.bincount(~coded[missed], often[missed], len(self.cells)), len(self.came)).astype(np.int64)
         self.came += np.stack(sums, 1)
 
     def refresh(self) -> None:
@@ -260,14 +264,18 @@ class Model:
         self.p2, self.p1, self.cells = p2, p1, cells
         self.rows[own2], self.rows[own1 + (1 << 16)] = np.arange(1, n2 + 1), np.arange(n2 + 1, n2 + n1 + 1)
 
+    def rows_of(self, pair: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The rows of contexts."""
+        slots = slot_of(pair.astype(np.uint32, copy=False)).astype(np.int64)
+        return self.rows.take(np.where(self.held.take(slots) == pair, slots, last + (1 << 16))).astype(np.int64)
+
     def expect(self) -> None:
         """The row of each lane's context."""
-        slots = slot_of(self.pair.astype(np.uint32, copy=False)).astype(np.int64)
-        self.row = self.rows.take(np.where(self.held.take(slots) == self.pair, slots, self.last + (1 << 16))).astype(np.int64)
+        self.row = self.rows_of(self.pair, self.last)
 
     def learn(self, ids: np.ndarray, coded: np.ndarray) -> None:
         """coded: the place in the tables that gave an id, or the complement of its row where it was not listed."""
-        self.coded.append(coded)
+        self.coded.append((coded, np.ones(len(coded), np.int32)))
         self.fresh.append((self.pair, ids))
         self.pair = (self.last << 16 | ids).astype(np.uint32)
         self.last = ids
@@ -282,21 +290,54 @@ class Model:
         lo = (at * wide / rest).astype(np.int64)  # as floor_div()
         return base + lo, ((at + freq) * wide / rest).astype(np.int64) - lo
 
+    def steps_left(self) -> int:
+        """The steps before the tables change."""
+        return next((k for k in FIRST if k > self.step), (self.step // REFRESH + 1) * REFRESH) - self.step
+
+    def ahead(self, steps: np.ndarray) -> np.ndarray:
+        """place() and learn() for steps_left() steps at most (a row each), which are known: ESCAPED, start << 25 | width of each id.
+
+        Equal ids after equal contexts are placed once, in the order of the tables' rows.
+        """
+        last = np.concatenate([self.last[None], steps[:-1]])
+        pair = np.concatenate([self.pair[None].astype(np.uint32), (last[:-1] << 16 | last[1:]).astype(np.uint32)])
+        key = np.sort(self.rows_of(pair.ravel(), last.ravel()) << 37 | steps.ravel() << 21 | np.arange(steps.size))
+        distinct, often = counted(key >> 21)
+        placed, coded = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        for k in range(0, len(distinct), AT_ONCE):
+            some = distinct[k : k + AT_ONCE]
+            start, width, coded[k : k + AT_ONCE], escaped = self.find(some >> 16, some & NONE)
+            start[escaped] |= ESCAPED >> 25
+            placed[k : k + AT_ONCE] = start << 25 | width
+        found = np.empty(steps.size, np.int64)
+        found[key & (1 << 21) - 1] = np.repeat(placed, often)
+        self.coded.append((coded, often))
+        self.fresh.append((pair.ravel(), steps.ravel()))
+        self.pair, self.last = (last[-1] << 16 | steps[-1]).astype(np.uint32), steps[-1]
+        self.step += len(steps)
+        if self.step in FIRST or not self.step % REFRESH:
+            self.refresh()
+        return found.reshape(steps.shape)
+
     def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start and width of ids, their places for learn(), and the lanes whose id follows an escape."""
         self.expect()
-        found = self.ids.take(self.row, 0) == ids.astype(np.uint16)[:, None]
+        return self.find(self.row, ids)
+
+    def find(self, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """place() of ids in contexts of given rows."""
+        found = self.ids.take(rows, 0) == ids.astype(np.uint16)[:, None]
         if (ids == NONE).any():  # what fills a row looks like this id, but has no width
-            found &= np.diff(self.ends.take(self.row, 0), append=0) > 0
+            found &= np.diff(self.ends.take(rows, 0), append=0) > 0
         places = place_true(found)  # a row lists an id once
         lane = np.flatnonzero(places)
-        hit = self.row.take(lane) * PLACES + places.take(lane) - 1
+        hit = rows.take(lane) * PLACES + places.take(lane) - 1
         begin = self.ends.ravel().take(hit)
-        start, width, coded = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64), ~self.row
+        start, width, coded = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64), ~rows
         coded[lane] = hit
         width[lane], start[lane] = self.ends.ravel().take(hit + 1) - begin, begin
         miss = np.flatnonzero(coded < 0)
-        row, sym = self.row.take(miss), ids.take(miss)
+        row, sym = rows.take(miss), ids.take(miss)
         stretch = self.stretch.take(sym)
         unseen = np.flatnonzero(stretch & (1 << 17) - 1 == 0)
         stretch[unseen] = self.stretch[-1]
@@ -360,18 +401,19 @@ def encode(ids: np.ndarray) -> bytes:
             rng[at] = wide
             at = at[wide < FLOOR]
 
-    for row in grid:
-        start, width, coded, raw = model.place(row)
-        r = rng >> 24
-        low += start * r
-        rng = r * width
-        shift(np.flatnonzero(rng < FLOOR))
-        if len(raw):
-            r = rng[raw] >> 16
-            low[raw] += row[raw] * r
-            rng[raw] = r
-            shift(raw[r < FLOOR])
-        model.learn(row, coded)
+    while model.step < steps:
+        part = grid[model.step : model.step + model.steps_left()]
+        for row, placed in zip(part, model.ahead(part), strict=True):
+            r = rng >> 24
+            low += (placed >> 25 & (1 << 24) - 1) * r
+            rng = r * (placed & (1 << 25) - 1)
+            shift(np.flatnonzero(rng < FLOOR))
+            if (placed >= ESCAPED).any():
+                raw = np.flatnonzero(placed >= ESCAPED)
+                r = rng[raw] >> 16
+                low[raw] += row[raw] * r
+                rng[raw] = r
+                shift(raw[r < FLOOR])
     for _ in range(3):
         at_out.append(np.arange(lanes, dtype=np.uint16))
         words.append((low >> 32).astype(np.uint32))
