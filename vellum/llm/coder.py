@@ -40,8 +40,9 @@ MOST_LISTED = 65000
 PLACES = 16
 NONE = (1 << 16) - 1
 ESCAPED = 1 << 50
-#: Ids of known steps are placed so many at once, which the processor's cache holds.
-AT_ONCE = 1 << 13
+#: So many known steps are sorted together, to bound the memory that takes; their ids are placed so many at once, which
+#: the processor's cache holds.
+AHEAD, AT_ONCE = 64, 1 << 13
 #: The range coder's digits and the least range before one is put out.
 LOW = (1 << 32) - 1
 FLOOR = 1 << 32
@@ -402,7 +403,7 @@ def encode(ids: np.ndarray) -> bytes:
             at = at[wide < FLOOR]
 
     while model.step < steps:
-        part = grid[model.step : model.step + model.steps_left()]
+        part = grid[model.step : model.step + min(AHEAD, model.steps_left())]
         for row, placed in zip(part, model.ahead(part), strict=True):
             r = rng >> 24
             low += (placed >> 25 & (1 << 24) - 1) * r
