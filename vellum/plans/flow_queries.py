@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as fn
 from ..operators import audits as au
 from ..operators import catalogs as ct
 from ..operators import compare as cp
@@ -63,7 +64,7 @@ def layout_continuations(spark: SparkSession, d: str) -> DataFrame:
 @query("layout_drop_caps", "WITH " + dv.PAGES_SQL + r""" SELECT doc_id, page, 0 AS cap, 1 AS block FROM doc_pages WHERE regexp_matches(upper(left(text, 1)), '^\p{Lu}$') AND regexp_matches(text, '^\p{L}')""")
 def layout_drop_caps(spark: SparkSession, d: str) -> DataFrame:
     pages = dv.doc_pages(table(spark, d, "documents"))
-    cap = pages.select("doc_id", "page", F.lit(0).alias("block"), F.lit(30.0).alias("size"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(20.0).alias("x1"), F.upper(F.left("text", F.lit(1))).alias("text"))
+    cap = pages.select("doc_id", "page", F.lit(0).alias("block"), F.lit(30.0).alias("size"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(20.0).alias("x1"), fn.capital(F.left("text", F.lit(1))).alias("text"))
     body = pages.select("doc_id", "page", F.lit(1).alias("block"), F.lit(10.0).alias("size"), F.lit(21.0).alias("x0"), F.lit(2.0).alias("y0"), F.lit(300.0).alias("x1"), "text")
     return tf.drop_caps(cap.unionByName(body))
 
