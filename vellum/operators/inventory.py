@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .letters import numbers, owners, ranks, texts
 from .lineage import cut
 
 #: Categories that are removed unless the caller says otherwise.
@@ -112,19 +117,55 @@ def beads(links: DataFrame) -> DataFrame:
 
 
 def build_lines(glyphs: DataFrame) -> DataFrame:
-    """doc_id, page, line, text: glyphs share a line while their centres lie within 0.4 heights of the line's; what joins a line depends on order, so it runs per page."""
+    """doc_id, page, line, text: glyphs share a line while their centres lie within 0.4 heights of the line's; what joins a line depends on order.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        lines: list[list] = []
-        for g in part.sort_values(["y0", "x0"]).itertuples():
-            centre, height = (g.y0 + g.y1) / 2, g.y1 - g.y0
-            home = next((line for line in reversed(lines[-5:]) if abs(line[0] - centre) <= 0.4 * height), None)
-            if home is None:
-                lines.append(home := [centre, []])
-            home[1].append((g.x0, g.ch))
-        return pd.DataFrame([(part["doc_id"].iloc[0], part["page"].iloc[0], k, "".join(c for _, c in sorted(x))) for k, (_, x) in enumerate(lines)], columns=["doc_id", "page", "line", "text"])
-
-    return glyphs.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, line int, text string")
+    glyphs: a row for each (doc_id, page, y0, y1, x0, ch), or for each page with an array of them. Neighbours of one height and
+    place go to the same line, so each such run is dealt with once; its letters are never touched one by one.
+    """
+    if "glyphs" not in glyphs.columns:
+        glyphs = glyphs.groupBy("doc_id", "page").agg(F.collect_list(F.struct("y0", "y1", "x0", "ch")).alias("glyphs"))
+    schema = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("line", pa.int32()), ("text", pa.string())])
+
+    def homes(pages: list[int], tops: list[float], bottoms: list[float]) -> tuple[list[int], list[int], list[int]]:
+        """For each run its line, counted through the batch; for each line its page and its number there."""
+        lines: list[float] = []
+        home, of_page, number = [], [], []
+        first, at = 0, None
+        for page, y0, y1 in zip(pages, tops, bottoms, strict=True):
+            if page != at:
+                first, at = len(lines), page
+            centre, height = (y0 + y1) / 2, y1 - y0
+            found = next((k for k in range(len(lines) - 1, max(first, len(lines) - 5) - 1, -1) if abs(lines[k] - centre) <= 0.4 * height), None)
+            if found is None:
+                found = len(lines)
+                lines.append(centre)
+                of_page.append(page)
+                number.append(found - first)
+            home.append(found)
+        return home, of_page, number
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            page, values = owners(batch.column("glyphs")), batch.column("glyphs").flatten()
+            y0, y1, x0 = numbers(values, "y0", "y1", "x0")
+            ch = values.field("ch")
+            new_page = page[1:] != page[:-1]
+            if not np.all(new_page | (y0[1:] > y0[:-1]) | ((y0[1:] == y0[:-1]) & (x0[1:] >= x0[:-1]))):
+                order = np.lexsort((x0, y0, page))
+                page, y0, y1, x0, ch = page[order], y0[order], y1[order], x0[order], ch.take(pa.array(order))
+                new_page = page[1:] != page[:-1]
+            opens = np.append(np.ones(min(1, len(page)), bool), new_page | (y0[1:] != y0[:-1]) | (y1[1:] != y1[:-1]) | ~((y1[1:] >= y0[1:]) & np.isfinite(y0[1:] + y1[1:])))
+            starts = np.flatnonzero(opens)
+            home, of_page, number = homes(page[starts].tolist(), y0[starts].tolist(), y1[starts].tolist())
+            line = np.repeat(np.array(home, np.int64), np.diff(np.append(starts, len(page))))
+            if not np.all((line[1:] > line[:-1]) | ((line[1:] == line[:-1]) & (x0[1:] > x0[:-1]))):
+                order = np.lexsort((ranks(ch), x0, line))  # letters at one place stand in their own order
+                line, ch = line[order], ch.take(pa.array(order))
+            text = texts(ch, np.searchsorted(line, np.arange(len(number) + 1)))
+            at = pa.array(of_page, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("page").take(at), pa.array(number, pa.int32()), text], schema=schema)
+
+    return glyphs.select("doc_id", "page", "glyphs").mapInArrow(run, "doc_id long, page int, line int, text string")
 
 
 def grid_edges(rules: DataFrame, tolerance: float = 3.0) -> DataFrame:

@@ -104,7 +104,7 @@ def threads_of_beads(spark: SparkSession, d: str) -> DataFrame:
 
 @query("layout_lines", G + ", t AS (SELECT doc_id, page, line_no, string_agg(ch, '' ORDER BY glyph_no) AS text FROM glyphs GROUP BY ALL) SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1)::INT AS line, text FROM t")
 def layout_lines(spark: SparkSession, d: str) -> DataFrame:
-    return iv.build_lines(dv.glyphs(table(spark, d, "documents")))
+    return iv.build_lines(dv.glyph_pages(table(spark, d, "documents"), ("y0", "y1", "x0", "ch")))
 
 
 @query("table_edges", B + """, r AS (SELECT doc_id, page, 'h' AS axis, (block_no % 20) * 2.0 + CASE WHEN block_no % 4 = 0 THEN 3.5 ELSE 0 END AS pos FROM blocks),

@@ -55,11 +55,49 @@ def blocks(docs: DataFrame) -> DataFrame:
                                   F.when(words <= 3, 14.0).when(words <= 6, 12.0).otherwise(10.0).alias("size"))
 
 
+def line_boxes(docs: DataFrame) -> DataFrame:
+    """doc_id, page, line_no, text of lines that are not empty, and the box of their glyphs: rx0, ry0, rx1, ry1."""
+    y0 = (F.col("line_no") % LINES_A_PAGE) * 12.0
+    return doc_lines(docs).where("text <> ''").select("doc_id", F.floor(F.col("line_no") / LINES_A_PAGE).cast("int").alias("page"), "line_no", "text", F.lit(0.0).alias("rx0"), y0.alias("ry0"), (F.length("text") * 6.0).alias("rx1"), (y0 + 10).alias("ry1"))
+
+
+def glyph_values(line_no: Column, glyph_no: Column) -> dict[str, Column]:
+    """x0, y0, x1, y1, size of a glyph by its place."""
+    x0, y0 = glyph_no * 6.0, (line_no % LINES_A_PAGE) * 12.0
+    return {"x0": x0, "y0": y0, "x1": x0 + 6, "y1": y0 + 10, "size": F.lit(10.0)}
+
+
+def unfolded(lines: DataFrame) -> DataFrame:
+    """A row for every letter of lines (line_no, text): glyph_no, ch, x0, y0, x1, y1, size. What else a line has stays, its text and box go."""
+    kept = [c for c in lines.columns if c not in ("text", "rx0", "ry0", "rx1", "ry1")]
+    rows = lines.select(*kept, F.posexplode(F.split("text", "")).alias("glyph_no", "ch")).where("ch <> ''")
+    return rows.select(*kept, "glyph_no", "ch", *(v.alias(k) for k, v in glyph_values(F.col("line_no"), F.col("glyph_no")).items()))
+
+
 def glyphs(docs: DataFrame) -> DataFrame:
     """doc_id, page, line_no, glyph_no, ch, x0, y0, x1, y1, size of every letter of each line."""
-    rows = doc_lines(docs).where("text <> ''").select("doc_id", "line_no", F.posexplode(F.split("text", "")).alias("glyph_no", "ch"))
-    x0, y0 = F.col("glyph_no") * 6.0, (F.col("line_no") % LINES_A_PAGE) * 12.0
-    return rows.where("ch <> ''").select("doc_id", F.floor(F.col("line_no") / LINES_A_PAGE).cast("int").alias("page"), "line_no", "glyph_no", "ch", x0.alias("x0"), y0.alias("y0"), (x0 + 6).alias("x1"), (y0 + 10).alias("y1"), F.lit(10.0).alias("size"))
+    return unfolded(line_boxes(docs).select("doc_id", "page", "line_no", "text"))
+
+
+def line_glyphs(text: Column, line_no: Column, fields: tuple[str, ...]) -> Column:
+    """The glyphs of a line as an array of these fields."""
+
+    def glyph(ch: Column, k: Column) -> Column:
+        values = glyph_values(line_no, k) | {"ch": ch}
+        return F.struct(*(values[f].alias(f) for f in fields))
+
+    return F.transform(F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")), glyph)
+
+
+def glyph_lines(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """doc_id, page, line_no, glyphs: an array of a line's glyphs with these fields, made within the row."""
+    return line_boxes(docs).select("doc_id", "page", "line_no", line_glyphs(F.col("text"), F.col("line_no"), fields).alias("glyphs"))
+
+
+def glyph_pages(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """doc_id, page, glyphs: an array of a page's glyphs with these fields, made within the row."""
+    lines = F.transform(F.split("text", "\n", -1), lambda line, k: line_glyphs(line, k, fields))
+    return doc_pages(docs).select("doc_id", "page", F.flatten(lines).alias("glyphs"))
 
 
 def comments(conversations: DataFrame) -> DataFrame:
