@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,6 +91,23 @@ def x_clusters(boxes: DataFrame, gap: float) -> DataFrame:
     return boxes.withColumn("_n", F.coalesce((F.col("x0") > reach + gap).cast("int"), F.lit(0))).withColumn("column", F.sum("_n").over(w)).drop("_n")
 
 
+def with_areas(rows: DataFrame, areas: DataFrame, box: tuple[str, str, str, str], first: str | None = None) -> DataFrame:
+    """rows (doc_id, page) with _areas: their page's areas as one array, in the order of a column if one is named.
+
+    Where rows have a box that holds all their glyphs (rx0, ry0, rx1, ry1), areas that do not touch it are left out.
+    """
+    page = ["doc_id", "page"]
+    names = ([first] if first else []) + [c for c in areas.columns if c not in (*page, first)]
+    known = areas.where(F.col(first).isNotNull()) if first else areas
+    met = rows.join(known.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_areas")), page, "left")
+    if "rx0" in rows.columns:
+        x0, y0, x1, y1 = box
+        touches = lambda a: (a[x0] <= F.col("rx1")) & (F.col("rx0") <= a[x1]) & (a[y0] <= F.col("ry1")) & (F.col("ry0") <= a[y1])
+        near = F.filter("_areas", touches)
+        met = met.withColumn("_areas", F.when(F.size(near) > 0, near))
+    return met
+
+
 def redact(glyphs: DataFrame, areas: DataFrame) -> DataFrame:
     """Glyphs left outside of areas (doc_id, page, ax0, ay0, ax1, ay1): gone are those whose centre is inside, or of whose 5 x 5 sample points two fifths are.
 
@@ -108,12 +127,13 @@ def redact(glyphs: DataFrame, areas: DataFrame) -> DataFrame:
     return glyphs.join(hit.where(F.col("centre") | (F.bit_count("points") >= 10)), ["doc_id", "page", "line_no", "glyph_no"], "left_anti")
 
 
-def attach_links(glyphs: DataFrame, boxes: DataFrame) -> DataFrame:
-    """glyphs with uri: the first box (doc_id, page, link_no, bx0, by0, bx1, by1, uri) that holds the centre."""
+def attach_links(glyphs: DataFrame, boxes: DataFrame, unfold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """glyphs with uri: the first box (doc_id, page, link_no, bx0, by0, bx1, by1, uri) that holds the centre. Given unfold, the first table has rows of text from which it makes glyphs when they have met their boxes."""
+    rows = with_areas(glyphs, boxes.select("doc_id", "page", "link_no", "bx0", "by0", "bx1", "by1", "uri"), ("bx0", "by0", "bx1", "by1"), "link_no")
+    rows = unfold(rows) if unfold else rows
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    hit = glyphs.join(boxes, ["doc_id", "page"]).where(cx.between(F.col("bx0"), F.col("bx1")) & cy.between(F.col("by0"), F.col("by1")))
-    first = hit.groupBy("doc_id", "page", "line_no", "glyph_no").agg(F.min_by("uri", "link_no").alias("uri"))
-    return glyphs.join(first, ["doc_id", "page", "line_no", "glyph_no"], "left")
+    held = F.filter("_areas", lambda b: cx.between(b["bx0"], b["bx1"]) & cy.between(b["by0"], b["by1"]))
+    return rows.withColumn("uri", F.when(F.col("_areas").isNotNull(), F.get(held, F.lit(0))["uri"])).drop("_areas")
 
 
 def reading_order(boxes: DataFrame, gap_x: float = 6.0, gap_y: float = 2.0) -> DataFrame:

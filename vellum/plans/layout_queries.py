@@ -146,7 +146,7 @@ def layout_redact(spark: SparkSession, d: str) -> DataFrame:
 def layout_linked(spark: SparkSession, d: str) -> DataFrame:
     box = lambda n, x1, uri: F.struct(F.lit(n).alias("link_no"), F.lit(0.0).alias("bx0"), F.lit(0.0).alias("by0"), F.lit(x1).alias("bx1"), F.lit(10.0).alias("by1"), F.lit(uri).alias("uri"))
     boxes = dv.doc_pages(table(spark, d, "documents")).select("doc_id", "page", F.explode(F.array(box(1, 30.0, "u1"), box(2, 60.0, "u2"))).alias("b")).select("doc_id", "page", "b.*")
-    return ly.attach_links(dv.glyphs(table(spark, d, "documents")), boxes).groupBy("doc_id", "uri").agg(F.count("*").alias("n"))
+    return ly.attach_links(dv.line_boxes(table(spark, d, "documents")), boxes, dv.unfolded).groupBy("doc_id", "uri").agg(F.count("*").alias("n"))
 
 
 @query("layout_dehyphenate", "WITH " + dv.TOKENS_SQL + """, b AS (SELECT doc_id, key AS a, lead(key) OVER (PARTITION BY doc_id, page ORDER BY pos) AS c, pos FROM tokens), v AS (SELECT key AS word FROM tokens UNION SELECT a || '-' || c FROM b WHERE pos % 10 = 0 AND c IS NOT NULL)
