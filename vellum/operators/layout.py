@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import list_marker
+from .letters import numbers, owners, ranks, texts
 
 HEADING_RATIO, MOST_LEVELS = 1.15, 3
 
@@ -40,15 +44,31 @@ def dominant_font(rows: DataFrame) -> DataFrame:
 def word_breaks(glyphs: DataFrame, gap: float = 0.2) -> DataFrame:
     """doc_id, line_no, words: glyphs of a line in words; a break is a space glyph or a gap of more than gap times the larger size.
 
-    A line's glyphs are one sorted array, split within its row: one shuffle by line, no window over single glyphs.
+    A line's glyphs are one array, ordered and split within its row: one shuffle by line, no window over single glyphs, and no
+    shuffle where they come as an array (doc_id, line_no, glyphs) with x0, x1, size and ch. A size that is null is not compared.
     """
-    lines = glyphs.where("ch <> ' '").groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("x0", "x1", "size", "ch"))).alias("_g"))
-
-    def spaced(g: Column, i: Column) -> Column:
-        before = F.get("_g", i - 1)
-        return F.when((i > 0) & (g["x0"] - before["x1"] > gap * F.greatest(g["size"], before["size"])), F.concat(F.lit(" "), g["ch"])).otherwise(g["ch"])
-
-    return lines.select("doc_id", "line_no", F.array_join(F.transform("_g", spaced), "").alias("words"))
+    if "glyphs" not in glyphs.columns:
+        glyphs = glyphs.groupBy("doc_id", "line_no").agg(F.collect_list(F.struct("x0", "x1", "size", "ch")).alias("glyphs"))
+    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("words", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line, values = owners(batch.column("glyphs")), batch.column("glyphs").flatten()
+            seen = pc.not_equal(values.field("ch"), " ").fill_null(False)
+            line, values = line[seen.to_numpy(zero_copy_only=False)], values.filter(seen)
+            x0, x1, size = numbers(values, "x0", "x1", "size")
+            ch = values.field("ch")
+            if not np.all((line[1:] > line[:-1]) | (x0[1:] > x0[:-1])):
+                known = [k for c in ("size", "x1", "x0") for k in (*numbers(values, c), values.field(c).is_valid().to_numpy(zero_copy_only=False))]  # null before others
+                order = np.lexsort((ranks(ch), *known, line))
+                line, x0, x1, size, ch = line[order], x0[order], x1[order], size[order], ch.take(pa.array(order))
+            apart = (line[1:] == line[:-1]) & (x0[1:] - x1[:-1] > gap * np.fmax(size[1:], size[:-1]))
+            spaced = pc.if_else(pa.array(np.append(np.zeros(min(1, len(line)), bool), apart)), pc.binary_join_element_wise("", ch, " "), ch)
+            lines = np.unique(line)
+            at = pa.array(lines)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("line_no").take(at), texts(spaced, np.append(np.searchsorted(line, lines), len(line)))], schema=schema)
+
+    return glyphs.select("doc_id", "line_no", "glyphs").mapInArrow(run, "doc_id long, line_no int, words string")
 
 
 def classify_blocks(blocks: DataFrame) -> DataFrame:

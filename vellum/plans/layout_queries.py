@@ -93,7 +93,7 @@ def layout_upper_median(spark: SparkSession, d: str) -> DataFrame:
 
 @query("layout_words", G + r", t AS (SELECT doc_id, line_no, string_agg(ch, '' ORDER BY glyph_no) AS s FROM glyphs GROUP BY ALL) SELECT doc_id, line_no, trim(regexp_replace(s, ' +', ' ', 'g')) AS words FROM t WHERE trim(s) <> ''")
 def layout_words(spark: SparkSession, d: str) -> DataFrame:
-    return ly.word_breaks(dv.glyphs(table(spark, d, "documents")))
+    return ly.word_breaks(dv.glyph_lines(table(spark, d, "documents"), ("x0", "x1", "size", "ch")))
 
 
 CLASS = B + r""", b0 AS (SELECT doc_id, size, sum(length(text)) AS n FROM blocks GROUP BY ALL), b1 AS (SELECT doc_id, arg_max(size, n * 1000 - size) AS body FROM b0 GROUP BY doc_id),
