@@ -128,27 +128,32 @@ def with_areas(rows: DataFrame, areas: DataFrame, box: tuple[str, str, str, str]
     return met
 
 
-def redact(glyphs: DataFrame, areas: DataFrame) -> DataFrame:
+def redact(glyphs: DataFrame, areas: DataFrame, unfold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Glyphs left outside of areas (doc_id, page, ax0, ay0, ax1, ay1): gone are those whose centre is inside, or of whose 5 x 5 sample points two fifths are.
 
-    The sample points inside an area are a rectangle of columns and rows, kept as bits, so that areas add up without a row a point.
+    The sample points inside an area are a rectangle of columns and rows, kept as bits, so that areas add up without a row a
+    point. Given unfold, the first table has rows of text from which it makes glyphs when they have met their areas, so that
+    texts are shuffled, not glyphs.
     """
-    near = glyphs.join(areas, ["doc_id", "page"]).where("ax0 <= x1 and x0 <= ax1 and ay0 <= y1 and y0 <= ay1")
+    rows = with_areas(glyphs, areas, ("ax0", "ay0", "ax1", "ay1"))
+    rows = unfold(rows) if unfold else rows
 
-    def within(at: Column, axis: str) -> Column:
-        return (at >= F.col(f"a{axis}0")) & (at <= F.col(f"a{axis}1"))
+    def within(area: Column, at: Column, axis: str) -> Column:
+        return (at >= area[f"a{axis}0"]) & (at <= area[f"a{axis}1"])
 
-    def bits(axis: str, step: int) -> Column:
+    def bits(area: Column, axis: str, step: int) -> Column:
         lo, hi = F.col(f"{axis}0"), F.col(f"{axis}1")
-        return sum((F.when(within(lo + (k + 0.5) / 5 * (hi - lo), axis), 1 << step * k).otherwise(0) for k in range(5)), F.lit(0))
+        return sum((F.when(within(area, lo + (k + 0.5) / 5 * (hi - lo), axis), 1 << step * k).otherwise(0) for k in range(5)), F.lit(0))
 
-    centre = within((F.col("x0") + F.col("x1")) / 2, "x") & within((F.col("y0") + F.col("y1")) / 2, "y")
-    hit = near.groupBy("doc_id", "page", "line_no", "glyph_no").agg(F.bool_or(centre).alias("centre"), F.bit_or(bits("x", 1) * bits("y", 5)).alias("points"))
-    return glyphs.join(hit.where(F.col("centre") | (F.bit_count("points") >= 10)), ["doc_id", "page", "line_no", "glyph_no"], "left_anti")
+    centre = F.exists("_areas", lambda a: within(a, (F.col("x0") + F.col("x1")) / 2, "x") & within(a, (F.col("y0") + F.col("y1")) / 2, "y"))
+    touches = lambda a: (a["ax0"] <= F.col("x1")) & (F.col("x0") <= a["ax1"]) & (a["ay0"] <= F.col("y1")) & (F.col("y0") <= a["ay1"])
+    points = F.aggregate("_areas", F.lit(0), lambda held, a: F.when(touches(a), held.bitwiseOR(bits(a, "x", 1) * bits(a, "y", 5))).otherwise(held))
+    gone = F.when(F.col("_areas").isNull(), False).when(F.coalesce(centre, F.lit(False)), True).otherwise(F.bit_count(points) >= 10)
+    return rows.where(~gone).drop("_areas")
 
 
 def attach_links(glyphs: DataFrame, boxes: DataFrame, unfold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """glyphs with uri: the first box (doc_id, page, link_no, bx0, by0, bx1, by1, uri) that holds the centre. Given unfold, the first table has rows of text from which it makes glyphs when they have met their boxes."""
+    """glyphs with uri: the first box (doc_id, page, link_no, bx0, by0, bx1, by1, uri) that holds the centre. unfold: see redact()."""
     rows = with_areas(glyphs, boxes.select("doc_id", "page", "link_no", "bx0", "by0", "bx1", "by1", "uri"), ("bx0", "by0", "bx1", "by1"), "link_no")
     rows = unfold(rows) if unfold else rows
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2

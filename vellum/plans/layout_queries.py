@@ -137,9 +137,8 @@ def layout_columns(spark: SparkSession, d: str) -> DataFrame:
 
 @query("layout_redact", G + " SELECT doc_id, count(*) AS n_left FROM glyphs WHERE NOT (line_no % 20 BETWEEN 2 AND 4 AND glyph_no BETWEEN 10 AND 29) GROUP BY doc_id")
 def layout_redact(spark: SparkSession, d: str) -> DataFrame:
-    g = dv.glyphs(table(spark, d, "documents"))
     areas = dv.doc_pages(table(spark, d, "documents")).select("doc_id", "page", F.lit(60.0).alias("ax0"), F.lit(24.0).alias("ay0"), F.lit(180.0).alias("ax1"), F.lit(58.0).alias("ay1"))
-    return ly.redact(g, areas).groupBy("doc_id").agg(F.count("*").alias("n_left"))
+    return ly.redact(dv.line_boxes(table(spark, d, "documents")), areas, dv.unfolded).groupBy("doc_id").agg(F.count("*").alias("n_left"))
 
 
 @query("layout_linked", G + " SELECT doc_id, CASE WHEN line_no % 20 = 0 AND glyph_no < 5 THEN 'u1' WHEN line_no % 20 = 0 AND glyph_no < 10 THEN 'u2' END AS uri, count(*) AS n FROM glyphs GROUP BY ALL")
