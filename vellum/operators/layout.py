@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import list_marker
+from .groups import per_group
 from .letters import numbers, owners, ranks, texts
 
 HEADING_RATIO, MOST_LEVELS = 1.15, 3
@@ -164,30 +165,38 @@ def attach_links(glyphs: DataFrame, boxes: DataFrame, unfold: Callable[[DataFram
 def reading_order(boxes: DataFrame, gap_x: float = 6.0, gap_y: float = 2.0) -> DataFrame:
     """boxes (doc_id, page, box, x0, y0, x1, y1) with place, by recursive cuts at the widest gap.
 
-    The recursion depends on the boxes of one page only and runs per page in Python.
+    The cuts depend on the boxes of one page only and are made per page in Python, with a list of what is still to cut.
     """
-
-    def cut(rows: pd.DataFrame) -> list[int]:
-        if len(rows) < 2:
-            return list(rows["box"])
-        best = (0.0, "", 0.0)
-        for axis, least, weight in (("x", gap_x, 1.2), ("y", gap_y, 1.0)):
-            spans = sorted(zip(rows[axis + "0"], rows[axis + "1"], strict=True))
-            reach = spans[0][1]
-            for lo, hi in spans[1:]:
-                if lo - reach >= least and (lo - reach) * weight > best[0]:
-                    best = ((lo - reach) * weight, axis, lo)
-                reach = max(reach, hi)
+    box, x0, x1, y0, y1 = range(5)
+    least = lambda v: (v is None or v != v, v)  # noqa: E731 what is unknown comes last
+
+    def cut(rows: list[tuple]) -> list[list[tuple]]:
+        """The two parts at the widest gap, or the rows in their order one by one."""
+        best = (0.0, 0, 0.0)
+        for lo, hi, wide, weight in ((x0, x1, gap_x, 1.2), (y0, y1, gap_y, 1.0)):
+            spans = sorted((r[lo], r[hi]) for r in rows if r[lo] is not None and r[hi] is not None)
+            reach = spans[0][1] if spans else 0.0
+            for a, b in spans[1:]:
+                if a - reach >= wide and (a - reach) * weight > best[0]:
+                    best = ((a - reach) * weight, lo, a)
+                reach = max(reach, b)
         if not best[1]:
-            return list(rows.assign(_r=(rows["y0"] / 4).round()).sort_values(["_r", "x0", "box"])["box"])
-        first = rows[best[1] + "0"] < best[2]
-        return cut(rows[first]) + cut(rows[~first])
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        order = {b: k for k, b in enumerate(cut(part))}
-        return pd.DataFrame({"doc_id": part["doc_id"], "page": part["page"], "box": part["box"], "place": part["box"].map(order)})
-
-    return boxes.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, box int, place int")
+            band = lambda v: v if v is None or not math.isfinite(v) else round(v / 4)
+            return [[r] for r in sorted(rows, key=lambda r: (least(band(r[y0])), least(r[x0]), r[box]))]
+        before = lambda r: r[best[1]] is not None and r[best[1]] < best[2]
+        return [[r for r in rows if before(r)], [r for r in rows if not before(r)]]
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        todo, order, n = [rows], {}, 0
+        while todo:
+            part = todo.pop()
+            if len(part) > 1:
+                todo += cut(part)[::-1]
+            elif part:
+                order[part[0][box]], n = n, n + 1
+        return [(r[box], order[r[box]]) for r in rows]
+
+    return per_group(boxes, ["doc_id", "page"], ["box", "x0", "x1", "y0", "y1"], run, "doc_id long, page int, box int, place int")
 
 
 def dehyphenate(breaks: DataFrame, vocabulary: DataFrame) -> DataFrame:
